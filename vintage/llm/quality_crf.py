@@ -126,12 +126,16 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -60, 60)))
 
 
-def fit(x: np.ndarray, per_doc: np.ndarray, y: np.ndarray, rounds: int = 250, rate: float = 0.1, l2: float = 1e-4) -> dict:
-    """Weights that maximise the conditional likelihood of the sample's line labels (Adam)."""
+def fit(x: np.ndarray, per_doc: np.ndarray, y: np.ndarray, rounds: int = 400, rate: float = 0.05, l2: float = 1e-5) -> dict:
+    """Weights that maximise the conditional likelihood of the sample's line labels (Adam over
+    standardised features; the weights returned apply to the raw ones)."""
     n = 3 * N_FEATURES + 1
     if not len(y):
         return {"w": np.zeros(n), "t": np.zeros((2, 2))}
     x = with_neighbours(x, per_doc).astype(np.float64)
+    shift, scale = x.mean(0), x.std(0) + 1e-6
+    shift[-1], scale[-1] = 0, 1
+    x = (x - shift) / scale
     label = np.repeat(y, per_doc).astype(float)
     weight = np.repeat(1 / np.sqrt(per_doc), per_doc)
     weight /= weight.sum()
@@ -155,7 +159,9 @@ def fit(x: np.ndarray, per_doc: np.ndarray, y: np.ndarray, rounds: int = 250, ra
         grad -= l2 * theta
         m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad**2
         theta = theta + rate * (m / (1 - 0.9**k)) / (np.sqrt(v / (1 - 0.999**k)) + 1e-8)
-    return {"w": theta[:n], "t": np.array([[0, theta[n]], [theta[n + 1], theta[n + 2]]])}
+    w = theta[:n] / scale
+    w[-1] -= w[:-1] @ shift[:-1]
+    return {"w": w, "t": np.array([[0, theta[n]], [theta[n + 1], theta[n + 2]]])}
 
 
 def scores(data: np.ndarray, offsets: np.ndarray, model: dict) -> np.ndarray:

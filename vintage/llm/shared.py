@@ -8,6 +8,7 @@ import uuid
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -133,3 +134,26 @@ def range_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.n
 
 def as_long(x: np.ndarray) -> pa.Array:
     return pa.array(np.ascontiguousarray(x).view(np.int64))
+
+
+def whole_groups(batches):
+    """From batches sorted by their first column, (batch, bounds of its groups): a group that spans
+    batches is put together first, so each comes out whole and once."""
+    rest = None
+    for batch in _and_end(batches):
+        last = batch is None
+        if rest is not None and rest.num_rows:
+            batch = rest if last else pa.concat_batches([rest, batch])
+        if batch is None or not batch.num_rows:
+            continue
+        key, n = batch.column(0), batch.num_rows
+        cuts = np.flatnonzero(pc.not_equal(key.slice(1), key.slice(0, n - 1)).to_numpy(zero_copy_only=False)) + 1
+        stop = n if last else int(cuts[-1]) if len(cuts) else 0
+        if stop:
+            yield batch.slice(0, stop), np.array([0, *cuts[cuts < stop], stop])
+        rest = batch.slice(stop)
+
+
+def _and_end(batches):
+    yield from batches
+    yield None
