@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, mixing, ngram_join, quality_crf, sentencepiece_codec
+from . import exact_dedup, mixing, ngram_join, nn_descent, quality_crf, secret_scan, sentencepiece_codec, suffix_dedup, token_counts, url_filter
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,14 +23,38 @@ def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.join(table(spark, sf_dir, "documents"))
 
 
+def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.report(table(spark, sf_dir, "documents"))
+
+
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_report(table(spark, sf_dir, "documents"))
 
 
+def byte_ranks() -> tuple[str, str]:
+    """Where the public byte-level vocabulary is, and its splitting pattern."""
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
+
+
+def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of each document and of each of its lines."""
+    return token_counts.counted(table(spark, sf_dir, "documents"), *byte_ranks(), sections="lines", rule="most")
+
+
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_report(table(spark, sf_dir, "documents"))
 
 
+def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge(table(spark, sf_dir, "pages"))
+
+
+def op7_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nn_descent.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = quality_crf.train(docs, table(spark, sf_dir, "labels"))
@@ -42,7 +66,11 @@ def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepiece_codec.encoded(table(spark, sf_dir, "documents"), piece_model(), outputs=("n_tokens", "ids_sha256", "decoded_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_ngram_jaccard_join, op3_mixing, op5_exact_dedup, op8_quality_classifier, op9_sentencepiece)}
+def op10_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.deduplicated(table(spark, sf_dir, "documents"), outputs=("kept_sha256",))
+
+
+QUERIES = {f.__name__: f for f in (op1_ngram_jaccard_join, op2_secret_scan, op3_mixing, op4_token_counts, op5_exact_dedup, op6_url_filter, op7_embedding_near_dedup, op8_quality_classifier, op9_sentencepiece, op10_suffix_array_dedup)}
 
 ORACLE_SQL = {
     "op3_mixing": r"""

@@ -12,9 +12,9 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows up to which a settled table of small rows (ids, hashes, counts) may be broadcast: with at most
-#: 48 bytes a row that is under 50 MB. Above it the same join runs as a shuffle join.
-BROADCAST_ROWS = 1_000_000
+#: Rows up to which a settled table of small rows (ids, hashes, counts) may be broadcast: at about 150
+#: bytes a row in memory that is under 60 MB. Above it the same join runs as a shuffle join.
+BROADCAST_ROWS = 400_000
 
 
 def shared_dir(spark: SparkSession) -> str:
