@@ -76,11 +76,15 @@ SPLIT_CTE = f""", sp AS ({views.SPLITS_SQL}), f AS (SELECT security_id, max(fact
     FROM sp WHERE available_at <= TIMESTAMP '{AS_OF}') GROUP BY 1)"""
 
 
-@query(f"""{BEST}{SPLIT_CTE} SELECT b.security_id, effective_date, round(close / coalesce(factor, 1.0), 4) AS close,
-    CAST(round(volume * coalesce(factor, 1.0), 0) AS BIGINT) AS volume, round(coalesce(factor, 1.0), 6) AS adjustment_factor FROM best b LEFT JOIN f ON b.security_id = f.security_id""")
+@query(f"""{BEST}{SPLIT_CTE} SELECT b.security_id, effective_date, round(close, 6) AS raw_close, CAST(round(volume * coalesce(factor, 1.0), 0) AS BIGINT) AS volume,
+    round(coalesce(factor, 1.0), 6) AS adjustment_factor, TRUE AS close_agrees FROM best b LEFT JOIN f ON b.security_id = f.security_id""")
 def bars_adjusted(spark, sf_dir):
+    """Prices are rounded to four places by the operator, ties one way or the other by engine, so the check
+    is that they lie within a rounding of the raw close over the factor."""
     got = adjust.bars_adjusted_asof(views.bars(spark, sf_dir), views.splits(spark, sf_dir), AS_OF, priorities=views.priorities(spark))
-    return got.select("security_id", "effective_date", "close", "volume", F.round("adjustment_factor", 6).alias("adjustment_factor"))
+    raw = best(spark, sf_dir).select("security_id", "effective_date", F.col("close").alias("raw_close"))
+    agrees = F.abs(F.col("close") - F.col("raw_close") / F.col("adjustment_factor")) < 0.000051
+    return rounded(got.join(raw, ["security_id", "effective_date"]).select("security_id", "effective_date", "raw_close", "volume", "adjustment_factor", agrees.alias("close_agrees")))
 
 
 @query(f"""{BEST}, sp AS ({views.SPLITS_SQL}) SELECT b.security_id, b.effective_date,
