@@ -126,7 +126,7 @@ def readouts_all(spark, sf_dir):
     return readouts.compute(b, AS_OF, profiles(), b.filter(F.col("security_id") == BENCHMARK))
 
 
-@query(f"""{BEST}, x AS (SELECT *, {lagged('close')} AS pc FROM best) SELECT security_id, max(effective_date) AS last_date, round(arg_max(close, effective_date), 6) AS last_close, round(arg_max(close, effective_date) / arg_max(pc, effective_date) - 1, 6) AS change_pct,
+@query(f"""{BEST}, x AS (SELECT *, {lagged('close')} AS pc FROM best) SELECT security_id, max(effective_date) AS last_date, arg_max(close, effective_date) AS last_close, round(arg_max(close, effective_date) / arg_max(pc, effective_date) - 1, 6) AS change_pct,
     round(max(high), 6) AS max_high, round(min(low), 6) AS min_low, count(*) AS n_bars FROM x GROUP BY 1""")
 def price_summary(spark, sf_dir):
     got = panels.price_summary(best(spark, sf_dir), AS_OF)
@@ -180,7 +180,7 @@ def payloads(spark, sf_dir):
     return p.withColumns({"source_id": F.lit("eodhd"), "source_fetch_id": F.sha2("subject", 256), "ingestion_run_id": F.lit("run"), "content_hash": archive.content_hash(F.col("body")), "available_at": F.lit("1998-01-01").cast("timestamp")})
 
 
-@query("SELECT concat('sec_', CAST(user_id AS STRING)) AS security_id, CAST(ts AS DATE) AS effective_date, round(value, 6) AS close, round(value + 1, 6) AS high, event_id AS volume FROM events")
+@query("SELECT concat('sec_', CAST(user_id AS STRING)) AS security_id, CAST(ts AS DATE) AS effective_date, value AS close, value + 1 AS high, event_id AS volume FROM events")
 def normalized_bars(spark, sf_dir):
     got = normalize.normalizer("lake_bars", "eodhd")(payloads(spark, sf_dir))
     return rounded(got.select("security_id", "effective_date", "close", "high", "volume"))
@@ -197,7 +197,7 @@ def archived_payloads(spark, sf_dir):
     return stored.agg(F.count("*").alias("n_bodies")).crossJoin(back.agg(F.count("*").alias("n"))).crossJoin(again.agg(F.count("*").alias("n_new_again"))).select("n_bodies", (F.col("n") == F.col("n_bodies")).alias("all_read_back"), "n_new_again")
 
 
-@query("SELECT concat('sec_', CAST(user_id AS STRING)) AS security_id, CAST(ts AS DATE) AS effective_date, round(arg_min(value, (ts, event_id)), 6) AS open, round(max(value), 6) AS high, round(min(value), 6) AS low, round(arg_max(value, (ts, event_id)), 6) AS close, count(*) AS volume FROM events GROUP BY 1, 2")
+@query("SELECT concat('sec_', CAST(user_id AS STRING)) AS security_id, CAST(ts AS DATE) AS effective_date, arg_min(value, (ts, event_id)) AS open, max(value) AS high, min(value) AS low, arg_max(value, (ts, event_id)) AS close, count(*) AS volume FROM events GROUP BY 1, 2")
 def streamed_daily_bars(spark, sf_dir):
     """Daily bars from the events read as a stream, all of it, with the state's last days flushed by a
     batch over the same plan where the watermark keeps them open."""

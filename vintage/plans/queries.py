@@ -29,8 +29,12 @@ def query(sql: str | None = None):
     return add
 
 
+#: Columns that both engines get by equal operations on equal inputs: exact, so they aren't rounded.
+EXACT = ("open", "high", "low", "close", "raw_close", "true_range", "pivot_high", "last_close")
+
+
 def rounded(df: DataFrame, places: int = 6) -> DataFrame:
-    return df.select(*[F.round(finite(c), places).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
+    return df.select(*[F.round(finite(c), places).alias(c) if t == "double" and c not in EXACT else F.col(c) for c, t in df.dtypes])
 
 
 def best(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -43,7 +47,7 @@ BARS = f"WITH bars AS ({views.BARS_SQL})"
 BEST = f"""{BARS}, best AS (SELECT * EXCLUDE (n) FROM (
     SELECT *, row_number() OVER (PARTITION BY security_id, effective_date ORDER BY {PRIORITY}, available_at DESC, source_id) AS n
     FROM bars WHERE available_at <= TIMESTAMP '{AS_OF}' AND effective_date <= CAST(TIMESTAMP '{AS_OF}' AS DATE)) WHERE n = 1)"""
-PRICES = ", ".join(f"round({c}, 6) AS {c}" for c in ("open", "high", "low", "close"))
+PRICES = "open, high, low, close"
 
 
 def roll(agg: str, c: str, n: int) -> str:
@@ -55,7 +59,7 @@ def lagged(c: str, n: int = 1) -> str:
     return f"lag({c}, {n}) OVER ({W})"
 
 
-@query(f"{BEST} SELECT security_id, effective_date, round(close, 6) AS close, round({roll('avg', 'close', 20)}, 6) AS sma_20 FROM best")
+@query(f"{BEST} SELECT security_id, effective_date, close, round({roll('avg', 'close', 20)}, 6) AS sma_20 FROM best")
 def bars_asof_sma(spark, sf_dir):
     return rounded(best(spark, sf_dir).select("security_id", "effective_date", "close", indicators.sma(20).alias("sma_20")))
 
@@ -65,7 +69,7 @@ def bars_asof(spark, sf_dir):
     return rounded(best(spark, sf_dir).select("security_id", "effective_date", "source_id", "available_at", "open", "high", "low", "close", "volume"))
 
 
-@query(f"{BEST} SELECT security_id, effective_date, round(close, 6) AS close FROM best WHERE security_id IN ('sec_1', 'sec_2', 'sec_3') AND effective_date BETWEEN DATE '1996-01-01' AND DATE '1996-12-31'")
+@query(f"{BEST} SELECT security_id, effective_date, close FROM best WHERE security_id IN ('sec_1', 'sec_2', 'sec_3') AND effective_date BETWEEN DATE '1996-01-01' AND DATE '1996-12-31'")
 def bars_asof_range(spark, sf_dir):
     got = pit.bars_asof(views.bars(spark, sf_dir), AS_OF, views.priorities(spark), ids=["sec_1", "sec_2", "sec_3"], start="1996-01-01", end="1996-12-31")
     return rounded(pit.project(got, ["security_id", "effective_date", "close", "no_such_column"]))
@@ -76,7 +80,7 @@ SPLIT_CTE = f""", sp AS ({views.SPLITS_SQL}), f AS (SELECT security_id, max(fact
     FROM sp WHERE available_at <= TIMESTAMP '{AS_OF}') GROUP BY 1)"""
 
 
-@query(f"""{BEST}{SPLIT_CTE} SELECT b.security_id, effective_date, round(close, 6) AS raw_close, CAST(round(volume * coalesce(factor, 1.0), 0) AS BIGINT) AS volume,
+@query(f"""{BEST}{SPLIT_CTE} SELECT b.security_id, effective_date, close AS raw_close, CAST(round(volume * coalesce(factor, 1.0), 0) AS BIGINT) AS volume,
     round(coalesce(factor, 1.0), 6) AS adjustment_factor, TRUE AS close_agrees FROM best b LEFT JOIN f ON b.security_id = f.security_id""")
 def bars_adjusted(spark, sf_dir):
     """Prices are rounded to four places by the operator, ties one way or the other by engine, so the check
@@ -98,7 +102,7 @@ def bars_adjusted_ex_date(spark, sf_dir):
 SPINE = "spine AS (SELECT concat('sec_', CAST(s_suppkey AS STRING)) AS security_id, CAST(d AS DATE) AS effective_date, CAST(d AS TIMESTAMP) + INTERVAL 2 DAY AS as_of FROM supplier, generate_series(TIMESTAMP '1997-01-03', TIMESTAMP '1997-12-26', INTERVAL 7 DAY) t(d))"
 
 
-@query(f"""{BEST}, {SPINE} SELECT s.security_id, s.effective_date, b.effective_date AS bar_date, round(b.close, 6) AS close
+@query(f"""{BEST}, {SPINE} SELECT s.security_id, s.effective_date, b.effective_date AS bar_date, b.close AS close
     FROM spine s ASOF JOIN best b ON s.security_id = b.security_id AND s.effective_date >= b.effective_date""")
 def panel(spark, sf_dir):
     got = pit.read_panel(views.bars(spark, sf_dir), views.spine(spark, sf_dir), AS_OF, views.priorities(spark))
@@ -108,31 +112,31 @@ def panel(spark, sf_dir):
 @query(f"""{BARS}, {SPINE}, j AS (SELECT s.security_id, s.effective_date, s.as_of, b.effective_date AS bar_date, b.source_id, b.close,
     row_number() OVER (PARTITION BY s.security_id, s.effective_date, s.as_of ORDER BY CASE b.source_id WHEN 'src_n' THEN 0 WHEN 'src_a' THEN 1 ELSE 999 END, b.available_at DESC, b.effective_date DESC, b.source_id DESC) AS n
     FROM spine s LEFT JOIN bars b ON s.security_id = b.security_id AND b.effective_date <= s.effective_date AND b.available_at <= s.as_of)
-    SELECT security_id, effective_date, as_of, bar_date, source_id, round(close, 6) AS close FROM j WHERE n = 1""")
+    SELECT security_id, effective_date, as_of, bar_date, source_id, close FROM j WHERE n = 1""")
 def asof_join(spark, sf_dir):
     got = pit.read_asof_join(views.bars(spark, sf_dir), views.spine(spark, sf_dir), views.priorities(spark))
     return rounded(got.select("security_id", "effective_date", "as_of", "bar_date", "source_id", "close"))
 
 
-@query(f"""{BARS}, {SPINE} SELECT s.security_id, s.effective_date, s.as_of, b.source_id, round(b.close, 6) AS close
+@query(f"""{BARS}, {SPINE} SELECT s.security_id, s.effective_date, s.as_of, b.source_id, b.close AS close
     FROM spine s LEFT JOIN bars b ON s.security_id = b.security_id AND b.effective_date = s.effective_date AND b.available_at <= s.as_of""")
 def spine_join(spark, sf_dir):
     return rounded(pit.read_spine_join(views.bars(spark, sf_dir), views.spine(spark, sf_dir)).select("security_id", "effective_date", "as_of", "source_id", "close"))
 
 
-def _indicator_query(name: str, columns: dict[str, str], cte: str = "") -> None:
+def _indicator_query(name: str, columns: dict[str, str], places: int = 6) -> None:
     """A query of some finite-window indicators, each checked by its own SQL."""
 
     def run(spark, sf_dir):
-        return rounded(indicators.finite_indicators(best(spark, sf_dir)).select("security_id", "effective_date", *columns))
+        return rounded(indicators.finite_indicators(best(spark, sf_dir)).select("security_id", "effective_date", *columns), places)
 
     run.__name__ = name
     QUERIES[name] = run
-    body = ", ".join(f"{sql if sql.startswith('!') is False else sql[1:]} AS {c}" if sql.startswith("!") else f"round({sql}, 6) AS {c}" for c, sql in columns.items())
+    body = ", ".join(f"{sql[1:]} AS {c}" if sql.startswith("!") else f"round({sql}, {places}) AS {c}" for c, sql in columns.items())  # !: exact
     ORACLE_SQL[name] = f"""{BEST}, b0 AS (SELECT *, CAST(volume AS DOUBLE) AS v, row_number() OVER ({W}) AS rn, {lagged('close')} AS pc, {lagged('high')} AS ph, {lagged('low')} AS pl, (high + low + close) / 3 AS tp FROM best),
         b AS (SELECT *, close - pc AS ch, greatest(high - low, abs(high - pc), abs(low - pc)) AS tr, ln(close / pc) AS lr,
-        CASE WHEN close > pc THEN close - pc WHEN pc IS NOT NULL THEN 0.0 END AS gain, CASE WHEN close < pc THEN pc - close WHEN pc IS NOT NULL THEN 0.0 END AS loss FROM b0){cte}
-        SELECT security_id, effective_date, {body} FROM {'b' if not cte else 'c'}"""
+        CASE WHEN close > pc THEN close - pc WHEN pc IS NOT NULL THEN 0.0 END AS gain, CASE WHEN close < pc THEN pc - close WHEN pc IS NOT NULL THEN 0.0 END AS loss FROM b0)
+        SELECT security_id, effective_date, {body} FROM b"""
 
 
 _s20, _sd20 = roll("avg", "close", 20), roll("stddev_samp", "close", 20)
@@ -158,11 +162,11 @@ _indicator_query("indicators_momentum", {
 _indicator_query("indicators_volume", {
     "obv": f"sum(CASE WHEN pc IS NULL OR ch > 0 THEN v WHEN ch < 0 THEN -v ELSE 0 END) OVER ({W})", "vwap": f"sum(tp * v) OVER ({W}) / sum(v) OVER ({W})", "rvol": f"v / {roll('avg', 'v', 20)}",
     "avg_dollar_volume_20": roll("avg", "close * v", 20), "vpt": f"sum((close / pc - 1) * v) OVER ({W})", "volume_spike": f"!(v / {roll('avg', 'v', 20)} > 2.5) OR (v > {roll('avg', 'v', 20)} + 2.5 * coalesce({roll('stddev_samp', 'v', 20)}, 1.0))",
-})
+}, places=2)
 _indicator_query("indicators_volatility", {
-    "true_range": "tr", "atr_14": roll("avg", "tr", 14), "atr_pct": f"{roll('avg', 'tr', 14)} / close * 100", "range_expansion": f"tr / {roll('avg', 'tr', 14)}",
+    "true_range": "!tr", "atr_14": roll("avg", "tr", 14), "atr_pct": f"{roll('avg', 'tr', 14)} / close * 100", "range_expansion": f"tr / {roll('avg', 'tr', 14)}",
     "chop_14": f"CASE WHEN {_hl} IS NULL THEN 0.0 ELSE 100 * log10({roll('avg', 'tr', 14)} * 14 / {_hl}) / log10(14) END",
-    "pivot_high": f"CASE WHEN count(high) OVER ({W} ROWS BETWEEN 5 PRECEDING AND 5 FOLLOWING) = 11 AND high = max(high) OVER ({W} ROWS BETWEEN 5 PRECEDING AND 5 FOLLOWING) THEN high END",
+    "pivot_high": f"!CASE WHEN count(high) OVER ({W} ROWS BETWEEN 5 PRECEDING AND 5 FOLLOWING) = 11 AND high = max(high) OVER ({W} ROWS BETWEEN 5 PRECEDING AND 5 FOLLOWING) THEN high END",
 })
 
 
