@@ -253,7 +253,7 @@ def test_token_attribution_rules():
     assert token_counts.paragraph_ends("a\n\nb\nc\n\n\nd").tolist() == [3, 9, 10]
 
 
-def test_sentencepiece_round_trip(docs, rows, empty):
+def test_sentencepiece_round_trip(docs, rows, empty, monkeypatch):
     with open(piece_model(), "rb") as f:
         sp = sentencepiece_codec.load(f.read())
     got = sentencepiece_codec.encoded(docs, piece_model(), outputs=("n_tokens", "ids", "decoded", "ids_sha256", "decoded_sha256"))
@@ -266,6 +266,20 @@ def test_sentencepiece_round_trip(docs, rows, empty):
     again = sentencepiece_codec.decoded(got.select("doc_id", "ids"), piece_model()).collect()
     assert all(r.text == texts[r.doc_id] for r in again if not texts[r.doc_id].startswith(" "))
     assert sentencepiece_codec.encoded(empty, piece_model()).count() == 0
+    # most chunks beyond the broadcast: the same ids
+    monkeypatch.setattr(sentencepiece_codec, "TABLE", 3)
+    few = sentencepiece_codec.encoded(docs, piece_model(), outputs=("n_tokens", "ids", "decoded", "ids_sha256", "decoded_sha256"))
+    assert sorted(map(str, few.collect())) == sorted(map(str, got.collect()))
+
+
+def test_distinct_chunks_are_counted_once(spark):
+    docs = spark.createDataFrame([("a b a",), ("b  b",), (None,), ("",), ("x" * 100 + " a",)], "text string")
+    with open(piece_model(), "rb") as f:
+        model = f.read()
+    table = sentencepiece_codec.chunk_table(docs.repartition(3), spark.sparkContext.broadcast(model)).collect()
+    sp = sentencepiece_codec.load(model)
+    assert {r.chunk: r.n for r in table} == {"a": 3, "b": 2, " b": 1} and len(table) == 3
+    assert all(r.ids == sp.encode(r.chunk) and r.digits == ",".join(map(str, r.ids)) for r in table)
 
 
 def test_chunks_equal_the_library():

@@ -2,11 +2,15 @@
 
 With a vocabulary whose pieces hold whitespace markers only at their start, no merge crosses from one
 marked word into the next, so a text is the concatenation of its chunks (one or more markers and what
-follows up to the next marker). Each task keeps a table of the chunks it has met: a chunk is segmented
-by the library once, and a text's ids are gathered from the table by the positions of its chunks. A
-table that reaches ``CHUNKS`` entries is started anew, so memory is bounded whatever the corpus holds.
-The table lives in the task and not in a Spark table: joining every word occurrence back by a shuffle
-would move several times the input (see README).
+follows up to the next marker). A first pass counts the chunks, partially in each task, and groups them;
+every distinct chunk is then segmented by the library once (``chunk_table``). Ids are joined back by
+position: the second pass looks the chunks of each text up, in order, in a broadcast of the ``TABLE`` most
+frequent entries, whose size is bounded by that number of chunks of up to ``LONGEST`` characters.
+
+A chunk beyond the broadcast, rare or long, is segmented by the task that meets it, once while it stays in
+the task's own table; that table is started anew at ``CHUNKS`` entries or ``HELD`` characters, so memory is
+bounded whatever the corpus holds, and the ids are the same either way. A shuffle join of all word
+occurrences would move several times the input (see README).
 
 If the model doesn't allow chunks (a piece crosses a marker, a normaliser other than identity, suffix
 markers, whitespace removal, user-defined symbols), whole texts go through the library instead. Null
@@ -17,16 +21,21 @@ from __future__ import annotations
 
 import hashlib
 import re
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import pieces
+from .shared import pieces, settle
 
 MARK = "▁"
-CHUNKS = 400_000
+TABLE = 200_000  # entries of the broadcast part of the table
+LONGEST = 64  # characters of a chunk in it
+CHUNKS = 200_000  # entries of a task's own table
+HELD = 32 << 20  # characters of its chunks
 
 
 def load(model: bytes):
@@ -52,18 +61,21 @@ class ChunkTable:
     """Distinct chunks and what the library makes of them. A chunk's key is the string that, after the
     library's dummy prefix, gives the chunk: its markers but one, as spaces, and the rest."""
 
-    def __init__(self, model: bytes, most: int = CHUNKS):
-        self.sp, self.most = load(model), most
+    def __init__(self, model: bytes, most: int = CHUNKS, known: tuple = ((), (), (), ())):
+        self.sp, self.most, self.known = load(model), most, known
         self.whole = not chunkable(model)
         self.lead = self.sp.encode("a")
         self.lead_len = len(self.sp.decode(self.lead))
         self.clear()
 
     def clear(self) -> None:
-        self.at: dict[str, int] = {}
-        self.ids: list[list[int]] = []
-        self.digits: list[str] = []
-        self.inner: list[str] = []  # decoded, as it reads behind other chunks
+        """Back to the known entries: chunks, ids, digits and inner texts."""
+        chunks, ids, digits, inner = self.known
+        self.at: dict[str, int] = {c: k for k, c in enumerate(chunks)}
+        self.ids: list[list[int]] = list(ids)
+        self.digits: list[str] = list(digits)
+        self.inner: list[str] = list(inner)  # decoded, as it reads behind other chunks
+        self.held = 0
 
     def keys(self, text: str) -> list[str]:
         if not text:
@@ -80,11 +92,12 @@ class ChunkTable:
         self.digits.append(",".join(map(str, ids)))
         self.inner.append(self.sp.decode(self.lead + ids)[self.lead_len :] if not self.whole else "")
         self.at[key] = k = len(self.ids) - 1
+        self.held += len(key)
         return k
 
     def encode(self, text: str) -> list[int]:
         """Positions in the table, chunk by chunk."""
-        if len(self.at) >= self.most:
+        if len(self.at) >= len(self.known[0]) + self.most or self.held >= HELD:
             self.clear()
         at, add = self.at, self.add
         return [at[k] if k in at else add(k) for k in self.keys(text)]
@@ -96,6 +109,39 @@ class ChunkTable:
         return first + "".join([inner[c] for c in chunks[1:]])
 
 
+def chunk_table(docs: DataFrame, model, text_col: str = "text") -> DataFrame:
+    """Every distinct chunk of up to LONGEST characters in ``docs``, segmented once: chunk, n (its
+    occurrences), ids, digits (ids as text) and inner (how it reads behind other chunks). model: a
+    broadcast of the model's bytes. Empty if the model doesn't allow chunks."""
+
+    def count(batches):
+        table, seen = ChunkTable(model.value), Counter()
+        for batch in batches:
+            for part in pieces(batch, "text"):
+                for text in part.column(0).to_pylist():
+                    if text and not table.whole:
+                        seen.update(table.keys(text))
+                    if len(seen) >= CHUNKS or len(text or "") >= HELD:
+                        yield told(seen)
+                        seen = Counter()
+        yield told(seen)
+
+    def told(seen):
+        kept = {c: n for c, n in seen.items() if len(c) <= LONGEST}
+        return pa.RecordBatch.from_arrays([pa.array(kept.keys(), pa.string()), pa.array(kept.values(), pa.int64())], ["chunk", "n"])
+
+    def segment(batches):
+        table = ChunkTable(model.value)
+        for batch in batches:
+            table.clear()
+            for chunk in batch.column(0).to_pylist():
+                table.add(chunk)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(table.ids, pa.list_(pa.int32())), pa.array(table.digits, pa.string()), pa.array(table.inner, pa.string())], ["chunk", "n", "ids", "digits", "inner"])
+
+    counts = docs.select(F.col(text_col).cast("string").alias("text")).mapInArrow(count, "chunk string, n long")
+    return counts.groupBy("chunk").agg(F.sum("n").alias("n")).mapInArrow(segment, "chunk string, n long, ids array<int>, digits string, inner string")
+
+
 def encoded(docs: DataFrame, model_file: str, text_col: str = "text", outputs: tuple[str, ...] = ("n_tokens", "ids"), carry: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """The ``carry`` columns of ``docs`` and, as asked for, n_tokens, ids (array<int>), decoded,
     ids_sha256 (of the decimal ids, comma-joined) and decoded_sha256, from every whole text."""
@@ -103,9 +149,12 @@ def encoded(docs: DataFrame, model_file: str, text_col: str = "text", outputs: t
         model = docs.sparkSession.sparkContext.broadcast(f.read())
     kinds = {"n_tokens": (T.LongType(), pa.int64()), "ids": (T.ArrayType(T.IntegerType()), pa.list_(pa.int32())), "decoded": (T.StringType(), pa.string()), "ids_sha256": (T.StringType(), pa.string()), "decoded_sha256": (T.StringType(), pa.string())}
     source = docs.select(*carry, *[text_col] * (text_col not in carry))
+    chunks = settle(chunk_table(docs, model, text_col), "piece-chunks")
+    often = chunks.orderBy(F.desc("n"), "chunk").limit(TABLE).toArrow()
+    known = docs.sparkSession.sparkContext.broadcast(tuple(often[c].to_pylist() for c in ("chunk", "ids", "digits", "inner")))
 
     def run(batches):
-        table = ChunkTable(model.value)
+        table = ChunkTable(model.value, known=known.value)
         for batch in batches:
             for part in pieces(batch, text_col):
                 out = {k: [] for k in outputs}
