@@ -4,8 +4,8 @@ With a vocabulary whose pieces hold whitespace markers only at their start, no m
 marked word into the next, so a text is the concatenation of its chunks (one or more markers and what
 follows up to the next marker). A first pass counts the chunks, partially in each task, and groups them;
 every distinct chunk is then segmented by the library once (``chunk_table``). Ids are joined back by
-position: the second pass looks the chunks of each text up, in order, in a broadcast of the ``TABLE`` most
-frequent entries, whose size is bounded by that number of chunks of up to ``LONGEST`` characters.
+position: the second pass looks the chunks of each text up, in order, in a broadcast of at most ``TABLE`` of
+the most frequent entries, whose size is bounded by that number of chunks of up to ``LONGEST`` characters.
 
 A chunk beyond the broadcast, rare or long, is segmented by the task that meets it, once while it stays in
 the task's own table; that table is started anew at ``CHUNKS`` entries or ``HELD`` characters, so memory is
@@ -142,6 +142,21 @@ def chunk_table(docs: DataFrame, model, text_col: str = "text") -> DataFrame:
     return counts.groupBy("chunk").agg(F.sum("n").alias("n")).mapInArrow(segment, "chunk string, n long, ids array<int>, digits string, inner string")
 
 
+def frequent(chunks: DataFrame, most: int | None = None) -> DataFrame:
+    """The most frequent entries of a settled chunk table, ``most`` (TABLE) at most: those above a count
+    that a histogram of counts gives (16 bins an octave, so some thousand rows whatever the corpus holds).
+    No sort, and no task reads more than its part of the table."""
+    most = TABLE if most is None else most
+    bin_of = F.floor(F.log2("n") * 16)
+    taken, least = 0, None
+    for r in sorted(chunks.groupBy(bin_of.alias("bin")).count().collect(), key=lambda r: -r.bin):
+        taken += r["count"]
+        if taken > most:
+            break
+        least = r.bin
+    return chunks.filter(F.lit(False) if least is None else bin_of >= least)
+
+
 def encoded(docs: DataFrame, model_file: str, text_col: str = "text", outputs: tuple[str, ...] = ("n_tokens", "ids"), carry: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """The ``carry`` columns of ``docs`` and, as asked for, n_tokens, ids (array<int>), decoded,
     ids_sha256 (of the decimal ids, comma-joined) and decoded_sha256, from every whole text."""
@@ -150,7 +165,7 @@ def encoded(docs: DataFrame, model_file: str, text_col: str = "text", outputs: t
     kinds = {"n_tokens": (T.LongType(), pa.int64()), "ids": (T.ArrayType(T.IntegerType()), pa.list_(pa.int32())), "decoded": (T.StringType(), pa.string()), "ids_sha256": (T.StringType(), pa.string()), "decoded_sha256": (T.StringType(), pa.string())}
     source = docs.select(*carry, *[text_col] * (text_col not in carry))
     chunks = settle(chunk_table(docs, model, text_col), "piece-chunks")
-    often = chunks.orderBy(F.desc("n"), "chunk").limit(TABLE).toArrow()
+    often = frequent(chunks).toArrow()
     known = docs.sparkSession.sparkContext.broadcast(tuple(often[c].to_pylist() for c in ("chunk", "ids", "digits", "inner")))
 
     def run(batches):
