@@ -132,7 +132,7 @@ def _indicator_query(name: str, columns: dict[str, str], places: int = 6) -> Non
 
     run.__name__ = name
     QUERIES[name] = run
-    body = ", ".join(f"{sql[1:]} AS {c}" if sql.startswith("!") else f"round({sql}, {places}) AS {c}" for c, sql in columns.items())  # !: exact
+    body = ", ".join(f"{sql[1:]} AS {c}" if sql.startswith("!") else f"round({sql}, {places}) + 0.0::DOUBLE AS {c}" for c, sql in columns.items())  # !: exact; + 0.0: no negative zero
     ORACLE_SQL[name] = f"""{BEST}, b0 AS (SELECT *, CAST(volume AS DOUBLE) AS v, row_number() OVER ({W}) AS rn, {lagged('close')} AS pc, {lagged('high')} AS ph, {lagged('low')} AS pl, (high + low + close) / 3 AS tp FROM best),
         b AS (SELECT *, close - pc AS ch, greatest(high - low, abs(high - pc), abs(low - pc)) AS tr, ln(close / pc) AS lr,
         CASE WHEN close > pc THEN close - pc WHEN pc IS NOT NULL THEN 0.0 END AS gain, CASE WHEN close < pc THEN pc - close WHEN pc IS NOT NULL THEN 0.0 END AS loss FROM b0)
