@@ -6,6 +6,7 @@ import re
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from vintage.llm import exact_dedup, mixing, ngram_join, quality_crf, secret_scan, sentencepiece_codec, suffix_dedup, token_counts
@@ -326,3 +327,21 @@ def test_quality_learns_and_scores_every_text(spark, docs, rows, empty):
     plain = quality_crf.train(empty, labels)
     assert {r.score for r in quality_crf.with_score(docs, plain).collect()} == {0.5}
     assert quality_crf.with_score(empty, model).count() == 0
+
+
+def test_columns_of_texts_equal_the_library():
+    with open(piece_model(), "rb") as f:
+        table = sentencepiece_codec.ChunkTable(f.read(), most=50)
+    rng = random.Random(3)
+    parts = [" ", "▁", "  ", "a", "the", "é", "\n", "\0", "　", "😀", "<s>", "<unk>", "<0x0A>", "ing", "日本", " a"]
+    texts = [None, "", "a", *("".join(rng.choice(parts) for _ in range(rng.randint(0, 9))) for _ in range(3000))]
+    for lo in range(0, len(texts), 400):
+        some = texts[lo : lo + 400]
+        got = table.outputs(pa.array(some, pa.string()), ("n_tokens", "ids", "ids_sha256", "decoded", "decoded_sha256"))
+        for k, t in enumerate(some):
+            ids = table.sp.encode(t or "")
+            back = table.sp.decode(ids)
+            assert got["ids"][k].as_py() == ids and got["n_tokens"][k].as_py() == len(ids) and got["decoded"][k].as_py() == back
+            assert got["ids_sha256"][k].as_py() == hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest()
+            assert got["decoded_sha256"][k].as_py() == hashlib.sha256(back.encode()).hexdigest()
+    assert all(not len(v) for v in table.outputs(pa.array([], pa.string()), ("n_tokens", "ids", "decoded")).values())

@@ -21,10 +21,10 @@ from __future__ import annotations
 
 import hashlib
 import re
-from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -35,6 +35,7 @@ MARK = "▁"
 TABLE = 200_000  # entries of the broadcast part of the table
 LONGEST = 64  # characters of a chunk in it
 CHUNKS = 200_000  # entries of a task's own table
+COUNTED = 1_000_000  # rows of counts that a task holds
 HELD = 32 << 20  # characters of its chunks
 
 
@@ -66,6 +67,8 @@ class ChunkTable:
         self.whole = not chunkable(model)
         self.lead = self.sp.encode("a")
         self.lead_len = len(self.sp.decode(self.lead))
+        #: ids whose decoding isn't the piece's own text
+        self.odd = {k for k in range(self.sp.get_piece_size()) if self.sp.is_unknown(k) or self.sp.is_control(k) or self.sp.is_byte(k) or self.sp.is_unused(k)}
         self.clear()
 
     def clear(self) -> None:
@@ -82,31 +85,96 @@ class ChunkTable:
             return []
         if self.whole:
             return [text]
-        if MARK not in text and "  " not in text and text[0] != " " and text[-1] != " ":
-            return text.split(" ")
         return [c[1:].replace(MARK, " ") for c in re.findall(f"{MARK}+[^{MARK}]*", MARK + text.replace(" ", MARK))]
 
-    def add(self, key: str) -> int:
-        ids = self.sp.encode(key) if key else [self.sp.piece_to_id(MARK)]
-        self.ids.append(ids)
-        self.digits.append(",".join(map(str, ids)))
-        self.inner.append(self.sp.decode(self.lead + ids)[self.lead_len :] if not self.whole else "")
-        self.at[key] = k = len(self.ids) - 1
-        self.held += len(key)
-        return k
+    def split(self, texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+        """All keys of ``texts`` in a row, how many each text has, and the order of the texts in both:
+        first those that one split at single spaces does, then the others."""
+        texts = texts.cast(pa.large_string()).fill_null("")
+        odd = np.ones(len(texts), bool)
+        if not self.whole:
+            found = [pc.equal(texts, ""), pc.starts_with(texts, " "), pc.ends_with(texts, " "), pc.match_substring(texts, "  "), pc.match_substring(texts, MARK)]
+            odd = np.logical_or.reduce([x.to_numpy(zero_copy_only=False) for x in found])
+        plain = pc.split_pattern(texts.filter(pa.array(~odd)), " ")
+        others = [self.keys(t) for t in texts.filter(pa.array(odd)).to_pylist()]
+        flat = pa.concat_arrays([plain.flatten(), pa.array([k for keys in others for k in keys], pa.large_string())])
+        sizes = np.concatenate([pc.list_value_length(plain).to_numpy(zero_copy_only=False).astype(np.int64), np.array([len(k) for k in others], np.int64)])
+        return flat, sizes, np.concatenate([np.flatnonzero(~odd), np.flatnonzero(odd)])
+
+    def add(self, keys: list[str]) -> None:
+        """Segment new keys, which must be distinct."""
+        mark = [self.sp.piece_to_id(MARK)]
+        many = [ids if key else mark for key, ids in zip(keys, self.sp.encode(keys, num_threads=1))]
+        self.at.update(zip(keys, range(len(self.ids), len(self.ids) + len(keys))))
+        self.ids += many
+        self.digits += [",".join(map(str, ids)) for ids in many]
+        if self.whole:
+            self.inner += [""] * len(keys)
+        else:
+            plain = self.odd.isdisjoint
+            read = iter(self.decoded([self.lead + ids for ids in many if not plain(ids)]))
+            self.inner += [" " + key if plain(ids) else next(read)[self.lead_len :] for key, ids in zip(keys, many)]
+        self.held += sum(map(len, keys))
+
+    def decoded(self, many: list[list[int]]) -> list[str]:
+        return self.sp.decode(many, num_threads=1) if many else []
+
+    def places(self, flat: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Positions in the table of the distinct keys in ``flat``, and for each key of ``flat`` which of
+        them it is. Starts the table anew first when it has grown too large."""
+        if len(self.at) >= len(self.known[0]) + self.most or self.held >= HELD:
+            self.clear()
+        coded = flat.dictionary_encode()
+        distinct, at = coded.dictionary.to_pylist(), self.at
+        self.add([k for k in distinct if k not in at])
+        return np.array([at[k] for k in distinct], np.int64), coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+
+
+    def outputs(self, texts: pa.Array, wanted: tuple[str, ...]) -> dict[str, pa.Array]:
+        """The ``wanted`` columns for ``texts``: ids, digits and decoded chunks are looked up once for each
+        distinct key and put in place by position."""
+        flat, sizes, order = self.split(texts)
+        distinct, which = self.places(flat)
+        bounds = np.concatenate([[0], np.cumsum(sizes)])
+        ids, out = [self.ids[k] for k in distinct], {}
+        upto = np.concatenate([[0], np.cumsum(np.fromiter(map(len, ids), np.int64, len(ids))[which])])[bounds]
+        out["n_tokens"] = pa.array(np.diff(upto))
+        if "ids" in wanted:
+            in_place = pa.array(ids, pa.large_list(pa.int32())).take(pa.array(which)).flatten()
+            out["ids"] = pa.LargeListArray.from_arrays(pa.array(upto), in_place)
+        if "ids_sha256" in wanted:
+            out["ids_sha256"] = hashed(joined([self.digits[k] for k in distinct], which, bounds, ","))
+        if "decoded" in wanted or "decoded_sha256" in wanted:
+            opens = np.diff(bounds) > 0
+            first = bounds[:-1][opens]
+            heads = np.full(len(opens), "", object)
+            heads[opens] = self.decoded([ids[k] for k in which[first]])
+            tails = joined([self.inner[k] for k in distinct], np.delete(which, first), bounds - np.concatenate([[0], np.cumsum(opens)]), "")
+            out["decoded"] = pc.binary_join_element_wise(pa.array(heads, pa.large_string()), tails, pa.scalar("", pa.large_string()))
+            if "decoded_sha256" in wanted:
+                out["decoded_sha256"] = hashed(out["decoded"])
+        back = pa.array(np.argsort(order))
+        return {k: out[k].take(back) for k in wanted}
 
     def encode(self, text: str) -> list[int]:
         """Positions in the table, chunk by chunk."""
-        if len(self.at) >= len(self.known[0]) + self.most or self.held >= HELD:
-            self.clear()
-        at, add = self.at, self.add
-        return [at[k] if k in at else add(k) for k in self.keys(text)]
+        distinct, which = self.places(self.split(pa.array([text], pa.string()))[0])
+        return distinct[which].tolist()
 
     def decode(self, chunks: list[int]) -> str:
         if not chunks:
             return ""
-        first, inner = self.sp.decode(self.ids[chunks[0]]), self.inner
-        return first + "".join([inner[c] for c in chunks[1:]])
+        return self.sp.decode(self.ids[chunks[0]]) + "".join([self.inner[c] for c in chunks[1:]])
+
+
+def joined(values: list[str], which: np.ndarray, bounds: np.ndarray, by: str) -> pa.Array:
+    """``values[which]``, joined between each two ``bounds``."""
+    flat = pa.array(values, pa.large_string()).take(pa.array(which))
+    return pc.binary_join(pa.LargeListArray.from_arrays(pa.array(bounds), flat), pa.scalar(by, pa.large_string()))
+
+
+def hashed(texts: pa.Array) -> pa.Array:
+    return pa.array([hashlib.sha256(x.as_buffer()).hexdigest() for x in texts.cast(pa.large_binary())], pa.string())
 
 
 def chunk_table(docs: DataFrame, model, text_col: str = "text") -> DataFrame:
@@ -115,27 +183,35 @@ def chunk_table(docs: DataFrame, model, text_col: str = "text") -> DataFrame:
     broadcast of the model's bytes. Empty if the model doesn't allow chunks."""
 
     def count(batches):
-        table, seen = ChunkTable(model.value), Counter()
+        table, seen, rows = ChunkTable(model.value), [], 0
         for batch in batches:
             for part in pieces(batch, "text"):
-                for text in part.column(0).to_pylist():
-                    if text and not table.whole:
-                        seen.update(table.keys(text))
-                    if len(seen) >= CHUNKS or len(text or "") >= HELD:
-                        yield told(seen)
-                        seen = Counter()
-        yield told(seen)
+                if table.whole:
+                    continue
+                flat = table.split(part.column(0))[0]
+                n = flat.filter(pc.less_equal(pc.utf8_length(flat), LONGEST)).value_counts()
+                seen.append(pa.table([n.field(0), n.field(1)], ["chunk", "n"]))
+                rows += len(n)
+                if rows >= COUNTED:
+                    seen = [summed(seen)]
+                    rows = seen[0].num_rows
+                    if 2 * rows >= COUNTED:
+                        yield from told(seen)
+                        seen, rows = [], 0
+        if seen:
+            yield from told([summed(seen)])
+
+    def summed(seen):
+        return pa.concat_tables(seen).group_by("chunk", use_threads=False).aggregate([("n", "sum")]).rename_columns(["chunk", "n"])
 
     def told(seen):
-        kept = {c: n for c, n in seen.items() if len(c) <= LONGEST}
-        return pa.RecordBatch.from_arrays([pa.array(kept.keys(), pa.string()), pa.array(kept.values(), pa.int64())], ["chunk", "n"])
+        return seen[0].cast(pa.schema([("chunk", pa.string()), ("n", pa.int64())])).to_batches(max_chunksize=10_000)
 
     def segment(batches):
         table = ChunkTable(model.value)
         for batch in batches:
             table.clear()
-            for chunk in batch.column(0).to_pylist():
-                table.add(chunk)
+            table.add(batch.column(0).to_pylist())
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(table.ids, pa.list_(pa.int32())), pa.array(table.digits, pa.string()), pa.array(table.inner, pa.string())], ["chunk", "n", "ids", "digits", "inner"])
 
     counts = docs.select(F.col(text_col).cast("string").alias("text")).mapInArrow(count, "chunk string, n long")
@@ -172,25 +248,9 @@ def encoded(docs: DataFrame, model_file: str, text_col: str = "text", outputs: t
         table = ChunkTable(model.value, known=known.value)
         for batch in batches:
             for part in pieces(batch, text_col):
-                out = {k: [] for k in outputs}
-                for text in part.column(part.schema.get_field_index(text_col)).to_pylist():
-                    chunks = table.encode(text or "")
-                    if "n_tokens" in out:
-                        ids = table.ids
-                        out["n_tokens"].append(sum([len(ids[c]) for c in chunks]))
-                    if "ids" in out:
-                        out["ids"].append(np.fromiter((i for c in chunks for i in table.ids[c]), np.int32))
-                    if "ids_sha256" in out:
-                        digits = table.digits
-                        out["ids_sha256"].append(hashlib.sha256(",".join([digits[c] for c in chunks]).encode()).hexdigest())
-                    if "decoded" in out or "decoded_sha256" in out:
-                        back = table.decode(chunks)
-                        if "decoded" in out:
-                            out["decoded"].append(back)
-                        if "decoded_sha256" in out:
-                            out["decoded_sha256"].append(hashlib.sha256(back.encode()).hexdigest())
+                got = table.outputs(part.column(part.schema.get_field_index(text_col)), outputs)
                 cols = [part.column(part.schema.get_field_index(c)) for c in carry]
-                yield pa.RecordBatch.from_arrays([*cols, *[pa.array(out[k], kinds[k][1]) for k in outputs]], [*carry, *outputs])
+                yield pa.RecordBatch.from_arrays([*cols, *[got[k].cast(kinds[k][1]) for k in outputs]], [*carry, *outputs])
 
     return source.mapInArrow(run, T.StructType([*[source.schema[c] for c in carry], *[T.StructField(k, kinds[k][0]) for k in outputs]]))
 
