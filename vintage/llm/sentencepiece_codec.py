@@ -34,7 +34,7 @@ from .shared import pieces, settle
 MARK = "▁"
 TABLE = 200_000  # entries of the broadcast part of the table
 LONGEST = 64  # characters of a chunk in it
-CHUNKS = 200_000  # entries of a task's own table
+CHUNKS = 50_000  # entries of a task's own table
 COUNTED = 1_000_000  # rows of counts that a task holds
 PIECE = 1 << 20  # bytes of text whose chunks are looked up at once
 HELD = 32 << 20  # characters of its chunks
@@ -252,6 +252,7 @@ def encoded(docs: DataFrame, model_file: str, text_col: str = "text", outputs: t
                 got = table.outputs(part.column(part.schema.get_field_index(text_col)), outputs)
                 cols = [part.column(part.schema.get_field_index(c)) for c in carry]
                 yield pa.RecordBatch.from_arrays([*cols, *[got[k].cast(kinds[k][1]) for k in outputs]], [*carry, *outputs])
+            pa.default_memory_pool().release_unused()
 
     return source.mapInArrow(run, T.StructType([*[source.schema[c] for c in carry], *[T.StructField(k, kinds[k][0]) for k in outputs]]))
 
