@@ -156,6 +156,31 @@ def test_ngram_join_loses_no_link(docs, rows, empty, spark):
     assert sorted((r.doc_id or 0, r.class_id or 0, r.n_links) for r in nameless) == [(0, 0, 0), (1, 1, 0)]
 
 
+def degrees(texts):
+    """Links of each text by brute force."""
+    sets = [shingles(t) for t in texts]
+    return [sum(i != j and a != b and len(a & b) >= 0.8 * len(a | b) for j, b in enumerate(sets)) for i, a in enumerate(sets)]
+
+
+def test_ngram_join_counts_all_links_of_a_family(spark, monkeypatch):
+    rng = random.Random(8)
+    texts = []
+    for n in (20, 70):
+        base = words(rng, 200).split()
+        for _ in range(n):
+            w = list(base)
+            for k in rng.sample(range(200), 2):
+                w[k] = f"changed{rng.random()}"
+            texts.append(" ".join(w))
+    want = degrees(texts)
+    assert sum(want) > 4000
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for sets in (256, 15):  # in one block, and in several
+        monkeypatch.setattr(ngram_join, "SETS", sets, raising=False)
+        got = {r.doc_id: r.n_links for r in ngram_join.join(frame).collect()}
+        assert [got[i] for i in range(len(texts))] == want
+
+
 def test_ngram_tokens_estimate_similarity():
     rng = np.random.default_rng(1)
     close = []

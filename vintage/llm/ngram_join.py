@@ -13,10 +13,12 @@ of about ``LEAF`` by a hash of the set, each joined by the node's smallest set a
 nodes stay small.
 
 In a leaf, tokens estimate the similarity. An estimate within five standard deviations of the threshold
-is promising: a leaf of up to ``SMALL`` sets gives all its promising pairs, in a larger one each set is
-paired with the first and with the most similar promising set before it. Pairs are then
-checked exactly, on the shingles of whole texts, so no link is false. Links form the classes; in a big
-family they are a sparse web and not all pairs: ``n_links`` counts those of a document's text.
+is promising; sets that promising pairs connect are candidates of one another. Candidates are then
+checked exactly, on the shingles of whole texts and all pairs of them: a component of candidates is dealt
+into blocks of about ``SETS`` sets or ``BYTES`` of shingles, and each two blocks meet in a task, which
+returns the links of each set by number and a forest that connects what is linked. So no pair is a row,
+no link is false, every pair of blocks is compared once, and ``n_links`` counts all links of a text
+within its component.
 
 Rows with a null id take no part: class_id null, n_links 0. Rows that repeat an id are copies or
 different texts like any other rows.
@@ -26,7 +28,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
@@ -36,8 +38,9 @@ SHINGLE = 5
 THRESHOLD = 0.8
 TOKENS = 64
 RUNS = 8
-SMALL = 16  # sets in a leaf up to which every promising pair is checked
 LEAF = 64
+SETS = 256  # sets in a block of the exact check, on average
+BYTES = 4 << 20  # shingles in such a block
 DEPTH = 4
 SECOND = 0.25  # share of nodes that choose two coordinates: 1 / threshold choices on average
 MARGIN = 5 * (THRESHOLD * (1 - THRESHOLD) / TOKENS) ** 0.5
@@ -125,19 +128,29 @@ def _split(nodes: DataFrame) -> DataFrame:
     return nodes.select("path", "fp", "sig").mapInArrow(run, "path long, fp binary")
 
 
+def _forest(near: np.ndarray) -> list[tuple[int, int]]:
+    """(first, member) for the other members of each connected part of a symmetric matrix."""
+    out, seen = [], np.zeros(len(near), bool)
+    for i in np.flatnonzero(near.any(1)):
+        if not seen[i]:
+            part, edge = np.zeros(len(near), bool), np.array([i])
+            part[i] = True
+            while len(edge):
+                edge = np.flatnonzero(near[edge].any(0) & ~part)
+                part[edge] = True
+            seen |= part
+            out += [(int(i), int(j)) for j in np.flatnonzero(part) if j != i]
+    return out
+
+
 def _in_leaf(rows: DataFrame) -> DataFrame:
-    """leaf, fp, sig -> pairs a, b (a before b) that may reach the threshold."""
+    """leaf, fp, sig -> pairs a, b that connect all sets with promising pairs between them."""
 
     def pairs(fp, sig):
-        near = (sig[:, None, :] == sig[None, :, :]).mean(2)
-        near[np.triu_indices(len(fp))] = 0
-        some = np.flatnonzero(near.max(1) >= THRESHOLD - MARGIN)
-        for i in some:
-            good = np.flatnonzero(near[i] >= THRESHOLD - MARGIN)
-            if len(fp) > SMALL:
-                good = {int(good[0]), int(np.argmax(near[i]))}
-            for j in good:
-                yield fp[j], fp[i]
+        near = (sig[:, None, :] == sig[None, :, :]).mean(2) >= THRESHOLD - MARGIN
+        np.fill_diagonal(near, False)
+        for i, j in _forest(near):
+            yield fp[i], fp[j]
 
     def run(batches):
         for batch, bounds in whole_groups(batches):
@@ -153,7 +166,8 @@ def _in_leaf(rows: DataFrame) -> DataFrame:
 
 
 def candidates(sets: DataFrame, runs: int = RUNS) -> DataFrame:
-    """Distinct pairs (a, b) of set fingerprints from all runs; sets: fp, sig, one row per set."""
+    """Distinct pairs (a, b) of set fingerprints that connect the candidates of all runs; sets: fp, sig,
+    one row per set."""
     roots = F.explode(F.array(*[F.lit(int(x)) for x in random_u64(31, runs).view(np.int64)])).alias("path")
     nodes = settle(_split(sets.select(roots, "fp", "sig")), "path-0")
     leaves = None
@@ -175,11 +189,46 @@ def candidates(sets: DataFrame, runs: int = RUNS) -> DataFrame:
     return _in_leaf(settle(leaves, "path-leaves").join(sets, "fp")).distinct()
 
 
+def _meetings(rows: DataFrame, group: str, blocks: Column) -> DataFrame:
+    """``rows`` (group and fp among its columns) in their block of their group, once for each block that
+    it meets, its own too: meeting (binary, one for each two blocks) and block."""
+    own = F.pmod(F.xxhash64("fp"), blocks)
+    told = rows.withColumn("block", own).withColumn("__with", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)))
+    place = [F.unhex(F.lpad(F.hex(f("block", "__with")), 8, "0")) for f in (F.least, F.greatest)]
+    return told.withColumn("meeting", F.concat(F.col(group).cast("binary"), *place)).drop("__with")
+
+
+def _common(x: list[np.ndarray], y: list[np.ndarray]) -> np.ndarray:
+    """Sizes of the intersections of sorted sets, by exact counts."""
+    if len(x) * len(y) <= 9:
+        return np.array([[len(np.intersect1d(a, b, assume_unique=True)) for b in y] for a in x])
+    flat = [np.concatenate(z) for z in (x, y)]
+    row = [np.repeat(np.arange(len(z)), [len(v) for v in z]) for z in (x, y)]
+    both = np.intersect1d(*flat)
+    out, wide = np.zeros((len(x), len(y)), np.int64), 8192
+    if len(both):
+        at = [np.minimum(np.searchsorted(both, f), len(both) - 1) for f in flat]
+        keep = [both[a] == f for a, f in zip(at, flat, strict=True)]
+        order = [np.flatnonzero(k)[np.argsort(a[k], kind="stable")] for a, k in zip(at, keep, strict=True)]
+        at, row = [a[o] for a, o in zip(at, order, strict=True)], [r[o] for r, o in zip(row, order, strict=True)]
+        for lo in range(0, len(both), wide):
+            m = []
+            for a, r, z in zip(at, row, (x, y), strict=True):
+                part = slice(*np.searchsorted(a, [lo, lo + wide]))
+                m.append(np.zeros((len(z), min(wide, len(both) - lo)), np.float32))
+                m[-1][r[part], a[part] - lo] = 1
+            out += np.rint(m[0] @ m[1].T).astype(np.int64)
+    return out
+
+
 def verified(docs: DataFrame, sets: DataFrame, pairs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """Pairs whose exact Jaccard similarity reaches the threshold: a, b, similarity. sets: fp, doc_id of one of its rows."""
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("fp")).distinct()
-    of = settle(sets.join(wanted, "fp", "left_semi").select(F.col("doc_id").alias("__id")), "path-wanted").distinct()
-    source = docs.join(small(of), F.col(id_col) == F.col("__id"), "left_semi").select(F.col(text_col).cast("string").alias("text"))
+    """All candidates of one component against one another, by exact Jaccard similarity. Rows (a, b, n):
+    with b, sets that links connect; without b, n links of a, counted once for each block that has some.
+    sets: fp, doc_id of one of its rows; pairs: a, b connect candidates."""
+    of = components(pairs)
+    of = settle(of.select(F.col("node").alias("fp"), "component"), "path-candidates")
+    ids = settle(sets.join(of, "fp", "left_semi").select(F.col("doc_id").alias("__id")), "path-wanted").distinct()
+    source = docs.join(small(ids), F.col(id_col) == F.col("__id"), "left_semi").select(F.col(text_col).cast("string").alias("text"))
 
     def run(batches):
         for batch in batches:
@@ -187,31 +236,49 @@ def verified(docs: DataFrame, sets: DataFrame, pairs: DataFrame, id_col: str = "
                 got = [s for s in shingle_sets(part.column(0)) if len(s)]
                 yield pa.RecordBatch.from_arrays([pa.array([fingerprint(s) for s in got], pa.binary()), pa.array([np.unique((s >> np.uint64(24)).astype(np.uint64)).tobytes() for s in got], pa.binary())], ["fp", "shingles"])
 
-    whole = settle(source.mapInArrow(run, "fp binary, shingles binary").dropDuplicates(["fp"]), "path-sets")
-    both = pairs.join(whole.select(F.col("fp").alias("a"), F.col("shingles").alias("x")), "a").join(whole.select(F.col("fp").alias("b"), F.col("shingles").alias("y")), "b")
-
-    def similarity(batches):
-        for batch in batches:
-            out = []
-            for x, y in zip(batch.column(2), batch.column(3), strict=True):
-                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                common = len(np.intersect1d(x, y, assume_unique=True))
-                out.append(common / (len(x) + len(y) - common))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.float64())], ["a", "b", "similarity"])
+    whole = settle(source.mapInArrow(run, "fp binary, shingles binary").dropDuplicates(["fp"]).join(of, "fp"), "path-sets")
+    sizes = whole.groupBy("component").agg(F.greatest(F.ceil(F.count("*") / SETS), F.ceil(F.sum(F.length("shingles")) / BYTES)).alias("blocks"))
+    sizes = settle(sizes.filter("blocks > 1"), "path-sizes")
+    blocks = F.coalesce("blocks", F.lit(1).cast("long"))
+    met = _meetings(whole.join(small(sizes), "component", "left"), "component", blocks)
 
-    return both.select("a", "b", "x", "y").mapInArrow(similarity, "a binary, b binary, similarity double").filter(F.col("similarity") >= threshold)
+    def links(batches):
+        for batch, bounds in whole_groups(batches):
+            fps, block = batch.column(2).to_pylist(), batch.column(1).to_numpy()
+            a, b, n = [], [], []
+            for lo, hi in zip(bounds[:-1], bounds[1:], strict=True):
+                if hi - lo > 1:
+                    got = [np.frombuffer(v.as_buffer(), np.uint64) for v in batch.column(3).slice(lo, hi - lo)]
+                    cut = int(np.searchsorted(block[lo:hi], block[lo], "right"))
+                    x, y = (slice(0, cut), slice(cut, hi - lo)) if cut < hi - lo else (slice(0, cut),) * 2
+                    size = np.array([len(v) for v in got])
+                    common = _common(got[x], got[y])
+                    near = np.zeros((hi - lo, hi - lo), bool)
+                    near[x, y] = common / (size[x, None] + size[None, y] - common) >= threshold
+                    near |= near.T
+                    np.fill_diagonal(near, False)
+                    degree = near.sum(1)
+                    some, tree = np.flatnonzero(degree), _forest(near)
+                    a += [fps[lo + i] for i in some] + [fps[lo + i] for i, _ in tree]
+                    b += [None] * len(some) + [fps[lo + j] for _, j in tree]
+                    n += [*degree[some].tolist(), *[0] * len(tree)]
+            if a:
+                yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary()), pa.array(n, pa.int64())], ["a", "b", "n"])
+
+    dealt = met.select("meeting", "block", "fp", "shingles").repartition("meeting").sortWithinPartitions("meeting", "block", "fp")
+    return dealt.mapInArrow(links, "a binary, b binary, n long")
 
 
 def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", runs: int = RUNS) -> DataFrame:
     """One row per row of ``docs``: doc_id, class_id (the smallest doc_id of its class), n_links
-    (checked links of its text with different texts) and copies (rows with its set of shingles)."""
+    (links of its text with different texts) and copies (rows with its set of shingles)."""
     rows = settle(embed(docs, id_col, text_col), "path-rows")
     worded = rows.filter("fp IS NOT NULL")
     sets = settle(worded.groupBy("fp").agg(F.min("doc_id").alias("doc_id"), F.first("sig").alias("sig"), F.count("*").alias("copies")), "path-unique")
     pairs = settle(candidates(sets.select("fp", "sig"), runs), "path-pairs")
-    links = settle(verified(docs, sets.select("fp", "doc_id"), pairs, id_col, text_col).select("a", "b"), "path-links")
-    of = components(links)
-    degree = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("n_links"))
+    links = settle(verified(docs, sets.select("fp", "doc_id"), pairs, id_col, text_col), "path-links")
+    of = components(links.filter("b IS NOT NULL").select("a", "b"))
+    degree = links.filter("b IS NULL").groupBy(F.col("a").alias("node")).agg(F.sum("n").alias("n_links"))
     linked = settle(of.join(degree, "node").select(F.col("node").alias("fp"), "component", "n_links"), "path-linked")
     per_set = sets.select("fp", "doc_id", "copies").join(small(linked), "fp", "left").withColumn("component", F.coalesce("component", "fp"))
     per_set = settle(per_set, "path-persets")
