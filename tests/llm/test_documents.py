@@ -181,6 +181,22 @@ def test_ngram_join_counts_all_links_of_a_family(spark, monkeypatch):
         assert [got[i] for i in range(len(texts))] == want
 
 
+def test_ngram_join_compares_all_sets_of_a_large_node(spark, monkeypatch):
+    rng = random.Random(3)
+    shared, texts = " ".join(f"p{k}" for k in range(140)), []
+    for _ in range(600):  # pairs of near copies among texts that share a passage, at about 0.75
+        own = [f"w{rng.random()}" for _ in range(20)]
+        texts += [" ".join([shared, *own]), " ".join([shared, *own[:12], *(f"v{rng.random()}" for _ in range(8))])]
+    sets = [shingles(t) for t in texts]
+    alike = [len(a & b) / len(a | b) for a, b in (sets[:2], sets[1:3])]
+    assert alike[0] > 0.8 > 0.79 > alike[1]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for wide in (1024, 100):
+        monkeypatch.setattr(ngram_join, "WIDE", wide, raising=False)
+        got = {r.doc_id: (r.class_id, r.n_links) for r in ngram_join.join(frame).collect()}
+        assert sum(got[i] != (i - i % 2, 1) for i in range(len(texts))) == 0
+
+
 def test_ngram_tokens_estimate_similarity():
     rng = np.random.default_rng(1)
     close = []

@@ -7,10 +7,9 @@ equal sets form one class and go through the join once. Each set is embedded as
 A run starts with all sets in one node. A node chooses one or two of its tokens' coordinates at random,
 by a hash of the node, so that all its sets choose alike; sets with equal tokens there share a child
 node. A node of at most ``LEAF`` sets is compared by brute force, a larger one is split again; after
-``DEPTH`` levels a node that is still large (mostly one big family of near copies) is dealt into blocks
-of about ``LEAF`` by a hash of the set, each joined by the node's smallest set as a common reference.
-``RUNS`` independent runs bring a pair at the threshold together with probability over 0.99 where the
-nodes stay small.
+``DEPTH`` levels a node that is still large (mostly one big family of near copies, or texts that share a
+long passage) is dealt into blocks of about ``WIDE`` sets, and each two blocks meet, so that all its sets
+are compared. ``RUNS`` independent runs bring a pair at the threshold together with probability over 0.99.
 
 In a leaf, tokens estimate the similarity. An estimate within five standard deviations of the threshold
 is promising; sets that promising pairs connect are candidates of one another. Candidates are then
@@ -39,6 +38,7 @@ THRESHOLD = 0.8
 TOKENS = 64
 RUNS = 8
 LEAF = 64
+WIDE = 1024  # sets in a block of a node that stays large, on average
 SETS = 256  # sets in a block of the exact check, on average
 BYTES = 4 << 20  # shingles in such a block
 DEPTH = 4
@@ -144,25 +144,41 @@ def _forest(near: np.ndarray) -> list[tuple[int, int]]:
 
 
 def _in_leaf(rows: DataFrame) -> DataFrame:
-    """leaf, fp, sig -> pairs a, b that connect all sets with promising pairs between them."""
-
-    def pairs(fp, sig):
-        near = (sig[:, None, :] == sig[None, :, :]).mean(2) >= THRESHOLD - MARGIN
+    """leaf, block, fp, sig -> pairs a, b that connect all sets with promising pairs between them; of two
+    blocks, pairs of sets in different ones (those within a block meet in a leaf of its own)."""
+    least = int(np.ceil(TOKENS * (THRESHOLD - MARGIN)))
+
+    def pairs(fp, block, sig):
+        same = np.zeros((len(fp), len(fp)), np.uint8)
+        for column in sig.T:
+            same += column[:, None] == column
+        near = same >= least
+        if block[0] != block[-1]:
+            near &= block[:, None] != block
         np.fill_diagonal(near, False)
         for i, j in _forest(near):
             yield fp[i], fp[j]
 
     def run(batches):
         for batch, bounds in whole_groups(batches):
-            sig = _matrix(batch.column(2), np.uint32).astype(np.uint8)
-            fps = batch.column(1).to_pylist()
-            out = [p for lo, hi in zip(bounds[:-1], bounds[1:], strict=True) if hi - lo > 1 for p in pairs(fps[lo:hi], sig[lo:hi])]
+            sig = _matrix(batch.column(3), np.uint32).astype(np.uint8)
+            fps, block = batch.column(2).to_pylist(), batch.column(1).to_numpy()
+            out = [p for lo, hi in zip(bounds[:-1], bounds[1:], strict=True) if hi - lo > 1 for p in pairs(fps[lo:hi], block[lo:hi], sig[lo:hi])]
             if out:
                 a, b = zip(*out, strict=True)
                 yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], ["a", "b"])
 
-    dealt = rows.repartition("leaf").sortWithinPartitions("leaf", "fp")
-    return dealt.select("leaf", "fp", "sig").mapInArrow(run, "a binary, b binary")
+    dealt = rows.repartition("leaf").sortWithinPartitions("leaf", "block", "fp")
+    return dealt.select("leaf", "block", "fp", "sig").mapInArrow(run, "a binary, b binary")
+
+
+def _meetings(rows: DataFrame, group: Column, blocks: Column) -> DataFrame:
+    """``rows`` (fp among its columns) in their block of their binary group, once for each block that
+    it meets, its own too: meeting (binary, one for each two blocks) and block."""
+    own = F.pmod(F.xxhash64("fp"), blocks)
+    told = rows.withColumn("block", own).withColumn("__with", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)))
+    place = [F.unhex(F.lpad(F.hex(f("block", "__with")), 8, "0")) for f in (F.least, F.greatest)]
+    return told.withColumn("meeting", F.concat(group, *place)).drop("__with")
 
 
 def candidates(sets: DataFrame, runs: int = RUNS) -> DataFrame:
@@ -172,16 +188,14 @@ def candidates(sets: DataFrame, runs: int = RUNS) -> DataFrame:
     nodes = settle(_split(sets.select(roots, "fp", "sig")), "path-0")
     leaves = None
     for depth in range(1, DEPTH + 1):
-        many = settle(nodes.groupBy("path").agg(F.count("*").alias("n"), F.min("fp").alias("lead")).filter("n > 1"), f"path-many{depth}")
+        many = settle(nodes.groupBy("path").agg(F.count("*").alias("n")).filter("n > 1"), f"path-many{depth}")
         shared = nodes.join(small(many), "path")
+        path = F.unhex(F.lpad(F.hex("path"), 16, "0"))
         if depth < DEPTH:
-            got = shared.filter(F.col("n") <= LEAF).select(F.col("path").alias("leaf"), "fp")
+            got = shared.filter(F.col("n") <= LEAF).select(path.alias("leaf"), F.lit(0).cast("long").alias("block"), "fp")
             big = settle(shared.filter(F.col("n") > LEAF).select("path", "fp"), f"path-big{depth}")
-        else:  # the rest, in blocks that hold the node's smallest set too
-            blocks = F.ceil(F.col("n") / LEAF)
-            dealt = shared.select(F.xxhash64("path", F.pmod(F.xxhash64("fp"), blocks)).alias("leaf"), "fp")
-            leads = many.filter(F.col("n") > LEAF).withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1))).select(F.xxhash64("path", "block").alias("leaf"), F.col("lead").alias("fp"))
-            got, big = dealt.unionByName(leads).distinct(), None
+        else:  # the rest: of larger nodes, every block with every other and with itself
+            got, big = _meetings(shared, path, F.ceil(F.col("n") / WIDE)).select(F.col("meeting").alias("leaf"), "block", "fp"), None
         leaves = got if leaves is None else leaves.unionByName(got)
         if big is None or big.isEmpty():
             break
@@ -189,15 +203,6 @@ def candidates(sets: DataFrame, runs: int = RUNS) -> DataFrame:
     return _in_leaf(settle(leaves, "path-leaves").join(sets, "fp")).distinct()
 
 
-def _meetings(rows: DataFrame, group: str, blocks: Column) -> DataFrame:
-    """``rows`` (group and fp among its columns) in their block of their group, once for each block that
-    it meets, its own too: meeting (binary, one for each two blocks) and block."""
-    own = F.pmod(F.xxhash64("fp"), blocks)
-    told = rows.withColumn("block", own).withColumn("__with", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)))
-    place = [F.unhex(F.lpad(F.hex(f("block", "__with")), 8, "0")) for f in (F.least, F.greatest)]
-    return told.withColumn("meeting", F.concat(F.col(group).cast("binary"), *place)).drop("__with")
-
-
 def _common(x: list[np.ndarray], y: list[np.ndarray]) -> np.ndarray:
     """Sizes of the intersections of sorted sets, by exact counts."""
     if len(x) * len(y) <= 9:
@@ -240,7 +245,7 @@ def verified(docs: DataFrame, sets: DataFrame, pairs: DataFrame, id_col: str = "
     sizes = whole.groupBy("component").agg(F.greatest(F.ceil(F.count("*") / SETS), F.ceil(F.sum(F.length("shingles")) / BYTES)).alias("blocks"))
     sizes = settle(sizes.filter("blocks > 1"), "path-sizes")
     blocks = F.coalesce("blocks", F.lit(1).cast("long"))
-    met = _meetings(whole.join(small(sizes), "component", "left"), "component", blocks)
+    met = _meetings(whole.join(small(sizes), "component", "left"), F.col("component"), blocks)
 
     def links(batches):
         for batch, bounds in whole_groups(batches):
