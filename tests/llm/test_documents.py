@@ -370,6 +370,15 @@ def test_quality_learns_and_scores_every_text(spark, docs, rows, empty):
     assert quality_crf.with_score(empty, model).count() == 0
 
 
+def test_quality_sample_with_a_repeated_id(spark):
+    rng = random.Random(10)
+    train = [(i, words(rng, 40) if i % 2 else ("JUNK!! " * 30) + "\n" + "x | y | z", None) for i in range(100)]
+    again = [(0, f"{'JUNK!! ' * (i % 50)}\nx | {i}", None) for i in range(400)]
+    labels = spark.createDataFrame([(i, i % 2) for i, _, _ in train] + [(0, 0)] * 300, "doc_id long, quality int")
+    scored = quality_crf.with_score(frame(spark, train), quality_crf.train(frame(spark, train + again), labels, sample_docs=100)).collect()
+    assert sum((r.score >= 0.7) == bool(r.doc_id % 2) for r in scored) >= 98
+
+
 def test_columns_of_texts_equal_the_library():
     with open(piece_model(), "rb") as f:
         table = sentencepiece_codec.ChunkTable(f.read(), most=50)

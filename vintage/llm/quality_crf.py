@@ -6,7 +6,8 @@ backward passes give each line's probability of being good, and a document's sco
 weighted by line length in bytes (1 at least). An empty or null text is one empty line.
 
 Training takes a documented, bounded sample (``sample_docs`` labelled documents in the order of a hash
-of their id, up to ``lines_per_doc`` lines each); each line has its document's label. Documents with
+of their id, up to ``lines_per_doc`` lines each); each line has its document's label. An id counts once
+with each label it has, however often it is repeated, by one of its texts. Documents with
 ``crc32(doc_id) mod 4 = 2`` are held out of it. Labels that are null, or without a document, are left
 out; without any usable label every score is 0.5. Scoring reads whole texts, needs no shuffle, and its
 inputs are texts alone.
@@ -180,10 +181,10 @@ def held_out(doc_id: Column) -> Column:
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample_docs: int = SAMPLE_DOCS, lines_per_doc: int = LINES_PER_DOC) -> dict:
     """Fit on at most ``sample_docs`` labelled documents that aren't held out; only their line features
-    come to the driver, at most ``sample_docs * lines_per_doc`` rows."""
+    come to the driver, at most ``sample_docs`` rows of ``lines_per_doc`` lines."""
     usable = labels.select(F.col(id_col).alias("doc_id"), F.col(label_col).cast("int").alias("y")).filter(F.col("y").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
-    picked = usable.orderBy(F.xxhash64("doc_id"), "doc_id", "y").limit(sample_docs)
-    texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")).join(F.broadcast(picked), "doc_id").select("y", "text")
+    picked = usable.distinct().orderBy(F.xxhash64("doc_id"), "doc_id", "y").limit(sample_docs)
+    texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")).join(F.broadcast(picked), "doc_id").select("y", "text", "doc_id")
 
     def features(batches):
         for batch in batches:
@@ -191,11 +192,12 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
                 x, _, per_doc = line_features(*text_buffers(part.column(1)))
                 heads = np.cumsum(per_doc) - per_doc
                 blobs = [x[h : h + min(n, lines_per_doc)].tobytes() for h, n in zip(heads, per_doc, strict=True)]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(blobs, pa.binary())], ["y", "x"])
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(blobs, pa.binary()), part.column(2)], ["y", "x", "doc_id"])
 
-    got = texts.mapInArrow(features, "y int, x binary").toArrow()
-    # a repeated row counts as often as it is there, in an order that doesn't depend on partitions
-    rows = sorted(zip(got["y"].to_pylist(), got["x"].to_pylist(), strict=True))[: 2 * sample_docs]
+    made = texts.mapInArrow(features, f"y int, x binary, doc_id {texts.schema['doc_id'].dataType.simpleString()}")
+    # one text of each id, the choice and the order not depending on partitions
+    got = made.groupBy("doc_id", "y").agg(F.min(F.struct(F.xxhash64("x"), "x")).alias("least")).select("y", "least.x").toArrow()
+    rows = sorted(zip(got["y"].to_pylist(), got["x"].to_pylist(), strict=True))
     x = [np.frombuffer(b, np.float32).reshape(-1, N_FEATURES) for _, b in rows]
     return fit(np.concatenate(x) if x else np.zeros((0, N_FEATURES)), np.array([len(v) for v in x], np.int64), np.array([y for y, _ in rows]))
 
