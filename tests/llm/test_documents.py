@@ -263,6 +263,20 @@ def test_secrets(spark, empty):
     assert secret_scan.report(empty).count() == 0
 
 
+def test_long_secrets_link_what_follows_or_lies_within(spark):
+    long = "aB3" * 200
+    texts = {
+        1: f"token={long} user=alice",
+        2: f"token={long}" + " " * 199 + "user=alice",
+        3: f"token={long}" + " " * 200 + "user=alice",
+        4: f"token={'x' * 900}login={'y' * 900}",  # one value holds the name of another
+        5: f"token={'=' * 900}login=abc={'y' * 900}",
+    }
+    got = {r.doc_id: [s.split(":")[0] for s in r.spans.split(",")] for r in secret_scan.report(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()}
+    assert got[1] == got[2] == ["assign", "opaque", "login"]
+    assert got[3] == ["assign"] and got[4] == got[5] == ["assign", "login"]
+
+
 def test_base_spans_are_leftmost_matches():
     rng = random.Random(3)
     patterns = {"assign": (r"""(?:[Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", lambda m: len(m[1]) >= 6), "access": (r"AKIA[A-Z0-9]+", lambda m: len(m[0]) >= 20), "hex": (r"[0-9a-f]+", lambda m: len(m[0]) >= 24)}

@@ -7,10 +7,11 @@ password-like name, a sign and a value of 6 characters or more), ``access`` (AKI
 Weak candidates are too common to report alone: ``opaque`` (a run of 32 or more key characters with
 upper case, lower case and a digit), ``login`` (a user-like name with a value) and ``endpoint`` (a URL or
 a host with a port). Every span plays one or more parts of a credential: an identifier (access, login),
-a secret (assign, hex, opaque) or an endpoint. A weak span is reported when a span of another part
-begins within ``SCOPE`` code points of it in the same document: an interval join on (document, block of
-``SCOPE`` code points), each weak span probing the blocks that its interval touches. It is a semi join,
-so that no pairs are made, and a block holds at most ``SCOPE`` starts.
+a secret (assign, hex, opaque) or an endpoint. A weak span is reported when any code
+point of a span of another part is within ``SCOPE`` code points of it in the same document: an interval
+join on (document, block of ``SCOPE`` code points), each span being in every block that it covers, and
+each weak span probing the blocks that its interval touches. It is a semi join, so that no pairs are made;
+spans of a kind don't overlap, so a block holds at most ``SCOPE`` of each kind.
 
 Offsets are code points, the end exclusive. Null and empty texts have no spans. Rows that repeat a
 doc_id, or have none, are scanned as documents of their own: spans are linked by an own row key made of
@@ -95,10 +96,11 @@ def linked(found: DataFrame, scope: int = SCOPE) -> DataFrame:
     weak = F.exists("spans", lambda s: s.kind >= len(BASE))
     rows = found.filter(weak & (F.size("spans") > 1)).dropDuplicates(["row_key"]).select("row_key", F.explode("spans").alias("s")).select("row_key", "s.*", part.alias("part"))
     rows = settle(rows, "secret-spans")
-    anchors = rows.select(F.col("row_key").alias("of"), (F.col("start") / scope).cast("long").alias("block"), F.col("start").alias("at"), F.col("part").alias("has"))
+    covered = F.sequence((F.col("start") / scope).cast("long"), ((F.col("end") - 1) / scope).cast("long"))
+    anchors = rows.select(F.col("row_key").alias("of"), F.explode(covered).alias("block"), F.col("start").alias("at"), F.col("end").alias("until"), F.col("part").alias("has"))
     low = F.greatest(F.col("start") - scope, F.lit(0))
     probes = rows.filter(F.col("kind") >= len(BASE)).withColumn("block", F.explode(F.sequence((low / scope).cast("long"), ((F.col("end") + scope) / scope).cast("long"))))
-    near = (probes.row_key == anchors.of) & (probes.block == anchors.block) & (F.col("at") >= probes.start - scope) & (F.col("at") < probes.end + scope) & (F.col("has") != probes.part)
+    near = (probes.row_key == anchors.of) & (probes.block == anchors.block) & (F.col("until") > probes.start - scope) & (F.col("at") < probes.end + scope) & (F.col("has") != probes.part)
     return probes.join(anchors, near, "left_semi").select("row_key", "kind", "start", "end").distinct()
 
 
