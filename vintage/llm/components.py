@@ -12,31 +12,35 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import settle, small
+from .shared import dropped, settle, small
 
 
 def components(edges: DataFrame) -> DataFrame:
     """``edges`` has two columns a and b of one orderable type; null ends and loops are ignored. Returns
     (node, component) for every node with an edge, component being the smallest node it reaches."""
     edges = settle(_clean(edges), "cc-edges")
-    labels = None
+    labels, read = None, []
     while not edges.isEmpty():
         ways = edges.select(F.col("a").alias("x"), F.col("b").alias("y")).unionByName(edges.select(F.col("b").alias("x"), F.col("a").alias("y")))
         parents = settle(ways.groupBy("x").agg(F.min("y").alias("m")).select("x", F.least("x", "m").alias("p")), "cc-parents")
         while True:
             up = small(parents.select(F.col("x").alias("p"), F.col("p").alias("pp")))
-            parents = settle(parents.join(up, "p").select("x", F.col("pp").alias("p"), (F.col("p") != F.col("pp")).alias("moved")), "cc-jump")
+            old, parents = parents, settle(parents.join(up, "p").select("x", F.col("pp").alias("p"), (F.col("p") != F.col("pp")).alias("moved")), "cc-jump")
+            dropped(old)
             if parents.filter("moved").isEmpty():
                 break
         parents = parents.select("x", "p")
-        if labels is None:
+        if labels is None:  # the first round's parents are the labels
             labels = parents.select(F.col("x").alias("node"), F.col("p").alias("component"))
         else:
             up = small(parents.select(F.col("x").alias("component"), "p"))
-            labels = settle(labels.join(up, "component", "left").select("node", F.coalesce("p", "component").alias("component")), "cc-labels")
+            old, labels = labels, settle(labels.join(up, "component", "left").select("node", F.coalesce("p", "component").alias("component")), "cc-labels")
+            dropped(old)
+            read = [parents]
         ends = small(parents)
         moved = edges.join(ends.select(F.col("x").alias("a"), F.col("p").alias("pa")), "a").join(ends.select(F.col("x").alias("b"), F.col("p").alias("pb")), "b")
-        edges = settle(_clean(moved.select(F.col("pa").alias("a"), F.col("pb").alias("b"))), "cc-edges")
+        old, edges = edges, settle(_clean(moved.select(F.col("pa").alias("a"), F.col("pb").alias("b"))), "cc-edges")
+        dropped(old, *read)
     return labels if labels is not None else edges.select(F.col("a").alias("node"), F.col("b").alias("component"))
 
 

@@ -1,18 +1,27 @@
 """Embedding near-dedup by NN-descent.
 
 A neighbour graph over the distinct vectors is refined until it holds the pairs with a cosine of
-``THRESHOLD`` or more among vectors of one label. It starts from random-hyperplane buckets, in which each
-vector takes its ``K`` best; every iteration then joins, around each vector, its neighbours and those that
-have it as a neighbour with one another, and keeps what improves a list. Lists hold ``K`` neighbours, but
-one that is saturated, with all of them at the threshold, is enlarged: edges at the threshold are never
-dropped. When an iteration finds no new edge at the threshold, a bounded audit sample of vectors is
-compared with all rows in blocks; the links that it finds are added, and while recall on it is under
-``RECALL`` a new set of buckets starts another round.
+``THRESHOLD`` or more among vectors of one label. A round starts from random-hyperplane buckets, in which
+each vector takes its ``K`` best; buckets that are larger than a leaf are split at medians of further
+projections. Every iteration then joins, around each vector, its neighbours and those that have it as a
+neighbour with one another, leaves out pairs that have met before, and keeps what improves a list. A list
+holds ``K`` neighbours; one that is saturated, with all of them at the threshold, is enlarged up to
+``WIDE``. What a dense family has beyond that is not searched as pairs: edges at the threshold are kept,
+they connect vectors to components, and all vectors of a component are compared with one another, blocks
+against blocks inside tasks, which return numbers of links. So ``n_links`` counts every link within a
+component, no pair of a family is a row, and no link is false.
+
+When an iteration adds hardly any edge at the threshold, recall is audited: a bounded sample of vectors
+is compared with all rows in blocks, and the share of its true links that was counted is averaged over
+the vectors that have some, so that a dense family doesn't stand for all. Under ``RECALL`` another round
+starts with other hyperplanes and leaves twice as large; since leaves reach the size of the largest
+label in the end, the search ends with the recall that was asked for.
 
 Cosines are computed in double precision. Equal vectors of one label are collapsed first and count as
 links of one another (cosine 1). Vectors that are null, empty, zero, or hold a null or non-finite
 component, and rows with a null label or id, link with nothing; vectors of unequal length are not
 compared. Rows that repeat a vec_id stay separate rows; a component's id is the smallest vec_id in it.
+Other columns of the table, whatever their names, are not read.
 """
 
 from __future__ import annotations
@@ -21,197 +30,263 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .components import components
-from .shared import settle, small, whole_groups
+from .shared import dropped, halves, meetings, settle, small, whole_groups
 
 THRESHOLD = 0.98
 K = 6
+WIDE = 12  # neighbours of a saturated list; its component is compared exactly
 TABLES = 4
-BUCKET = 32  # vectors in a bucket, on average
-BLOCK = 256  # larger buckets are dealt into blocks of about so many
-LOCAL = 24  # neighbours that one local join takes; a longer list takes others in the next iteration
-ITERATIONS = 6
-ROUNDS = 4
+BUCKET = 64  # vectors in a bucket, on average
+LEAF = 256  # larger buckets are split; doubled each round
+LOCAL = 32  # neighbours that meet around one vector at once; longer lists are dealt anew each iteration
+ITERATIONS = 8
+FEW = 0.01  # new edges, as a share of those at the threshold, under which a round ends
+BLOCK = 1024  # vectors in a block of the exact count, on average
 AUDIT = 1000
 RECALL = 0.98
-
-
-def _key(label: Column, vector: Column) -> Column:
-    """128 bits that are equal for equal vectors of one label."""
-    half = [F.unhex(F.lpad(F.hex(F.xxhash64(F.lit(k), label, vector)), 16, "0")) for k in (1, 2)]
-    return F.concat(*half)
+TILE = 512  # rows compared at once
 
 
 def distinct_vectors(rows: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label") -> tuple[DataFrame, DataFrame]:
-    """(all rows as vec_id, key; distinct vectors as key, part, vec, weight, vec_id). key is null for
-    rows that link with nothing; part: label and length, within which vectors are compared."""
+    """(all rows as vec_id, key; distinct vectors as n, key, part, vec, weight, vec_id). key is null for
+    rows that link with nothing; n numbers the vectors; part: label and length, within which vectors are
+    compared."""
     vector = F.col(vector_col).cast("array<double>")
     good = F.coalesce(F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(vector, lambda x: x != 0), F.lit(False)) & F.col(label_col).isNotNull() & F.col(id_col).isNotNull()
     part = F.concat_ws(":", F.col(label_col).cast("string"), F.size(vector))
     # 0.0 and -0.0 are one value
     flat = F.transform(vector, lambda x: F.when(x == 0, F.lit(0.0)).otherwise(x))
-    keyed = rows.select(F.col(id_col).alias("vec_id"), F.when(good, _key(part, flat)).alias("key"), part.alias("part"), flat.alias("vec"))
+    keyed = rows.select(F.col(id_col).alias("vec_id"), F.when(good, halves(part, flat)).alias("key"), part.alias("part"), flat.alias("vec"))
     unique = keyed.filter("key IS NOT NULL").groupBy("key").agg(F.first("part").alias("part"), F.first("vec").alias("vec"), F.count("*").alias("weight"), F.min("vec_id").alias("vec_id"))
-    return keyed.select("vec_id", "key"), unique
+    # numbers are fixed once the table is written
+    return keyed.select("vec_id", "key"), settle(unique.withColumn("n", F.monotonically_increasing_id()), "nn-vectors")
 
 
-def _unit(column: pa.Array) -> list[np.ndarray]:
-    """Unit vectors of a column of double arrays."""
-    flat, ends = column.flatten().to_numpy(zero_copy_only=False), column.offsets.to_numpy()
-    ends = ends - ends[0]
-    out = []
-    for lo, hi in zip(ends[:-1], ends[1:], strict=True):
-        v = flat[lo:hi] / np.abs(flat[lo:hi]).max()
-        out.append(v / math.sqrt(v @ v))
-    return out
+def _units(column: pa.Array) -> np.ndarray:
+    """Unit vectors of a column of equally long double arrays, as a matrix."""
+    x = column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
+    x = x / np.abs(x).max(1, keepdims=True)
+    return x / np.sqrt((x * x).sum(1, keepdims=True))
 
 
-def _emit(rows: list[tuple]):
-    v, u, s = zip(*rows, strict=True) if rows else ((), (), ())
-    return pa.RecordBatch.from_arrays([pa.array(v, pa.binary()), pa.array(u, pa.binary()), pa.array(s, pa.float64())], ["v", "u", "sim"])
+def _by_length(column: pa.Array):
+    """(rows, unit vectors) for each length of vector in a column."""
+    ends = column.offsets.to_numpy()
+    length = np.diff(ends)
+    for d in np.unique(length):
+        rows = np.flatnonzero(length == d)
+        yield rows, _units(column if len(rows) == len(column) else column.take(pa.array(rows)))
 
 
-EDGE = "v binary, u binary, sim double"
+def _planes(d: int, n: int, *seed: int) -> np.ndarray:
+    return np.random.default_rng([d, *seed]).standard_normal((n, d))
 
 
-def _best(keys: list[bytes], x: np.ndarray, floor: np.ndarray, k: int, threshold: float) -> list[tuple]:
-    """For each vector its k best others above its floor, and all at the threshold."""
-    sim = x @ x.T
-    np.fill_diagonal(sim, -2)
-    out = []
-    rank = np.argsort(-sim, axis=1, kind="stable")
-    for i in range(len(keys)):
-        row = sim[i, rank[i]]
-        n = max(min(k, len(keys) - 1), int((row >= threshold).sum()))
-        out += [(keys[i], keys[rank[i, j]], float(row[j])) for j in range(n) if row[j] > floor[i] or row[j] >= threshold]
-    return out
+EDGE = "v long, u long, sim double"
 
 
-def buckets(unique: DataFrame, bits: int, seed: int, k: int, threshold: float) -> DataFrame:
-    """Edges (v, u, sim) between vectors that agree on the signs of random projections."""
+def _edges(v: np.ndarray, u: np.ndarray, sim: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(v, pa.int64()), pa.array(u, pa.int64()), pa.array(sim, pa.float64())], ["v", "u", "sim"])
 
-    def signs(batches):
-        for batch in batches:
-            out = []
-            for v in _unit(batch.column(2)):
-                planes = np.random.default_rng([seed, len(v)]).standard_normal((TABLES * bits, len(v))) if len(v) not in known else known[len(v)]
-                known[len(v)] = planes
-                s = (planes @ v > 0).reshape(TABLES, bits)
-                out.append([int(np.packbits(t, bitorder="little").tobytes().ljust(8, b"\0")[:8].hex(), 16) >> 1 for t in s])
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.list_(pa.int64()))], ["key", "part", "signs"])
-
-    known: dict[int, np.ndarray] = {}
-    signed = unique.select("key", "part", "vec").mapInArrow(signs, "key binary, part string, signs array<long>")
-    placed = settle(signed.select("key", F.posexplode("signs").alias("t", "s"), "part").select("key", F.xxhash64("part", "t", "s").alias("bucket")), "nn-buckets")
-    sizes = settle(placed.groupBy("bucket").count().filter("count > 1"), "nn-sizes")
-    block = F.pmod(F.xxhash64("key", "bucket"), F.ceil(F.col("count") / BLOCK))
-    dealt = placed.join(small(sizes), "bucket").select(F.xxhash64("bucket", block).alias("block"), "key")
-
-    def within(batches):
-        for batch, bounds in whole_groups(batches):
-            keys, x = batch.column(1).to_pylist(), _unit(batch.column(2))
-            out = []
-            for lo, hi in zip(bounds[:-1], bounds[1:], strict=True):
-                if hi - lo > 1:
-                    out += _best(keys[lo:hi], np.array(x[lo:hi]), np.full(hi - lo, -2.0), k, threshold)
-            yield _emit(out)
 
-    full = dealt.join(unique.select("key", "vec"), "key").select("block", "key", "vec")
-    return full.repartition("block").sortWithinPartitions("block", "key").mapInArrow(within, EDGE)
+def _best(ids: np.ndarray, x: np.ndarray, fresh: np.ndarray, floor: np.ndarray, k: int):
+    """Edges (v, u, sim) from each vector to its k best others above its floor, for stacks of groups:
+    ids, fresh and floor have one row per group, x its vectors. Of each pair one must be fresh."""
+    m = ids.shape[1]
+    for lo in range(0, m, TILE):
+        hi = min(lo + TILE, m)
+        sim = x[:, lo:hi] @ x.transpose(0, 2, 1)
+        sim[~(fresh[:, lo:hi, None] | fresh[:, None, :]) | (ids[:, lo:hi, None] == ids[:, None, :]) | (sim <= floor[:, lo:hi, None])] = -2
+        top = np.argpartition(sim, m - k, axis=2)[:, :, -k:] if m > k else np.broadcast_to(np.arange(m), sim.shape)
+        best = np.take_along_axis(sim, top, 2)
+        g, i, j = np.nonzero(best > -2)
+        yield ids[g, lo + i], ids[g, top[g, i, j]], best[g, i, j]
 
 
-def _lists(edges: DataFrame, k: int, threshold: float) -> DataFrame:
-    """The graph: of each vector's distinct edges the k best and all at the threshold."""
-    from pyspark.sql import Window
-
-    once = edges.groupBy("v", "u").agg(F.max("sim").alias("sim"))
-    rank = F.row_number().over(Window.partitionBy("v").orderBy(F.desc("sim"), "u"))
-    return once.withColumn("rank", rank).filter((F.col("rank") <= k) | (F.col("sim") >= threshold)).select("v", "u", "sim")
-
-
-def local_joins(graph: DataFrame, unique: DataFrame, turn: int, k: int, threshold: float) -> DataFrame:
-    """New edges among the neighbours, in either direction, of each vector."""
-    floors = graph.groupBy("v").agg(F.when(F.count("*") >= k, F.min("sim")).otherwise(F.lit(-2.0)).alias("floor"))
-    both = graph.select("v", "u").unionByName(graph.select(F.col("u").alias("v"), F.col("v").alias("u"))).distinct()
-    # a longer list takes part with LOCAL members, others in each turn; the hash deals hubs too
-    degree = both.groupBy("v").count()
-    chosen = both.join(degree, "v").filter((F.col("count") <= LOCAL) | (F.pmod(F.xxhash64("u", "v", F.lit(turn)), F.col("count")) < LOCAL)).select("v", "u")
-    around = chosen.unionByName(unique.select(F.col("key").alias("v"), F.col("key").alias("u")))
-    vectors = unique.select(F.col("key").alias("u"), "vec").join(floors.withColumnRenamed("v", "u"), "u", "left").withColumn("floor", F.coalesce("floor", F.lit(-2.0)))
+def _joined(k: int, keys: int):
+    """Groups (their ``keys``, n, vec, fresh, floor) -> edges; groups of one size are compared in stacks."""
 
     def run(batches):
-        for batch, bounds in whole_groups(batches):
-            keys, x, floor = batch.column(1).to_pylist(), _unit(batch.column(2)), batch.column(3).to_numpy()
-            out = []
-            for lo, hi in zip(bounds[:-1], bounds[1:], strict=True):
-                if hi - lo > 2:
-                    out += _best(keys[lo:hi], np.array(x[lo:hi]), floor[lo:hi], k, threshold)
-            yield _emit(out)
+        for batch, bounds in whole_groups(batches, keys):
+            size = np.diff(bounds)
+            ids, fresh, floor = batch.column(keys).to_numpy(), batch.column(keys + 2).to_numpy(zero_copy_only=False), batch.column(keys + 3).to_numpy()
+            for rows, x in _by_length(batch.column(keys + 1)):
+                at = np.full(batch.num_rows, -1)
+                at[rows] = np.arange(len(rows))
+                for m in np.unique(size[size > 1]):
+                    heads = bounds[:-1][(size == m) & (at[bounds[:-1]] >= 0)]
+                    step = max((16 << 20) // (8 * m * max(x.shape[1], min(m, TILE))), 1)
+                    for lo in range(0, len(heads), step):
+                        take = heads[lo : lo + step, None] + np.arange(m)
+                        for found in _best(ids[take], x[at[take]], fresh[take], floor[take], k):
+                            yield _edges(*found)
+
+    return run
+
+
+def buckets(unique: DataFrame, turn: int, k: int) -> DataFrame:
+    """Edges (v, u, sim) between vectors that agree on the signs of random projections. A bucket that is
+    larger than the round's leaf is halved at the median of one more projection until it isn't."""
+    leaf = LEAF << turn
+    parts = settle(unique.groupBy("part").count().select("part", F.least(F.greatest(F.ceil(F.log2(F.col("count") / (BUCKET << turn))), F.lit(0)), F.lit(62)).cast("int").alias("bits")), "nn-parts")
 
-    return around.join(vectors, "u").select("v", "u", "vec", "floor").repartition("v").sortWithinPartitions("v", "u").mapInArrow(run, EDGE)
+    def signs(batches):
+        for batch in batches:
+            out, bits = np.zeros((batch.num_rows, TABLES), np.int64), batch.column(1).to_numpy()
+            for rows, x in _by_length(batch.column(2)):
+                for t in range(TABLES):
+                    up = x @ _planes(x.shape[1], 62, turn, t).T > 0
+                    up &= np.arange(62) < bits[rows, None]
+                    out[rows, t] = up @ (1 << np.arange(62))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.FixedSizeListArray.from_arrays(pa.array(out.ravel()), TABLES).cast(pa.list_(pa.int64())), batch.column(3)], ["n", "signs", "part"])
+
+    signed = unique.join(small(parts), "part").select("n", "bits", "vec", "part").mapInArrow(signs, "n long, signs array<long>, part string")
+    placed = settle(signed.select("n", F.posexplode("signs").alias("t", "s"), "part").select("n", halves(F.col("part"), F.col("t"), F.col("s")).alias("bucket")), "nn-buckets")
+    leaves, level = None, 0
+    while True:
+        sizes = settle(placed.groupBy("bucket").count().filter("count > 1"), "nn-sizes")
+        sized = placed.join(small(sizes), "bucket")
+        got = sized.filter(F.col("count") <= leaf).select("bucket", "n")
+        leaves = got if leaves is None else leaves.unionByName(got)
+        if sizes.filter(F.col("count") > leaf).isEmpty():
+            break
+
+        def project(batches, level=level):
+            for batch in batches:
+                p = np.zeros(batch.num_rows)
+                for rows, x in _by_length(batch.column(2)):
+                    p[rows] = x @ _planes(x.shape[1], 1, turn, TABLES + level)[0]
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(p)], ["bucket", "n", "p"])
+
+        large = settle(sized.filter(F.col("count") > leaf).join(unique.select("n", "vec"), "n").select("bucket", "n", "vec").mapInArrow(project, "bucket binary, n long, p double"), "nn-large")
+        middle = small(settle(large.groupBy("bucket").agg(F.percentile_approx("p", 0.5).alias("middle")), "nn-middle"))
+        # equal projections, as of vectors that differ in length only, are dealt by number
+        half = F.when(F.col("p") == F.col("middle"), F.pmod(F.xxhash64("n", F.lit(level)), F.lit(2)) == 0).otherwise(F.col("p") > F.col("middle"))
+        placed = settle(large.join(middle, "bucket").select("n", halves(F.col("bucket"), half, F.lit(level)).alias("bucket")), "nn-halved")
+        level += 1
+    full = leaves.join(unique.select("n", "vec"), "n").select("bucket", "n", "vec", F.lit(True).alias("fresh"), F.lit(-2.0).alias("floor"))
+    return full.repartition("bucket").sortWithinPartitions("bucket", "n").mapInArrow(_joined(k, 1), EDGE)
+
+
+def _lists(edges: DataFrame, k: int, wide: int, threshold: float) -> DataFrame:
+    """The graph: of each vector's distinct edges the k best, and up to ``wide`` at the threshold. fresh:
+    the edge is new."""
+    once = edges.groupBy("v", "u").agg(F.max("sim").alias("sim"), F.bool_and("fresh").alias("fresh"))
+    rank = F.row_number().over(Window.partitionBy("v").orderBy(F.desc("sim"), "u"))
+    kept = once.withColumn("rank", rank).filter(F.col("rank") <= wide)
+    return kept.filter((F.col("rank") <= k) | (F.col("sim") >= threshold)).select("v", "u", "sim", "fresh")
+
+
+def local_joins(graph: DataFrame, unique: DataFrame, turn: int, k: int, wide: int, threshold: float) -> tuple[DataFrame, DataFrame]:
+    """(the settled ways that meet, new edges among the neighbours, in either direction, of each vector,
+    itself among them)."""
+    full = (F.count("*") >= wide) & (F.min("sim") >= threshold)
+    # a full list takes no more: its component is compared exactly
+    floors = graph.groupBy("v").agg(F.when(full, F.lit(2.0)).when(F.count("*") < k, F.lit(-2.0)).when(F.min("sim") >= threshold, F.lit(threshold)).otherwise(F.min("sim")).alias("floor"))
+    floors = floors.withColumnRenamed("v", "n")
+    ways = graph.select("v", "u", "fresh").unionByName(graph.select(F.col("u").alias("v"), F.col("v").alias("u"), "fresh")).groupBy("v", "u").agg(F.bool_or("fresh").alias("fresh"))
+    around = settle(ways, "nn-around")
+    degree = around.groupBy("v").agg(F.ceil(F.count("*") / LOCAL).alias("blocks"), F.bool_or("fresh").alias("any")).filter("any").select("v", "blocks")
+    # a longer list, a hub's too, is dealt into groups, others in each iteration; the vector itself is in all
+    dealt = around.join(degree, "v").select("v", F.col("u").alias("n"), "fresh", F.pmod(F.xxhash64("u", "v", F.lit(turn)), F.col("blocks")).alias("block"))
+    own = degree.select("v", F.col("v").alias("n"), F.lit(False).alias("fresh"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"))
+    vectors = unique.select("n", "vec").join(floors, "n", "left").select("n", "vec", F.coalesce("floor", F.lit(-2.0)).alias("floor"))
+    groups = dealt.unionByName(own).join(vectors, "n").select("v", "block", "n", "vec", "fresh", "floor")
+    return around, groups.repartition("v", "block").sortWithinPartitions("v", "block", "n").mapInArrow(_joined(k, 2), EDGE)
 
 
 def audit(unique: DataFrame, sample: int, threshold: float) -> DataFrame:
-    """All links of a bounded sample of vectors, found by comparing it with every vector in blocks."""
-    picked = [(r.key, r.part, r.vec) for r in unique.orderBy(F.xxhash64("key"), "key").limit(sample).select("key", "part", "vec").collect()]
-    by_part: dict[str, tuple[list, np.ndarray]] = {}
+    """(n, true_links): links with other distinct vectors of a bounded sample of vectors that has some,
+    found by comparing it with every vector in blocks."""
+    picked = [(r.n, r.part, r.vec) for r in unique.orderBy(F.xxhash64("key"), "key").limit(sample).select("n", "part", "vec").collect()]
+    by_part: dict[str, tuple[np.ndarray, np.ndarray]] = {}
     for part in {p for _, p, _ in picked}:
-        own = [(bytes(k), v) for k, p, v in picked if p == part]
-        by_part[part] = [k for k, _ in own], np.array(_unit(pa.array([v for _, v in own], pa.list_(pa.float64()))))
+        own = [(n, v) for n, p, v in picked if p == part]
+        by_part[part] = np.array([n for n, _ in own]), _units(pa.array([v for _, v in own], pa.list_(pa.float64())))
     asked = unique.sparkSession.sparkContext.broadcast(by_part)
 
     def run(batches):
         for batch in batches:
-            keys, parts, x = batch.column(0).to_pylist(), np.array(batch.column(1).to_pylist(), object), _unit(batch.column(2))
-            out = []
-            for part in set(parts):
-                if part in asked.value:
-                    rows = np.flatnonzero(parts == part)
+            ids, parts = batch.column(0).to_numpy(), np.array(batch.column(1).to_pylist(), object)
+            for rows, x in _by_length(batch.column(2)):
+                for part in set(parts[rows]) & asked.value.keys():
+                    mine = np.flatnonzero(parts[rows] == part)
                     names, q = asked.value[part]
-                    sim = q @ np.array([x[i] for i in rows]).T
-                    out += [(names[a], keys[rows[b]], float(sim[a, b])) for a, b in zip(*np.nonzero(sim >= threshold), strict=True) if names[a] != keys[rows[b]]]
-            yield _emit(out)
+                    near = (q @ x[mine].T >= threshold) & (names[:, None] != ids[rows[mine]])
+                    some = near.any(1)
+                    if some.any():
+                        yield pa.RecordBatch.from_arrays([pa.array(names[some]), pa.array(near[some].sum(1))], ["n", "true_links"])
 
-    return unique.select("key", "part", "vec").mapInArrow(run, EDGE)
+    return unique.select("n", "part", "vec").mapInArrow(run, "n long, true_links long").groupBy("n").agg(F.sum("true_links").alias("true_links"))
 
 
-def links(unique: DataFrame, threshold: float = THRESHOLD, k: int = K, recall: float = RECALL) -> DataFrame:
-    """Edges (v, u, sim) at the threshold, each in both directions. unique: a settled table of key,
-    part and vec."""
-    largest = unique.groupBy("part").count().agg(F.max("count")).first()[0] or 0
-    bits = min(max(math.ceil(math.log2(max(largest, 1) / BUCKET)), 1), 40)
-    graph = None
+def counted(unique: DataFrame, of: DataFrame, threshold: float) -> DataFrame:
+    """(n, others, n_links) of the vectors in ``of`` (n, component): other distinct vectors of the
+    component at the threshold, and how many rows they stand for. Blocks of a component meet in tasks."""
+    sizes = settle(of.groupBy("component").count().select("component", F.ceil(F.col("count") / BLOCK).alias("blocks")).filter("blocks > 1"), "nn-dense")
+    members = of.join(small(sizes), "component", "left").join(unique.select("n", "vec", "weight"), "n")
+    met = meetings(members, "n", F.unhex(F.lpad(F.hex("component"), 16, "0")), F.coalesce("blocks", F.lit(1).cast("long")))
+
+    def run(batches):
+        for batch, bounds in whole_groups(batches):
+            block, ids, weight = (batch.column(i).to_numpy() for i in (1, 2, 4))
+            n, others, links = [], [], []
+            for lo, hi in zip(bounds[:-1], bounds[1:], strict=True):
+                if hi - lo > 1:
+                    x = _units(batch.column(3).slice(lo, hi - lo))
+                    cut = int(np.searchsorted(block[lo:hi], block[lo], "right"))
+                    both = [(0, cut, cut, hi - lo), (cut, hi - lo, 0, cut)] if cut < hi - lo else [(0, cut, 0, cut)]
+                    for a, b, c, d in both:
+                        for r in range(a, b, TILE):
+                            s = min(r + TILE, b)
+                            near = (x[r:s] @ x[c:d].T >= threshold) & (ids[lo + r : lo + s, None] != ids[None, lo + c : lo + d])
+                            n.append(ids[lo + r : lo + s])
+                            others.append(near.sum(1))
+                            links.append(near @ weight[lo + c : lo + d])
+            if n:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(v)) for v in (n, others, links)], ["n", "others", "n_links"])
+
+    dealt = met.select("meeting", "block", "n", "vec", "weight").repartition("meeting").sortWithinPartitions("meeting", "block", "n")
+    return dealt.mapInArrow(run, "n long, others long, n_links long").groupBy("n").agg(F.sum("others").alias("others"), F.sum("n_links").alias("n_links"))
+
+
+def links(unique: DataFrame, threshold: float = THRESHOLD, k: int = K, wide: int = WIDE, recall: float = RECALL) -> DataFrame:
+    """(n, component, n_links) of every vector that links with another one. unique: a settled table of n,
+    key, part, vec and weight."""
     truth = settle(audit(unique, AUDIT, threshold), "nn-audit")
-    expected = truth.count()
-    for turn in range(ROUNDS):
-        start = buckets(unique, bits, turn, k, threshold)
-        graph = settle(_lists(start if graph is None else graph.unionByName(start), k, threshold), "nn-graph")
-        strong = graph.filter(F.col("sim") >= threshold).count()
+    largest = unique.groupBy("part").count().agg(F.max("count")).first()[0] or 0
+    graph, turn = None, 0
+    while True:
+        start = buckets(unique, turn, k).withColumn("fresh", F.lit(True))
+        old, graph = graph, settle(_lists(start if graph is None else graph.unionByName(start), k, wide, threshold), "nn-graph")
         for step in range(ITERATIONS):
-            graph = settle(_lists(graph.unionByName(local_joins(graph, unique, ITERATIONS * turn + step, k, threshold)), k, threshold), "nn-graph")
-            had, strong = strong, graph.filter(F.col("sim") >= threshold).count()
-            if strong == had:
+            around, more = local_joins(graph, unique, ITERATIONS * turn + step, k, wide, threshold)
+            old, graph = graph, settle(_lists(graph.withColumn("fresh", F.lit(False)).unionByName(more.withColumn("fresh", F.lit(True))), k, wide, threshold), "nn-graph")
+            dropped(old, around)
+            strong, new = graph.filter(F.col("sim") >= threshold).agg(F.count("*"), F.count_if("fresh")).first()
+            if new <= FEW * strong:
                 break
-        found = truth.join(graph.filter(F.col("sim") >= threshold), ["v", "u"], "left_semi").count()
-        if not expected or found / expected >= recall:
-            break
-    at = graph.filter(F.col("sim") >= threshold).unionByName(truth)
-    return at.unionByName(at.select(F.col("u").alias("v"), F.col("v").alias("u"), "sim")).groupBy("v", "u").agg(F.max("sim").alias("sim"))
+        of = settle(components(graph.filter(F.col("sim") >= threshold).select(F.col("v").alias("a"), F.col("u").alias("b"))).select(F.col("node").alias("n"), "component"), "nn-components")
+        found = settle(counted(unique, of, threshold), "nn-found")
+        share = truth.join(found, "n", "left").agg(F.avg(F.coalesce("others", F.lit(0)) / F.col("true_links"))).first()[0]
+        # leaves as large as the largest label have compared everything
+        if share is None or share >= recall or LEAF << turn >= largest:
+            return of.join(found, "n").select("n", "component", "n_links")
+        turn += 1
 
 
 def near_duplicates(rows: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", threshold: float = THRESHOLD) -> DataFrame:
     """One row per row of ``rows``: vec_id, n_links, component_id, kept."""
     keyed, unique = distinct_vectors(rows, id_col, vector_col, label_col)
-    unique = settle(unique, "nn-vectors")
-    edges = settle(links(unique.select("key", "part", "vec"), threshold), "nn-links")
-    of = components(edges.select(F.col("v").alias("a"), F.col("u").alias("b")))
-    others = edges.join(unique.select(F.col("key").alias("u"), "weight"), "u").groupBy("v").agg(F.sum("weight").alias("others"))
-    linked = settle(of.join(others, of.node == others.v).select(F.col("node").alias("key"), "component", "others"), "nn-linked")
-    per = settle(unique.select("key", "weight", "vec_id").join(small(linked), "key", "left").withColumn("component", F.coalesce("component", "key")), "nn-pervector")
-    heads = settle(per.groupBy("component").agg(F.min("vec_id").alias("component_id")), "nn-heads")
-    told = settle(per.join(small(heads), "component").select("key", (F.col("weight") - 1 + F.coalesce("others", F.lit(0))).cast("long").alias("n_links"), "component_id"), "nn-told")
+    linked = settle(links(unique.select("n", "key", "part", "vec", "weight"), threshold), "nn-linked")
+    per = settle(unique.select("n", "key", "weight", "vec_id").join(small(linked), "n", "left").withColumn("component", F.coalesce("component", "n")), "nn-pervector")
+    heads = settle(per.filter("n_links IS NOT NULL").groupBy("component").agg(F.min("vec_id").alias("component_id")), "nn-heads")
+    told = per.join(small(heads), "component", "left").select("key", (F.col("weight") - 1 + F.coalesce("n_links", F.lit(0))).cast("long").alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id"))
+    # rows that neither link nor repeat need no lookup
+    told = settle(told.filter("n_links > 0"), "nn-told")
     out = keyed.join(small(told), "key", "left")
     return out.select("vec_id", F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id"), (F.coalesce("component_id", "vec_id") == F.col("vec_id")).alias("kept"))

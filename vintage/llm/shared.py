@@ -3,13 +3,13 @@ vectorised access to the bytes of an Arrow text column."""
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+import xxhash
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows up to which a settled table of small rows (ids, hashes, counts) may be broadcast: at about 150
@@ -18,15 +18,14 @@ BROADCAST_ROWS = 400_000
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: ``spark.checkpoint.dir``, or, where that is unset (tests on
-    one machine), a new temporary folder that the session then keeps."""
+    """The folder that all executors share: ``spark.checkpoint.dir`` or the context's checkpoint folder.
+    With neither set there is none to guess: a folder of one machine would lose files on a cluster."""
     got = spark.conf.get("spark.checkpoint.dir", None)
     if not got:
         known = spark.sparkContext._jsc.sc().getCheckpointDir()
-        if known.isDefined():
-            return known.get()
-        got = tempfile.mkdtemp(prefix="spark-vintage-")
-        spark.sparkContext.setCheckpointDir(got)
+        if known.isEmpty():
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        got = known.get()
     return got
 
 
@@ -45,6 +44,29 @@ def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.count() <= rows else df
 
 
+def dropped(*settled: DataFrame) -> None:
+    """Delete the files of settled tables that nothing reads any more, such as an earlier round's."""
+    for df in settled:
+        context = df.sparkSession.sparkContext
+        for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+            path = context._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def halves(*columns: Column) -> Column:
+    """128 bits, as binary, that are equal for equal values: two hashes of 64 bits with different seeds."""
+    return F.concat(*[F.unhex(F.lpad(F.hex(F.xxhash64(F.lit(k), *columns)), 16, "0")) for k in (1, 2)])
+
+
+def meetings(rows: DataFrame, key: str, group: Column, blocks: Column) -> DataFrame:
+    """``rows`` once for each block of their binary group that their own block meets, its own too:
+    meeting (binary, one for each two blocks) and block. Blocks are dealt by a hash of ``key``."""
+    own = F.pmod(F.xxhash64(key), blocks)
+    told = rows.withColumn("block", own).withColumn("__with", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)))
+    place = [F.unhex(F.lpad(F.hex(f("block", "__with")), 8, "0")) for f in (F.least, F.greatest)]
+    return told.withColumn("meeting", F.concat(group, *place)).drop("__with")
+
+
 def text_buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Bytes of a text column and the n+1 offsets of its values; null is empty."""
     column = column.fill_null("").cast(pa.large_string())
@@ -88,6 +110,7 @@ def random_u64(seed: int, n: int) -> np.ndarray:
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 _BYTE = random_u64(11, 256)
+LONG = 200
 _P = np.uint64(0x9E3779B97F4A7C15 | 1)
 _P_INV = np.uint64(pow(int(_P), -1, 1 << 64))
 
@@ -123,22 +146,29 @@ def words_of(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
 
 
 def range_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hashes of the byte ranges: polynomial over random byte values, from one running sum, so
-    that a range costs the same at any length; length and finalizer go in last."""
-    n = len(data)
+    """64-bit hashes of the byte ranges. Short ones: a polynomial over random byte values modulo 2^64,
+    from one running sum, so that all cost the same; length and finalizer go in last. Such polynomials
+    are equal for some pairs of long texts of a regular build, so ranges of ``LONG`` bytes or more,
+    which are few, get a hash of their bytes."""
+    n, size = len(data), ends - starts
     sums = np.zeros(n + 1, np.uint64)
     np.cumsum(_BYTE[data] * _powers(_P_INV, n), out=sums[1:])
     h = (sums[ends] - sums[starts]) * _powers(_P, n + 1)[starts]
-    return mix64(h + (ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+    h = mix64(h + size.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+    long = np.flatnonzero(size >= LONG)
+    if len(long):
+        raw = memoryview(np.ascontiguousarray(data))
+        h[long] = [xxhash.xxh3_64_intdigest(raw[a:b]) for a, b in zip(starts[long].tolist(), ends[long].tolist(), strict=True)]
+    return h
 
 
 def as_long(x: np.ndarray) -> pa.Array:
     return pa.array(np.ascontiguousarray(x).view(np.int64))
 
 
-def whole_groups(batches):
-    """From batches sorted by their first column, (batch, bounds of its groups): a group that spans
-    batches is put together first, so each comes out whole and once."""
+def whole_groups(batches, keys: int = 1):
+    """From batches sorted by their first columns, ``keys`` of them, (batch, bounds of its groups): a group
+    that spans batches is put together first, so each comes out whole and once."""
     rest = None
     for batch in _and_end(batches):
         last = batch is None
@@ -146,8 +176,9 @@ def whole_groups(batches):
             batch = rest if last else pa.concat_batches([rest, batch])
         if batch is None or not batch.num_rows:
             continue
-        key, n = batch.column(0), batch.num_rows
-        cuts = np.flatnonzero(pc.not_equal(key.slice(1), key.slice(0, n - 1)).to_numpy(zero_copy_only=False)) + 1
+        n = batch.num_rows
+        other = [pc.not_equal(key.slice(1), key.slice(0, n - 1)).to_numpy(zero_copy_only=False) for key in batch.columns[:keys]]
+        cuts = np.flatnonzero(np.logical_or.reduce(other)) + 1
         stop = n if last else int(cuts[-1]) if len(cuts) else 0
         if stop:
             yield batch.slice(0, stop), np.array([0, *cuts[cuts < stop], stop])
