@@ -6,9 +6,9 @@ from pyspark.sql import functions as F
 
 from ..operators import identity, indicators, quality, versions
 from ..sources import archive, normalize
-from . import views
+from . import indicator_sql, views
 from .more_queries import payloads
-from .queries import BARS, BEST, MASTER, best, query
+from .queries import BARS, BEST, MASTER, RECURSIVE_BEST, as_shown, best, query
 from .views import AS_OF
 
 KEYS = ["security_id", "effective_date", "source_id"]
@@ -84,7 +84,8 @@ def fetch_manifests(spark, sf_dir):
     return m.groupBy("source_id").agg(F.count("*").alias("n"), F.bool_and((F.length("request_hash") == 64) & (F.length("content_hash") == 64)).alias("hashed"))
 
 
-@query()
+@query(f"""{RECURSIVE_BEST}, warm AS (SELECT * FROM best WHERE effective_date >= CAST(DATE '1997-01-01' - INTERVAL 400 DAY AS DATE)), {indicator_sql.steps('warm')}
+    SELECT security_id, effective_date, {indicator_sql.listed(["sma_20", "sma_50", "sma_200", "ema_12", "ema_26", "macd", "macd_ema", "macd_histogram"])} FROM wide WHERE effective_date >= DATE '1997-01-01'""")
 def chosen_indicators(spark, sf_dir):
     """Named indicators from a date on, with warm-up history before it."""
-    return indicators.chosen(best(spark, sf_dir), AS_OF, ["sma", "ema", "macd"], "1997-01-01")
+    return as_shown(indicators.chosen(best(spark, sf_dir), AS_OF, ["sma", "ema", "macd"], "1997-01-01"))

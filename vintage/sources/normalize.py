@@ -185,7 +185,11 @@ def fundamentals(p: DataFrame) -> DataFrame:
     """Statement lists to long form. Quarters are called 'quarter', as the metrics read them."""
     item = "array<struct<dataCode:string,value:string>>"
     d = records(p, "year quarter date", f"statementData:struct<incomeStatement:{item},balanceSheet:{item},cashFlow:{item},overview:{item}>").filter(_given(R("year")) & _given(R("quarter")) & _given(R("date")))
-    parts = [F.transform(F.coalesce(R("statementData")[k], F.array().cast(item)), lambda x, s=s: F.struct(F.lit(s).alias("statement"), x.dataCode.alias("item"), x.value.alias("value"))) for k, s in (("incomeStatement", "income_statement"), ("balanceSheet", "balance_sheet"), ("cashFlow", "cash_flow"), ("overview", "overview"))]
+
+    def named(statement: str):
+        return lambda x: F.struct(F.lit(statement).alias("statement"), x.dataCode.alias("item"), x.value.alias("value"))
+
+    parts = [F.transform(F.coalesce(R("statementData")[k], F.array().cast(item)), named(s)) for k, s in (("incomeStatement", "income_statement"), ("balanceSheet", "balance_sheet"), ("cashFlow", "cash_flow"), ("overview", "overview"))]
     d = d.select("*", F.explode(F.concat(*parts)).alias("x")).filter(_given(F.col("x.item")) & F.col("x.value").isNotNull())
     return _statement(d, _day(R("date")), F.concat(F.lit("FY"), R("year"), F.lit("Q"), R("quarter")), F.lit("quarter"), F.col("x.statement"), F.col("x.statement"), F.col("x.item"), F.coalesce(_num(F.col("x.value")), F.lit(0.0)))
 
@@ -213,24 +217,31 @@ _ESTIMATES = {"estimatedEPS": "estimated_eps", "estimatedRevenue": "estimated_re
 
 def wide_fundamentals(p: DataFrame) -> DataFrame:
     """Wide reports to long form: three statements by quarter and year, overview, shares, earnings, estimates.
-    A report is a map, unpivoted by a join-free look-up of its line items."""
+    A report is a map, unpivoted by a join-free look-up of its line items; a body is parsed and exploded once."""
     reports = "array<map<string,string>>"
     sections = {"incomeStatement": ("quarterlyReports", "annualReports"), "balanceSheet": ("quarterlyReports", "annualReports"), "cashFlow": ("quarterlyReports", "annualReports"), "sharesOutstanding": ("quarterly", "annual"), "earnings": ("quarterlyEarnings", "annualEarnings"), "earningsEstimates": ("quarterly", "annual")}
     schema = "struct<" + ",".join(f"{s}:struct<{q}:{reports},{a}:{reports}>" for s, (q, a) in sections.items()) + ",overview:map<string,string>>"
-    d = whole(p, schema)
     kinds = {"incomeStatement": ("income_statement", "flow", LINE_ITEMS), "balanceSheet": ("balance_sheet", "instant", LINE_ITEMS), "cashFlow": ("cash_flow", "flow", LINE_ITEMS), "sharesOutstanding": ("overview", "overview", {"sharesOutstanding": "shares_outstanding"}), "earnings": ("earnings", "earnings", _EARNINGS), "earningsEstimates": ("earnings", "earnings", _ESTIMATES)}
-    out = None
-    for section, (statement, measure, items) in kinds.items():
-        named = F.create_map(*[F.lit(x) for pair in items.items() for x in pair])
+
+    def items(names: dict[str, str]) -> Column:
+        return F.create_map(*[F.lit(x) for pair in names.items() for x in pair])
+
+    def told(statement: str, measure: str, kind: str, names: Column):
+        """Of a report its date and its known fields."""
+        fields = lambda r: F.filter(F.transform(F.map_entries(r), lambda e: F.struct(names[e.key].alias("item"), _num(e.value).alias("number"))), lambda e: e.item.isNotNull() & e.number.isNotNull())
+        return lambda r: F.struct(F.lit(statement).alias("statement"), F.lit(measure).alias("measure"), F.lit(kind).alias("kind"), _day(r["fiscalDateEnding"]).alias("end"), fields(r).alias("fields"))
+
+    found = []
+    for section, (statement, measure, names) in kinds.items():
         for key, kind in zip(sections[section], ("quarter", "fiscal_year"), strict=True):
-            x = d.select("*", F.explode(F.col("m")[section][key]).alias("report")).withColumn("end", _day(F.col("report")["fiscalDateEnding"])).filter("end IS NOT NULL")
-            x = x.select("*", F.explode("report").alias("field", "raw")).withColumns({"item": named[F.col("field")], "number": _num(F.col("raw"))}).filter("item IS NOT NULL AND number IS NOT NULL")
-            quarter = F.quarter("end") if kind == "quarter" else F.lit(4)
-            one = _statement(x, F.col("end"), F.concat(F.lit("FY"), F.year("end").cast("string"), F.lit("Q"), quarter.cast("string")), F.lit(kind), F.lit(measure), F.lit(statement), F.col("item"), F.col("number"))
-            out = one if out is None else out.unionByName(one)
-    named = F.create_map(*[F.lit(x) for pair in OVERVIEW_ITEMS.items() for x in pair])
-    x = d.select("*", F.explode("m.overview").alias("field", "raw")).withColumns({"item": named[F.col("field")], "number": _num(F.col("raw"))}).filter("item IS NOT NULL AND number IS NOT NULL")
-    return out.unionByName(_statement(x, _known_day(), F.lit("OVERVIEW"), F.lit("snapshot"), F.lit("overview"), F.lit("overview"), F.col("item"), F.col("number")))
+            dated = F.filter(F.transform(F.col("m")[section][key], told(statement, measure, kind, items(names))), lambda r: r.end.isNotNull())
+            found.append(F.coalesce(dated, F.array()))
+    # the body is parsed once: an overview is one more report, dated by the day on which it was known
+    overview = F.transform(F.filter(F.array("m.overview"), lambda m: m.isNotNull()), lambda m: F.struct(*[told("overview", "overview", "snapshot", items(OVERVIEW_ITEMS))(m)[c].alias(c) for c in ("statement", "measure", "kind")], _known_day().alias("end"), told("overview", "overview", "snapshot", items(OVERVIEW_ITEMS))(m).fields.alias("fields")))
+    d = whole(p, schema).select("*", F.explode(F.concat(*found, overview)).alias("x")).select("*", "x.*", F.explode("x.fields").alias("f"))
+    quarter = F.when(F.col("kind") == "quarter", F.quarter("end")).otherwise(4)
+    fiscal = F.when(F.col("kind") == "snapshot", "OVERVIEW").otherwise(F.concat(F.lit("FY"), F.year("end").cast("string"), F.lit("Q"), quarter.cast("string")))
+    return _statement(d, F.col("end"), fiscal, F.col("kind"), F.col("measure"), F.col("statement"), F.col("f.item"), F.col("f.number"))
 
 
 def _action(d: DataFrame, day: Column, kind: str, num: Column, den: Column, amount: Column, currency: Column) -> DataFrame:
@@ -280,7 +291,11 @@ def top_movers(p: DataFrame) -> DataFrame:
     kinds = ("top_gainers", "top_losers", "most_actively_traded")
     mover = "array<" + _struct("ticker price change_amount change_percentage volume") + ">"
     d = whole(p, "struct<" + ",".join(f"{k}:{mover}" for k in kinds) + ">")
-    lists = [F.transform(F.coalesce(F.col("m")[k], F.array().cast(mover)), lambda x, k=k: F.struct(F.lit(k).alias("kind"), x.alias("x"))) for k in kinds]
+
+    def named(kind: str):
+        return lambda x: F.struct(F.lit(kind).alias("kind"), x.alias("x"))
+
+    lists = [F.transform(F.coalesce(F.col("m")[k], F.array().cast(mover)), named(k)) for k in kinds]
     d = d.select("*", F.explode(F.concat(*lists)).alias("e")).select("*", F.col("e.kind").alias("kind"), F.col("e.x").alias("r")).filter(_given(R("ticker")))
     return _facts(d, R("ticker").alias("security_id"), _known_day().alias("effective_date"), F.col("kind").alias("mover_type"), _num(R("price")).alias("price"), _num(R("change_amount")).alias("change_amount"), _num(R("change_percentage")).alias("change_percent"), _num(R("volume")).alias("volume"))
 
