@@ -5,7 +5,9 @@ and the metrics in long form."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import tomllib
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .pit import fundamental_metrics_asof, known
@@ -116,7 +118,7 @@ def period_metrics(facts: DataFrame, as_of) -> DataFrame:
         _ratio(p + "profitability.fcf_margin_ttm", F.col("fcf"), c["revenue"], "free_cash_flow_ttm / revenue_ttm * 100", scale=100.0),
         _ratio(p + "cash_flow_quality.cfo_to_net_income_ttm", c["operating_cash_flow"], c["net_income"], "operating_cash_flow_ttm / net_income_ttm"),
         _ratio(p + "cash_flow_quality.fcf_conversion_ttm", F.col("fcf"), c["net_income"], "free_cash_flow_ttm / net_income_ttm"),
-        *[_growth(p + f"growth.{i}_yoy_ttm", c[i], F.col(f"{i}_ago"), f"{i}_ttm / {i}_ttm_1y_ago - 1") for i in ("revenue", "diluted_eps", "ebitda")],
+        *[_growth(p + f"growth.{n}_yoy_ttm", c[i], F.col(f"{i}_ago"), f"{i}_ttm / {i}_ttm_1y_ago - 1") for n, i in (("revenue", "revenue"), ("eps_diluted", "diluted_eps"), ("ebitda", "ebitda"))],
         _plain(p + "financial_health.cash_and_equivalents_mrq", "mrq", "latest balance", c["cash_and_equivalents"]),
         _plain(p + "financial_health.total_debt_mrq", "mrq", "latest balance", F.col("debt")),
         _plain(p + "financial_health.net_debt_mrq", "mrq", "total_debt_mrq - cash_and_equivalents_mrq", F.col("net_debt")),
@@ -137,7 +139,7 @@ def estimate_metrics(estimates: DataFrame, earnings: DataFrame, as_of) -> DataFr
     out = newest.select("security_id", "available_at", F.inline(F.array(*items))).filter("value IS NOT NULL").select("security_id", "metric_id", "value", "available_at")
     today = F.lit(as_of).cast("date")
     following = known(earnings, as_of).filter(F.col("report_date") > today).groupBy("security_id").agg(F.min(F.struct("report_date", "available_at")).alias("n"))
-    return out.unionByName(following.select("security_id", F.lit(p + "days_to_earnings").alias("metric_id"), F.datediff("n.report_date", today).cast("double").alias("value"), F.col("n.available_at").alias("available_at")))
+    return out.unionByName(following.select("security_id", F.lit("fundamentals.events.days_to_earnings").alias("metric_id"), F.datediff("n.report_date", today).cast("double").alias("value"), F.col("n.available_at").alias("available_at")))
 
 
 #: Valuation metrics and the per-share inputs that they divide a price by.
@@ -173,14 +175,27 @@ def metrics_with_valuation(metrics: DataFrame, bars: DataFrame, as_of, prioritie
     return shown.unionByName(valued)
 
 
-def with_display(metrics: DataFrame, bands: DataFrame | None = None) -> DataFrame:
-    """state, threshold state, tone and label, and a printed value. bands: (metric_id, state, tone, label, lo,
-    hi), a small table whose first band with lo <= value < hi wins."""
+def glossary(spark: SparkSession, text: str) -> DataFrame:
+    """(metric_id, unit, profile_id, method, bands) from TOML: the dimension of metrics, some dozen rows."""
+    raw = tomllib.loads(text)
+    rows = []
+    for metric, (unit, profile) in raw["metric"].items():
+        told = raw["profile"][profile]
+        rows.append((metric, unit, profile, told["method"], [(b["state"], b["tone"], b["state"].replace("_", " "), b.get("min"), b.get("max")) for b in told["bands"]]))
+    return spark.createDataFrame(rows, "metric_id string, unit string, profile_id string, method string, bands array<struct<state:string,tone:string,label:string,lo:double,hi:double>>")
+
+
+def with_display(metrics: DataFrame, dimension: DataFrame | None = None) -> DataFrame:
+    """A state and a printed value, and, given the ``glossary``, the threshold's state, tone and label: the
+    first band with lo <= value < hi; a metric whose profile only gives context is contextual, one that is
+    ranked among peers shows its raw value, since no peer table exists. No value is unavailable."""
     shown = F.when(F.col("value").isNull(), "n/a").when(F.col("unit") == "percent", F.format_string("%.2f%%", "value")).when(F.col("unit") == "multiple", F.format_string("%.2fx", "value")).otherwise(F.format_string("%.2f", "value"))
     d = metrics.withColumns({"state": F.when(F.col("value").isNull(), F.col("quality_status")).otherwise("available"), "display_value": shown})
-    if bands is None:
+    if dimension is None:
         return d
-    b = bands.groupBy("metric_id").agg(F.sort_array(F.collect_list(F.struct("lo", "hi", "state", "tone", "label"))).alias("bands"))
-    fits = F.filter("bands", lambda x: (x.lo.isNull() | (F.col("value") >= x.lo)) & (x.hi.isNull() | (F.col("value") < x.hi)))
-    d = d.join(F.broadcast(b), "metric_id", "left").withColumn("band", F.when(F.col("value").isNotNull() & F.col("bands").isNotNull(), F.get(fits, F.lit(0))))
-    return d.select(*[c for c in d.columns if c not in ("bands", "band")], F.coalesce("band.state", F.lit("context")).alias("threshold_state"), F.col("band.tone").alias("threshold_tone"), F.col("band.label").alias("threshold_label"))
+    fits = F.get(F.filter("bands", lambda x: (x.lo.isNull() | (F.col("value") >= x.lo)) & (x.hi.isNull() | (F.col("value") < x.hi))), F.lit(0))
+    gray = lambda state, label: F.struct(F.lit(state).alias("state"), F.lit("gray").alias("tone"), F.lit(label).alias("label"))
+    band = F.when(F.col("value").isNull(), gray("unavailable", "unavailable")).when(F.col("method") == "context", gray("contextual", "contextual")).when(F.col("method") == "peer_percentile", gray("raw_value", "raw value (peer data insufficient)"))
+    band = band.when(fits.isNull() & F.col("method").isNotNull(), gray("available", "available")).when(fits.isNotNull(), F.struct(fits.state.alias("state"), fits.tone.alias("tone"), fits.label.alias("label")))
+    d = d.join(F.broadcast(dimension.select("metric_id", "profile_id", "method", "bands")), "metric_id", "left").withColumn("band", band)
+    return d.select(*[c for c in d.columns if c not in ("bands", "band", "method")], F.col("band.state").alias("threshold_state"), F.col("band.tone").alias("threshold_tone"), F.col("band.label").alias("threshold_label"))

@@ -204,12 +204,17 @@ def _ema(x: pd.Series, n: int) -> pd.Series:
 
 
 def _kama(s: np.ndarray, n: int = 10, fast: float = 2 / 3, slow: float = 2 / 31) -> np.ndarray:
-    out, steps = np.full(len(s), np.nan), np.abs(np.diff(s, prepend=s[:1]))
-    for i in range(n, len(s)):
-        change, path = abs(s[i] - s[i - n]), steps[i - n + 1 : i + 1].sum()
-        sc = ((change / path if path and change else 0.0) * (fast - slow) + slow) ** 2
-        prev = s[i - n] if np.isnan(out[i - 1]) else out[i - 1]
-        out[i] = prev + sc * (s[i] - prev)
+    out = np.full(len(s), np.nan)
+    if len(s) <= n:
+        return out
+    change, path = np.abs(s[n:] - s[:-n]), np.lib.stride_tricks.sliding_window_view(np.abs(np.diff(s)), n).sum(1)
+    ratio = np.divide(change, path, out=np.zeros_like(path), where=(path != 0) & (change != 0))
+    prev, values = s[0], []
+    for sc, old, now in zip(((ratio * (fast - slow) + slow) ** 2).tolist(), s[:-n].tolist(), s[n:].tolist(), strict=True):
+        prev = old if prev != prev else prev
+        prev += sc * (now - prev)
+        values.append(prev)
+    out[n:] = values
     return out
 
 
@@ -247,23 +252,27 @@ def finite_indicators(bars: DataFrame, benchmark: DataFrame | None = None) -> Da
     return _second(_first(d))
 
 
-def compute_all(bars: DataFrame, as_of, benchmark: DataFrame | None = None) -> DataFrame:
-    """One wide row for each (security, date) of the bars known at ``as_of``, as a derived fact. A security's
-    whole history is one group of the recursive pass; histories are at most some ten thousand rows."""
-    d = finite_indicators(known(bars, as_of).select("security_id", "effective_date", "open", "high", "low", "close", "volume"), benchmark)
-    keep = [f for f in d.schema.fields if f.name not in (*_SCRATCH, "open", "high", "low", "close", "volume")]
-    schema = T.StructType([*keep, *[T.StructField(c, T.DoubleType()) for c in RECURSIVE]])
-    names = [f.name for f in keep]
+PRICES = ("open", "high", "low", "close", "volume")
+
+
+def compute_all(bars: DataFrame, as_of, benchmark: DataFrame | None = None, carry: tuple[str, ...] = ()) -> DataFrame:
+    """One wide row for each (security, date) of the bars known at ``as_of``, as a derived fact, with the
+    ``carry`` columns of PRICES. Only what the recursive columns read goes through Python; a security's whole
+    history is one group there, at most some ten thousand rows."""
+    d = finite_indicators(known(bars, as_of).select("security_id", "effective_date", *PRICES), benchmark)
+    keep = [f for f in d.schema.fields if f.name in ("security_id", "effective_date", *carry) or f.name not in (*_SCRATCH, *PRICES)]
+    keys = ["security_id", "effective_date"]
+    schema = T.StructType([*[d.schema[c] for c in keys], *[T.StructField(c, T.DoubleType()) for c in RECURSIVE]])
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("effective_date").reset_index(drop=True)
-        return pd.concat([pdf[names], recursive_columns(pdf)], axis=1)
+        return pd.concat([pdf[keys], recursive_columns(pdf)], axis=1)
 
-    need = [*names, *[c for c in ("close", "dx", "ad_line", "raw_force", "raw_eom", "atr_10") if c not in names]]
-    out = d.select(*need).groupBy("security_id").applyInPandas(run, schema)
+    recursive = d.select(*keys, "close", "dx", "ad_line", "raw_force", "raw_eom", "atr_10").groupBy("security_id").applyInPandas(run, schema)
+    out = d.select(*[f.name for f in keep]).join(recursive, keys)
     # a missing number is null, never NaN
-    values = [finite(f.name).alias(f.name) if isinstance(f.dataType, T.DoubleType) else F.col(f.name) for f in schema.fields if f.name not in ("security_id", "effective_date")]
-    return out.select("security_id", "effective_date", F.lit(as_of).cast("timestamp").alias("available_at"), F.lit("derived").alias("source_id"), *values)
+    values = [finite(f.name).alias(f.name) if isinstance(f.dataType, T.DoubleType) else F.col(f.name) for f in [*keep, *schema.fields[2:]] if f.name not in keys]
+    return out.select(*keys, F.lit(as_of).cast("timestamp").alias("available_at"), F.lit("derived").alias("source_id"), *values)
 
 
 #: Named indicators with their default arguments, for requests by name over columns of ``compute_all``.

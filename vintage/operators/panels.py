@@ -53,9 +53,13 @@ def _nested(table: DataFrame, name: str) -> DataFrame:
     return table.groupBy("security_id").agg(F.sort_array(F.collect_list(F.struct(*cols))).alias(name))
 
 
+#: Parts of a panel that are experimental.
+EXPERIMENTAL = ("attention",)
+
+
 def decision_panel(securities: DataFrame, bars: DataFrame, as_of, indicators: DataFrame | None = None, metrics: DataFrame | None = None, insider: DataFrame | None = None, earnings: DataFrame | None = None, attention: DataFrame | None = None, readouts: DataFrame | None = None, earnings_days: int = 90, attention_days: int = 30, rows: int = 10) -> DataFrame:
     """One row per security: its price summary and nested facts, with ``missing``, the names of the parts that
-    have nothing for it. Nested lists are bounded: the newest indicator row, the newest transactions, the
+    have nothing for it, and ``experimental``, those it has that may still change in meaning. Nested lists are bounded: the newest indicator row, the newest transactions, the
     reports of the coming and the attention of the past days, and one row per metric and readout."""
     today = F.lit(as_of).cast("date")
     out = securities.select("security_id").distinct().join(price_summary(bars, as_of), "security_id", "left")
@@ -77,4 +81,5 @@ def decision_panel(securities: DataFrame, bars: DataFrame, as_of, indicators: Da
     for part in parts.values():
         out = out.join(part, "security_id", "left")
     missing = F.array_compact(F.array(F.when(F.col("n_bars").isNull(), F.lit("bars")), *[F.when(F.col(p).isNull(), F.lit(p)) for p in parts]))
-    return out.withColumns({"missing": missing, "days_since_bar": F.datediff(today, "last_date")})
+    experimental = F.array_compact(F.array(*[F.when(F.col(p).isNotNull(), F.lit(p)) for p in EXPERIMENTAL if p in parts])).cast("array<string>")
+    return out.withColumns({"missing": missing, "experimental": experimental, "days_since_bar": F.datediff(today, "last_date")})

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.exprs import finite, history, ieee_div, lag, rolling
-from .indicators import compute_all
+from .indicators import PRICES, compute_all
 from .pit import known
 
 
@@ -120,20 +120,23 @@ def _color(r: Readout, state: Column) -> Column:
     return F.when(state == r.good, "green").when(state.isin(*GRAY), "gray").when(state.isin(*r.bad), "red").when(state.isin(*r.amber), "amber").otherwise("gray")
 
 
-def compute(bars: DataFrame, as_of, profiles: dict[str, Profile], benchmark: DataFrame | None = None, stored: DataFrame | None = None) -> DataFrame:
+def compute(bars: DataFrame, as_of, profiles: dict[str, Profile], benchmark: DataFrame | None = None, stored: DataFrame | None = None, computed: DataFrame | None = None, places: int | None = None) -> DataFrame:
     """All readouts of all securities in long form: security_id, definition_id, value, state, orientation,
     attention, risk, color. bars: one per cell. stored: indicator rows that are preferred to recomputed
-    ones. Readouts that need a benchmark are left out without one."""
-    b = known(bars, as_of).select("security_id", "effective_date", "open", "high", "low", "close", "volume", "available_at")
-    ind = compute_all(b, as_of, benchmark)
+    ones. computed: what ``compute_all`` made of these bars, with their prices, where that exists already.
+    Readouts that need a benchmark are left out without one. places: of the values, instead of each
+    readout's own.
+
+    One pass: what a row needs comes from windows over its security, and the newest row and the shares of
+    the history under its values from one aggregation a security."""
+    d = computed if computed is not None else compute_all(bars, as_of, benchmark, carry=PRICES)
     names = ["adx_14", "di_plus_14", "di_minus_14", "rsi_14", "macd", "macd_ema", "atr_pct", "bandwidth", "rvol", "realized_vol_21", "realized_vol_63", "keltner_upper", "keltner_middle", "keltner_lower"]
-    ind = ind.select("security_id", "effective_date", *names)
-    d = b.drop("available_at").join(ind, ["security_id", "effective_date"])
+    d = d.select("security_id", "effective_date", *PRICES, *names)
     d = d.withColumns({"n": F.row_number().over(history()), "pc": lag("close"), "v": F.col("volume").cast("double")})
     if benchmark is not None:
         m = known(benchmark, as_of).select(F.lit("b").alias("security_id"), "effective_date", "close")
         m = m.withColumns({"m1": ieee_div("close", lag("close")) - 1, "m21": ieee_div("close", lag("close", 21)) - 1}).select("effective_date", "m1", "m21")
-        d = d.join(F.broadcast(m), "effective_date", "left")
+        d = d.join(F.broadcast(m), "effective_date", "left")  # one row a day
     d = d.withColumns({"r1": ieee_div("close", "pc") - 1, "h_range": finite(ieee_div(F.col("high") - F.col("low"), "close")), "h_vol": finite(ieee_div("realized_vol_21", "realized_vol_63")), "step": F.abs(F.col("close") - F.col("pc")), "vn": F.col("n").cast("double")})
     d = d.withColumns({"h_move": rolling(F.avg, "step", 14), "h_atr": F.col("atr_pct"), "h_width": F.col("bandwidth"), "h_rvol": F.col("rvol")})
     if benchmark is not None:
@@ -143,10 +146,9 @@ def compute(bars: DataFrame, as_of, profiles: dict[str, Profile], benchmark: Dat
     hi, lo = rolling(F.max, "close", 20), rolling(F.min, "close", 20)
     roc10, roc21 = finite(ieee_div("close", lag("close", 10)) - 1), finite(ieee_div("close", lag("close", 21)) - 1)
     d = d.withColumns({"roc10": roc10, "roc21": roc21, "v_slope": slope("v"), "v_mean5": F.avg("v").over(five), "hi": hi, "lo": lo, "rs_slope": slope("rs21") if benchmark is not None else F.lit(None).cast("double")})
-    newest = d.withColumn("back", F.row_number().over(Window.partitionBy("security_id").orderBy(F.desc("effective_date")))).filter("back = 1").select("security_id", *[c for c in d.columns if c != "security_id"])
-    if stored is not None:
+    if stored is not None:  # only the newest row's values are read below
         s = known(stored, as_of).groupBy("security_id").agg(F.max_by(F.struct(*names), F.struct("effective_date", "available_at")).alias("s"))
-        newest = newest.join(s, "security_id", "left").withColumns({c: F.coalesce(F.col("s")[c], F.col(c)) for c in names}).drop("s")
+        d = d.join(s, "security_id", "left").withColumns({c: F.coalesce(F.col("s")[c], F.col(c)) for c in names}).drop("s")
     width = F.col("keltner_upper") - F.col("keltner_lower")
     values = {
         "price_action.daily_move": F.try_divide(F.col("close") - F.col("pc"), F.col("pc")),
@@ -160,7 +162,7 @@ def compute(bars: DataFrame, as_of, profiles: dict[str, Profile], benchmark: Dat
         "momentum.quality": (F.col("roc10") + F.col("roc21")) / 2,
         "volatility.atr_percent": F.col("atr_pct"),
         "volatility.bollinger_width": F.col("bandwidth"),
-        "volatility.regime": F.col("h_vol"),
+        "volatility.regime": finite(ieee_div("realized_vol_21", "realized_vol_63")),
         "participation.rvol": F.col("rvol"),
         "participation.volume_trend": F.when(F.col("v_mean5") != 0, F.try_divide(F.col("v_slope"), F.col("v_mean5"))).otherwise(F.when(F.col("v_slope").isNotNull(), 0.0)),
         "market_regime.breakout_state": F.try_divide(F.col("close") - F.col("lo"), F.col("hi") - F.col("lo")),
@@ -170,25 +172,34 @@ def compute(bars: DataFrame, as_of, profiles: dict[str, Profile], benchmark: Dat
         values["relative_strength.vs_benchmark"] = F.when(F.col("m21") > -1, F.try_divide(1 + F.col("roc21"), 1 + F.col("m21")) - 1)
         values["relative_strength.regime"] = F.col("rs_slope")
     ranked = {r: READOUTS[r].ranked for r in values if READOUTS[r].ranked}
-    wide = newest.select("security_id", F.col("n").alias("rows"), "roc10", "roc21", *[c.cast("double").alias(_name(r)) for r, c in values.items()])
+    wide = d.select("security_id", "effective_date", F.col("n").alias("rows"), "roc10", "roc21", *dict.fromkeys(ranked.values()), *[c.cast("double").alias(_name(r)) for r, c in values.items()])
     wide = wide.withColumns({_name(r): finite(_name(r)) for r in values})
-    # the share of each history strictly under the newest value
-    hist = d.select("security_id", *dict.fromkeys(ranked.values())).join(wide.select("security_id", *[_name(r) for r in ranked]), "security_id")
-    below = hist.groupBy("security_id").agg(*[F.avg((F.col(h) < F.col(_name(r))).cast("double")).alias(f"below_{_name(r)}") for r, h in ranked.items()])
-    wide = wide.join(below, "security_id")
-    items = [_item(r, profiles.get(r), values) for r in sorted(values)]
-    return wide.select("security_id", F.inline(F.array(*items)))
+    # the newest value beside each row of the history, to count those strictly under it
+    whole = history().rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    wide = wide.withColumns({f"newest_{_name(r)}": F.last(_name(r)).over(whole) for r in ranked})
+    shares = [F.avg((F.col(h) < F.col(f"newest_{_name(r)}")).cast("double")).alias(f"below_{_name(r)}") for r, h in ranked.items()]
+    newest = F.max_by(F.struct("rows", "roc10", "roc21", *[_name(r) for r in values]), "effective_date").alias("newest")
+    wide = wide.groupBy("security_id").agg(newest, *shares).select("security_id", "newest.*", *[f"below_{_name(r)}" for r in ranked])
+    # values and states first, so that what follows from a state doesn't repeat its expression
+    wide = wide.withColumns({_name(r): F.when(F.col("rows") >= READOUTS[r].lookback, F.col(_name(r))) for r in values})
+    wide = wide.withColumns({f"state_{_name(r)}": _state(r, profiles.get(r)) for r in values})
+    return wide.select("security_id", F.inline(F.array(*[_item(r, places) for r in sorted(values)])))
 
 
 def _name(readout: str) -> str:
     return readout.replace(".", "__")
 
 
-def _item(readout: str, profile: Profile | None, values: dict) -> Column:
-    r, value = READOUTS[readout], F.when(F.col("rows") >= READOUTS[readout].lookback, F.col(_name(readout)))
-    below = F.col(f"below_{_name(readout)}") if r.ranked else None
+def _state(readout: str, profile: Profile | None) -> Column:
+    r, value = READOUTS[readout], F.col(_name(readout))
+    if profile is None:
+        return F.lit("unavailable")
     tested = F.abs(value) if readout == "market_regime.keltner_touch" else value
-    state = F.lit("unavailable") if profile is None else resolve_state(profile, tested, F.col("rows") if r.ranked else None, below, r.lookback)
+    return resolve_state(profile, tested, F.col("rows") if r.ranked else None, F.col(f"below_{_name(readout)}") if r.ranked else None, r.lookback)
+
+
+def _item(readout: str, places: int | None) -> Column:
+    r, value, state = READOUTS[readout], F.col(_name(readout)), F.col(f"state_{_name(readout)}")
     sign = lambda x: F.when(x > 0, "upward").when(x < 0, "downward").otherwise("mixed")
     orientation = {
         "none": F.lit("not_applicable"), "sign": sign(value), "fifty": sign(value - 50), "state": state,
@@ -198,4 +209,4 @@ def _item(readout: str, profile: Profile | None, values: dict) -> Column:
     orientation = F.when(value.isNull(), "not_applicable").otherwise(orientation)
     level = lambda states: F.when(state.isin(*states), "elevated").otherwise("normal") if states else F.lit("normal")
     risk = F.when(state == "blown", "extreme").otherwise(level(r.risk))
-    return F.struct(F.lit(readout).alias("definition_id"), F.round(value, r.places).alias("value"), state.alias("state"), orientation.alias("orientation"), level(r.attention).alias("attention"), risk.alias("risk"), _color(r, state).alias("color"))
+    return F.struct(F.lit(readout).alias("definition_id"), F.round(value, r.places if places is None else places).alias("value"), state.alias("state"), orientation.alias("orientation"), level(r.attention).alias("attention"), risk.alias("risk"), _color(r, state).alias("color"))

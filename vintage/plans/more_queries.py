@@ -2,24 +2,24 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from pathlib import Path
 
 from pyspark.sql import functions as F
 
-from ..operators import derived, fundamentals, identity, indicators, panels, pit, readouts, versions
+from ..operators import fundamentals, identity, panels, pit, readouts, versions
 from ..sources import archive, normalize
 from ..streaming import ingest
 from . import views
 from .queries import BARS, BEST, MASTER, W, best, lagged, query, roll, rounded
-from .views import AS_OF, BENCHMARK
+from .views import AS_OF
 
 
 def shared_folder(spark, name: str) -> str:
-    """A new path in the folder that executors share (spark.checkpoint.dir), or, where that is unset, in a
-    temporary one of this machine."""
-    top = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-vintage-")
+    """A new path in the folder that the driver and all executors share, spark.checkpoint.dir."""
+    top = spark.conf.get("spark.checkpoint.dir", None)
+    if not top:
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     return f"{top.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
@@ -33,7 +33,7 @@ def facts(spark, sf_dir):
     report the year instead of the fourth quarter."""
     cells = views.view(spark, sf_dir, f"WITH {CELLS} SELECT * FROM cells", "orders", "customer")
     even = F.substring_index("security_id", "_", -1).cast("int") % 2 == 0
-    items = {"revenue": "rev", "gross_profit": "gp", "operating_income": "oi", "ebitda": "oi + rev / 10", "net_income": "ni", "operating_cash_flow": "cfo", "capital_expenditure": "-debt / 4", "diluted_eps": "ni / 1000000"}
+    items = {"revenue": "rev", "gross_profit": "gp", "operating_income": "oi", "ebitda": "oi + rev / 7", "net_income": "ni", "operating_cash_flow": "cfo", "capital_expenditure": "-debt / 4", "diluted_eps": "ni / 1000000"}
     stock = {"cash_and_equivalents": "cfo", "total_debt": "debt", "current_assets": "gp", "current_liabilities": "oi", "total_equity": "rev - debt"}
 
     def long(d, pairs, measure):
@@ -60,7 +60,7 @@ def facts(spark, sf_dir):
     UNION ALL SELECT security_id, 'fundamentals.profitability.fcf_margin_ttm', round(CASE WHEN rev > 0 THEN (cfo - capex) / rev * 100 END, 4), CASE WHEN rev > 0 THEN 'valid' ELSE 'not_meaningful' END FROM n
     UNION ALL SELECT security_id, 'fundamentals.cash_flow_quality.cfo_to_net_income_ttm', round(CASE WHEN ni > 0 THEN cfo / ni END, 4), CASE WHEN ni > 0 THEN 'valid' ELSE 'not_meaningful' END FROM n
     UNION ALL SELECT n.security_id, 'fundamentals.growth.revenue_yoy_ttm', round(CASE WHEN p.rev > 0 THEN (n.rev / p.rev - 1) * 100 END, 4), CASE WHEN p.rev > 0 THEN 'valid' ELSE 'not_meaningful' END FROM n JOIN p ON n.security_id = p.security_id
-    UNION ALL SELECT n.security_id, 'fundamentals.financial_health.net_debt_to_ebitda_ttm', round(CASE WHEN n.oi + n.rev / 10 > 0 THEN (m.debt - m.cfo) / (n.oi + n.rev / 10) END, 4), CASE WHEN n.oi + n.rev / 10 > 0 THEN 'valid' ELSE 'not_meaningful' END FROM n JOIN m ON n.security_id = m.security_id
+    UNION ALL SELECT n.security_id, 'fundamentals.financial_health.net_debt_to_ebitda_ttm', round(CASE WHEN n.oi + n.rev / 7 > 0 THEN (m.debt - m.cfo) / (n.oi + n.rev / 7) END, 4), CASE WHEN n.oi + n.rev / 7 > 0 THEN 'valid' ELSE 'not_meaningful' END FROM n JOIN m ON n.security_id = m.security_id
     UNION ALL SELECT security_id, 'fundamentals.financial_health.current_ratio_mrq', round(CASE WHEN oi > 0 THEN gp / oi END, 4), CASE WHEN oi > 0 THEN 'valid' ELSE 'not_meaningful' END FROM m""")
 def fundamental_metrics(spark, sf_dir):
     shown = ["scale.revenue_ttm", "profitability.gross_margin_ttm", "profitability.fcf_margin_ttm", "cash_flow_quality.cfo_to_net_income_ttm", "growth.revenue_yoy_ttm", "financial_health.net_debt_to_ebitda_ttm", "financial_health.current_ratio_mrq"]
@@ -68,12 +68,6 @@ def fundamental_metrics(spark, sf_dir):
     return rounded(got.select("security_id", "metric_id", "value", "quality_status"), 4)
 
 
-@query()
-def fundamental_metrics_all(spark, sf_dir):
-    """All metrics with their lineage and display values."""
-    return fundamentals.with_display(fundamentals.period_metrics(facts(spark, sf_dir), AS_OF))
-
-
 ESTIMATES = "SELECT concat('sec_', CAST(o_custkey % 100 AS STRING)) AS security_id, CAST(o_orderdate AS DATE) AS effective_date, CAST(CAST(o_orderdate AS DATE) AS TIMESTAMP) + INTERVAL 1 DAY AS available_at, max(o_orderkey) % 7 AS strong_buy, max(o_orderkey) % 5 AS buy, max(o_orderkey) % 3 AS hold, max(o_orderkey) % 2 AS sell, CAST(0 AS BIGINT) AS strong_sell, max(o_totalprice) AS target_mean FROM orders GROUP BY 1, 2, 3"
 REPORTS = "SELECT DISTINCT concat('sec_', CAST(o_custkey % 100 AS STRING)) AS security_id, CAST(o_orderdate AS DATE) AS report_date, TIMESTAMP '1992-01-01 00:00:00' AS available_at FROM orders"
 
@@ -81,7 +75,7 @@ REPORTS = "SELECT DISTINCT concat('sec_', CAST(o_custkey % 100 AS STRING)) AS se
 @query(f"""WITH e AS ({ESTIMATES}), n AS (SELECT DISTINCT ON (security_id) * FROM e WHERE available_at <= TIMESTAMP '1997-06-30 00:00:00' ORDER BY security_id, effective_date DESC), r AS ({REPORTS})
     SELECT security_id, 'fundamentals.estimates.target_price' AS metric_id, round(target_mean, 4) AS value FROM n
     UNION ALL SELECT security_id, 'fundamentals.estimates.buy_ratio', round((strong_buy + buy)::DOUBLE / (strong_buy + buy + hold + sell) * 100, 4) FROM n WHERE strong_buy + buy + hold + sell > 0
-    UNION ALL SELECT security_id, 'fundamentals.estimates.days_to_earnings', CAST(min(report_date) - DATE '1997-06-30' AS DOUBLE) FROM r WHERE report_date > DATE '1997-06-30' GROUP BY 1""")
+    UNION ALL SELECT security_id, 'fundamentals.events.days_to_earnings', CAST(min(report_date) - DATE '1997-06-30' AS DOUBLE) FROM r WHERE report_date > DATE '1997-06-30' GROUP BY 1""")
 def estimate_metrics(spark, sf_dir):
     views.load(spark, sf_dir, "orders")
     none = F.lit(None).cast("double")
@@ -119,13 +113,6 @@ def readout_states(spark, sf_dir):
     return got.filter(F.col("definition_id").isin("price_action.daily_move", "price_action.gap", "momentum.quality", "market_regime.breakout_state", "price_action.intraday_volatility")).select("security_id", "definition_id", "value", "state")
 
 
-@query()
-def readouts_all(spark, sf_dir):
-    """All eighteen readouts of all securities."""
-    b = best(spark, sf_dir)
-    return readouts.compute(b, AS_OF, profiles(), b.filter(F.col("security_id") == BENCHMARK))
-
-
 @query(f"""{BEST}, x AS (SELECT *, {lagged('close')} AS pc FROM best) SELECT security_id, max(effective_date) AS last_date, arg_max(close, effective_date) AS last_close, round(arg_max(close, effective_date) / arg_max(pc, effective_date) - 1, 6) AS change_pct,
     round(max(high), 6) AS max_high, round(min(low), 6) AS min_low, count(*) AS n_bars FROM x GROUP BY 1""")
 def price_summary(spark, sf_dir):
@@ -133,33 +120,6 @@ def price_summary(spark, sf_dir):
     return rounded(got.select("security_id", "last_date", "last_close", "change_pct", "max_high", "min_low", "n_bars"))
 
 
-@query()
-def summary_cards(spark, sf_dir):
-    """Price summary, trend and newest indicators of each security."""
-    b = best(spark, sf_dir)
-    return panels.summary_card(b, indicators.finite_indicators(b).select("security_id", "effective_date", "sma_20", "rsi_14", "atr_pct"), AS_OF)
-
-
-@query()
-def decision_panel(spark, sf_dir):
-    """Nested facts of each security."""
-    b = best(spark, sf_dir)
-    insider = views.view(spark, sf_dir, views.INSIDER_SQL, "events")
-    attention = views.view(spark, sf_dir, views.ATTENTION_SQL, "events")
-    views.load(spark, sf_dir, "orders")
-    earnings = spark.sql(REPORTS).withColumn("session", F.lit("regular"))
-    ind = indicators.compute_all(b, AS_OF).select("security_id", "effective_date", "available_at", "sma_20", "ema_12", "rsi_14")
-    return panels.decision_panel(b.select("security_id"), b, AS_OF, indicators=ind, insider=insider, earnings=earnings, attention=attention, readouts=readouts.compute(b, AS_OF, profiles()))
-
-
-@query(f"""WITH a AS (SELECT security_id, effective_date, CAST(sum(mentions) AS BIGINT) AS mentions FROM ({views.ATTENTION_SQL}) x GROUP BY 1, 2) SELECT security_id, effective_date, mentions FROM (SELECT DISTINCT ON (security_id) * FROM a ORDER BY security_id, effective_date DESC) ORDER BY mentions DESC, security_id LIMIT 25""")
-def attention_leaderboard(spark, sf_dir):
-    attention = views.view(spark, sf_dir, views.ATTENTION_SQL, "events")
-    sentiment = derived.sentiment_split(views.view(spark, sf_dir, views.SENTIMENT_SQL, "labels"), "2100-01-01")
-    got = panels.attention_leaderboard(attention, derived.attention_deltas(attention, "2100-01-01"), sentiment, "2100-01-01")
-    return got.select("security_id", "effective_date", "mentions")
-
-
 @query(f"{BARS} SELECT security_id, effective_date, source_id, available_at FROM bars WHERE available_at <= TIMESTAMP '{AS_OF}' QUALIFY row_number() OVER (PARTITION BY security_id, source_id ORDER BY effective_date DESC, available_at DESC) <= 10")
 def newest_rows(spark, sf_dir):
     return panels.newest_rows(views.bars(spark, sf_dir), AS_OF, 10, ("security_id", "source_id")).select("security_id", "effective_date", "source_id", "available_at")
