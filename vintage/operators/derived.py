@@ -19,13 +19,10 @@ def market_breadth(bars: DataFrame, as_of, ratios: dict[str, tuple[str, str]] |
     dates = b.select("effective_date").distinct()
     # a state holds from its date to the day before the security's next one
     spans = b.withColumn("next", F.lead("effective_date").over(history()))
-    # each state counts +1 at its date and -1 at the next: running sums over dates replace the product of dates and securities
-    changes = None
-    for n in (50, 200):
-        is_known, is_above = F.col(f"above_{n}").isNotNull().cast("int"), F.coalesce(f"above_{n}", F.lit(0))
-        for at, sign in (("effective_date", 1), ("next", -1)):
-            one = spans.filter(F.col(at).isNotNull()).select(F.lit(n).alias("n"), F.col(at).alias("effective_date"), (is_known * sign).alias("k"), (is_above * sign).alias("a"))
-            changes = one if changes is None else changes.unionByName(one)
+    # each state counts +1 at its date and -1 at the next: running sums over dates replace the product of dates
+    # and securities
+    change = lambda n, at, sign: F.when(F.col(at).isNotNull(), F.struct(F.lit(n).alias("n"), F.col(at).alias("effective_date"), (F.col(f"above_{n}").isNotNull().cast("int") * sign).alias("k"), (F.coalesce(f"above_{n}", F.lit(0)) * sign).alias("a")))
+    changes = spans.select(F.inline(F.array_compact(F.array(*[change(n, at, sign) for n in (50, 200) for at, sign in (("effective_date", 1), ("next", -1))]))))
     daily = changes.groupBy("n", "effective_date").agg(F.sum("k").alias("k"), F.sum("a").alias("a"))
     w = Window.partitionBy("n").orderBy("effective_date").rowsBetween(Window.unboundedPreceding, 0)  # one row a date
     share = daily.select("n", "effective_date", (100.0 * F.try_divide(F.sum("a").over(w), F.sum("k").over(w))).alias("value")).join(dates, "effective_date", "left_semi")

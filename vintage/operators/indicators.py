@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.exprs import finite, history, ieee_div, lag, last, or_nan, rolling, running
+from .calendar import shift_trading_days
 from .pit import known
 
 
@@ -279,8 +280,17 @@ def compute_all(bars: DataFrame, as_of, benchmark: DataFrame | None = None, carr
 NAMED = {"sma": ("sma_20", "sma_50", "sma_200"), "ema": ("ema_12", "ema_26"), "rsi": ("rsi_14",), "macd": ("macd", "macd_ema", "macd_histogram"), "bollinger": ("bb_upper", "bb_middle", "bb_lower"), "atr": ("atr_14",)}
 
 
-def chosen(bars: DataFrame, as_of, names: list[str], start, warmup_days: int = 400, benchmark: DataFrame | None = None) -> DataFrame:
-    """Chosen indicators from ``start`` on, computed with warm-up history before it."""
-    recent = bars.filter(F.col("effective_date") >= F.date_sub(F.lit(start).cast("date"), warmup_days))
+def warmup_start(calendar: DataFrame, start, sessions: int):
+    """The date ``sessions`` sessions before ``start``, or the calendar's first; calendar: exchange, session
+    and ordinal, from which one row comes back."""
+    day = calendar.select("exchange").distinct().withColumn("day", F.lit(start).cast("date"))
+    shifted = shift_trading_days(day, calendar, -sessions).agg(F.min("shifted").alias("s"))
+    return shifted.crossJoin(calendar.agg(F.min("session").alias("first"))).select(F.coalesce("s", "first")).first()[0]
+
+
+def chosen(bars: DataFrame, as_of, names: list[str], start, warmup_sessions: int = 253, calendar: DataFrame | None = None, benchmark: DataFrame | None = None) -> DataFrame:
+    """Chosen indicators from ``start`` on, computed with the sessions before it as warm-up; without a
+    calendar those count as 400 days to 253 sessions."""
+    first = F.date_sub(F.lit(start).cast("date"), round(warmup_sessions * 400 / 253)) if calendar is None else F.lit(warmup_start(calendar, start, warmup_sessions))
     cols = [c for n in names for c in NAMED.get(n, (n,))]
-    return compute_all(recent, as_of, benchmark).filter(F.col("effective_date") >= F.lit(start).cast("date")).select("security_id", "effective_date", *cols)
+    return compute_all(bars.filter(F.col("effective_date") >= first), as_of, benchmark).filter(F.col("effective_date") >= F.lit(start).cast("date")).select("security_id", "effective_date", *cols)

@@ -15,6 +15,19 @@ def newest_rows(table: DataFrame, as_of, n: int = 10, by: tuple[str, ...] = ("se
     return known(table, as_of).withColumn("__n", rank).filter(F.col("__n") <= n).drop("__n")
 
 
+def latest_lists(tables: dict[str, tuple[DataFrame, str]], as_of, n: int = 50) -> DataFrame:
+    """The n newest rows of each security in each of several tables: list, security_id, rank, effective_date
+    and the value of one column as text. tables: name -> (table, column); as many rows a security as a page
+    shows."""
+    out = None
+    for name, (table, column) in tables.items():
+        rank = F.row_number().over(Window.partitionBy("security_id").orderBy(F.desc_nulls_last("effective_date"), F.desc("available_at"), F.desc("value")))
+        one = known(table, as_of).withColumn("value", F.col(column).cast("string")).withColumn("rank", rank).filter(F.col("rank") <= n)
+        one = one.select(F.lit(name).alias("list"), "security_id", "rank", "effective_date", "value")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
 def browse(table: DataFrame, as_of, limit: int = 500, order: str = "effective_date") -> DataFrame:
     """The newest rows of a dataset, nulls last; the limit is the page that a browser shows."""
     return known(table, as_of).orderBy(F.desc_nulls_last(order), F.desc("available_at")).limit(limit)

@@ -58,6 +58,13 @@ def in_range(df: DataFrame, start=None, end=None, col: str = "effective_date") -
     return df if end is None else df.filter(F.col(col) <= F.lit(end).cast("date"))
 
 
+def in_ranges(df: DataFrame, requests: DataFrame, id_col: str = "security_id", col: str = "effective_date") -> DataFrame:
+    """Rows in the range (id, start, end; null is open) of any request of their id, each once."""
+    r = requests.select(F.col(id_col).alias("__id"), F.col("start").cast("date").alias("__start"), F.col("end").cast("date").alias("__end"))
+    within = (F.col(id_col) == F.col("__id")) & (F.col("__start").isNull() | (F.col(col) >= F.col("__start"))) & (F.col("__end").isNull() | (F.col(col) <= F.col("__end")))
+    return df.join(r, within, "left_semi")
+
+
 def known(df: DataFrame, as_of) -> DataFrame:
     """Versions available at ``as_of``, inclusive."""
     return df.filter(F.col("available_at") <= _instant(as_of))
@@ -128,19 +135,36 @@ def read_panel(bars: DataFrame, spine: DataFrame, as_of, priorities: DataFrame |
     return rows.filter((F.col("asked") == 1) & F.col("bar").isNotNull()).select("security_id", "effective_date", "bar.*")
 
 
-def read_asof_join(bars: DataFrame, spine: DataFrame, priorities: DataFrame | None = None) -> DataFrame:
+def read_asof_join(bars: DataFrame, spine: DataFrame, priorities: DataFrame | None = None, lag_days: int = 30) -> DataFrame:
     """Each spine row has its own ``as_of``: of all bars up to its date that were known then, the one of
     the best source, then the newest version, then the newest date. Spine rows without one are kept.
-    The theta join feeds a partial aggregation, so its product is never written out."""
+
+    Spine rows and bars of a security aren't paired. Of bars that were known within ``lag_days`` of their
+    date, all those up to ``as_of`` less the lag (or the spine's date, if earlier) were known: a running
+    best answers for them. Those after that meet the spine in buckets of ``lag_days``. Only bars that
+    came later than the lag, restatements of old dates, are compared with every spine row of their security;
+    the lag steers the work and not the result, so choose it to cover most rows."""
     keys = ["security_id", "effective_date", "as_of"]
     asked = spine.select("security_id", F.col("effective_date").cast("date").alias("effective_date"), F.col("as_of").cast("timestamp").alias("as_of")).distinct()
     b = _with_priority(bars, priorities, "bars_daily")
     payload = [c for c in bars.columns if c not in ("security_id", "effective_date")]
     ties = [F.col(c) for c in ("source_id", "version_hash") if c in bars.columns]
     order = F.struct((-F.col("__priority")).alias("p"), F.col("available_at").alias("a"), F.col("effective_date").alias("d"), *[t.alias(f"t{i}") for i, t in enumerate(ties)])
-    b = b.select(F.col("security_id").alias("__id"), F.col("effective_date").alias("__date"), F.col("available_at").alias("__known"), F.struct(order.alias("rank"), F.struct(F.col("effective_date").alias("bar_date"), *payload).alias("bar")).alias("b"))
-    joined = asked.join(b, (asked.security_id == b["__id"]) & (b["__date"] <= asked.effective_date) & (b["__known"] <= asked.as_of), "left")
-    return joined.groupBy(*keys).agg(F.max("b").alias("b")).select(*keys, "b.bar.*")
+    b = b.select("security_id", F.col("effective_date").alias("__date"), F.col("available_at").alias("__known"), F.struct(order.alias("rank"), F.struct(F.col("effective_date").alias("bar_date"), *payload).alias("bar")).alias("b"))
+    in_time = F.col("__known") <= F.date_add("__date", lag_days).cast("timestamp")
+    prompt, late = b.filter(in_time), b.filter(~in_time)
+    fits = (F.col("__date") <= F.col("effective_date")) & (F.col("__known") <= F.col("as_of"))
+    asked = asked.withColumn("__cut", F.least("effective_date", F.date_sub(F.to_date("as_of"), lag_days)))
+    none = F.lit(None).cast(b.schema["b"].dataType)
+    rows = prompt.select("security_id", F.col("__date").alias("__day"), "b", F.lit(None).cast("date").alias("effective_date"), F.lit(None).cast("timestamp").alias("as_of")).unionByName(asked.select("security_id", F.col("__cut").alias("__day"), none.alias("b"), "effective_date", "as_of"))
+    # a bar of the cut's own day counts: nulls, which bars have for as_of, come first
+    so_far = F.max("b").over(Window.partitionBy("security_id").orderBy("__day", "as_of").rowsBetween(Window.unboundedPreceding, 0))
+    old = rows.withColumn("b", so_far).filter("as_of IS NOT NULL").select(*keys, "b")
+    bucket = lambda c: F.floor(F.unix_date(c) / lag_days)
+    near = asked.filter("effective_date > __cut").withColumn("__bucket", F.explode(F.sequence(bucket(F.date_add("__cut", 1)), bucket("effective_date"))))
+    recent = near.join(prompt.withColumn("__bucket", bucket("__date")), ["security_id", "__bucket"]).filter(fits & (F.col("__date") > F.col("__cut"))).select(*keys, "b")
+    restated = asked.join(late, "security_id").filter(fits).select(*keys, "b")
+    return old.unionByName(recent).unionByName(restated).groupBy(*keys).agg(F.max("b").alias("b")).select(*keys, "b.bar.*")
 
 
 def read_spine_join(table: DataFrame, spine: DataFrame, id_col: str = "security_id") -> DataFrame:

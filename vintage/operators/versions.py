@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -12,19 +13,34 @@ NORMALIZATION_VERSION = 1
 
 
 def version_hash(df: DataFrame) -> DataFrame:
-    """version_hash: SHA-256 over the JSON of all other columns by name, nulls included, doubles rounded
-    to ten places."""
+    """version_hash: SHA-256 over the compact JSON of the other columns by name, nulls included, doubles
+    rounded to ten places, dates and times as text. Doubles are in Spark's notation, so hashes of other
+    engines differ in rows that hold one of 10^7 or more, or of less than 10^-3. normalization_version
+    is added behind it."""
+    cols = [_hashable(df, c) for c in sorted(df.columns) if c not in ("version_hash", "normalization_version")]
     df = df.withColumn("normalization_version", F.lit(NORMALIZATION_VERSION).cast("long"))
-    cols = [F.round(c, 10).alias(c) if isinstance(df.schema[c].dataType, T.DoubleType) else F.col(c) for c in sorted(df.columns) if c != "version_hash"]
     return df.withColumn("version_hash", F.sha2(F.to_json(F.struct(*cols), {"ignoreNullFields": "false"}), 256))
 
 
-def insert_only(staged: DataFrame, existing: DataFrame | None, natural_keys: list[str]) -> DataFrame:
+def _hashable(df: DataFrame, c: str) -> Column:
+    kind = df.schema[c].dataType
+    if isinstance(kind, T.DoubleType):
+        return F.round(c, 10).alias(c)
+    return F.col(c).cast("string").alias(c) if isinstance(kind, (T.TimestampType, T.TimestampNTZType, T.DateType)) else F.col(c)
+
+
+def insert_only(staged: DataFrame, existing: DataFrame | None, natural_keys: list[str], null_safe: bool = False) -> DataFrame:
     """The staged rows to append: those whose (natural keys, available_at, version_hash) isn't there yet,
-    each once. Null keys never match, so such rows are always new."""
+    each once. Null keys never match, so such rows are always new, unless ``null_safe``: then a null key
+    equals a null key."""
     keys = [*natural_keys, "available_at", "version_hash"]
     new = staged.dropDuplicates(keys)
-    return new if existing is None else new.join(existing.select(*keys), keys, "left_anti")
+    if existing is None:
+        return new
+    if not null_safe:
+        return new.join(existing.select(*keys), keys, "left_anti")
+    had = existing.select(*[F.col(k).alias(f"__{k}") for k in keys])
+    return new.join(had, reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in keys]), "left_anti")
 
 
 def append(rows: DataFrame, path: str, commit_seq: int) -> None:
@@ -103,7 +119,7 @@ def first_chunk_wins(rows: DataFrame, keys: list[str], chunk: str = "chunk_start
 def replay_hash(df: DataFrame) -> DataFrame:
     """One row (n_rows, digest) that does not depend on the rows' order: counts, sums and xors of row
     hashes, so that partial results are a few numbers."""
-    cols = [F.round(c, 10).alias(c) if isinstance(df.schema[c].dataType, T.DoubleType) else F.col(c) for c in sorted(df.columns)]
+    cols = [_hashable(df, c) for c in sorted(df.columns)]
     row = F.sha2(F.to_json(F.struct(*cols), {"ignoreNullFields": "false"}), 256)
     parts = [F.conv(F.substring(row, 1 + 15 * k, 15), 16, 10).cast("long") for k in range(4)]
     got = df.select(*[p.alias(f"h{k}") for k, p in enumerate(parts)]).agg(F.count("*").alias("n_rows"), *[F.bit_xor(f"h{k}").alias(f"x{k}") for k in range(4)], *[F.sum((F.col(f"h{k}") % 2147483647)).alias(f"s{k}") for k in range(4)])

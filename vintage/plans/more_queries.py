@@ -7,9 +7,8 @@ from pathlib import Path
 
 from pyspark.sql import functions as F
 
-from ..operators import fundamentals, identity, panels, pit, readouts, versions
+from ..operators import fundamentals, identity, panels, pit, readouts
 from ..sources import archive, normalize
-from ..streaming import ingest
 from . import views
 from .queries import BARS, BEST, MASTER, W, best, lagged, query, roll, rounded
 from .views import AS_OF
@@ -146,50 +145,6 @@ def normalized_bars(spark, sf_dir):
     return rounded(got.select("security_id", "effective_date", "close", "high", "volume"))
 
 
-@query("SELECT count(DISTINCT user_id) AS n_bodies, TRUE AS all_read_back, CAST(0 AS BIGINT) AS n_new_again FROM events")
-def archived_payloads(spark, sf_dir):
-    """Archive all payloads by content, read them back by hash, and offer them again."""
-    p, path = payloads(spark, sf_dir).select("body", "subject"), shared_folder(spark, "archive")
-    archive.write_archive(archive.new_payloads(p.unionByName(p)), path)
-    stored = spark.read.parquet(path)
-    back = archive.read_raw(stored, stored.select("content_hash")).filter(F.col("content_hash") == archive.content_hash(F.col("body")))
-    again = archive.new_payloads(p, stored)
-    return stored.agg(F.count("*").alias("n_bodies")).crossJoin(back.agg(F.count("*").alias("n"))).crossJoin(again.agg(F.count("*").alias("n_new_again"))).select("n_bodies", (F.col("n") == F.col("n_bodies")).alias("all_read_back"), "n_new_again")
-
-
-@query("SELECT concat('sec_', CAST(user_id AS STRING)) AS security_id, CAST(ts AS DATE) AS effective_date, arg_min(value, (ts, event_id)) AS open, max(value) AS high, min(value) AS low, arg_max(value, (ts, event_id)) AS close, count(*) AS volume FROM events GROUP BY 1, 2")
-def streamed_daily_bars(spark, sf_dir):
-    """Daily bars from the events read as a stream, all of it, with the state's last days flushed by a
-    batch over the same plan where the watermark keeps them open."""
-    # a file source reads folders: the table's files, whether it is one file or a folder of them
-    events = spark.read.parquet(f"{sf_dir}/events.parquet")
-    ticks = lambda d: d.select(F.concat(F.lit("sec_"), F.col("user_id").cast("string")).alias("security_id"), F.col("ts").cast("timestamp").alias("ts"), F.col("event_id").alias("tick_id"), F.col("value").alias("price"), F.lit(1).alias("size"))
-    out, state = shared_folder(spark, "stream"), shared_folder(spark, "stream-state")
-    stream = spark.readStream.schema(events.schema).option("pathGlobFilter", "*.parquet").option("recursiveFileLookup", "true").parquet(f"{sf_dir}/event[s].parquet")
-    q = ingest.daily_bars(ticks(stream)).writeStream.outputMode("append").format("parquet").option("path", out).option("checkpointLocation", state).trigger(availableNow=True).start()
-    q.awaitTermination()
-    schema = ingest.daily_bars(ticks(events)).schema
-    done = spark.read.schema(schema).parquet(out)
-    still_open = ingest.daily_bars(ticks(events)).join(done.select("security_id", "effective_date"), ["security_id", "effective_date"], "left_anti").select(*done.columns)
-    return rounded(done.unionByName(still_open))
-
-
-@query("SELECT count(*) AS n_rows FROM events")
-def replayed_hash(spark, sf_dir):
-    """Two digests of the events, one of them reordered, must be one."""
-    views.load(spark, sf_dir, "events")
-    a = versions.replay_hash(spark.table("events"))
-    b = versions.replay_hash(spark.table("events").repartition(7, "event_type"))
-    return a.join(b, ["n_rows", "digest"]).select("n_rows")
-
-
-@query("SELECT concat('sec_', CAST(s_suppkey AS STRING)) AS security_id, CAST(252 AS BIGINT) AS n_bars, DATE '1998-01-01' AS last_date, TRUE AS ordered FROM supplier")
-def synthetic_history(spark, sf_dir):
-    symbols = views.view(spark, sf_dir, "SELECT concat('sec_', CAST(s_suppkey AS STRING)) AS security_id FROM supplier", "supplier")
-    b = archive.synthetic_bars(symbols, "1998-01-01")
-    return b.groupBy("security_id").agg(F.count("*").alias("n_bars"), F.max("effective_date").alias("last_date"), F.bool_and((F.col("low") <= F.col("open")) & (F.col("close") <= F.col("high")) & (F.col("low") > 0)).alias("ordered"))
-
-
 @query(f"WITH m AS ({views.MACRO_SQL}) SELECT series_id, effective_date, round(value, 4) AS value FROM m WHERE available_at <= TIMESTAMP '1996-01-01 00:00:00'")
 def macro_series_asof(spark, sf_dir):
     return rounded(pit.macro_series_asof(views.view(spark, sf_dir, views.MACRO_SQL, "orders"), "1996-01-01 00:00:00").select("series_id", "effective_date", "value"), 4)

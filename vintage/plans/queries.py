@@ -69,28 +69,11 @@ def bars_asof(spark, sf_dir):
     return rounded(best(spark, sf_dir).select("security_id", "effective_date", "source_id", "available_at", "open", "high", "low", "close", "volume"))
 
 
-@query(f"{BEST} SELECT security_id, effective_date, close FROM best WHERE security_id IN ('sec_1', 'sec_2', 'sec_3') AND effective_date BETWEEN DATE '1996-01-01' AND DATE '1996-12-31'")
-def bars_asof_range(spark, sf_dir):
-    got = pit.bars_asof(views.bars(spark, sf_dir), AS_OF, views.priorities(spark), ids=["sec_1", "sec_2", "sec_3"], start="1996-01-01", end="1996-12-31")
-    return rounded(pit.project(got, ["security_id", "effective_date", "close", "no_such_column"]))
-
-
 SPLIT_CTE = f""", sp AS ({views.SPLITS_SQL}), f AS (SELECT security_id, max(factor) AS factor FROM (
     SELECT security_id, exp(sum(ln(ratio_numerator / ratio_denominator)) OVER (PARTITION BY security_id ORDER BY effective_date)) AS factor
     FROM sp WHERE available_at <= TIMESTAMP '{AS_OF}') GROUP BY 1)"""
 
 
-@query(f"""{BEST}{SPLIT_CTE} SELECT b.security_id, effective_date, close AS raw_close, CAST(round(volume * coalesce(factor, 1.0), 0) AS BIGINT) AS volume,
-    round(coalesce(factor, 1.0), 6) AS adjustment_factor, TRUE AS close_agrees FROM best b LEFT JOIN f ON b.security_id = f.security_id""")
-def bars_adjusted(spark, sf_dir):
-    """Prices are rounded to four places by the operator, ties one way or the other by engine, so the check
-    is that they lie within a rounding of the raw close over the factor."""
-    got = adjust.bars_adjusted_asof(views.bars(spark, sf_dir), views.splits(spark, sf_dir), AS_OF, priorities=views.priorities(spark))
-    raw = best(spark, sf_dir).select("security_id", "effective_date", F.col("close").alias("raw_close"))
-    agrees = F.abs(F.col("close") - F.col("raw_close") / F.col("adjustment_factor")) < 0.000051
-    return rounded(got.join(raw, ["security_id", "effective_date"]).select("security_id", "effective_date", "raw_close", "volume", "adjustment_factor", agrees.alias("close_agrees")))
-
-
 @query(f"""{BEST}, sp AS ({views.SPLITS_SQL}) SELECT b.security_id, b.effective_date,
     round(coalesce(exp(sum(ln(s.ratio_numerator / s.ratio_denominator))), 1.0), 6) AS adjustment_factor FROM best b
     LEFT JOIN sp s ON s.security_id = b.security_id AND s.effective_date > b.effective_date AND s.available_at <= TIMESTAMP '{AS_OF}' GROUP BY 1, 2""")
@@ -211,10 +194,11 @@ def relative_strength(spark, sf_dir):
 
 @query(f"""{BEST}, p AS (SELECT effective_date, max(CASE security_id WHEN 'sec_1' THEN close END) AS a, max(CASE security_id WHEN 'sec_2' THEN close END) AS b, max(CASE security_id WHEN 'sec_3' THEN close END) AS c, max(CASE security_id WHEN 'sec_4' THEN close END) AS d
     FROM best WHERE security_id IN ('sec_1', 'sec_2', 'sec_3', 'sec_4') GROUP BY 1)
-    SELECT 'sec_1' AS series_id, effective_date, round(a, 6) AS value FROM p UNION ALL SELECT 'sec_2', effective_date, round(b, 6) FROM p UNION ALL SELECT 'sec_3', effective_date, round(c, 6) FROM p
-    UNION ALL SELECT 'sec_4', effective_date, round(d, 6) FROM p UNION ALL SELECT 'contango_3m_spot', effective_date, round(c - b, 6) FROM p UNION ALL SELECT 'contango_front_ratio', effective_date, round(a / b, 6) FROM p""")
+    SELECT 'sec_1' AS series_id, effective_date, round(a + {indicator_sql.OFF}, 4) AS value FROM p UNION ALL SELECT 'sec_2', effective_date, round(b + {indicator_sql.OFF}, 4) FROM p UNION ALL SELECT 'sec_3', effective_date, round(c + {indicator_sql.OFF}, 4) FROM p
+    UNION ALL SELECT 'sec_4', effective_date, round(d + {indicator_sql.OFF}, 4) FROM p UNION ALL SELECT 'contango_3m_spot', effective_date, round(c - b + {indicator_sql.OFF}, 4) FROM p UNION ALL SELECT 'contango_front_ratio', effective_date, round(a / b + {indicator_sql.OFF}, 4) FROM p""")
 def vol_term_structure(spark, sf_dir):
-    return rounded(derived.vol_term_structure(best(spark, sf_dir), AS_OF, ("sec_1", "sec_2", "sec_3", "sec_4")))
+    got = derived.vol_term_structure(best(spark, sf_dir), AS_OF, ("sec_1", "sec_2", "sec_3", "sec_4"))
+    return got.withColumn("value", F.round(F.col("value") + indicator_sql.OFF, 4))
 
 
 @query(f"""WITH m AS ({views.MACRO_SQL}), k AS (SELECT * FROM m WHERE available_at <= TIMESTAMP '{AS_OF}')

@@ -5,22 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import identity, indicators, quality, versions
-from ..sources import archive, normalize
 from . import indicator_sql, views
-from .more_queries import payloads
 from .queries import BARS, BEST, MASTER, RECURSIVE_BEST, as_shown, best, query
 from .views import AS_OF
 
-KEYS = ["security_id", "effective_date", "source_id"]
-
-
-@query(f"{BARS} SELECT security_id, count(*) AS n_rows FROM bars GROUP BY 1")
-def compacted_bars(spark, sf_dir):
-    """Twice the bars compact to once."""
-    rows = versions.version_hash(views.bars(spark, sf_dir))
-    return versions.compact(rows.unionByName(rows), KEYS).groupBy("security_id").agg(F.count("*").alias("n_rows"))
-
-
 @query(f"""{BARS}, r AS (SELECT DISTINCT concat('sec_', CAST(o_custkey % 200 AS STRING)) AS security_id, concat('src_', substr('nar', CAST(o_custkey % 3 + 1 AS INT), 1)) AS source_id, CAST(date_trunc('month', o_orderdate) AS DATE) AS start FROM orders)
     SELECT security_id, source_id, start, EXISTS (SELECT 1 FROM bars b WHERE b.security_id = r.security_id AND b.source_id = r.source_id AND b.effective_date BETWEEN r.start AND r.start + INTERVAL 6 DAY) AS covered FROM r""")
 def covered_requests(spark, sf_dir):
@@ -35,14 +23,6 @@ def first_chunks(spark, sf_dir):
     return versions.first_chunk_wins(rows, ["user_id", "event_type"], "event_id")
 
 
-@query("SELECT concat('sec_', CAST(user_id AS STRING)) AS security_id, count(*) AS n_rows, TIMESTAMP '1999-01-01 00:00:00' AS available_at FROM events GROUP BY 1")
-def reparsed_bars(spark, sf_dir):
-    """Archived bodies behind known facts, normalized again under a new knowledge time."""
-    p = payloads(spark, sf_dir)
-    got = versions.reparse(normalize.bars(p).select("content_hash"), p, normalize.bars, F.lit("1999-01-01").cast("timestamp"))
-    return got.groupBy("security_id", "available_at").agg(F.count("*").alias("n_rows"))
-
-
 @query(f"{BEST} SELECT DISTINCT security_id, effective_date FROM bars WHERE effective_date >= CAST(CAST(TIMESTAMP '{AS_OF}' AS DATE) - INTERVAL 24 MONTH AS DATE) EXCEPT SELECT security_id, effective_date FROM best WHERE source_id = 'src_n'")
 def backfilled_bars(spark, sf_dir):
     """Dates of the last two years that the first source lacks."""
@@ -59,12 +39,6 @@ def active_symbols(spark, sf_dir):
     return identity.registry(once).select("symbol", "at")
 
 
-@query(f"{BARS} SELECT 'lake_bars' AS dataset, CAST(10 AS INT) AS max_staleness_days, CAST(DATE '1999-06-30' - max(effective_date) AS INT) AS days_old, CAST(DATE '1999-06-30' - max(effective_date) AS INT) > 10 AS is_stale FROM bars")
-def stale_datasets(spark, sf_dir):
-    limits = spark.createDataFrame([("lake_bars", 10)], "dataset string, max_staleness_days int")
-    return quality.staleness(quality.health({"lake_bars": views.bars(spark, sf_dir)}), limits, "1999-06-30")
-
-
 @query(f"{BARS} SELECT 'lake_bars' AS dataset, source_id, max(available_at) AS last_ingested_at FROM bars GROUP BY 2")
 def last_ingestions(spark, sf_dir):
     return quality.last_ingestion({"lake_bars": views.bars(spark, sf_dir)})
@@ -77,13 +51,6 @@ def reverse_resolved(spark, sf_dir):
     return identity.reverse_resolve(master.select("security_id", F.lit("1995-01-01").cast("date").alias("date")), master)
 
 
-@query("SELECT event_type AS source_id, count(*) AS n, TRUE AS hashed FROM events GROUP BY 1")
-def fetch_manifests(spark, sf_dir):
-    f = views.view(spark, sf_dir, "SELECT event_type AS source_id, 'e' AS endpoint, map('id', CAST(event_id AS STRING)) AS params, 200 AS status, coalesce(props, '') AS body, ts AS fetched_at FROM events", "events")
-    m = archive.manifest(f)
-    return m.groupBy("source_id").agg(F.count("*").alias("n"), F.bool_and((F.length("request_hash") == 64) & (F.length("content_hash") == 64)).alias("hashed"))
-
-
 @query(f"""{RECURSIVE_BEST}, warm AS (SELECT * FROM best WHERE effective_date >= CAST(DATE '1997-01-01' - INTERVAL 400 DAY AS DATE)), {indicator_sql.steps('warm')}
     SELECT security_id, effective_date, {indicator_sql.listed(["sma_20", "sma_50", "sma_200", "ema_12", "ema_26", "macd", "macd_ema", "macd_histogram"])} FROM wide WHERE effective_date >= DATE '1997-01-01'""")
 def chosen_indicators(spark, sf_dir):

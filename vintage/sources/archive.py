@@ -14,10 +14,11 @@ def content_hash(body: Column) -> Column:
 
 def new_payloads(payloads: DataFrame, archive: DataFrame | None = None) -> DataFrame:
     """Payloads (body and any other columns) whose content isn't archived yet, each content once, with
-    content_hash and the folder prefix of the archive. Only hashes are shuffled for the look-up."""
+    content_hash and the folder prefix of the archive. What is archived leaves first, so only new bodies
+    are shuffled to find repeats among them; archived hashes are read from their own column."""
     hashed = payloads.withColumn("content_hash", content_hash(F.col("body"))).withColumn("prefix", F.substring("content_hash", 1, 2))
-    once = hashed.dropDuplicates(["content_hash"])
-    return once if archive is None else once.join(archive.select("content_hash"), "content_hash", "left_anti")
+    new = hashed if archive is None else hashed.join(archive.select("content_hash"), "content_hash", "left_anti")
+    return new.dropDuplicates(["content_hash"])
 
 
 def write_archive(payloads: DataFrame, path: str) -> None:
@@ -63,16 +64,17 @@ def write_bulk_bars(bars: DataFrame, path: str) -> None:
 
 
 def synthetic_bars(symbols: DataFrame, end, days: int = 252) -> DataFrame:
-    """Deterministic bars for the days up to ``end`` of each security_id, from a hash of id and day: a
+    """Deterministic bars for the days up to ``end`` of each security_id, from the MD5 of id and day: a
     price of 50 to 250 that moves by at most 2 % a day around a slow wave."""
     i = F.col("i")
-    unit = lambda k: F.pmod(F.xxhash64("security_id", i, F.lit(k)), F.lit(10_000)) / 10_000.0
-    base = 50 + F.pmod(F.xxhash64("security_id"), F.lit(200))
+    drawn = lambda *what: F.conv(F.substring(F.md5(F.concat_ws(":", *what).cast("binary")), 1, 7), 16, 10).cast("long")
+    unit = lambda k: drawn("security_id", i, F.lit(k)) % 10_000 / 10_000.0
+    base = 50 + drawn("security_id") % 200
     rows = symbols.select("security_id", F.explode(F.sequence(F.lit(0), F.lit(days - 1))).alias("i"))
     rows = rows.withColumn("effective_date", F.date_sub(F.lit(end).cast("date"), F.lit(days - 1) - i))
     close = base * (1 + 0.1 * F.sin(i / 20.0)) * (1 + 0.02 * (unit(0) - 0.5))
     rows = rows.withColumn("close", F.round(close, 4)).withColumn("open", F.round(F.col("close") * (1 + 0.01 * (unit(1) - 0.5)), 4))
-    return rows.select("security_id", "effective_date", "open", F.round(F.greatest("open", "close") * (1 + 0.01 * unit(2)), 4).alias("high"), F.round(F.least("open", "close") * (1 - 0.01 * unit(3)), 4).alias("low"), "close", (1_000_000 + F.pmod(F.xxhash64("security_id", i, F.lit(4)), F.lit(1_000_000))).alias("volume"))
+    return rows.select("security_id", "effective_date", "open", F.round(F.greatest("open", "close") * (1 + 0.01 * unit(2)), 4).alias("high"), F.round(F.least("open", "close") * (1 - 0.01 * unit(3)), 4).alias("low"), "close", (1_000_000 + drawn("security_id", i, F.lit(4)) % 1_000_000).alias("volume"))
 
 
 def freeze_output(df: DataFrame, path: str) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,18 +15,21 @@ from ..sources.archive import content_hash
 
 def ingest(payloads: DataFrame, normalize: Callable[[DataFrame], DataFrame], table_path: str, natural_keys: list[str], checkpoint: str) -> StreamingQuery:
     """Normalize each micro-batch of a payload stream and append the versions that the table lacks. A batch
-    that is run again after a failure adds nothing, since the merge knows its rows."""
+    that is run again after a failure adds nothing, since the merge knows its rows. Only the part of the
+    table with the batch's knowledge times is read: a version's available_at is one of its keys."""
 
     def merge(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         staged = version_hash(normalize(batch))
         try:
             existing = spark.read.parquet(table_path)
+            lo, hi = staged.agg(F.min("available_at"), F.max("available_at")).first()
+            existing = existing.filter(F.col("available_at").between(F.lit(lo), F.lit(hi))) if lo is not None else existing
         except Exception as e:  # the first batch creates the table
             if "PATH_NOT_FOUND" not in str(e) and "UNABLE_TO_INFER_SCHEMA" not in str(e):
                 raise
             existing = None
-        append(insert_only(staged, existing, natural_keys), table_path, batch_id)
+        append(insert_only(staged, existing, natural_keys, null_safe=True), table_path, batch_id)
 
     return payloads.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
@@ -42,9 +46,19 @@ def deduplicated(payloads: DataFrame, horizon: str = "7 days") -> DataFrame:
 
 def daily_bars(ticks: DataFrame, lateness: str = "2 days") -> DataFrame:
     """Open, high, low, close and volume of each id and day from (security_id, ts, tick_id, price, size); the
-    same plan over a batch gives the same rows. A tick later than the watermark is a matter for a later
-    version of the bar, not for this one."""
+    same plan over a batch gives the same rows. In a stream a day is told once the watermark has passed it;
+    ticks later than that make new versions by ``late_versions``."""
     marked = ticks.withWatermark("ts", lateness) if ticks.isStreaming else ticks
     order = F.struct("ts", "tick_id")
     g = marked.groupBy("security_id", F.window("ts", "1 day").alias("w")).agg(F.min_by("price", order).alias("open"), F.max("price").alias("high"), F.min("price").alias("low"), F.max_by("price", order).alias("close"), F.sum("size").cast("long").alias("volume"))
     return g.select("security_id", F.to_date("w.start").alias("effective_date"), "open", "high", "low", "close", "volume")
+
+
+def late_versions(ticks: DataFrame, told: DataFrame, available_at) -> DataFrame:
+    """New versions of the told bars whose day has got ticks since: the day's bar from all its ticks,
+    available at a later time, where it differs from every version told. One batch over the days at hand."""
+    now = daily_bars(ticks)
+    keys, values = ["security_id", "effective_date"], ["open", "high", "low", "close", "volume"]
+    had = told.select(*[F.col(c).alias(f"__{c}") for c in keys + values])
+    on = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"__{c}")) for c in keys + values])
+    return now.join(told.select(*keys).distinct(), keys, "left_semi").join(had, on, "left_anti").withColumn("available_at", F.lit(available_at).cast("timestamp"))
