@@ -9,15 +9,17 @@ by a hash of the node, so that all its sets choose alike; sets with equal tokens
 node. A node of at most ``LEAF`` sets is compared by brute force, a larger one is split again; after
 ``DEPTH`` levels a node that is still large (mostly one big family of near copies, or texts that share a
 long passage) is dealt into blocks of about ``WIDE`` sets, and each two blocks meet, so that all its sets
-are compared. ``RUNS`` independent runs bring a pair at the threshold together with probability over 0.99.
+are compared. After ``RUNS`` independent runs recall is audited: a bounded sample of sets is compared with
+all sets in blocks, by their tokens, and of each one's partners at the threshold the share that the runs
+have made candidates is taken. While the mean of these shares is under ``RECALL``, more runs follow.
 
 In a leaf, tokens estimate the similarity. An estimate within five standard deviations of the threshold
 is promising; sets that promising pairs connect are candidates of one another. Candidates are then
 checked exactly, on the shingles of whole texts and all pairs of them: a component of candidates is dealt
 into blocks of about ``SETS`` sets or ``BYTES`` of shingles, and each two blocks meet in a task, which
 returns the links of each set by number and a forest that connects what is linked. So no pair is a row,
-no link is false, every pair of blocks is compared once, and ``n_links`` counts all links of a text
-within its component.
+every pair of blocks is compared once, and ``n_links`` counts all links of a text within its component.
+Shingles are compared as hashes of 64 bits, so no link is false but by a collision of those.
 
 Rows with a null id take no part: class_id null, n_links 0. Rows that repeat an id are copies or
 different texts like any other rows.
@@ -31,12 +33,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .shared import as_long, mix64, pieces, random_u64, settle, small, text_buffers, whole_groups, words_of
+from .shared import as_long, dropped, meetings, mix64, pieces, random_u64, settle, small, text_buffers, whole_groups, words_of
 
 SHINGLE = 5
 THRESHOLD = 0.8
 TOKENS = 64
 RUNS = 8
+MORE = 4  # runs that follow at a time
+AUDIT = 300  # sets of the audit
+RECALL = 0.995
 LEAF = 64
 WIDE = 1024  # sets in a block of a node that stays large, on average
 SETS = 256  # sets in a block of the exact check, on average
@@ -172,19 +177,10 @@ def _in_leaf(rows: DataFrame) -> DataFrame:
     return dealt.select("leaf", "block", "fp", "sig").mapInArrow(run, "a binary, b binary")
 
 
-def _meetings(rows: DataFrame, group: Column, blocks: Column) -> DataFrame:
-    """``rows`` (fp among its columns) in their block of their binary group, once for each block that
-    it meets, its own too: meeting (binary, one for each two blocks) and block."""
-    own = F.pmod(F.xxhash64("fp"), blocks)
-    told = rows.withColumn("block", own).withColumn("__with", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)))
-    place = [F.unhex(F.lpad(F.hex(f("block", "__with")), 8, "0")) for f in (F.least, F.greatest)]
-    return told.withColumn("meeting", F.concat(group, *place)).drop("__with")
-
-
-def candidates(sets: DataFrame, runs: int = RUNS) -> DataFrame:
-    """Distinct pairs (a, b) of set fingerprints that connect the candidates of all runs; sets: fp, sig,
-    one row per set."""
-    roots = F.explode(F.array(*[F.lit(int(x)) for x in random_u64(31, runs).view(np.int64)])).alias("path")
+def candidates(sets: DataFrame, runs: int = RUNS, done: int = 0) -> DataFrame:
+    """Distinct pairs (a, b) of set fingerprints that connect the candidates of ``runs`` runs, those after
+    the first ``done``; sets: fp, sig, one row per set."""
+    roots = F.explode(F.array(*[F.lit(int(x)) for x in random_u64(31, done + runs)[done:].view(np.int64)])).alias("path")
     nodes = settle(_split(sets.select(roots, "fp", "sig")), "path-0")
     leaves = None
     for depth in range(1, DEPTH + 1):
@@ -195,7 +191,7 @@ def candidates(sets: DataFrame, runs: int = RUNS) -> DataFrame:
             got = shared.filter(F.col("n") <= LEAF).select(path.alias("leaf"), F.lit(0).cast("long").alias("block"), "fp")
             big = settle(shared.filter(F.col("n") > LEAF).select("path", "fp"), f"path-big{depth}")
         else:  # the rest: of larger nodes, every block with every other and with itself
-            got, big = _meetings(shared, path, F.ceil(F.col("n") / WIDE)).select(F.col("meeting").alias("leaf"), "block", "fp"), None
+            got, big = meetings(shared, "fp", path, F.ceil(F.col("n") / WIDE)).select(F.col("meeting").alias("leaf"), "block", "fp"), None
         leaves = got if leaves is None else leaves.unionByName(got)
         if big is None or big.isEmpty():
             break
@@ -203,6 +199,53 @@ def candidates(sets: DataFrame, runs: int = RUNS) -> DataFrame:
     return _in_leaf(settle(leaves, "path-leaves").join(sets, "fp")).distinct()
 
 
+def audited(sets: DataFrame, of: DataFrame, sample: int = AUDIT) -> float:
+    """Mean share of a sampled set's partners (other sets whose tokens estimate a similarity at the
+    threshold or more) that are its candidates. sets: fp, sig; of: fp, component of candidates."""
+    picked = sets.select("fp", "sig").orderBy(F.xxhash64("fp"), "fp").limit(sample).collect()
+    if not picked:
+        return 1.0
+    fps = [bytes(r.fp) for r in picked]
+    known = of.join(F.broadcast(sets.sparkSession.createDataFrame([(f,) for f in fps], "fp binary")), "fp").collect()
+    inside = {bytes(r.fp): bytes(r.component) for r in known}
+    asked = sets.sparkSession.sparkContext.broadcast((fps, np.array([np.frombuffer(r.sig, np.uint32) for r in picked]), [inside.get(f) for f in fps]))
+    least = int(np.ceil(TOKENS * THRESHOLD))
+
+    def run(batches):
+        fps, q, parts = asked.value
+        for batch in batches:
+            if batch.num_rows:
+                sig = _matrix(batch.column(1), np.uint32)
+                same = np.zeros((len(q), batch.num_rows), np.uint8)
+                for k in range(TOKENS):
+                    same += q[:, k, None] == sig[None, :, k]
+                i, j = np.nonzero(same >= least)
+                fp, part = batch.column(0).take(pa.array(j)).to_pylist(), batch.column(2).take(pa.array(j)).to_pylist()
+                close, together = np.zeros(len(q), np.int64), np.zeros(len(q), np.int64)
+                for a, f, p in zip(i.tolist(), fp, part, strict=True):
+                    close[a] += f != fps[a]
+                    together[a] += f != fps[a] and p is not None and p == parts[a]
+                some = np.flatnonzero(close)
+                if len(some):
+                    yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(close[some]), pa.array(together[some])], ["q", "close", "together"])
+
+    found = sets.select("fp", "sig").join(small(of), "fp", "left").select("fp", "sig", "component").mapInArrow(run, "q long, close long, together long")
+    share = found.groupBy("q").agg((F.sum("together") / F.sum("close")).alias("share")).agg(F.avg("share")).first()[0]
+    return 1.0 if share is None else share
+
+
+def candidate_components(sets: DataFrame, runs: int = RUNS, recall: float = RECALL) -> DataFrame:
+    """(fp, component) of all candidates, a settled table, after as many runs as the audited recall needs."""
+    pairs, done = settle(candidates(sets, runs), "path-pairs"), runs
+    while True:
+        of = settle(components(pairs).select(F.col("node").alias("fp"), "component"), "path-candidates")
+        if audited(sets, of) >= recall:
+            return of
+        old, pairs = pairs, settle(pairs.unionByName(candidates(sets, MORE, done)).distinct(), "path-pairs")
+        dropped(old, of)
+        done += MORE
+
+
 def _common(x: list[np.ndarray], y: list[np.ndarray]) -> np.ndarray:
     """Sizes of the intersections of sorted sets, by exact counts."""
     if len(x) * len(y) <= 9:
@@ -226,12 +269,10 @@ def _common(x: list[np.ndarray], y: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-def verified(docs: DataFrame, sets: DataFrame, pairs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
+def verified(docs: DataFrame, sets: DataFrame, of: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """All candidates of one component against one another, by exact Jaccard similarity. Rows (a, b, n):
     with b, sets that links connect; without b, n links of a, counted once for each block that has some.
-    sets: fp, doc_id of one of its rows; pairs: a, b connect candidates."""
-    of = components(pairs)
-    of = settle(of.select(F.col("node").alias("fp"), "component"), "path-candidates")
+    sets: fp, doc_id of one of its rows; of: fp, component of candidates."""
     ids = settle(sets.join(of, "fp", "left_semi").select(F.col("doc_id").alias("__id")), "path-wanted").distinct()
     source = docs.join(small(ids), F.col(id_col) == F.col("__id"), "left_semi").select(F.col(text_col).cast("string").alias("text"))
 
@@ -239,13 +280,13 @@ def verified(docs: DataFrame, sets: DataFrame, pairs: DataFrame, id_col: str = "
         for batch in batches:
             for part in pieces(batch, "text"):
                 got = [s for s in shingle_sets(part.column(0)) if len(s)]
-                yield pa.RecordBatch.from_arrays([pa.array([fingerprint(s) for s in got], pa.binary()), pa.array([np.unique((s >> np.uint64(24)).astype(np.uint64)).tobytes() for s in got], pa.binary())], ["fp", "shingles"])
+                yield pa.RecordBatch.from_arrays([pa.array([fingerprint(s) for s in got], pa.binary()), pa.array([s.tobytes() for s in got], pa.binary())], ["fp", "shingles"])
 
     whole = settle(source.mapInArrow(run, "fp binary, shingles binary").dropDuplicates(["fp"]).join(of, "fp"), "path-sets")
     sizes = whole.groupBy("component").agg(F.greatest(F.ceil(F.count("*") / SETS), F.ceil(F.sum(F.length("shingles")) / BYTES)).alias("blocks"))
     sizes = settle(sizes.filter("blocks > 1"), "path-sizes")
     blocks = F.coalesce("blocks", F.lit(1).cast("long"))
-    met = _meetings(whole.join(small(sizes), "component", "left"), F.col("component"), blocks)
+    met = meetings(whole.join(small(sizes), "component", "left"), "fp", F.col("component"), blocks)
 
     def links(batches):
         for batch, bounds in whole_groups(batches):
@@ -280,8 +321,8 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", runs:
     rows = settle(embed(docs, id_col, text_col), "path-rows")
     worded = rows.filter("fp IS NOT NULL")
     sets = settle(worded.groupBy("fp").agg(F.min("doc_id").alias("doc_id"), F.first("sig").alias("sig"), F.count("*").alias("copies")), "path-unique")
-    pairs = settle(candidates(sets.select("fp", "sig"), runs), "path-pairs")
-    links = settle(verified(docs, sets.select("fp", "doc_id"), pairs, id_col, text_col), "path-links")
+    met = candidate_components(sets.select("fp", "sig"), runs)
+    links = settle(verified(docs, sets.select("fp", "doc_id"), met, id_col, text_col), "path-links")
     of = components(links.filter("b IS NOT NULL").select("a", "b"))
     degree = links.filter("b IS NULL").groupBy(F.col("a").alias("node")).agg(F.sum("n").alias("n_links"))
     linked = settle(of.join(degree, "node").select(F.col("node").alias("fp"), "component", "n_links"), "path-linked")
