@@ -17,14 +17,18 @@ that it anchors. The rows are refined within their buckets:
 3. the first of each stretch, where a bucket holds several, is refined to the identifiers at depth 100
    of each of its strings, and all but the first of equal ones go.
 
-A bucket with a large share of all suffixes is dealt over several tasks by document; what is earliest in
-one task then goes on to step 3, and the strings that remain of such buckets are refined once more by
-their own identifier. Which buckets these are comes from a bounded sample and only steers the work: the
-result is the same without it. Identifiers are compared as pairs of 64 bits (bucket and stretch, or bucket
+Buckets are named by hashes rather than by ranks since a later offset of an anchored suffix is mostly no
+anchor: its bucket has no row that a rank could be read from, but its name can be made where the text is.
+
+A bucket with many suffixes is dealt over as many tasks as its size asks for; what is earliest in one of
+them then goes on to step 3, and the strings that remain of such buckets are refined once more by their
+own identifier. Which buckets these are comes from a bounded sample and only steers the work: the result
+is the same without it. Identifiers are always compared in pairs of 64 bits (bucket and stretch, or bucket
 and string).
 
-Null text counts as empty; a null doc_id comes after all others. Rows with one doc_id are one document:
-equal starts in them are not earlier than each other.
+Null text counts as empty; a null doc_id comes after all others. Ids are read as long integers, which is
+what gives them their order; others are an error of the cast. Rows with one doc_id are one document: equal
+starts in them are not earlier than each other. Other columns, whatever their names, are not read.
 """
 
 from __future__ import annotations
@@ -37,14 +41,14 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import _BYTE, as_long, mix64, pieces, random_u64, range_hashes, settle, text_buffers, whole_groups
+from .shared import _BYTE, as_long, mix64, pieces, random_u64, range_hashes, settle, small, text_buffers, whole_groups
 
 LENGTH = 100
 Q = 32
 SPAN = LENGTH - Q + 1  # q-grams in a string
 SAMPLE_DOCS = 20_000
 HOT = 16  # times in the sample from which a bucket is dealt over tasks
-SALTS = 16
+SHARE = 1024  # suffixes of such a bucket for each of them
 _M = random_u64(41, 8) | np.uint64(1)
 
 
@@ -122,23 +126,28 @@ def _suffix_rows(source: DataFrame) -> DataFrame:
 
 
 def hot_buckets(source: DataFrame, docs: int) -> DataFrame:
-    """Buckets with many suffixes, from a sample of about SAMPLE_DOCS documents; at most one for each
-    HOT suffixes of the sample."""
-    part = source.sample(False, min(1.0, SAMPLE_DOCS / max(docs, 1)), 7)
-    return _suffix_rows(part).groupBy("bucket").count().filter(F.col("count") >= HOT).select("bucket", F.lit(True).alias("hot"))
+    """(bucket, salts) of buckets with many suffixes, by a sample of about SAMPLE_DOCS documents: over how
+    many tasks they are dealt; at most one row for each HOT suffixes of the sample."""
+    share = min(1.0, SAMPLE_DOCS / max(docs, 1))
+    often = _suffix_rows(source.sample(False, share, 7)).groupBy("bucket").count().filter(F.col("count") >= HOT)
+    return often.select("bucket", (F.ceil(F.col("count") / (share * SHARE)) + 1).alias("salts"))
+
+
+def _salt(*place: str):
+    return F.when(F.col("salts").isNotNull(), F.pmod(F.xxhash64(*place), F.col("salts"))).otherwise(F.lit(0).cast("long"))
 
 
 def _refine(rows: DataFrame) -> DataFrame:
-    """Steps 1 and 2. rows: bucket, stretch, doc, code, hot -> doc, code, whole (all strings go, or the
+    """Steps 1 and 2. rows: bucket, stretch, doc, code, salts -> doc, code, whole (all strings go, or the
     suffix needs step 3)."""
 
     def run(batches):
-        for batch, bounds in whole_groups(batches):
-            bucket, stretch, doc, code = (batch.column(i).to_numpy() for i in range(4))
-            hot = batch.column(4).to_numpy(zero_copy_only=False)
+        for batch, bounds in whole_groups(batches, 2):
+            stretch, doc, code = (batch.column(i).to_numpy() for i in (2, 3, 4))
+            hot = batch.column(5).to_numpy(zero_copy_only=False)
             size = np.diff(bounds)
             group = np.repeat(np.arange(len(size)), size)
-            new = np.ones(len(bucket), bool)
+            new = np.ones(len(doc), bool)
             new[1:] = (group[1:] != group[:-1]) | (stretch[1:] != stretch[:-1])
             kinds = np.add.reduceat(new.astype(np.int64), bounds[:-1])[group]
             lead = np.flatnonzero(new)[np.cumsum(new) - 1]
@@ -147,8 +156,8 @@ def _refine(rows: DataFrame) -> DataFrame:
             if len(keep):
                 yield pa.RecordBatch.from_arrays([pa.array(doc[keep]), pa.array(code[keep]), pa.array(whole[keep])], ["doc", "code", "whole"])
 
-    dealt = rows.repartition("bucket", F.when(F.col("hot"), F.pmod(F.xxhash64("doc"), F.lit(SALTS))).otherwise(F.lit(0).cast("long")))
-    return dealt.sortWithinPartitions("bucket", "stretch", "doc", "code").select("bucket", "stretch", "doc", "code", "hot").mapInArrow(run, "doc long, code long, whole boolean")
+    dealt = rows.withColumn("salt", _salt("doc", "code")).repartition("bucket", "salt").sortWithinPartitions("bucket", "salt", "stretch", "doc", "code")
+    return dealt.select("bucket", "salt", "stretch", "doc", "code", F.col("salts").isNotNull().alias("hot")).mapInArrow(run, "doc long, code long, whole boolean")
 
 
 def _packed(source: DataFrame) -> DataFrame:
@@ -186,12 +195,12 @@ def _strings(texts: DataFrame) -> DataFrame:
     return texts.select("doc", "packed", "codes").mapInArrow(run, "bucket long, doc long, first long, names binary")
 
 
-def _later_ones(key: np.ndarray, doc: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(indices of the earliest of each key, indices of the others)."""
-    order = np.lexsort((start, doc, key))
-    k, d, s = key[order], doc[order], start[order]
+def _later_ones(bucket: np.ndarray, name: np.ndarray, doc: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(indices of the earliest of each bucket and name, indices of the others)."""
+    order = np.lexsort((start, doc, name, bucket))
+    b, k, d, s = bucket[order], name[order], doc[order], start[order]
     new = np.ones(len(k), bool)
-    new[1:] = k[1:] != k[:-1]
+    new[1:] = (k[1:] != k[:-1]) | (b[1:] != b[:-1])
     lead = np.flatnonzero(new)[np.cumsum(new) - 1]
     later = (d != d[lead]) | (s != s[lead])
     return order[new], order[later]
@@ -208,56 +217,59 @@ def _runs(doc: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray, n
     return doc[head], start[head], start[tail] + LENGTH
 
 
-RANGES = "name long, doc long, lo long, hi long"
+RANGES = "bucket long, name long, doc long, lo long, hi long"
+
+
+def _out(bucket, name, doc, lo, hi):
+    return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (bucket, name, doc, lo, hi)], ["bucket", "name", "doc", "lo", "hi"])
 
 
-def _out(name, doc, lo, hi):
-    return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (name, doc, lo, hi)], ["name", "doc", "lo", "hi"])
+def _gone(doc, start):
+    doc, lo, hi = _runs(doc, start)
+    return _out(pa.nulls(len(doc), pa.int64()), pa.nulls(len(doc), pa.int64()), doc, lo, hi)
 
 
 def _refine_strings(rows: DataFrame) -> DataFrame:
-    """Step 3. rows: bucket, doc, first, names, hot -> ranges of bytes that go (name null), and of
-    buckets dealt over tasks the strings that are earliest in theirs (name, doc, lo)."""
+    """Step 3. rows: bucket, doc, first, names, salts -> ranges of bytes that go (name null), and of
+    buckets dealt over tasks the strings that are earliest in theirs (bucket, name, doc, lo)."""
 
     def run(batches):
-        for batch, bounds in whole_groups(batches):
-            names = batch.column(3)
-            n = np.diff(names.offsets.to_numpy() if hasattr(names, "offsets") else np.frombuffer(names.buffers()[1], np.int32)[names.offset : names.offset + len(names) + 1]) // 8
-            name = np.frombuffer(b"".join(names.to_pylist()), np.uint64)
+        for batch, _ in whole_groups(batches, 2):
+            names = batch.column(4)
+            n = np.diff(np.frombuffer(names.buffers()[1], np.int32)[names.offset : names.offset + len(names) + 1]) // 8
+            name = np.frombuffer(b"".join(names.to_pylist()), np.int64)
             row = np.repeat(np.arange(len(n)), n)
             within = np.arange(len(name)) - np.repeat(np.cumsum(n) - n, n)
-            bucket, doc, start = batch.column(0).to_numpy().view(np.uint64)[row], batch.column(1).to_numpy()[row], batch.column(2).to_numpy()[row] + within
-            first, later = _later_ones(mix64(name ^ (bucket * np.uint64(0x9E3779B97F4A7C15))), doc, start)
+            bucket, doc, start = batch.column(0).to_numpy()[row], batch.column(2).to_numpy()[row], batch.column(3).to_numpy()[row] + within
+            first, later = _later_ones(bucket, name, doc, start)
             if len(later):
-                d, lo, hi = _runs(doc[later], start[later])
-                yield _out(pa.nulls(len(d), pa.int64()), d, lo, hi)
-            on = first[batch.column(4).to_numpy(zero_copy_only=False)[row[first]]]
+                yield _gone(doc[later], start[later])
+            on = first[batch.column(5).to_numpy(zero_copy_only=False)[row[first]]]
             if len(on):
-                yield _out(name[on].view(np.int64), doc[on], start[on], start[on])
+                yield _out(bucket[on], name[on], doc[on], start[on], start[on])
 
-    dealt = rows.repartition("bucket", F.when(F.col("hot"), F.pmod(F.xxhash64("doc"), F.lit(SALTS))).otherwise(F.lit(0).cast("long")))
-    return dealt.sortWithinPartitions("bucket", "doc", "first").select("bucket", "doc", "first", "names", "hot").mapInArrow(run, RANGES)
+    dealt = rows.withColumn("salt", _salt("doc", "first")).repartition("bucket", "salt").sortWithinPartitions("bucket", "salt", "doc", "first")
+    return dealt.select("bucket", "salt", "doc", "first", "names", F.col("salts").isNotNull().alias("hot")).mapInArrow(run, RANGES)
 
 
 def _refine_rest(rows: DataFrame) -> DataFrame:
-    """The strings that are left of dealt buckets, by their own identifier. rows: name, doc, lo."""
+    """The strings that are left of dealt buckets, by bucket and identifier. rows: bucket, name, doc, lo."""
 
     def run(batches):
-        for batch, _ in whole_groups(batches):
-            name, doc, start = (batch.column(i).to_numpy() for i in range(3))
-            _, later = _later_ones(name, doc, start)
+        for batch, _ in whole_groups(batches, 2):
+            bucket, name, doc, start = (batch.column(i).to_numpy() for i in range(4))
+            _, later = _later_ones(bucket, name, doc, start)
             if len(later):
-                d, lo, hi = _runs(doc[later], start[later])
-                yield _out(pa.nulls(len(d), pa.int64()), d, lo, hi)
+                yield _gone(doc[later], start[later])
 
-    return rows.repartition("name").sortWithinPartitions("name").select("name", "doc", "lo").mapInArrow(run, RANGES)
+    return rows.repartition("bucket", "name").sortWithinPartitions("bucket", "name").select("bucket", "name", "doc", "lo").mapInArrow(run, RANGES)
 
 
 def repeated_ranges(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc, lo, hi): ranges of bytes that go, overlapping ones too."""
     source = _source(docs, id_col, text_col)
     hot = settle(hot_buckets(source, docs.count()), "suffix-hot")
-    told = lambda rows: rows.join(F.broadcast(hot), "bucket", "left").withColumn("hot", F.coalesce("hot", F.lit(False)))  # noqa: E731  bounded by the sample
+    told = lambda rows: rows.join(small(hot), "bucket", "left")
     kept = settle(_refine(told(_suffix_rows(source))), "suffix-kept")
     ask = kept.filter("NOT whole").groupBy("doc").agg(F.collect_list("code").alias("codes"))
     strings = _strings(_packed(source).join(ask, "doc"))
