@@ -5,12 +5,13 @@ itself and of the lines before and after it; a two-state chain links neighbourin
 backward passes give each line's probability of being good, and a document's score is their mean
 weighted by line length in bytes (1 at least). An empty or null text is one empty line.
 
-Training takes a documented, bounded sample (``sample_docs`` labelled documents in the order of a hash
-of their id, up to ``lines_per_doc`` lines each); each line has its document's label. An id counts once
-with each label it has, however often it is repeated, by one of its texts. Documents with
-``crc32(doc_id) mod 4 = 2`` are held out of it. Labels that are null, or without a document, are left
-out; without any usable label every score is 0.5. Scoring reads whole texts, needs no shuffle, and its
-inputs are texts alone.
+Training takes a documented, bounded sample: at most ``sample_docs`` labelled documents in the order of a
+hash of their id, and of those, in that order, each whole one that still fits into ``sample_lines`` lines
+in all. Each line has its document's label. An id counts once with each label it has, however often it is
+repeated, by one of its texts. Documents with ``crc32(doc_id) mod 4 = 2`` are held out of it. Labels that
+are null, or without a document, are left out; without any usable label every score is 0.5. Scoring reads
+whole texts, needs no shuffle, and its inputs are texts alone. Rows that repeat an id are scored one by
+one, each by its own text; other columns, whatever their names, are carried along unread.
 """
 
 from __future__ import annotations
@@ -21,10 +22,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import mix64, pieces, range_hashes, text_buffers, words_of
+from .shared import mix64, pieces, range_hashes, settle, text_buffers, words_of
 
 SAMPLE_DOCS = 6000
-LINES_PER_DOC = 200
+SAMPLE_LINES = 200_000
 THRESHOLD = 0.7
 
 
@@ -179,9 +180,9 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample_docs: int = SAMPLE_DOCS, lines_per_doc: int = LINES_PER_DOC) -> dict:
-    """Fit on at most ``sample_docs`` labelled documents that aren't held out; only their line features
-    come to the driver, at most ``sample_docs`` rows of ``lines_per_doc`` lines."""
+def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample_docs: int = SAMPLE_DOCS, sample_lines: int = SAMPLE_LINES) -> dict:
+    """Fit on at most ``sample_docs`` whole labelled documents with ``sample_lines`` lines in all that aren't
+    held out; only the line features of these come to the driver."""
     usable = labels.select(F.col(id_col).alias("doc_id"), F.col(label_col).cast("int").alias("y")).filter(F.col("y").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
     picked = usable.distinct().orderBy(F.xxhash64("doc_id"), "doc_id", "y").limit(sample_docs)
     texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")).join(F.broadcast(picked), "doc_id").select("y", "text", "doc_id")
@@ -191,12 +192,19 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
             for part in pieces(batch, "text"):
                 x, _, per_doc = line_features(*text_buffers(part.column(1)))
                 heads = np.cumsum(per_doc) - per_doc
-                blobs = [x[h : h + min(n, lines_per_doc)].tobytes() for h, n in zip(heads, per_doc, strict=True)]
+                blobs = [x[h : h + n].tobytes() for h, n in zip(heads, per_doc, strict=True)]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(blobs, pa.binary()), part.column(2)], ["y", "x", "doc_id"])
 
     made = texts.mapInArrow(features, f"y int, x binary, doc_id {texts.schema['doc_id'].dataType.simpleString()}")
     # one text of each id, the choice and the order not depending on partitions
-    got = made.groupBy("doc_id", "y").agg(F.min(F.struct(F.xxhash64("x"), "x")).alias("least")).select("y", "least.x").toArrow()
+    made = settle(made.groupBy("doc_id", "y").agg(F.min(F.struct(F.xxhash64("x"), "x")).alias("least")).select("doc_id", "y", "least.x"), "crf-sample")
+    taken, left = [], sample_lines
+    for r in made.select("doc_id", "y", (F.length("x") / (4 * N_FEATURES)).cast("long").alias("n")).orderBy(F.xxhash64("doc_id"), "doc_id", "y").collect():
+        if r.n <= left:
+            taken.append((r.doc_id, r.y))
+            left -= r.n
+    chosen = docs.sparkSession.createDataFrame(taken, made.select("doc_id", "y").schema)
+    got = made.join(F.broadcast(chosen), ["doc_id", "y"], "left_semi").select("y", "x").toArrow()
     rows = sorted(zip(got["y"].to_pylist(), got["x"].to_pylist(), strict=True))
     x = [np.frombuffer(b, np.float32).reshape(-1, N_FEATURES) for _, b in rows]
     return fit(np.concatenate(x) if x else np.zeros((0, N_FEATURES)), np.array([len(v) for v in x], np.int64), np.array([y for y, _ in rows]))
