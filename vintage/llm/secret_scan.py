@@ -14,9 +14,9 @@ each weak span probing the blocks that its interval touches. It is a semi join,
 spans of a kind don't overlap, so a block holds at most ``SCOPE`` of each kind.
 
 Offsets are code points, the end exclusive. Null and empty texts have no spans. Rows that repeat a
-doc_id, or have none, are scanned as documents of their own: spans are linked by an own row key made of
-the id and a hash of the text, so copies with one id share links, which are equal anyway. Whole texts
-are scanned once; only spans are shuffled.
+doc_id, or have none, are scanned as documents of their own: spans are linked by an own row key, 128 bits
+of the id and the text, so copies with one id share links, which are equal anyway. Other columns,
+whatever their names, are not read. Whole texts are scanned once; only spans are shuffled.
 """
 
 from __future__ import annotations
@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import pieces, settle
+from .shared import halves, pieces, settle
 
 SCOPE = 200
 #: Kinds in the order in which spans with one start are listed.
@@ -72,7 +72,7 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     """One row per row of docs: doc_id, row_key, n_assign, n_access, n_hex and spans, all candidates as
     an array of (kind, start, end)."""
     source = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    source = source.select("doc_id", F.xxhash64("doc_id", "text").alias("row_key"), "text")
+    source = source.select("doc_id", halves(F.col("doc_id"), F.col("text")).alias("row_key"), "text")
     span = pa.struct([("kind", pa.int32()), ("start", pa.int64()), ("end", pa.int64())])
     rank = {k: i for i, k in enumerate(KINDS)}
 
@@ -86,7 +86,7 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *counts, pa.array(rows, pa.list_(span))], ["doc_id", "row_key", "n_assign", "n_access", "n_hex", "spans"])
 
     kind = source.schema["doc_id"].dataType.simpleString()
-    return source.mapInArrow(run, f"doc_id {kind}, row_key long, n_assign long, n_access long, n_hex long, spans array<struct<kind:int,start:long,end:long>>")
+    return source.mapInArrow(run, f"doc_id {kind}, row_key binary, n_assign long, n_access long, n_hex long, spans array<struct<kind:int,start:long,end:long>>")
 
 
 def linked(found: DataFrame, scope: int = SCOPE) -> DataFrame:
