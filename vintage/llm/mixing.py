@@ -9,8 +9,9 @@ Sources are ranked by code point, null last, and weigh 5, 2, 1, repeating. They
 all words; a target stops at ``most`` times its source's words and the excess is shared again by weight.
 A target of r times a source's words takes every document floor(r) times and one more time those under
 the threshold. The document at the threshold goes in when that brings the sum nearer to the budget.
-Null or empty texts have size 0 and are taken with 0 words. Rows with equal doc_id share a hash and go
-in together. With no words at all every target is 0. Reruns give equal results.
+Null or empty texts have size 0 and are taken with 0 words, as often as others of their source with
+their hash. No row is taken more than ``most`` times. Rows with equal doc_id share a hash and go in
+together. A source without words has target 0, and none of its rows is taken. Reruns give equal results.
 """
 
 from __future__ import annotations
@@ -55,7 +56,7 @@ def thresholds(rows: DataFrame, sources: DataFrame) -> DataFrame:
     """sources plus reps (whole times), rest (words of the partial time) and bound, the hash under which
     documents go in once more. rows: source_key, size, h."""
     got = sources.withColumn("reps", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long"))
-    got = settle(got.withColumns({"rest": F.col("target") - F.col("reps") * F.col("source_size"), "lo": F.lit(0).cast("long"), "under": F.lit(0).cast("long"), "mass": F.lit(0).cast("long"), "open": F.lit(True)}), "mix-sources")
+    got = settle(got.withColumns({"rest": F.col("target") - F.col("reps") * F.col("source_size"), "lo": F.lit(0).cast("long"), "under": F.lit(0).cast("long"), "mass": F.lit(0).cast("long")}).withColumn("open", F.col("rest") > 0), "mix-sources")
     for level in range(LEVELS):
         shift = BITS * (LEVELS - 1 - level)
         edge = got.filter("open").select("source_key", "lo", "under", "rest")
