@@ -7,12 +7,15 @@ them, and connected components carry decisions over. In a component with an expl
 unruled members are allowed; else, with an explicitly blocked one, they are blocked; else allowed. A rule
 of a page's own always stands.
 
-Edges of a page: its ``<link rel=canonical>`` and ``<meta http-equiv=refresh>`` targets if absolute, and the
-address that its own url is commonly redirected to (https, lower-case host without www. or m., path
-without a closing slash or .html, no fragment, no utm_ parameters). Host: after the first ``://`` up to
-``/ ? #`` or the end, A-Z lower-cased; path: then up to ``? #`` or the end. A null url, or one without
-``://``, has empty host and path, no rule and no edges, and is allowed. Rows that repeat a url share its
-component. All of it is built-in functions; urls are joined by their 128-bit hash.
+Edges of a page: its ``<link rel=canonical>`` and ``<meta http-equiv=refresh>`` targets, those relative to the
+page's url included, and, as an option that is on by default, the address that its own url is commonly
+redirected to (https, lower-case host without www. or m., path without a closing slash or .html, no
+fragment, no utm_ parameters). That address is a convention, not an observed redirect: sites where such
+urls are different pages need ``common=False``, or an ``edges`` table of observed redirects instead. Host:
+after the first ``://`` up to ``/ ? #`` or the end, A-Z lower-cased; path: then up to ``? #`` or the end. A null
+url, or one without ``://``, has empty host and path, no rule and no edges, and is allowed. Rows that repeat
+a url share its component, whatever their ids; other columns, whatever their names, are not read. All of
+it is built-in functions; urls are joined by their 128-bit hash.
 """
 
 from __future__ import annotations
@@ -57,16 +60,24 @@ def common_form(url: Column) -> Column:
     return F.when(F.locate("://", url) > 0, F.concat(F.lit("https://"), host, path, F.when(kept != "", F.concat(F.lit("?"), kept)).otherwise("")))
 
 
-def _attribute(html: Column, tag: str) -> Column:
-    """Absolute targets of a kind of tag."""
+def absolute(target: Column, url: Column) -> Column:
+    """A link's target as seen from the page ``url``, which has a scheme."""
+    scheme, site, folder = (F.regexp_extract(url, p, 1) for p in (r"(?s)^((?:(?!://).)*:)//", r"(?s)^((?:(?!://).)*://[^/?#]*)", r"(?s)^((?:(?!://).)*://[^/?#]*(?:/[^?#]*/|/)?)"))
+    whole = F.when(target.rlike(r"(?i)^[a-z][a-z0-9+.-]*://"), target).when(target.startswith("//"), F.concat(scheme, target)).when(target.startswith("/"), F.concat(site, target))
+    return whole.when(target.rlike(r"^[?#]"), F.concat(F.regexp_extract(url, r"(?s)^([^?#]*)", 1), target)).otherwise(F.concat(folder, F.when(folder.endswith("/") & (folder != F.concat(scheme, F.lit("//"))), "").otherwise("/"), target))
+
+
+def _attribute(html: Column, tag: str, url: Column) -> Column:
+    """Targets of a kind of tag."""
     tags = F.regexp_extract_all(html, F.lit(tag), F.lit(0))
-    return F.filter(F.transform(tags, lambda t: F.regexp_extract(t, r"""(?i)(?:href=|url=)["']?\s*([a-z][a-z0-9+.-]*://[^"'\s>]+)""", 1)), lambda u: u != "")
+    return F.transform(F.filter(F.transform(tags, lambda t: F.regexp_extract(t, r"""(?i)(?:href\s*=|url\s*=)\s*["']?\s*([^"'\s>]+)""", 1)), lambda u: u != ""), lambda u: absolute(u, url))
 
 
-def edges_of(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """(src, dst) urls of redirect and canonical-link edges."""
+def edges_of(pages: DataFrame, url_col: str = "url", html_col: str = "html", common: bool = True) -> DataFrame:
+    """(src, dst) urls of redirect and canonical-link edges, and, if ``common``, of the common form."""
     url, html = F.col(url_col), F.coalesce(F.col(html_col).cast("string"), F.lit(""))
-    links = F.concat(_attribute(html, r"(?i)<link\s[^>]*rel=[\"']?canonical[^>]*>"), _attribute(html, r"(?i)<meta\s[^>]*http-equiv=[\"']?refresh[^>]*>"), F.array(common_form(url)))
+    links = F.concat(_attribute(html, r"(?i)<link\s[^>]*rel\s*=\s*[\"']?canonical[^>]*>", url), _attribute(html, r"(?i)<meta\s[^>]*http-equiv\s*=\s*[\"']?refresh[^>]*>", url))
+    links = F.concat(links, F.array(common_form(url))) if common else links
     return pages.filter(F.locate("://", url) > 0).select(url.alias("src"), F.explode(links).alias("dst")).filter("src != dst")
 
 
@@ -74,10 +85,10 @@ def _node(url: Column) -> Column:
     return F.unhex(F.md5(url.cast("binary")))
 
 
-def judge(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", rules: tuple = RULES, edges: DataFrame | None = None) -> DataFrame:
+def judge(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", rules: tuple = RULES, edges: DataFrame | None = None, common: bool = True) -> DataFrame:
     """One row per row of pages: page_id, host, path, rule, verdict. ``edges``: more (src, dst) urls, such
     as a crawl's redirect log."""
-    links = edges_of(pages, url_col, html_col)
+    links = edges_of(pages, url_col, html_col, common)
     if edges is not None:
         links = links.unionByName(edges.select("src", "dst").dropna())
     # one edge more for each end: hosts and paths of urls that are only a link's target count for rules too
