@@ -137,12 +137,13 @@ def compute(bars: DataFrame, as_of, profiles: dict[str, Profile], benchmark: Dat
         m = known(benchmark, as_of).select(F.lit("b").alias("security_id"), "effective_date", "close")
         m = m.withColumns({"m1": ieee_div("close", lag("close")) - 1, "m21": ieee_div("close", lag("close", 21)) - 1}).select("effective_date", "m1", "m21")
         d = d.join(F.broadcast(m), "effective_date", "left")  # one row a day
-    d = d.withColumns({"r1": ieee_div("close", "pc") - 1, "h_range": finite(ieee_div(F.col("high") - F.col("low"), "close")), "h_vol": finite(ieee_div("realized_vol_21", "realized_vol_63")), "step": F.abs(F.col("close") - F.col("pc")), "vn": F.col("n").cast("double")})
+    d = d.withColumns({"r1": ieee_div("close", "pc") - 1, "h_range": finite(ieee_div(F.col("high") - F.col("low"), "close")), "h_vol": finite(ieee_div("realized_vol_21", "realized_vol_63")), "step": F.abs(F.col("close") - F.col("pc"))})
     d = d.withColumns({"h_move": rolling(F.avg, "step", 14), "h_atr": F.col("atr_pct"), "h_width": F.col("bandwidth"), "h_rvol": F.col("rvol")})
     if benchmark is not None:
         d = d.withColumn("rs21", finite(ieee_div(1 + rolling(F.sum, "r1", 21), 1 + rolling(F.sum, "m1", 21)) - 1))
     five = history().rowsBetween(-4, 0)
-    slope = lambda c: F.when((F.count(c).over(five) == 5) & (F.col("n") >= 5), F.regr_slope(F.col(c), F.col("vn")).over(five))
+    # the least-squares slope over five equally spaced rows
+    slope = lambda c: F.when(F.count(c).over(five) == 5, (2 * F.col(c) + lag(c, 1) - lag(c, 3) - 2 * lag(c, 4)) / 10)
     hi, lo = rolling(F.max, "close", 20), rolling(F.min, "close", 20)
     roc10, roc21 = finite(ieee_div("close", lag("close", 10)) - 1), finite(ieee_div("close", lag("close", 21)) - 1)
     d = d.withColumns({"roc10": roc10, "roc21": roc21, "v_slope": slope("v"), "v_mean5": F.avg("v").over(five), "hi": hi, "lo": lo, "rs_slope": slope("rs21") if benchmark is not None else F.lit(None).cast("double")})

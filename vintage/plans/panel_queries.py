@@ -132,7 +132,7 @@ def valuation_category(spark, sf_dir):
 # ---- readouts -----------------------------------------------------------------------------------------
 
 _five = over(5)
-_slope5 = lambda c: f"CASE WHEN count({c}) {_five} = 5 AND rn >= 5 THEN regr_slope({c}, rn) {_five} END"
+_slope5 = lambda c: f"CASE WHEN count({c}) {_five} = 5 THEN (2 * {c} + {lag(c)} - {lag(c, 3)} - 2 * {lag(c, 4)}) / 10 END"  # noqa: E731  least squares over five equally spaced rows
 _ok = lambda c: f"CASE WHEN NOT isnan({c}) AND NOT isinf({c}) THEN {c} END"
 _bench = f"SELECT effective_date, {div('close', lag('close'))} - 1 AS m1, {div('close', lag('close', 21))} - 1 AS m21 FROM best WHERE security_id = '{BENCHMARK}'"
 READOUT_STEPS = f"""{indicator_sql.steps('best', BENCHMARK)}, mk AS ({_bench}),

@@ -211,7 +211,7 @@ def registered_securities(spark, sf_dir):
     views.load(spark, sf_dir, "supplier")
     master = versions.version_hash(spark.sql(MASTER))
     had = master.filter("CAST(substring_index(security_id, '_', -1) AS INT) % 2 = 0")
-    return versions.insert_only(master.unionByName(master), had, ["security_id", "symbol", "effective_start", "effective_end"]).select("security_id", "symbol", "effective_start")
+    return versions.insert_only(master.unionByName(master), had, ["security_id", "symbol", "effective_start"]).select("security_id", "symbol", "effective_start")
 
 
 @query("""WITH off AS (SELECT DISTINCT CAST(o_orderdate AS DATE) AS day FROM orders WHERE day(o_orderdate) = 1), d AS (SELECT CAST(d AS DATE) AS day FROM generate_series(TIMESTAMP '1995-01-01', TIMESTAMP '1997-12-31', INTERVAL 1 DAY) t(d)),
