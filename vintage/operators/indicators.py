@@ -260,7 +260,8 @@ def compute_all(bars: DataFrame, as_of, benchmark: DataFrame | None = None, carr
     """One wide row for each (security, date) of the bars known at ``as_of``, as a derived fact, with the
     ``carry`` columns of PRICES. Only what the recursive columns read goes through Python; a security's whole
     history is one group there, at most some ten thousand rows."""
-    d = finite_indicators(known(bars, as_of).select("security_id", "effective_date", *PRICES), benchmark)
+    b = known(bars, as_of).select("security_id", "effective_date", *PRICES)
+    d = finite_indicators(b, benchmark)
     keep = [f for f in d.schema.fields if f.name in ("security_id", "effective_date", *carry) or f.name not in (*_SCRATCH, *PRICES)]
     keys = ["security_id", "effective_date"]
     schema = T.StructType([*[d.schema[c] for c in keys], *[T.StructField(c, T.DoubleType()) for c in RECURSIVE]])
@@ -269,7 +270,9 @@ def compute_all(bars: DataFrame, as_of, benchmark: DataFrame | None = None, carr
         pdf = pdf.sort_values("effective_date").reset_index(drop=True)
         return pd.concat([pdf[keys], recursive_columns(pdf)], axis=1)
 
-    recursive = d.select(*keys, "close", "dx", "ad_line", "raw_force", "raw_eom", "atr_10").groupBy("security_id").applyInPandas(run, schema)
+    # all prices are named, so that both branches read one shuffle of the bars
+    inputs = finite_indicators(b).select(*keys, "open", "close", "dx", "ad_line", "raw_force", "raw_eom", "atr_10")
+    recursive = inputs.groupBy("security_id").applyInPandas(run, schema)
     out = d.select(*[f.name for f in keep]).join(recursive, keys)
     # a missing number is null, never NaN
     values = [finite(f.name).alias(f.name) if isinstance(f.dataType, T.DoubleType) else F.col(f.name) for f in [*keep, *schema.fields[2:]] if f.name not in keys]
