@@ -16,21 +16,22 @@ def market_breadth(bars: DataFrame, as_of, ratios: dict[str, tuple[str, str]] |
     day mean, carried over dates that a security lacks, and ratios of two closes. bars: one per cell."""
     b = known(bars, as_of).select("security_id", "effective_date", "close")
     b = b.withColumns({f"above_{n}": (F.col("close") > rolling(F.avg, "close", n)).cast("int") for n in (50, 200)})
-    dates = b.select("effective_date").distinct()
     # a state holds from its date to the day before the security's next one
     spans = b.withColumn("next", F.lead("effective_date").over(history()))
+    # (every change is on a date with bars, and every date with bars has one)
     # each state counts +1 at its date and -1 at the next: running sums over dates replace the product of dates
     # and securities
     change = lambda n, at, sign: F.when(F.col(at).isNotNull(), F.struct(F.lit(n).alias("n"), F.col(at).alias("effective_date"), (F.col(f"above_{n}").isNotNull().cast("int") * sign).alias("k"), (F.coalesce(f"above_{n}", F.lit(0)) * sign).alias("a")))
     changes = spans.select(F.inline(F.array_compact(F.array(*[change(n, at, sign) for n in (50, 200) for at, sign in (("effective_date", 1), ("next", -1))]))))
     daily = changes.groupBy("n", "effective_date").agg(F.sum("k").alias("k"), F.sum("a").alias("a"))
     w = Window.partitionBy("n").orderBy("effective_date").rowsBetween(Window.unboundedPreceding, 0)  # one row a date
-    share = daily.select("n", "effective_date", (100.0 * F.try_divide(F.sum("a").over(w), F.sum("k").over(w))).alias("value")).join(dates, "effective_date", "left_semi")
+    share = daily.select("n", "effective_date", (100.0 * F.try_divide(F.sum("a").over(w), F.sum("k").over(w))).alias("value"))
     names = F.explode(F.array(F.lit("pct_above_"), F.lit("sector_all_pct_above_")))
     out = share.select(names.alias("name"), "n", "effective_date", "value").select(F.concat("name", F.col("n").cast("string"), F.lit("ma")).alias("metric_id"), "effective_date", "value")
-    for name, (x, y) in (ratios or {}).items():
-        two = b.filter(F.col("security_id").isin(x, y)).groupBy("effective_date").agg(F.max(F.when(F.col("security_id") == x, F.col("close"))).alias("x"), F.max(F.when(F.col("security_id") == y, F.col("close"))).alias("y"))
-        out = out.unionByName(dates.join(two, "effective_date", "left").select(F.lit(f"ratio_{name}").alias("metric_id"), "effective_date", F.try_divide("x", "y").alias("value")))
+    if ratios:
+        close = lambda security: F.max(F.when(F.col("security_id") == security, F.col("close")))
+        daily = known(bars, as_of).groupBy("effective_date").agg(*[F.struct(F.lit(f"ratio_{name}").alias("metric_id"), F.try_divide(close(x), close(y)).alias("value")).alias(f"r{k}") for k, (name, (x, y)) in enumerate(ratios.items())])
+        out = out.unionByName(daily.select(F.col("effective_date"), F.inline(F.array(*[f"r{k}" for k in range(len(ratios))]))))
     return out
 
 
