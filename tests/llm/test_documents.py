@@ -332,13 +332,14 @@ def test_distinct_chunks_are_counted_once(spark):
     docs = spark.createDataFrame([("a b a",), ("b  b",), (None,), ("",), ("x" * 100 + " a",)], "text string")
     with open(piece_model(), "rb") as f:
         model = f.read()
-    chunks = sentencepiece_codec.chunk_table(docs.repartition(3), spark.sparkContext.broadcast(model))
-    table = chunks.collect()
+    shared = spark.sparkContext.broadcast(model)
+    chunks = sentencepiece_codec.chunk_table(docs.repartition(3), shared)
     for most, want in ((0, []), (1, ["a"]), (2, ["a", "b"]), (9, [" b", "a", "b"])):
         assert sorted(r.chunk for r in sentencepiece_codec.frequent(chunks, most).collect()) == want
     sp = sentencepiece_codec.load(model)
-    assert {r.chunk: r.n for r in table} == {"a": 3, "b": 2, " b": 1} and len(table) == 3
-    assert all(r.ids == sp.encode(r.chunk) and r.digits == ",".join(map(str, r.ids)) for r in table)
+    assert sorted((r.chunk, r.n) for r in chunks.collect()) == [(" b", 1), ("a", 3), ("b", 2)]
+    table = sentencepiece_codec.segmented(chunks, shared).collect()
+    assert len(table) == 3 and all(r.ids == sp.encode(r.chunk) and r.digits == ",".join(map(str, r.ids)) for r in table)
 
 
 def test_chunks_equal_the_library():

@@ -2,19 +2,20 @@
 
 With a vocabulary whose pieces hold whitespace markers only at their start, no merge crosses from one
 marked word into the next, so a text is the concatenation of its chunks (one or more markers and what
-follows up to the next marker). A first pass counts the chunks, partially in each task, and groups them;
-every distinct chunk is then segmented by the library once (``chunk_table``). Ids are joined back by
-position: the second pass looks the chunks of each text up, in order, in a broadcast of at most ``TABLE`` of
-the most frequent entries, whose size is bounded by that number of chunks of up to ``LONGEST`` characters.
+follows up to the next marker). A first pass makes the table of distinct chunks and their counts, partially
+in each task (``chunk_table``); its at most ``TABLE`` most frequent entries are segmented by the library once
+and broadcast, a size that is bounded by that number of chunks of up to ``LONGEST`` characters. Ids are joined
+back by position: the second pass looks the chunks of each text up, in order.
 
 A chunk beyond the broadcast, rare or long, is segmented by the task that meets it, once while it stays in
 the task's own table; that table is started anew at ``CHUNKS`` entries or ``HELD`` characters, so memory is
-bounded whatever the corpus holds, and the ids are the same either way. A shuffle join of all word
-occurrences would move several times the input (see README).
+bounded whatever the corpus holds, and the ids are the same either way. A shuffle join of just these
+occurrences, a tenth of all, would move over twice the input (see README).
 
 If the model doesn't allow chunks (a piece crosses a marker, a normaliser other than identity, suffix
 markers, whitespace removal, user-defined symbols), whole texts go through the library instead. Null
-and empty texts have no ids and decode to an empty text.
+and empty texts have no ids and decode to an empty text. Rows that repeat an id are encoded one by one;
+columns other than the text and those to carry, whatever their names, are not read.
 """
 
 from __future__ import annotations
@@ -32,7 +33,7 @@ from pyspark.sql import types as T
 from .shared import pieces, settle
 
 MARK = "▁"
-TABLE = 200_000  # entries of the broadcast part of the table
+TABLE = 100_000  # entries of the broadcast part of the table
 LONGEST = 64  # characters of a chunk in it
 CHUNKS = 50_000  # entries of a task's own table
 COUNTED = 1_000_000  # rows of counts that a task holds
@@ -179,8 +180,7 @@ def hashed(texts: pa.Array) -> pa.Array:
 
 
 def chunk_table(docs: DataFrame, model, text_col: str = "text") -> DataFrame:
-    """Every distinct chunk of up to LONGEST characters in ``docs``, segmented once: chunk, n (its
-    occurrences), ids, digits (ids as text) and inner (how it reads behind other chunks). model: a
+    """Every distinct chunk of up to LONGEST characters in ``docs``: chunk and n, its occurrences. model: a
     broadcast of the model's bytes. Empty if the model doesn't allow chunks."""
 
     def count(batches):
@@ -208,15 +208,22 @@ def chunk_table(docs: DataFrame, model, text_col: str = "text") -> DataFrame:
     def told(seen):
         return seen[0].cast(pa.schema([("chunk", pa.string()), ("n", pa.int64())])).to_batches(max_chunksize=10_000)
 
+    counts = docs.select(F.col(text_col).cast("string").alias("text")).mapInArrow(count, "chunk string, n long")
+    return counts.groupBy("chunk").agg(F.sum("n").alias("n"))
+
+
+def segmented(chunks: DataFrame, model) -> DataFrame:
+    """Distinct chunks, each segmented once: chunk, ids, digits (ids as text) and inner (how it reads behind
+    other chunks)."""
+
     def segment(batches):
         table = ChunkTable(model.value)
         for batch in batches:
             table.clear()
             table.add(batch.column(0).to_pylist())
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(table.ids, pa.list_(pa.int32())), pa.array(table.digits, pa.string()), pa.array(table.inner, pa.string())], ["chunk", "n", "ids", "digits", "inner"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(table.ids, pa.list_(pa.int32())), pa.array(table.digits, pa.string()), pa.array(table.inner, pa.string())], ["chunk", "ids", "digits", "inner"])
 
-    counts = docs.select(F.col(text_col).cast("string").alias("text")).mapInArrow(count, "chunk string, n long")
-    return counts.groupBy("chunk").agg(F.sum("n").alias("n")).mapInArrow(segment, "chunk string, n long, ids array<int>, digits string, inner string")
+    return chunks.select("chunk").mapInArrow(segment, "chunk string, ids array<int>, digits string, inner string")
 
 
 def frequent(chunks: DataFrame, most: int | None = None) -> DataFrame:
@@ -242,7 +249,7 @@ def encoded(docs: DataFrame, model_file: str, text_col: str = "text", outputs: t
     kinds = {"n_tokens": (T.LongType(), pa.int64()), "ids": (T.ArrayType(T.IntegerType()), pa.list_(pa.int32())), "decoded": (T.StringType(), pa.string()), "ids_sha256": (T.StringType(), pa.string()), "decoded_sha256": (T.StringType(), pa.string())}
     source = docs.select(*carry, *[text_col] * (text_col not in carry))
     chunks = settle(chunk_table(docs, model, text_col), "piece-chunks")
-    often = frequent(chunks).toArrow()
+    often = segmented(frequent(chunks), model).toArrow()
     known = docs.sparkSession.sparkContext.broadcast(tuple(often[c].to_pylist() for c in ("chunk", "ids", "digits", "inner")))
 
     def run(batches):
@@ -252,7 +259,6 @@ def encoded(docs: DataFrame, model_file: str, text_col: str = "text", outputs: t
                 got = table.outputs(part.column(part.schema.get_field_index(text_col)), outputs)
                 cols = [part.column(part.schema.get_field_index(c)) for c in carry]
                 yield pa.RecordBatch.from_arrays([*cols, *[got[k].cast(kinds[k][1]) for k in outputs]], [*carry, *outputs])
-            pa.default_memory_pool().release_unused()
 
     return source.mapInArrow(run, T.StructType([*[source.schema[c] for c in carry], *[T.StructField(k, kinds[k][0]) for k in outputs]]))
 

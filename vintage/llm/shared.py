@@ -76,7 +76,7 @@ def text_buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data, offsets - offsets[0] if len(column) else np.zeros(1, np.int64)
 
 
-def pieces(batch: pa.RecordBatch, column: str, most: int = 4 << 20):
+def pieces(batch: pa.RecordBatch, column: str, most: int = 1 << 20):
     """Slices of a batch with about ``most`` bytes of text each (one row at least), so that temporary
     arrays stay bounded; a longer row makes a slice of its own."""
     n = batch.num_rows
@@ -89,6 +89,7 @@ def pieces(batch: pa.RecordBatch, column: str, most: int = 4 << 20):
         hi = min(max(hi, lo + 1), n)
         yield batch.slice(lo, hi - lo)
         lo = hi
+    pa.default_memory_pool().release_unused()  # workers go on to other stages
 
 
 def mix64(x: np.ndarray) -> np.ndarray:

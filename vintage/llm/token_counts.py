@@ -13,8 +13,9 @@ Sections tile the text: each starts where the previous one ends, so no token is
 and a document's sections sum to its tokens. A character that several tokens split belongs to the token
 in which it begins; a token without a first byte of a character goes where its character began. Without
 a section column, sections are paragraphs: a line break followed by an empty line ends one, and the
-break belongs to the section before it. Null and empty texts have no tokens and one empty section. Whole
-texts are read, nothing is shuffled.
+break belongs to the section before it. Null and empty texts have no tokens and one empty section. Rows that
+repeat an id are counted one by one. Other columns than those named, whatever their names, are not read.
+Whole texts are read, nothing is shuffled.
 """
 
 from __future__ import annotations
