@@ -217,31 +217,29 @@ _ESTIMATES = {"estimatedEPS": "estimated_eps", "estimatedRevenue": "estimated_re
 
 def wide_fundamentals(p: DataFrame) -> DataFrame:
     """Wide reports to long form: three statements by quarter and year, overview, shares, earnings, estimates.
-    A report is a map, unpivoted by a join-free look-up of its line items; a body is parsed and exploded once."""
+    A report is a map; a body is parsed and exploded once, and its fields meet the fixed list of line items."""
     reports = "array<map<string,string>>"
     sections = {"incomeStatement": ("quarterlyReports", "annualReports"), "balanceSheet": ("quarterlyReports", "annualReports"), "cashFlow": ("quarterlyReports", "annualReports"), "sharesOutstanding": ("quarterly", "annual"), "earnings": ("quarterlyEarnings", "annualEarnings"), "earningsEstimates": ("quarterly", "annual")}
     schema = "struct<" + ",".join(f"{s}:struct<{q}:{reports},{a}:{reports}>" for s, (q, a) in sections.items()) + ",overview:map<string,string>>"
     kinds = {"incomeStatement": ("income_statement", "flow", LINE_ITEMS), "balanceSheet": ("balance_sheet", "instant", LINE_ITEMS), "cashFlow": ("cash_flow", "flow", LINE_ITEMS), "sharesOutstanding": ("overview", "overview", {"sharesOutstanding": "shares_outstanding"}), "earnings": ("earnings", "earnings", _EARNINGS), "earningsEstimates": ("earnings", "earnings", _ESTIMATES)}
 
-    def items(names: dict[str, str]) -> Column:
-        return F.create_map(*[F.lit(x) for pair in names.items() for x in pair])
-
-    def told(statement: str, measure: str, kind: str, names: Column):
-        """Of a report its date and its known fields."""
-        fields = lambda r: F.filter(F.transform(F.map_entries(r), lambda e: F.struct(names[e.key].alias("item"), _num(e.value).alias("number"))), lambda e: e.item.isNotNull() & e.number.isNotNull())
-        return lambda r: F.struct(F.lit(statement).alias("statement"), F.lit(measure).alias("measure"), F.lit(kind).alias("kind"), _day(r["fiscalDateEnding"]).alias("end"), fields(r).alias("fields"))
-
-    found = []
-    for section, (statement, measure, names) in kinds.items():
-        for key, kind in zip(sections[section], ("quarter", "fiscal_year"), strict=True):
-            dated = F.filter(F.transform(F.col("m")[section][key], told(statement, measure, kind, items(names))), lambda r: r.end.isNotNull())
-            found.append(F.coalesce(dated, F.array()))
-    # the body is parsed once: an overview is one more report, dated by the day on which it was known
-    overview = F.transform(F.filter(F.array("m.overview"), lambda m: m.isNotNull()), lambda m: F.struct(*[told("overview", "overview", "snapshot", items(OVERVIEW_ITEMS))(m)[c].alias(c) for c in ("statement", "measure", "kind")], _known_day().alias("end"), told("overview", "overview", "snapshot", items(OVERVIEW_ITEMS))(m).fields.alias("fields")))
-    d = whole(p, schema).select("*", F.explode(F.concat(*found, overview)).alias("x")).select("*", "x.*", F.explode("x.fields").alias("f"))
+    fields = [(section, field, item, statement, measure) for section, (statement, measure, names) in kinds.items() for field, item in names.items()]
+    fields += [("overview", field, item, "overview", "overview") for field, item in OVERVIEW_ITEMS.items()]
+    known_fields = p.sparkSession.createDataFrame(fields, "section string, field string, item string, statement string, measure string")
+
+    def named(section: str, kind: str):
+        return lambda r: F.struct(F.lit(section).alias("section"), F.lit(kind).alias("kind"), r.alias("report"))
+
+    # the body is parsed once; an overview is one more report, dated by the day on which it was known
+    found = [F.coalesce(F.transform(F.col("m")[section][key], named(section, kind)), F.array()) for section in kinds for key, kind in zip(sections[section], ("quarter", "fiscal_year"), strict=True)]
+    found.append(F.transform(F.filter(F.array("m.overview"), lambda m: m.isNotNull()), named("overview", "snapshot")))
+    d = whole(p, schema).select("*", F.explode(F.concat(*found)).alias("x")).drop("body", "m").select("*", "x.*").drop("x")
+    d = d.withColumn("end", F.when(F.col("kind") == "snapshot", _known_day()).otherwise(_day(F.col("report")["fiscalDateEnding"]))).filter("end IS NOT NULL")
+    # the dimension of fields is a fixed list
+    d = d.select("*", F.explode("report").alias("field", "raw")).drop("report").join(F.broadcast(known_fields), ["section", "field"]).withColumn("number", _num(F.col("raw"))).filter("number IS NOT NULL")
     quarter = F.when(F.col("kind") == "quarter", F.quarter("end")).otherwise(4)
     fiscal = F.when(F.col("kind") == "snapshot", "OVERVIEW").otherwise(F.concat(F.lit("FY"), F.year("end").cast("string"), F.lit("Q"), quarter.cast("string")))
-    return _statement(d, F.col("end"), fiscal, F.col("kind"), F.col("measure"), F.col("statement"), F.col("f.item"), F.col("f.number"))
+    return _statement(d, F.col("end"), fiscal, F.col("kind"), F.col("measure"), F.col("statement"), F.col("item"), F.col("number"))
 
 
 def _action(d: DataFrame, day: Column, kind: str, num: Column, den: Column, amount: Column, currency: Column) -> DataFrame:
