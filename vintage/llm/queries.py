@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, mixing, ngram_join, nn_descent, quality_crf, secret_scan, sentencepiece_codec, suffix_dedup, token_counts, url_filter
+from . import decontaminate, exact_dedup, mixing, ngram_join, nn_descent, quality_crf, secret_scan, sentencepiece_codec, suffix_dedup, token_counts, url_filter
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -70,7 +70,11 @@ def op10_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.deduplicated(table(spark, sf_dir, "documents"), outputs=("kept_sha256",))
 
 
-QUERIES = {f.__name__: f for f in (op1_ngram_jaccard_join, op2_secret_scan, op3_mixing, op4_token_counts, op5_exact_dedup, op6_url_filter, op7_embedding_near_dedup, op8_quality_classifier, op9_sentencepiece, op10_suffix_array_dedup)}
+def op13_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+QUERIES = {f.__name__: f for f in (op1_ngram_jaccard_join, op2_secret_scan, op3_mixing, op4_token_counts, op5_exact_dedup, op6_url_filter, op7_embedding_near_dedup, op8_quality_classifier, op9_sentencepiece, op10_suffix_array_dedup, op13_benchmark_decontamination)}
 
 ORACLE_SQL = {
     "op3_mixing": r"""
@@ -104,4 +108,27 @@ ORACLE_SQL = {
                      first_value(doc_id) OVER (PARTITION BY text_sha256 ORDER BY n_cp DESC, doc_id) AS keep_id FROM d)
         SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, text_sha256 FROM k
     """,
+    "op13_benchmark_decontamination": r"""
+        WITH d AS (
+            SELECT row_number() OVER () AS r, doc_id,
+                   regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words
+            FROM documents),
+        i AS (
+            SELECT coalesce(CAST(item_id AS VARCHAR), '') AS item,
+                   regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words
+            FROM benchmark),
+        iw AS (
+            SELECT DISTINCT item, least(len(words), 10) AS n, words[k:k + 9] AS w
+            FROM (SELECT item, words, unnest(range(1, greatest(len(words) - 9, 1) + 1)) AS k FROM i WHERE len(words) > 0)),
+        dw AS (
+            SELECT r, k, n, words[k:k + n - 1] AS w
+            FROM (SELECT r, words, n, unnest(range(1, len(words) - n + 2)) AS k
+                  FROM d, (SELECT DISTINCT n FROM iw) WHERE len(words) >= n)),
+        m AS (SELECT r, k, dw.n, item FROM dw JOIN iw ON dw.n = iw.n AND dw.w = iw.w),
+        h AS (SELECT r, count(DISTINCT p) AS n_hit FROM (SELECT r, unnest(range(k, k + n)) AS p FROM m) GROUP BY r),
+        t AS (SELECT r, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT r, item FROM m) GROUP BY r)
+        SELECT doc_id, CAST(len(words) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+               sha256(coalesce(items, '')) AS items_sha256, n_hit IS NOT NULL AS contaminated
+        FROM d LEFT JOIN h USING (r) LEFT JOIN t USING (r)
+    """,
 }

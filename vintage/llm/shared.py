@@ -3,6 +3,7 @@ vectorised access to the bytes of an Arrow text column."""
 
 from __future__ import annotations
 
+import string
 import uuid
 
 import numpy as np
@@ -15,6 +16,8 @@ from pyspark.sql import functions as F
 #: Rows up to which a settled table of small rows (ids, hashes, counts) may be broadcast: at about 150
 #: bytes a row in memory that is under 60 MB. Above it the same join runs as a shuffle join.
 BROADCAST_ROWS = 400_000
+#: Bytes of text and binary values that such a table may hold besides.
+BROADCAST_BYTES = 32 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -40,8 +43,17 @@ def settle(df: DataFrame, name: str) -> DataFrame:
 
 def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """A broadcast hint on a settled table of short rows, if its row count (from the Parquet footers)
-    is under ``rows``; else the table as it is, for a shuffle join that adaptive execution may split."""
-    return F.broadcast(df) if df.count() <= rows else df
+    is at most ``rows`` and its text and binary values hold ``BROADCAST_BYTES`` at most; else the table as
+    it is, for a shuffle join that adaptive execution may split."""
+    return F.broadcast(df) if fits(df, rows) else df
+
+
+def fits(df: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
+    """Whether a settled table is small enough to be broadcast."""
+    if df.count() > rows:
+        return False
+    wide = [F.sum(F.octet_length(name)) for name, kind in df.dtypes if kind in ("string", "binary")]
+    return not wide or sum(x or 0 for x in df.agg(*wide).first()) <= BROADCAST_BYTES
 
 
 def dropped(*settled: DataFrame) -> None:
@@ -67,6 +79,12 @@ def meetings(rows: DataFrame, key: str, group: Column, blocks: Column) -> DataFr
     return told.withColumn("meeting", F.concat(group, *place)).drop("__with")
 
 
+def ascii_lower(text: Column) -> Column:
+    """A-Z in lower case, other letters as they are; null is empty. ``lower`` does it for texts of ASCII."""
+    text = F.coalesce(text, F.lit(""))
+    return F.when(F.octet_length(text) == F.length(text), F.lower(text)).otherwise(F.translate(text, string.ascii_uppercase, string.ascii_lowercase))
+
+
 def text_buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Bytes of a text column and the n+1 offsets of its values; null is empty."""
     column = column.fill_null("").cast(pa.large_string())
@@ -124,14 +142,14 @@ def _powers(base: np.uint64, n: int) -> np.ndarray:
     return out
 
 
-def words_of(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Starts, ends and 64-bit hashes of all words (runs of bytes other than x20 and x09-x0D) of the
-    concatenated values; a word never crosses a value's end."""
+def words_of(data: np.ndarray, offsets: np.ndarray, space: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts, ends and 64-bit hashes of all words (runs of bytes outside ``space``, by default x20 and
+    x09-x0D) of the concatenated values; a word never crosses a value's end."""
     n = len(data)
     if not n:
         z = np.zeros(0, np.int64)
         return z, z, np.zeros(0, np.uint64)
-    word = ~_SPACE[data]
+    word = ~space[data]
     first = word.copy()
     first[1:] &= ~word[:-1]
     cut = offsets[1:-1]
@@ -167,25 +185,35 @@ def as_long(x: np.ndarray) -> pa.Array:
     return pa.array(np.ascontiguousarray(x).view(np.int64))
 
 
+def group_cuts(batch: pa.RecordBatch, keys: int = 1) -> np.ndarray:
+    """Rows of a batch at which one of its first columns, ``keys`` of them, differs from the row before."""
+    n = batch.num_rows
+    other = [pc.not_equal(key.slice(1), key.slice(0, n - 1)).to_numpy(zero_copy_only=False) for key in batch.columns[:keys]]
+    return np.flatnonzero(np.logical_or.reduce(other)) + 1
+
+
 def whole_groups(batches, keys: int = 1):
     """From batches sorted by their first columns, ``keys`` of them, (batch, bounds of its groups): a group
-    that spans batches is put together first, so each comes out whole and once."""
-    rest = None
-    for batch in _and_end(batches):
-        last = batch is None
-        if rest is not None and rest.num_rows:
-            batch = rest if last else pa.concat_batches([rest, batch])
-        if batch is None or not batch.num_rows:
+    that spans batches is put together first, once however many they are, so each comes out whole."""
+    open_ = []  # parts of the group that the last batch ended with
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        if open_:
+            # one row of the open group before the batch tells whether it goes on
+            tail = open_[-1].slice(open_[-1].num_rows - 1)
+            cuts = group_cuts(pa.concat_batches([tail, batch]), keys) - 1
+        else:
+            cuts = group_cuts(batch, keys)
+        if not len(cuts):
+            open_.append(batch)
             continue
-        n = batch.num_rows
-        other = [pc.not_equal(key.slice(1), key.slice(0, n - 1)).to_numpy(zero_copy_only=False) for key in batch.columns[:keys]]
-        cuts = np.flatnonzero(np.logical_or.reduce(other)) + 1
-        stop = n if last else int(cuts[-1]) if len(cuts) else 0
-        if stop:
-            yield batch.slice(0, stop), np.array([0, *cuts[cuts < stop], stop])
-        rest = batch.slice(stop)
-
-
-def _and_end(batches):
-    yield from batches
-    yield None
+        stop = int(cuts[-1])
+        first = pa.concat_batches([*open_, batch.slice(0, stop)]) if open_ else batch.slice(0, stop)
+        before = first.num_rows - stop
+        inner = cuts[:-1] + before
+        yield first, np.array([0, *inner[inner > 0], first.num_rows])
+        open_ = [batch.slice(stop)]
+    if open_:
+        whole = pa.concat_batches(open_)
+        yield whole, np.array([0, whole.num_rows])
