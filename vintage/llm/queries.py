@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, exact_dedup, mixing, ngram_join, nn_descent, quality_crf, secret_scan, sentencepiece_codec, suffix_dedup, token_counts, url_filter
+from . import centroids, decontaminate, exact_dedup, mixing, ngram_join, nn_descent, quality_crf, secret_scan, sentencepiece_codec, suffix_dedup, token_counts, url_filter
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -70,13 +70,46 @@ def op10_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.deduplicated(table(spark, sf_dir, "documents"), outputs=("kept_sha256",))
 
 
+def op11_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.clustered(table(spark, sf_dir, "embeddings"))[0]
+
+
 def op13_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {f.__name__: f for f in (op1_ngram_jaccard_join, op2_secret_scan, op3_mixing, op4_token_counts, op5_exact_dedup, op6_url_filter, op7_embedding_near_dedup, op8_quality_classifier, op9_sentencepiece, op10_suffix_array_dedup, op13_benchmark_decontamination)}
+QUERIES = {f.__name__: f for f in (op1_ngram_jaccard_join, op2_secret_scan, op3_mixing, op4_token_counts, op5_exact_dedup, op6_url_filter, op7_embedding_near_dedup, op8_quality_classifier, op9_sentencepiece, op10_suffix_array_dedup, op11_centroid_clustering, op13_benchmark_decontamination)}
+
+def _lloyd_sql(turns: int = 3) -> str:
+    """Lloyd's rounds written out, one after the other, over a row for each component."""
+    parts = ["""
+        WITH kept AS MATERIALIZED (
+            SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: CAST(floor(64.0::DOUBLE * x::DOUBLE) AS BIGINT)) AS v
+            FROM embeddings WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: isfinite(x))) = 64),
+        p AS MATERIALIZED (SELECT r, unnest(range(64)) AS j, unnest(v) AS x FROM kept),
+        first AS (
+            SELECT row_number() OVER (ORDER BY sha256('1:' || CAST(vec_id AS VARCHAR)) NULLS LAST, v) - 1 AS k, v FROM kept
+            QUALIFY k < 16),
+        c0 AS MATERIALIZED (SELECT k, unnest(range(64)) AS j, unnest(v) AS x FROM first)"""]
+    for t in range(turns + 1):
+        parts.append(f"""
+        d{t} AS (SELECT r, k, CAST(sum((p.x - c.x) * (p.x - c.x)) AS BIGINT) AS d FROM p JOIN c{t} c USING (j) GROUP BY r, k),
+        a{t} AS MATERIALIZED (SELECT r, k, d FROM d{t} QUALIFY row_number() OVER (PARTITION BY r ORDER BY d, k) = 1)""")
+        if t < turns:
+            parts.append(f"""
+        m{t} AS (SELECT k, j, sum(x) AS s, count(*) AS n FROM p JOIN a{t} USING (r) GROUP BY k, j),
+        c{t + 1} AS MATERIALIZED (SELECT k, j, CASE WHEN n IS NULL THEN x ELSE CAST((s - ((s % n) + n) % n) // n AS BIGINT) END AS x FROM c{t} LEFT JOIN m{t} USING (k, j))""")
+    tail = f"""
+        h AS (SELECT k, sha256(string_agg(CAST(x AS VARCHAR), ',' ORDER BY j)) AS centroid_sha256 FROM c{turns} GROUP BY k)
+        SELECT vec_id, CAST(k AS INTEGER) AS cluster, d AS distance, CAST(sum(d) OVER (PARTITION BY k) AS BIGINT) AS cluster_inertia,
+               CAST(sum(d) OVER () AS BIGINT) AS inertia, centroid_sha256
+        FROM kept JOIN a{turns} USING (r) JOIN h USING (k)
+    """
+    return ",".join(parts) + "," + tail
+
 
 ORACLE_SQL = {
+    "op11_centroid_clustering": _lloyd_sql(),
     "op3_mixing": r"""
         WITH d AS (
             SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size,
