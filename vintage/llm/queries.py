@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import centroids, decontaminate, exact_dedup, mixing, ngram_join, nn_descent, quality_crf, secret_scan, sentencepiece_codec, suffix_dedup, token_counts, url_filter
+from . import centroids, collocations, decontaminate, exact_dedup, mixing, ngram_join, nn_descent, quality_crf, secret_scan, sentencepiece_codec, suffix_dedup, token_counts, url_filter
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -74,11 +74,15 @@ def op11_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
     return centroids.clustered(table(spark, sf_dir, "embeddings"))[0]
 
 
+def op12_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
 def op13_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {f.__name__: f for f in (op1_ngram_jaccard_join, op2_secret_scan, op3_mixing, op4_token_counts, op5_exact_dedup, op6_url_filter, op7_embedding_near_dedup, op8_quality_classifier, op9_sentencepiece, op10_suffix_array_dedup, op11_centroid_clustering, op13_benchmark_decontamination)}
+QUERIES = {f.__name__: f for f in (op1_ngram_jaccard_join, op2_secret_scan, op3_mixing, op4_token_counts, op5_exact_dedup, op6_url_filter, op7_embedding_near_dedup, op8_quality_classifier, op9_sentencepiece, op10_suffix_array_dedup, op11_centroid_clustering, op12_phrase_collocations, op13_benchmark_decontamination)}
 
 def _lloyd_sql(turns: int = 3) -> str:
     """Lloyd's rounds written out, one after the other, over a row for each component."""
@@ -141,6 +145,34 @@ ORACLE_SQL = {
                      first_value(doc_id) OVER (PARTITION BY text_sha256 ORDER BY n_cp DESC, doc_id) AS keep_id FROM d)
         SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, text_sha256 FROM k
     """,
+    "op12_phrase_collocations": r"""
+        WITH d AS (
+            SELECT coalesce(lang, 'und') AS lang,
+                   unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece
+            FROM documents),
+        w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS words FROM d),
+        n AS (SELECT lang, CAST(sum(len(words)) AS BIGINT) AS n FROM w GROUP BY lang),
+        g AS MATERIALIZED (
+            SELECT lang, gram, count(*) AS f
+            FROM (SELECT lang, words[k:k + size - 1] AS gram
+                  FROM (SELECT lang, words, size, unnest(range(1, len(words) - size + 2)) AS k FROM w, range(1, 5) s(size) WHERE len(words) >= size))
+            GROUP BY lang, gram),
+        c AS MATERIALIZED (SELECT lang, gram, f AS a FROM g WHERE f >= 30 AND len(gram) > 1),
+        p AS MATERIALIZED (SELECT lang || ' ' || array_to_string(gram, ' ') AS key, f FROM g WHERE f >= 30),
+        cuts AS (
+            SELECT lang, gram, a, k, x.f AS l, y.f AS r, CAST(2000000::HUGEINT * a // (x.f + y.f) AS BIGINT) AS score
+            FROM (SELECT *, lang || ' ' || array_to_string(gram[1:k], ' ') AS head, lang || ' ' || array_to_string(gram[k + 1:], ' ') AS tail
+                  FROM (SELECT *, unnest(range(1, len(gram))) AS k FROM c))
+            JOIN p x ON x.key = head JOIN p y ON y.key = tail),
+        weak AS (SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, gram ORDER BY score, k) = 1),
+        inner_ AS (
+            SELECT DISTINCT lang, gram[k:k + size - 1] AS gram, a
+            FROM (SELECT lang, gram, a, size, unnest(range(1, len(gram) - size + 2)) AS k FROM c, range(2, 4) s(size) WHERE size < len(gram))),
+        free AS (SELECT * FROM weak WHERE NOT EXISTS (FROM inner_ i WHERE i.lang = weak.lang AND i.gram = weak.gram AND 100 * i.a >= 80 * weak.a)),
+        told AS (SELECT *, array_to_string(gram, ' ') AS phrase FROM free)
+        SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score
+        FROM told JOIN n USING (lang) QUALIFY rank <= 2000
+    """,
     "op13_benchmark_decontamination": r"""
         WITH d AS (
             SELECT row_number() OVER () AS r, doc_id,
