@@ -41,7 +41,8 @@ _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"[0-9a-f]{24,}")
 _OPAQUE = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{32,}")
 _LOGIN = re.compile(r"""(?i:user(?:name)?|login|client_?id|account)["']?\x20*[:=]\x20*["']?([A-Za-z0-9._@+-]{3,})""", re.ASCII)
-_ENDPOINT = re.compile(r"[A-Za-z][A-Za-z0-9+.-]{1,15}://[^\s\"'<>]{3,}|\b[a-z0-9-]+(?:\.[a-z0-9-]+)+:\d{2,5}\b")
+# a host starts where its run of characters does and is never given back, so that long runs cost what they are long
+_ENDPOINT = re.compile(r"[A-Za-z][A-Za-z0-9+.-]{1,15}://[^\s\"'<>]{3,}|(?<![\w.-])[a-z0-9-]++(?:\.[a-z0-9-]++)++:\d{2,5}\b")
 _SIGN = re.compile(r"[:=]")
 
 
