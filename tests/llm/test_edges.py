@@ -1,7 +1,9 @@
 """Edge cases of the document and graph operators: regular words, dense families, random links, bounds,
 repeated rows and columns named as the operators name theirs."""
 
+import math
 import random
+import time
 import types
 
 import numpy as np
@@ -201,10 +203,71 @@ def test_quality_training_reads_no_held_out_label_and_bounds_lines(spark):
 
 def test_equal_names_in_different_buckets_stay_apart():
     u = lambda *x: np.array(x, np.int64)
-    first, later = suffix_dedup._later_ones(u(1, 2, 1, 1), u(5, 5, 5, 6), u(0, 1, 2, 3), u(0, 0, 0, 0))
+    first, later = suffix_dedup._later_ones(u(1, 2, 1, 1), u(5, 5, 5, 6), u(0, 1, 2, 3), u(0, 0, 0, 0), u(0, 0, 0, 0))
     assert sorted(first.tolist()) == [0, 1, 3] and later.tolist() == [2]
 
 
+def brute_removed(rows, length=100):
+    """(bytes, removed bytes) of each row: a string goes where a smaller id, or its own row, had it before."""
+    at = {}
+    for r, (i, t) in enumerate(rows):
+        t = t.encode()
+        for k in range(len(t) - length + 1):
+            at.setdefault(t[k : k + length], []).append((math.inf if i is None else i, r, k))
+    out = []
+    for r, (i, t) in enumerate(rows):
+        t, i = t.encode(), math.inf if i is None else i
+        keep = np.ones(len(t), bool)
+        for k in range(len(t) - length + 1):
+            if any(j < i or (q == r and m < k) for j, q, m in at[t[k : k + length]]):
+                keep[k : k + length] = False
+        out.append((-1 if i == math.inf else i, len(t), int((~keep).sum())))
+    return sorted(out)
+
+
+@pytest.mark.parametrize("hot", [16, 2])
+def test_suffix_dedup_of_repeated_and_null_ids(spark, monkeypatch, hot):
+    monkeypatch.setattr(suffix_dedup, "HOT", hot)
+    monkeypatch.setattr(suffix_dedup, "SHARE", 4)
+    rng = random.Random(61)
+    block = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
+    shared = [block(150), block(230), block(400)]
+    rows = [(1, shared[0] + block(90)), (7, block(300)), (7, block(20) + shared[0]), (7, shared[1] + block(30)), (7, block(10) + shared[1] + shared[1])]
+    rows += [(None, block(250)), (None, shared[2] + block(40)), (None, block(15) + shared[2]), (None, shared[1]), (9, shared[2][:180]), (3, shared[2][-120:]), (1, shared[0] + "x")]
+    rows += [(rng.choice([2, 5, 5, 8, None]), "".join(rng.choice([*shared, block(60)])[rng.randint(0, 30) :] for _ in range(rng.randint(1, 4)))) for _ in range(40)]
+    rows += [(7, rows[1][1]), (None, rows[5][1])]  # equal rows are one
+    want = brute_removed([r for k, r in enumerate(rows) if r not in rows[:k]])
+    got = suffix_dedup.deduplicated(spark.createDataFrame([(i, t, 1, 2) for i, t in rows], "doc_id long, text string, row int, doc int").repartition(3)).collect()
+    seen = sorted({(-1 if r.doc_id is None else r.doc_id, r.n_bytes, r.n_removed, bytes(r.kept)) for r in got})
+    assert len(got) == len(rows) and sorted(r[:3] for r in seen) == want and sum(n for *_, n in want) > 3000
+
+
+@pytest.mark.parametrize("part", ["a-", "1.", "a.", "user ", "token ", "AKIA", "http:", "0a", "aB3", "a:", "::"])
+def test_secret_scan_of_a_long_run_is_linear(part):
+    text = part * ((1 << 20) // len(part))
+    began = time.monotonic()
+    secret_scan.base_spans(text), secret_scan.weak_spans(text)
+    assert time.monotonic() - began < 10
+
+
+def test_group_over_many_batches_comes_whole():
+    rng = random.Random(62)
+    keys = sorted(rng.choice([1, 1, 1, 2, 3, 4, 5, 9, 9]) for _ in range(500))
+    column = pa.array(keys, pa.int64())
+    for size in (1, 2, 7, 100, 600):
+        batches = [pa.RecordBatch.from_arrays([column.slice(k, size), pa.array(range(k, min(k + size, 500)))], ["k", "v"]) for k in range(0, 500, size)]
+        batches.insert(1, batches[0].slice(0, 0))
+        groups, values = [], []
+        for batch, bounds in shared.whole_groups(iter(batches)):
+            values += batch.column(1).to_pylist()
+            for lo, hi in zip(bounds[:-1], bounds[1:], strict=True):
+                own = set(batch.column(0).slice(lo, hi - lo).to_pylist())
+                assert len(own) == 1 and hi > lo
+                groups += own
+        assert values == list(range(500)) and groups == sorted(set(keys))
+    assert list(shared.whole_groups(iter([]))) == []
+
+
 def test_suffix_dedup_of_one_long_periodic_text(spark, monkeypatch):
     monkeypatch.setattr(suffix_dedup, "HOT", 4)
     monkeypatch.setattr(suffix_dedup, "SHARE", 8)
