@@ -75,6 +75,66 @@ def test_embedding_family_of_a_thousand(spark, monkeypatch):
     assert near.sum() > 100_000 and got == want
 
 
+def family_rows(rng, families, size, spread, labels=1, d=24):
+    rows = []
+    for f in range(families):
+        centre = rng.normal(size=d)
+        rows += [(len(rows) + k, (centre + rng.normal(size=d) * spread).tolist(), f % labels) for k in range(size)]
+    return rows
+
+
+def embedding_truth(rows):
+    x = np.array([v for _, v, _ in rows])
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    label = np.array([lab for *_, lab in rows])
+    near = (x @ x.T >= nn_descent.THRESHOLD) & (label[:, None] == label)
+    np.fill_diagonal(near, False)
+    return near
+
+
+@pytest.mark.parametrize("exhausted", [False, True])
+def test_embedding_recall_is_enforced_on_small_labels(spark, monkeypatch, exhausted):
+    rows = family_rows(np.random.default_rng(71), 60, 4, 0.06)
+    monkeypatch.setattr(nn_descent, "TABLES", 1)
+    monkeypatch.setattr(nn_descent, "LEAF", 16)  # a round misses some
+    monkeypatch.setattr(nn_descent, "BUCKET", 4)
+    monkeypatch.setattr(nn_descent, "K", 1)
+    if exhausted:  # rounds that find nothing: all vectors of a label are compared
+        monkeypatch.setattr(nn_descent, "TURNS", 0)
+        monkeypatch.setattr(nn_descent, "BLOCK", 50)
+    got = nn_descent.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int").repartition(3)).collect()
+    near = embedding_truth(rows)
+    assert near.sum() > 500
+    found = {r.vec_id: r.n_links for r in got}
+    some = near.sum(1) > 0
+    assert np.mean([found[i] / near[i].sum() for i in np.flatnonzero(some)]) >= (1 if exhausted else nn_descent.RECALL)
+    assert all(found[i] <= near[i].sum() for i in found)
+
+
+def test_embedding_audit_finds_rare_links_and_none(spark):
+    rng = np.random.default_rng(72)
+    rows = [(i, rng.normal(size=24).tolist(), 0) for i in range(3000)]
+    frame = lambda r: spark.createDataFrame(r, "vec_id long, embedding array<double>, label int").repartition(4)
+    _, unique = nn_descent.distinct_vectors(frame(rows))
+    assert nn_descent.audit(unique, 100, 0.98).count() == 0
+    assert nn_descent.links(unique).count() == 0
+    pairs = [(3000 + i, (np.array(rows[i][1]) + rng.normal(size=24) * 0.05).tolist(), 0) for i in range(60)]
+    _, unique = nn_descent.distinct_vectors(frame(rows + pairs))
+    assert nn_descent.audit(unique, 200, 0.98).count() >= 15  # of 120 among 3060, a random sample has 8
+
+
+def test_families_with_one_link_between_them(spark):
+    rng = np.random.default_rng(73)
+    a = np.eye(24)[0]
+    b = np.cos(0.3) * a + np.sin(0.3) * np.eye(24)[1]  # cosine 0.955
+    rows = [(i, (a + rng.normal(size=24) * 0.002).tolist(), 0) for i in range(60)] + [(60 + i, (b + rng.normal(size=24) * 0.002).tolist(), 0) for i in range(60)]
+    for angle in (0.1, 0.2):  # each within reach of one family, and of one another
+        rows.append((len(rows), (np.cos(angle) * a + np.sin(angle) * np.eye(24)[1]).tolist(), 0))
+    got = {r.vec_id: (r.n_links, r.component_id) for r in nn_descent.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()}
+    near = embedding_truth(rows)
+    assert got == {i: (int(near[i].sum()), 0) for i in range(len(rows))}
+
+
 def brute_links(text, scope=secret_scan.SCOPE):
     spans = secret_scan.base_spans(text) + secret_scan.weak_spans(text)
     near = lambda a, b: b[1] < a[2] + scope and b[2] > a[1] - scope and secret_scan.PARTS[a[0]] != secret_scan.PARTS[b[0]]

@@ -9,6 +9,7 @@ adaptive execution, and the aggregations are partial before they shuffle.
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -46,3 +47,18 @@ def components(edges: DataFrame) -> DataFrame:
 
 def _clean(edges: DataFrame) -> DataFrame:
     return edges.filter("a != b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
+def forest(near: np.ndarray) -> list[tuple[int, int]]:
+    """(first, member) for the other members of each connected part of a symmetric matrix."""
+    out, seen = [], np.zeros(len(near), bool)
+    for i in np.flatnonzero(near.any(1)):
+        if not seen[i]:
+            part, edge = np.zeros(len(near), bool), np.array([i])
+            part[i] = True
+            while len(edge):
+                edge = np.flatnonzero(near[edge].any(0) & ~part)
+                part[edge] = True
+            seen |= part
+            out += [(int(i), int(j)) for j in np.flatnonzero(part) if j != i]
+    return out

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .components import components
+from .components import components, forest
 from .shared import as_long, dropped, meetings, mix64, pieces, random_u64, settle, small, text_buffers, whole_groups, words_of
 
 SHINGLE = 5
@@ -133,21 +133,6 @@ def _split(nodes: DataFrame) -> DataFrame:
     return nodes.select("path", "fp", "sig").mapInArrow(run, "path long, fp binary")
 
 
-def _forest(near: np.ndarray) -> list[tuple[int, int]]:
-    """(first, member) for the other members of each connected part of a symmetric matrix."""
-    out, seen = [], np.zeros(len(near), bool)
-    for i in np.flatnonzero(near.any(1)):
-        if not seen[i]:
-            part, edge = np.zeros(len(near), bool), np.array([i])
-            part[i] = True
-            while len(edge):
-                edge = np.flatnonzero(near[edge].any(0) & ~part)
-                part[edge] = True
-            seen |= part
-            out += [(int(i), int(j)) for j in np.flatnonzero(part) if j != i]
-    return out
-
-
 def _in_leaf(rows: DataFrame) -> DataFrame:
     """leaf, block, fp, sig -> pairs a, b that connect all sets with promising pairs between them; of two
     blocks, pairs of sets in different ones (those within a block meet in a leaf of its own)."""
@@ -161,7 +146,7 @@ def _in_leaf(rows: DataFrame) -> DataFrame:
         if block[0] != block[-1]:
             near &= block[:, None] != block
         np.fill_diagonal(near, False)
-        for i, j in _forest(near):
+        for i, j in forest(near):
             yield fp[i], fp[j]
 
     def run(batches):
@@ -304,7 +289,7 @@ def verified(docs: DataFrame, sets: DataFrame, of: DataFrame, id_col: str = "doc
                     near |= near.T
                     np.fill_diagonal(near, False)
                     degree = near.sum(1)
-                    some, tree = np.flatnonzero(degree), _forest(near)
+                    some, tree = np.flatnonzero(degree), forest(near)
                     a += [fps[lo + i] for i in some] + [fps[lo + i] for i, _ in tree]
                     b += [None] * len(some) + [fps[lo + j] for _, j in tree]
                     n += [*degree[some].tolist(), *[0] * len(tree)]

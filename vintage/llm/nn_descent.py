@@ -11,11 +11,15 @@ they connect vectors to components, and all vectors of a component are compared
 against blocks inside tasks, which return numbers of links. So ``n_links`` counts every link within a
 component, no pair of a family is a row, and no link is false.
 
-When an iteration adds hardly any edge at the threshold, recall is audited: a bounded sample of vectors
-is compared with all rows in blocks, and the share of its true links that was counted is averaged over
-the vectors that have some, so that a dense family doesn't stand for all. Under ``RECALL`` another round
-starts with other hyperplanes and leaves twice as large; since leaves reach the size of the largest
-label in the end, the search ends with the recall that was asked for.
+When an iteration adds hardly any edge at the threshold, components that meet at the threshold in a bucket
+are joined, so that a link that stands in no list, between two dense families, isn't lost. Then recall is
+audited: a bounded sample of vectors is compared with all rows in blocks, and the share of its true links
+that was counted is averaged over the vectors that have some, so that a dense family doesn't stand for
+all. Half of the sample are vectors that agree with another one on many projections, made for the audit
+alone, so that it finds links where they are rare. Under ``RECALL`` another round starts with other
+hyperplanes. If the sample has no link at all, a second round must find as few as the first. After
+``TURNS`` rounds all vectors of a label are compared, blocks against blocks: the search always ends with the
+recall that was asked for.
 
 Cosines are computed in double precision. Equal vectors of one label are collapsed first and count as
 links of one another (cosine 1). Vectors that are null, empty, zero, or hold a null or non-finite
@@ -33,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .components import components
+from .components import components, forest
 from .shared import dropped, halves, meetings, settle, small, whole_groups
 
 THRESHOLD = 0.98
@@ -41,13 +45,14 @@ K = 6
 WIDE = 12  # neighbours of a saturated list; its component is compared exactly
 TABLES = 4
 BUCKET = 64  # vectors in a bucket, on average
-LEAF = 256  # larger buckets are split; doubled each round
+LEAF = 256  # larger buckets are split; a label that is no larger is one bucket
 LOCAL = 32  # neighbours that meet around one vector at once; longer lists are dealt anew each iteration
 ITERATIONS = 8
 FEW = 0.01  # new edges, as a share of those at the threshold, under which a round ends
 BLOCK = 1024  # vectors in a block of the exact count, on average
 AUDIT = 1000
 RECALL = 0.98
+TURNS = 5  # rounds before all vectors of a label are compared
 TILE = 512  # rows compared at once
 
 
@@ -128,32 +133,43 @@ def _joined(k: int, keys: int):
     return run
 
 
-def buckets(unique: DataFrame, turn: int, k: int) -> DataFrame:
-    """Edges (v, u, sim) between vectors that agree on the signs of random projections. A bucket that is
-    larger than the round's leaf is halved at the median of one more projection until it isn't."""
-    leaf = LEAF << turn
-    parts = settle(unique.groupBy("part").count().select("part", F.least(F.greatest(F.ceil(F.log2(F.col("count") / (BUCKET << turn))), F.lit(0)), F.lit(62)).cast("int").alias("bits")), "nn-parts")
+def _signs(unique: DataFrame, bits: DataFrame, seeds: list[tuple[int, ...]]) -> DataFrame:
+    """n, part and signs: for each seed the signs of a vector's random projections, of its part's first
+    ``bits``, as a number. bits: part, bits."""
 
-    def signs(batches):
+    def run(batches):
         for batch in batches:
-            out, bits = np.zeros((batch.num_rows, TABLES), np.int64), batch.column(1).to_numpy()
+            out, own = np.zeros((batch.num_rows, len(seeds)), np.int64), batch.column(1).to_numpy()
             for rows, x in _by_length(batch.column(2)):
-                for t in range(TABLES):
-                    up = x @ _planes(x.shape[1], 62, turn, t).T > 0
-                    up &= np.arange(62) < bits[rows, None]
+                for t, seed in enumerate(seeds):
+                    up = x @ _planes(x.shape[1], 62, *seed).T > 0
+                    up &= np.arange(62) < own[rows, None]
                     out[rows, t] = up @ (1 << np.arange(62))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.FixedSizeListArray.from_arrays(pa.array(out.ravel()), TABLES).cast(pa.list_(pa.int64())), batch.column(3)], ["n", "signs", "part"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.FixedSizeListArray.from_arrays(pa.array(out.ravel()), len(seeds)).cast(pa.list_(pa.int64())), batch.column(3)], ["n", "signs", "part"])
+
+    return unique.join(small(bits), "part").select("n", "bits", "vec", "part").mapInArrow(run, "n long, signs array<long>, part string")
+
 
-    signed = unique.join(small(parts), "part").select("n", "bits", "vec", "part").mapInArrow(signs, "n long, signs array<long>, part string")
+def _bits(unique: DataFrame, bucket: int, whole: int, times: int = 1) -> DataFrame:
+    """(part, bits): ``times`` as many projections as make buckets of about ``bucket`` vectors; none for parts
+    of up to ``whole``."""
+    bits = F.least(times * F.greatest(F.ceil(F.log2(F.col("count") / bucket)), F.lit(0)), F.lit(62)).cast("int")
+    return settle(unique.groupBy("part").count().select("part", F.when(F.col("count") <= whole, 0).otherwise(bits).alias("bits")), "nn-parts")
+
+
+def leaves(unique: DataFrame, turn: int) -> DataFrame:
+    """(bucket, n), settled: vectors that agree on the signs of random projections. A bucket that is larger
+    than a leaf is halved at the median of one more projection until it isn't."""
+    signed = _signs(unique, _bits(unique, BUCKET, LEAF), [(turn, t) for t in range(TABLES)])
     placed = settle(signed.select("n", F.posexplode("signs").alias("t", "s"), "part").select("n", halves(F.col("part"), F.col("t"), F.col("s")).alias("bucket")), "nn-buckets")
-    leaves, level = None, 0
+    found, level = None, 0
     while True:
         sizes = settle(placed.groupBy("bucket").count().filter("count > 1"), "nn-sizes")
         sized = placed.join(small(sizes), "bucket")
-        got = sized.filter(F.col("count") <= leaf).select("bucket", "n")
-        leaves = got if leaves is None else leaves.unionByName(got)
-        if sizes.filter(F.col("count") > leaf).isEmpty():
-            break
+        got = sized.filter(F.col("count") <= LEAF).select("bucket", "n")
+        found = got if found is None else found.unionByName(got)
+        if sizes.filter(F.col("count") > LEAF).isEmpty():
+            return settle(found, "nn-leaves")
 
         def project(batches, level=level):
             for batch in batches:
@@ -162,16 +178,63 @@ def buckets(unique: DataFrame, turn: int, k: int) -> DataFrame:
                     p[rows] = x @ _planes(x.shape[1], 1, turn, TABLES + level)[0]
                 yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(p)], ["bucket", "n", "p"])
 
-        large = settle(sized.filter(F.col("count") > leaf).join(unique.select("n", "vec"), "n").select("bucket", "n", "vec").mapInArrow(project, "bucket binary, n long, p double"), "nn-large")
+        large = settle(sized.filter(F.col("count") > LEAF).join(unique.select("n", "vec"), "n").select("bucket", "n", "vec").mapInArrow(project, "bucket binary, n long, p double"), "nn-large")
         middle = small(settle(large.groupBy("bucket").agg(F.percentile_approx("p", 0.5).alias("middle")), "nn-middle"))
         # equal projections, as of vectors that differ in length only, are dealt by number
         half = F.when(F.col("p") == F.col("middle"), F.pmod(F.xxhash64("n", F.lit(level)), F.lit(2)) == 0).otherwise(F.col("p") > F.col("middle"))
         placed = settle(large.join(middle, "bucket").select("n", halves(F.col("bucket"), half, F.lit(level)).alias("bucket")), "nn-halved")
         level += 1
-    full = leaves.join(unique.select("n", "vec"), "n").select("bucket", "n", "vec", F.lit(True).alias("fresh"), F.lit(-2.0).alias("floor"))
+
+
+def buckets(unique: DataFrame, placed: DataFrame, k: int) -> DataFrame:
+    """Edges (v, u, sim) from each vector to its best others in the leaves (bucket, n)."""
+    full = placed.join(unique.select("n", "vec"), "n").select("bucket", "n", "vec", F.lit(True).alias("fresh"), F.lit(-2.0).alias("floor"))
     return full.repartition("bucket").sortWithinPartitions("bucket", "n").mapInArrow(_joined(k, 1), EDGE)
 
 
+def borders(unique: DataFrame, placed: DataFrame, of: DataFrame, threshold: float) -> DataFrame:
+    """(a, b): components, or vectors that are in none, that meet at the threshold in a leaf. placed: bucket,
+    n; of: n, component."""
+    full = placed.join(unique.select("n", "vec"), "n").join(small(of), "n", "left").select("bucket", "n", "vec", F.coalesce("component", "n").alias("component"))
+
+    def run(batches):
+        for batch, bounds in whole_groups(batches):
+            component = batch.column(3).to_numpy()
+            for lo, hi in zip(bounds[:-1], bounds[1:], strict=True):
+                if hi - lo > 1 and len(np.unique(component[lo:hi])) > 1:
+                    for rows, x in _by_length(batch.column(2).slice(lo, hi - lo)):
+                        own = component[lo:hi][rows]
+                        i, j = np.nonzero((x @ x.T >= threshold) & (own[:, None] < own[None, :]))
+                        if len(i):
+                            a, b = np.unique(np.stack([own[i], own[j]]), axis=1)
+                            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+
+    return full.repartition("bucket").sortWithinPartitions("bucket", "n").mapInArrow(run, "a long, b long").distinct()
+
+
+def all_links(unique: DataFrame, threshold: float) -> DataFrame:
+    """(a, b) that connect all vectors of a part with links between them: blocks of the part against blocks."""
+    sizes = settle(unique.groupBy("part").count().select("part", F.ceil(F.col("count") / BLOCK).alias("blocks")), "nn-all")
+    met = meetings(unique.select("n", "part", "vec").join(small(sizes), "part"), "n", halves(F.col("part")), F.col("blocks"))
+
+    def run(batches):
+        for batch, bounds in whole_groups(batches):
+            ids = batch.column(1).to_numpy()
+            for lo, hi in zip(bounds[:-1], bounds[1:], strict=True):
+                if hi - lo > 1:
+                    x = _units(batch.column(2).slice(lo, hi - lo))
+                    near = np.concatenate([x[r : r + TILE] @ x.T >= threshold for r in range(0, hi - lo, TILE)])
+                    near |= near.T
+                    np.fill_diagonal(near, False)
+                    tree = forest(near)
+                    if tree:
+                        a, b = np.array(tree).T
+                        yield pa.RecordBatch.from_arrays([pa.array(ids[lo + a]), pa.array(ids[lo + b])], ["a", "b"])
+
+    dealt = met.select("meeting", "n", "vec").repartition("meeting").sortWithinPartitions("meeting", "n")
+    return dealt.mapInArrow(run, "a long, b long")
+
+
 def _lists(edges: DataFrame, k: int, wide: int, threshold: float) -> DataFrame:
     """The graph: of each vector's distinct edges the k best, and up to ``wide`` at the threshold. fresh:
     the edge is new."""
@@ -201,8 +264,17 @@ def local_joins(graph: DataFrame, unique: DataFrame, turn: int, k: int, wide: in
 
 def audit(unique: DataFrame, sample: int, threshold: float) -> DataFrame:
     """(n, true_links): links with other distinct vectors of a bounded sample of vectors that has some,
-    found by comparing it with every vector in blocks."""
-    picked = [(r.n, r.part, r.vec) for r in unique.orderBy(F.xxhash64("key"), "key").limit(sample).select("n", "part", "vec").collect()]
+    found by comparing it with every vector in blocks. Half of the sample agree with another vector on some
+    projections of the audit's own."""
+    # so many that vectors which are far apart hardly ever agree on all
+    alike = _signs(unique, _bits(unique, 1, 2, 2), [(1 << 20,)]).select("n", halves(F.col("part"), F.col("signs")[0]).alias("bucket"))
+    alike = settle(alike, "nn-alike")
+    shared = alike.join(small(settle(alike.groupBy("bucket").count().filter("count > 1"), "nn-shared")), "bucket", "left_semi")
+    one = shared.groupBy("bucket").agg(F.min(F.struct(F.xxhash64("n"), "n")).getField("n").alias("n"))
+    some = one.orderBy(F.xxhash64("n"), "n").limit(sample // 2).unionByName(unique.select("n", "key").orderBy(F.xxhash64("key"), "key").limit(sample).select(F.lit(None).cast("binary").alias("bucket"), "n"))
+    numbers = list(dict.fromkeys(r.n for r in some.collect()))[:sample]
+    asked = F.broadcast(unique.sparkSession.createDataFrame([(n,) for n in numbers], "n long"))
+    picked = [(r.n, r.part, r.vec) for r in unique.join(asked, "n", "left_semi").select("n", "part", "vec").collect()]
     by_part: dict[str, tuple[np.ndarray, np.ndarray]] = {}
     for part in {p for _, p, _ in picked}:
         own = [(n, v) for n, p, v in picked if p == part]
@@ -258,10 +330,11 @@ def links(unique: DataFrame, threshold: float = THRESHOLD, k: int = K, wide: int
     """(n, component, n_links) of every vector that links with another one. unique: a settled table of n,
     key, part, vec and weight."""
     truth = settle(audit(unique, AUDIT, threshold), "nn-audit")
-    largest = unique.groupBy("part").count().agg(F.max("count")).first()[0] or 0
-    graph, turn = None, 0
-    while True:
-        start = buckets(unique, turn, k).withColumn("fresh", F.lit(True))
+    graph, before = None, None
+    named = lambda found: settle(components(found).select(F.col("node").alias("n"), "component"), "nn-components")
+    for turn in range(TURNS):
+        placed = leaves(unique, turn)
+        start = buckets(unique, placed, k).withColumn("fresh", F.lit(True))
         old, graph = graph, settle(_lists(start if graph is None else graph.unionByName(start), k, wide, threshold), "nn-graph")
         for step in range(ITERATIONS):
             around, more = local_joins(graph, unique, ITERATIONS * turn + step, k, wide, threshold)
@@ -270,13 +343,18 @@ def links(unique: DataFrame, threshold: float = THRESHOLD, k: int = K, wide: int
             strong, new = graph.filter(F.col("sim") >= threshold).agg(F.count("*"), F.count_if("fresh")).first()
             if new <= FEW * strong:
                 break
-        of = settle(components(graph.filter(F.col("sim") >= threshold).select(F.col("v").alias("a"), F.col("u").alias("b"))).select(F.col("node").alias("n"), "component"), "nn-components")
+        edges = graph.filter(F.col("sim") >= threshold).select(F.col("v").alias("a"), F.col("u").alias("b"))
+        of = named(edges)
+        joined = settle(borders(unique, placed, of, threshold), "nn-borders")
+        if not joined.isEmpty():
+            of = named(edges.unionByName(joined))
         found = settle(counted(unique, of, threshold), "nn-found")
         share = truth.join(found, "n", "left").agg(F.avg(F.coalesce("others", F.lit(0)) / F.col("true_links"))).first()[0]
-        # leaves as large as the largest label have compared everything
-        if share is None or share >= recall or LEAF << turn >= largest:
+        if share >= recall if share is not None else strong == before:
             return of.join(found, "n").select("n", "component", "n_links")
-        turn += 1
+        before = strong
+    of = named(all_links(unique, threshold))
+    return of.join(settle(counted(unique, of, threshold), "nn-found"), "n").select("n", "component", "n_links")
 
 
 def near_duplicates(rows: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", threshold: float = THRESHOLD) -> DataFrame:
