@@ -9,6 +9,7 @@ import types
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from tests.llm.test_documents import corpus, degrees, shingles, words
@@ -46,14 +47,19 @@ def test_ngram_join_runs_until_its_recall(spark, monkeypatch):
         base = words(rng, 120).split()
         texts += [" ".join(base), " ".join([*base[:-4], "w", "x", "y", "z"])]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    sets = ngram_join.embed(docs).filter("fp IS NOT NULL").select("fp", "sig").cache()
+    sets = ngram_join.embed(docs).filter("fp IS NOT NULL").select("doc_id", "fp", "sig").cache()
     nothing = spark.createDataFrame([], "fp binary, component binary")
-    assert ngram_join.audited(sets, nothing) == 0 and ngram_join.audited(sets.filter("1 = 0"), nothing) == 1
-    done, real = [], ngram_join.candidates
-    monkeypatch.setattr(ngram_join, "candidates", lambda s, runs, first=0: done.append((runs, first)) or real(s, runs, first))
-    of = ngram_join.candidate_components(sets, runs=1)
-    assert ngram_join.audited(sets, of) >= ngram_join.RECALL
+    partners = ngram_join.exact_partners(docs, sets, ngram_join.AUDIT, "doc_id", "text")
+    assert partners.count() >= sum(degrees(texts)) * 0.6
+    assert ngram_join.audited(partners, nothing) == 0 and ngram_join.audited(partners.filter("1 = 0"), nothing) is None
+    done, real = [], ngram_join.leaves
+    monkeypatch.setattr(ngram_join, "leaves", lambda s, runs, first=0: done.append((runs, first)) or real(s, runs, first))
+    of, _ = ngram_join.candidate_components(sets.select("fp", "sig"), partners, runs=1)
+    assert ngram_join.audited(partners, of) >= ngram_join.RECALL
     assert done == [(1, 0), *[(ngram_join.MORE, 1 + ngram_join.MORE * k) for k in range(len(done) - 1)]]
+    done.clear()
+    ngram_join.candidate_components(sets.select("fp", "sig"), partners.filter("1 = 0"), runs=1)
+    assert done == [(1, 0), (ngram_join.MORE, 1)]  # without partners in the sample, one batch more
     assert [r.n_links for r in sorted(ngram_join.join(docs).collect())] == degrees(texts)
 
 
@@ -75,6 +81,56 @@ def test_embedding_family_of_a_thousand(spark, monkeypatch):
     assert near.sum() > 100_000 and got == want
 
 
+def test_audit_finds_partners_where_they_are_rare(spark):
+    rng = random.Random(81)
+    texts = [words(rng, 60) for _ in range(3000)]
+    for k in range(20):
+        base = words(rng, 120).split()
+        texts += [" ".join(base), " ".join([*base[:-4], f"w{k}", "x", "y", "z"])]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    sets = ngram_join.embed(docs).filter("fp IS NOT NULL").select("doc_id", "fp", "sig").cache()
+    found = ngram_join.exact_partners(docs, sets, 30, "doc_id", "text")
+    assert found.select("a").distinct().count() >= 20  # of 40 in 3040
+    assert ngram_join.audited(found, spark.createDataFrame([], "fp binary, component binary")) == 0
+
+
+def test_a_crowd_that_does_not_link_is_not_compared_all_with_all(spark, monkeypatch):
+    rng = random.Random(82)
+    monkeypatch.setattr(ngram_join, "LEAF", 16)
+    shared = words(rng, 100)
+    tail = lambda: words(rng, 21)
+    texts = [f"{shared} {tail()}" for _ in range(1200)]
+    texts += [f"{t} and some more" for t in texts[:40]]  # links inside the crowd
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    sets = [shingles(t) for t in texts]
+    index = {g: k for k, g in enumerate(set().union(*sets))}
+    x = np.zeros((len(texts), len(index)), np.float32)
+    for row, s in zip(x, sets, strict=True):
+        row[[index[g] for g in s]] = 1
+    common, size = x @ x.T, x.sum(1)
+    likeness = common / (size[:, None] + size[None, :] - common)
+    assert 0.6 < np.median(likeness) < 0.72
+    near = likeness >= 0.8
+    np.fill_diagonal(near, False)
+    compared = []
+    real = ngram_join.leaves
+
+    def counted(*args):
+        out = real(*args)
+        compared.append(sum(r.n * (r.n - 1) // 2 for r in out.groupBy("leaf").agg(F.count("*").alias("n")).collect()))
+        return out
+
+    monkeypatch.setattr(ngram_join, "leaves", counted)
+    checked = []
+    exact = ngram_join.exact_links
+    monkeypatch.setattr(ngram_join, "exact_links", lambda met, *a: checked.append(met.groupBy("meeting").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0]) or exact(met, *a))
+    got = {r.doc_id: r.n_links for r in ngram_join.join(docs).collect()}
+    assert sum(got.values()) >= 0.98 * near.sum() > 0 and all(n <= near[i].sum() for i, n in got.items())
+    runs = ngram_join.RUNS + ngram_join.MORE * (len(compared) - 1)
+    assert sum(compared) < 0.25 * runs * len(texts) ** 2 / 2  # leaves are small
+    assert checked[0] <= ngram_join.LEAF and checked[-1] <= 4  # exact: leaves, then pairs that link
+
+
 def family_rows(rng, families, size, spread, labels=1, d=24):
     rows = []
     for f in range(families):

@@ -49,7 +49,7 @@ ABSORBED = 80
 TOP = 2000
 FACTOR = 2_000_000
 SHARD = 1 << 20  # words of a shard, about
-TEXT = 6 << 20  # bytes of text that a task gathers for one
+TEXT = 4 << 20  # bytes of text that a task gathers for one
 FILTER_BITS = 28  # a filter has at most 2 ** FILTER_BITS bits
 RANKED = 16_000  # rows that a task ranks, on average
 
@@ -79,10 +79,14 @@ class WordIndex:
             new = np.empty(len(ids), np.int64)
             new[order] = np.cumsum(np.concatenate([[False], ranked[1:] != ranked[:-1]]))
             rank = new
-        before = np.roll(ids, 1)[order].astype(np.int64)
+        del key, rank
         # rows in the order of the word before them, then of the row: a step of the transform
-        steps = np.sort(before * len(ids) + np.arange(len(ids)))
-        self.word, self.row = steps // len(ids), steps % len(ids)
+        steps = np.roll(ids, 1)[order].astype(np.int64)
+        del order
+        steps *= len(ids)
+        steps += np.arange(len(ids))
+        steps.sort()
+        self.word, self.row = (steps // len(ids)).astype(np.int32), (steps % len(ids)).astype(np.int32)
 
     def words(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(word, first row, end row) of every word and of the gap."""
@@ -91,10 +95,10 @@ class WordIndex:
 
     def extended(self, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """All extensions of disjoint intervals: (which interval, word, first row, end row)."""
-        edge = np.zeros(len(self.row) + 1, np.int64)
-        edge[lo] += np.arange(1, len(lo) + 1)
-        edge[hi] -= np.arange(1, len(lo) + 1)
-        of = np.cumsum(edge[:-1])[self.row]
+        edge = np.zeros(len(self.row) + 1, np.int32)
+        edge[lo] += np.arange(1, len(lo) + 1, dtype=np.int32)
+        edge[hi] -= np.arange(1, len(lo) + 1, dtype=np.int32)
+        of = np.cumsum(edge[:-1], dtype=np.int32)[self.row]
         head = np.flatnonzero((np.diff(of, prepend=-1) != 0) | (np.diff(self.word, prepend=-1) != 0))
         end = np.append(head[1:], len(of))
         inside = of[head] > 0
@@ -300,8 +304,8 @@ def phrase_counts(stored: DataFrame, words: np.ndarray, pairs: np.ndarray, most:
                     phrases, counts = found[:2]
                     if not len(counts):
                         break
-                    for lo in range(0, len(counts), 1 << 17):
-                        part = phrases[lo : lo + (1 << 17)]
+                    for lo in range(0, len(counts), 1 << 16):
+                        part = phrases[lo : lo + (1 << 16)]
                         text = pc.binary_join_element_wise(*[names.values.take(pa.array(old[part[:, j]] - 1)) for j in range(size)], " ")
                         n = len(part)
                         yield pa.RecordBatch.from_arrays([pa.array([lang] * n), text, pa.array(np.full(n, size, np.int32)), pa.array(counts[lo : lo + n])], ["lang", "phrase", "size", "count"])

@@ -6,21 +6,28 @@ equal sets form one class and go through the join once. Each set is embedded as
 
 A run starts with all sets in one node. A node chooses one or two of its tokens' coordinates at random,
 by a hash of the node, so that all its sets choose alike; sets with equal tokens there share a child
-node. A node of at most ``LEAF`` sets is compared by brute force, a larger one is split again; after
-``DEPTH`` levels a node that is still large (mostly one big family of near copies, or texts that share a
-long passage) is dealt into blocks of about ``WIDE`` sets, and each two blocks meet, so that all its sets
-are compared. After ``RUNS`` independent runs recall is audited: a bounded sample of sets is compared with
-all sets in blocks, by their tokens, and of each one's partners at the threshold the share that the runs
-have made candidates is taken. While the mean of these shares is under ``RECALL``, more runs follow.
+node. A node of at most ``LEAF`` sets is compared by brute force. A larger one is split again, unless it is
+dense: when its sets are about as similar as the threshold asks, on average, most of its pairs are links or
+nearly so, and splitting would only copy it. A dense node, and what is still large after ``DEPTH`` levels,
+is dealt into blocks of about ``WIDE`` sets, and each two blocks meet. A crowd of texts that share a long
+passage, but not enough of it to link, is no dense node: it is split until it is small.
 
 In a leaf, tokens estimate the similarity. An estimate within five standard deviations of the threshold
-is promising; sets that promising pairs connect are candidates of one another. Candidates are then
-checked exactly, on the shingles of whole texts and all pairs of them: a component of candidates is dealt
-into blocks of about ``SETS`` sets or ``BYTES`` of shingles, and each two blocks meet in a task, which
-returns the links of each set by number and a forest that connects what is linked. So no pair is a row,
-every pair of blocks is compared once, and ``n_links`` counts all links of a text within its component.
+is promising; sets that promising pairs connect are candidates of one another. Of a component of more than
+``SETS`` candidates the leaves are then compared exactly, and only what is linked there stays together. Last,
+all pairs of a component are checked exactly, on the shingles of whole texts: it is dealt into blocks of
+about ``SETS`` sets or ``BYTES`` of shingles, and each two blocks meet in a task, which returns the links of
+each set by number and a forest that connects what is linked. So no pair is a row, ``n_links`` counts all
+links of a text within its component, and a crowd without links costs its leaves only.
 Shingles are compared as hashes of 64 bits, so no link is false but by a collision of those.
 
+Recall is audited after ``RUNS`` independent runs: the exact partners of a bounded sample of sets are found by
+comparing it with all texts, and of each one's partners the share that the runs have made candidates is
+taken. While the mean of these shares is under ``RECALL``, more runs follow. The sample is taken from sets
+that agree with another one on three tokens, as three in four sets with a partner at the threshold do, so
+that it finds partners where they are rare. If it has none, a larger one is taken, and if that has none
+either, ``MORE`` further runs end the search.
+
 Rows with a null id take no part: class_id null, n_links 0. Rows that repeat an id are copies or
 different texts like any other rows.
 """
@@ -40,13 +47,17 @@ THRESHOLD = 0.8
 TOKENS = 64
 RUNS = 8
 MORE = 4  # runs that follow at a time
-AUDIT = 300  # sets of the audit
+AUDIT = 300  # sets of the audit ...
+AUDIT_SHINGLES = 1 << 22  # ... and of shingles in them, if more than one set
+AGAIN = 8  # times as many sets where those have no partner
 RECALL = 0.995
 LEAF = 64
 WIDE = 1024  # sets in a block of a node that stays large, on average
 SETS = 256  # sets in a block of the exact check, on average
 BYTES = 4 << 20  # shingles in such a block
-DEPTH = 4
+DEPTH = 24
+DENSE = 0.9 * THRESHOLD  # mean similarity of a node that is compared rather than split
+GLANCE = 24  # sets of a node by which it is estimated
 SECOND = 0.25  # share of nodes that choose two coordinates: 1 / threshold choices on average
 MARGIN = 5 * (THRESHOLD * (1 - THRESHOLD) / TOKENS) ** 0.5
 
@@ -162,71 +173,134 @@ def _in_leaf(rows: DataFrame) -> DataFrame:
     return dealt.select("leaf", "block", "fp", "sig").mapInArrow(run, "a binary, b binary")
 
 
-def candidates(sets: DataFrame, runs: int = RUNS, done: int = 0) -> DataFrame:
-    """Distinct pairs (a, b) of set fingerprints that connect the candidates of ``runs`` runs, those after
-    the first ``done``; sets: fp, sig, one row per set."""
+def _dense(big: DataFrame, sets: DataFrame) -> DataFrame:
+    """(path, dense) of large nodes, by the mean similarity of some of their sets. big: path, fp, n."""
+    some = big.filter(F.pmod(F.xxhash64("path", "fp"), F.col("n")) < GLANCE).select("path", "fp").join(sets, "fp")
+
+    def run(batches):
+        for batch, bounds in whole_groups(batches):
+            sig = _matrix(batch.column(1), np.uint32)
+            dense = []
+            for lo, hi in zip(bounds[:-1], bounds[1:], strict=True):
+                own, m = sig[lo:hi], hi - lo
+                same = sum(int((column[:, None] == column).sum()) - m for column in own.T)
+                dense.append(m > 1 and same >= DENSE * TOKENS * m * (m - 1))
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(bounds[:-1])), pa.array(dense)], ["path", "dense"])
+
+    return some.select("path", "sig").repartition("path").sortWithinPartitions("path").mapInArrow(run, "path long, dense boolean")
+
+
+def leaves(sets: DataFrame, runs: int = RUNS, done: int = 0) -> DataFrame:
+    """(leaf, block, fp), settled: the groups in which the sets of ``runs`` runs, those after the first
+    ``done``, are compared; sets: fp, sig, one row per set."""
     roots = F.explode(F.array(*[F.lit(int(x)) for x in random_u64(31, done + runs)[done:].view(np.int64)])).alias("path")
     nodes = settle(_split(sets.select(roots, "fp", "sig")), "path-0")
-    leaves = None
+    found = None
     for depth in range(1, DEPTH + 1):
         many = settle(nodes.groupBy("path").agg(F.count("*").alias("n")).filter("n > 1"), f"path-many{depth}")
         shared = nodes.join(small(many), "path")
         path = F.unhex(F.lpad(F.hex("path"), 16, "0"))
+        got = shared.filter(F.col("n") <= LEAF).select(path.alias("leaf"), F.lit(0).cast("long").alias("block"), "fp")
+        found = got if found is None else found.unionByName(got)
+        if many.filter(F.col("n") > LEAF).isEmpty():
+            break
+        big = settle(shared.filter(F.col("n") > LEAF), f"path-big{depth}")
         if depth < DEPTH:
-            got = shared.filter(F.col("n") <= LEAF).select(path.alias("leaf"), F.lit(0).cast("long").alias("block"), "fp")
-            big = settle(shared.filter(F.col("n") > LEAF).select("path", "fp"), f"path-big{depth}")
-        else:  # the rest: of larger nodes, every block with every other and with itself
-            got, big = meetings(shared, "fp", path, F.ceil(F.col("n") / WIDE)).select(F.col("meeting").alias("leaf"), "block", "fp"), None
-        leaves = got if leaves is None else leaves.unionByName(got)
-        if big is None or big.isEmpty():
+            told = small(settle(_dense(big, sets), f"path-dense{depth}"))
+            big = big.join(told, "path", "left")
+        else:
+            big = big.withColumn("dense", F.lit(True))
+        # every block with every other and with itself
+        wide = meetings(big.filter("dense"), "fp", path, F.ceil(F.col("n") / WIDE))
+        found = found.unionByName(wide.select(F.col("meeting").alias("leaf"), "block", "fp"))
+        rest = big.filter("dense IS NULL OR NOT dense")
+        if rest.isEmpty():
             break
-        nodes = settle(_split(big.join(sets, "fp")), f"path-{depth}")
-    return _in_leaf(settle(leaves, "path-leaves").join(sets, "fp")).distinct()
-
-
-def audited(sets: DataFrame, of: DataFrame, sample: int = AUDIT) -> float:
-    """Mean share of a sampled set's partners (other sets whose tokens estimate a similarity at the
-    threshold or more) that are its candidates. sets: fp, sig; of: fp, component of candidates."""
-    picked = sets.select("fp", "sig").orderBy(F.xxhash64("fp"), "fp").limit(sample).collect()
-    if not picked:
-        return 1.0
-    fps = [bytes(r.fp) for r in picked]
-    known = of.join(F.broadcast(sets.sparkSession.createDataFrame([(f,) for f in fps], "fp binary")), "fp").collect()
-    inside = {bytes(r.fp): bytes(r.component) for r in known}
-    asked = sets.sparkSession.sparkContext.broadcast((fps, np.array([np.frombuffer(r.sig, np.uint32) for r in picked]), [inside.get(f) for f in fps]))
-    least = int(np.ceil(TOKENS * THRESHOLD))
-
-    def run(batches):
-        fps, q, parts = asked.value
+        nodes = settle(_split(rest.select("path", "fp").join(sets, "fp")), f"path-{depth}")
+    return settle(found, "path-leaves")
+
+
+def candidates(sets: DataFrame, placed: DataFrame) -> DataFrame:
+    """Distinct pairs (a, b) of set fingerprints that connect the candidates of some leaves."""
+    return _in_leaf(placed.join(sets.select("fp", "sig"), "fp")).distinct()
+
+
+def audit_sample(sets: DataFrame, sample: int) -> DataFrame:
+    """doc_id, fp and sig of some sets, of those first that agree with another one on three tokens."""
+    band = F.explode(F.array(*[F.struct(F.lit(k).alias("k"), F.substring("sig", 12 * k + 1, 12).alias("band")) for k in (0, 1)])).alias("b")
+    bands = sets.select("fp", band).select("fp", "b.*")
+    shared = settle(bands.groupBy("k", "band").count().filter("count > 1").select("k", "band"), "path-bands")
+    alike = bands.join(small(shared), ["k", "band"], "left_semi").select("fp").distinct().orderBy(F.xxhash64("fp"), "fp").limit(sample)
+    return sets.join(F.broadcast(settle(alike, "path-alike")), "fp", "left_semi").select("doc_id", "fp", "sig")
+
+
+def exact_partners(docs: DataFrame, sets: DataFrame, sample: int, id_col: str, text_col: str, threshold: float = THRESHOLD) -> DataFrame:
+    """(a, b), settled: the other sets b at the threshold of each set a of a sample, found by comparing it with
+    all texts. sets: doc_id, fp, sig."""
+    picked = {bytes(r.fp): (r.doc_id, bytes(r.sig)) for r in audit_sample(sets, sample).collect()}
+    spark = docs.sparkSession
+    ids = spark.createDataFrame([(i,) for i, _ in picked.values()], f"__id {sets.schema['doc_id'].dataType.simpleString()}")
+    own = {bytes(r.fp): np.frombuffer(bytes(r.shingles), np.uint64) for r in _shingled(docs, F.broadcast(ids), id_col, text_col).dropDuplicates(["fp"]).collect() if bytes(r.fp) in picked}
+    fps, total = [], 0
+    for fp in picked:
+        if fp in own and (not fps or total + len(own[fp]) <= AUDIT_SHINGLES):
+            fps.append(fp)
+            total += len(own[fp])
+    sigs = np.array([np.frombuffer(picked[f][1], np.uint32) for f in fps], np.uint32).reshape(len(fps), TOKENS)
+    flat = np.concatenate([own[f] for f in fps]) if fps else np.zeros(0, np.uint64)
+    of = np.repeat(np.arange(len(fps)), [len(own[f]) for f in fps])
+    order = np.argsort(flat)
+    asked = spark.sparkContext.broadcast((fps, sigs, flat[order], of[order], np.array([len(own[f]) for f in fps])))
+    least = int(np.ceil(TOKENS * (threshold - MARGIN)))
+
+    def likely(batches):
         for batch in batches:
             if batch.num_rows:
-                sig = _matrix(batch.column(1), np.uint32)
-                same = np.zeros((len(q), batch.num_rows), np.uint8)
-                for k in range(TOKENS):
-                    same += q[:, k, None] == sig[None, :, k]
-                i, j = np.nonzero(same >= least)
-                fp, part = batch.column(0).take(pa.array(j)).to_pylist(), batch.column(2).take(pa.array(j)).to_pylist()
-                close, together = np.zeros(len(q), np.int64), np.zeros(len(q), np.int64)
-                for a, f, p in zip(i.tolist(), fp, part, strict=True):
-                    close[a] += f != fps[a]
-                    together[a] += f != fps[a] and p is not None and p == parts[a]
-                some = np.flatnonzero(close)
-                if len(some):
-                    yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(close[some]), pa.array(together[some])], ["q", "close", "together"])
-
-    found = sets.select("fp", "sig").join(small(of), "fp", "left").select("fp", "sig", "component").mapInArrow(run, "q long, close long, together long")
-    share = found.groupBy("q").agg((F.sum("together") / F.sum("close")).alias("share")).agg(F.avg("share")).first()[0]
-    return 1.0 if share is None else share
-
-
-def candidate_components(sets: DataFrame, runs: int = RUNS, recall: float = RECALL) -> DataFrame:
-    """(fp, component) of all candidates, a settled table, after as many runs as the audited recall needs."""
-    pairs, done = settle(candidates(sets, runs), "path-pairs"), runs
+                sig, near = _matrix(batch.column(1), np.uint32), np.zeros(batch.num_rows, bool)
+                for q in asked.value[1]:
+                    near |= (sig == q).sum(1) >= least
+                if near.any():
+                    yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(near))], ["__id"])
+
+    def compared(batches):
+        fps, _, flat, of, size = asked.value
+        for batch in batches:
+            for b, raw in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                x = np.frombuffer(raw.as_buffer(), np.uint64)
+                lo, hi = np.searchsorted(flat, x), np.searchsorted(flat, x, "right")
+                n = hi - lo
+                hits = of[np.repeat(lo - np.cumsum(n) + n, n) + np.arange(n.sum())]
+                common = np.bincount(hits, minlength=len(fps))
+                near = [a for a in np.flatnonzero(common >= threshold * (size + len(x) - common)) if fps[a] != b]
+                if near:
+                    yield pa.RecordBatch.from_arrays([pa.array([fps[a] for a in near], pa.binary()), pa.array([b] * len(near), pa.binary())], ["a", "b"])
+
+    kind = sets.schema["doc_id"].dataType.simpleString()
+    wanted = settle(sets.select("doc_id", "sig").mapInArrow(likely, f"__id {kind}"), "path-likely")
+    return settle(_shingled(docs, small(wanted.distinct()), id_col, text_col).mapInArrow(compared, "a binary, b binary").distinct(), "path-partners")
+
+
+def audited(partners: DataFrame, of: DataFrame) -> float | None:
+    """Mean share of a set's exact partners that are its candidates; None without partners. partners: a, b;
+    of: fp, component of candidates."""
+    own = partners.join(small(of).select(F.col("fp").alias("a"), F.col("component").alias("x")), "a", "left").join(small(of).select(F.col("fp").alias("b"), F.col("component").alias("y")), "b", "left")
+    share = own.groupBy("a").agg(F.avg(F.coalesce((F.col("x") == F.col("y")).cast("int"), F.lit(0))).alias("share"))
+    return share.agg(F.avg("share")).first()[0]
+
+
+def candidate_components(sets: DataFrame, partners: DataFrame, runs: int = RUNS, recall: float = RECALL) -> tuple[DataFrame, DataFrame]:
+    """((fp, component) of all candidates, the leaves (leaf, block, fp) that they met in), settled, after as
+    many runs as the audited recall needs."""
+    placed, done = leaves(sets, runs), runs
+    pairs = settle(candidates(sets, placed), "path-pairs")
     while True:
         of = settle(components(pairs).select(F.col("node").alias("fp"), "component"), "path-candidates")
-        if audited(sets, of) >= recall:
-            return of
-        old, pairs = pairs, settle(pairs.unionByName(candidates(sets, MORE, done)).distinct(), "path-pairs")
+        share = audited(partners, of)
+        if share >= recall if share is not None else done > runs:
+            return of, placed
+        more = leaves(sets, MORE, done)
+        old, pairs = pairs, settle(pairs.unionByName(candidates(sets, more)).distinct(), "path-pairs")
+        placed = placed.unionByName(more)
         dropped(old, of)
         done += MORE
 
@@ -254,12 +328,9 @@ def _common(x: list[np.ndarray], y: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-def verified(docs: DataFrame, sets: DataFrame, of: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """All candidates of one component against one another, by exact Jaccard similarity. Rows (a, b, n):
-    with b, sets that links connect; without b, n links of a, counted once for each block that has some.
-    sets: fp, doc_id of one of its rows; of: fp, component of candidates."""
-    ids = settle(sets.join(of, "fp", "left_semi").select(F.col("doc_id").alias("__id")), "path-wanted").distinct()
-    source = docs.join(small(ids), F.col(id_col) == F.col("__id"), "left_semi").select(F.col(text_col).cast("string").alias("text"))
+def _shingled(docs: DataFrame, ids: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(fp, shingles) of the texts with words among the rows with given ids (__id)."""
+    source = docs.join(ids, F.col(id_col) == F.col("__id"), "left_semi").select(F.col(text_col).cast("string").alias("text"))
 
     def run(batches):
         for batch in batches:
@@ -267,11 +338,13 @@ def verified(docs: DataFrame, sets: DataFrame, of: DataFrame, id_col: str = "doc
                 got = [s for s in shingle_sets(part.column(0)) if len(s)]
                 yield pa.RecordBatch.from_arrays([pa.array([fingerprint(s) for s in got], pa.binary()), pa.array([s.tobytes() for s in got], pa.binary())], ["fp", "shingles"])
 
-    whole = settle(source.mapInArrow(run, "fp binary, shingles binary").dropDuplicates(["fp"]).join(of, "fp"), "path-sets")
-    sizes = whole.groupBy("component").agg(F.greatest(F.ceil(F.count("*") / SETS), F.ceil(F.sum(F.length("shingles")) / BYTES)).alias("blocks"))
-    sizes = settle(sizes.filter("blocks > 1"), "path-sizes")
-    blocks = F.coalesce("blocks", F.lit(1).cast("long"))
-    met = meetings(whole.join(small(sizes), "component", "left"), "fp", F.col("component"), blocks)
+    return source.mapInArrow(run, "fp binary, shingles binary")
+
+
+def exact_links(met: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """All sets of each meeting against one another, or of two blocks those of one against those of the
+    other, by exact Jaccard similarity. Rows (a, b, n): with b, sets that links connect; without b, n links
+    of a there. met: meeting, block, fp, shingles."""
 
     def links(batches):
         for batch, bounds in whole_groups(batches):
@@ -300,14 +373,43 @@ def verified(docs: DataFrame, sets: DataFrame, of: DataFrame, id_col: str = "doc
     return dealt.mapInArrow(links, "a binary, b binary, n long")
 
 
+def linked_in_leaves(whole: DataFrame, placed: DataFrame, large: DataFrame) -> DataFrame:
+    """(fp, component) of what exact links connect in the leaves of the sets of large components of
+    candidates. whole: fp, shingles, component; placed: leaf, block, fp; large: component."""
+    members = settle(whole.join(small(large), "component", "left_semi").select("fp", "shingles"), "path-large")
+    own = small(settle(members.select("fp"), "path-members"))
+    met = placed.join(own, "fp", "left_semi").join(members, "fp").withColumnRenamed("leaf", "meeting")
+    return components(settle(exact_links(met).filter("b IS NOT NULL").select("a", "b"), "path-exact")).select(F.col("node").alias("fp"), "component")
+
+
+def verified(docs: DataFrame, sets: DataFrame, of: DataFrame, placed: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """All candidates of one component against one another, as ``exact_links`` returns them, links counted
+    once for each two blocks that have some. sets: fp, doc_id of one of its rows; of: fp, component of
+    candidates; placed: leaf, block, fp."""
+    ids = settle(sets.join(of, "fp", "left_semi").select(F.col("doc_id").alias("__id")), "path-wanted").distinct()
+    whole = settle(_shingled(docs, small(ids), id_col, text_col).dropDuplicates(["fp"]).join(of, "fp"), "path-sets")
+    large = settle(whole.groupBy("component").count().filter(F.col("count") > SETS).select("component"), "path-crowds")
+    if not large.isEmpty():
+        linked = settle(linked_in_leaves(whole, placed, large), "path-inleaves")
+        rest = whole.join(small(large), "component", "left_anti").select("fp", "shingles", "component")
+        whole = settle(rest.unionByName(whole.drop("component").join(linked, "fp").select("fp", "shingles", "component")), "path-whole")
+    sizes = whole.groupBy("component").agg(F.greatest(F.ceil(F.count("*") / SETS), F.ceil(F.sum(F.length("shingles")) / BYTES)).alias("blocks"))
+    sizes = settle(sizes.filter("blocks > 1"), "path-sizes")
+    blocks = F.coalesce("blocks", F.lit(1).cast("long"))
+    return exact_links(meetings(whole.join(small(sizes), "component", "left"), "fp", F.col("component"), blocks))
+
+
 def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", runs: int = RUNS) -> DataFrame:
     """One row per row of ``docs``: doc_id, class_id (the smallest doc_id of its class), n_links
     (links of its text with different texts) and copies (rows with its set of shingles)."""
     rows = settle(embed(docs, id_col, text_col), "path-rows")
     worded = rows.filter("fp IS NOT NULL")
     sets = settle(worded.groupBy("fp").agg(F.min("doc_id").alias("doc_id"), F.first("sig").alias("sig"), F.count("*").alias("copies")), "path-unique")
-    met = candidate_components(sets.select("fp", "sig"), runs)
-    links = settle(verified(docs, sets.select("fp", "doc_id"), met, id_col, text_col), "path-links")
+    partners = exact_partners(docs, sets, AUDIT, id_col, text_col)
+    if partners.isEmpty():
+        partners = exact_partners(docs, sets, AGAIN * AUDIT, id_col, text_col)
+    met, placed = candidate_components(sets.select("fp", "sig"), partners, runs)
+    links = settle(verified(docs, sets.select("fp", "doc_id"), met, placed, id_col, text_col), "path-links")
     of = components(links.filter("b IS NOT NULL").select("a", "b"))
     degree = links.filter("b IS NULL").groupBy(F.col("a").alias("node")).agg(F.sum("n").alias("n_links"))
     linked = settle(of.join(degree, "node").select(F.col("node").alias("fp"), "component", "n_links"), "path-linked")
