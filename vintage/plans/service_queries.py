@@ -317,3 +317,30 @@ def streamed_daily_bars(spark, sf_dir):
     bars = spark.read.schema(told.schema).parquet(out)
     late = ingest.late_versions(all_ticks, bars, "2100-01-01").drop("available_at")
     return bars.withColumn("version", F.lit(1)).unionByName(late.withColumn("version", F.lit(2)))
+
+
+_KNOWN = """SELECT concat('sec_', CAST(user_id AS STRING)) AS security_id, CAST(ts AS TIMESTAMP) AS ts, event_id AS tick_id, value AS price, 1 AS size,
+    CASE WHEN event_id % 10 = 0 THEN CAST(CAST(CAST(ts AS DATE) AS TIMESTAMP) + INTERVAL 4 DAY AS TIMESTAMP) WHEN event_id % 10 = 1 THEN CAST(ts AS TIMESTAMP) + INTERVAL 6 DAY
+    ELSE CAST(ts AS TIMESTAMP) + INTERVAL 1 HOUR END AS available_at FROM events"""
+
+
+@query(f"""WITH t AS (SELECT *, CAST(ts AS DATE) AS effective_date, CAST(CAST(ts AS DATE) AS TIMESTAMP) + INTERVAL 3 DAY AS deadline FROM ({_KNOWN})),
+    k AS (SELECT DISTINCT security_id, effective_date, deadline, greatest(available_at, deadline) AS known FROM t),
+    b AS (SELECT k.security_id, k.effective_date, k.deadline, k.known, arg_min(price, (ts, tick_id)) AS open, max(price) AS high, min(price) AS low, arg_max(price, (ts, tick_id)) AS close, CAST(sum(size) AS BIGINT) AS volume
+          FROM k JOIN t ON t.security_id = k.security_id AND t.effective_date = k.effective_date AND greatest(t.available_at, t.deadline) <= k.known GROUP BY 1, 2, 3, 4)
+    SELECT security_id, effective_date, known AS available_at, CAST(row_number() OVER (PARTITION BY security_id, effective_date ORDER BY known) AS INT) AS version, open, high, low, close, volume
+    FROM b WHERE known > deadline OR deadline < (SELECT max(available_at) FROM t)""")
+def streamed_bar_versions(spark, sf_dir):
+    """Daily bars with all their versions from a stream alone: a fifth of the ticks get known after their day
+    was told. The files come in the order in which their ticks got known."""
+    files, out = shared_folder(spark, "known-ticks"), shared_folder(spark, "bar-versions")
+    ticks = views.view(spark, sf_dir, _KNOWN, "events")
+    lo, hi = ticks.agg(F.min("available_at"), F.max("available_at")).first()
+    cuts = [lo + (hi - lo) * k / 4 for k in range(5)] if lo else []
+    for k in range(len(cuts) - 1):
+        inside = F.col("available_at").between(F.lit(cuts[k]), F.lit(cuts[k + 1])) & ((F.col("available_at") > F.lit(cuts[k])) | F.lit(k == 0))
+        ticks.filter(inside).coalesce(1).write.mode("append").parquet(files)
+    stream = spark.readStream.schema(ticks.schema).option("maxFilesPerTrigger", 1).parquet(files)
+    told = ingest.bar_versions(stream)
+    _finished(told, out, shared_folder(spark, "bar-versions-state"))
+    return spark.read.schema(told.schema).parquet(out)

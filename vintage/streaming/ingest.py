@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from functools import reduce
 
+import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..operators.versions import append, insert_only, version_hash
 from ..sources.archive import content_hash
@@ -20,16 +23,20 @@ def ingest(payloads: DataFrame, normalize: Callable[[DataFrame], DataFrame], tab
 
     def merge(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        staged = version_hash(normalize(batch))
+        staged = version_hash(normalize(batch)).persist()  # read twice: for its times, and to be appended
         try:
             existing = spark.read.parquet(table_path)
-            lo, hi = staged.agg(F.min("available_at"), F.max("available_at")).first()
-            existing = existing.filter(F.col("available_at").between(F.lit(lo), F.lit(hi))) if lo is not None else existing
-        except Exception as e:  # the first batch creates the table
-            if "PATH_NOT_FOUND" not in str(e) and "UNABLE_TO_INFER_SCHEMA" not in str(e):
+        except AnalysisException as e:  # the first batch creates the table
+            if e.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
                 raise
             existing = None
-        append(insert_only(staged, existing, natural_keys, null_safe=True), table_path, batch_id)
+        try:
+            if existing is not None:
+                lo, hi = staged.agg(F.min("available_at"), F.max("available_at")).first()
+                existing = existing.filter(F.col("available_at").between(F.lit(lo), F.lit(hi))) if lo is not None else existing
+            append(insert_only(staged, existing, natural_keys, null_safe=True), table_path, batch_id)
+        finally:
+            staged.unpersist()
 
     return payloads.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
@@ -57,8 +64,92 @@ def daily_bars(ticks: DataFrame, lateness: str = "2 days") -> DataFrame:
 def late_versions(ticks: DataFrame, told: DataFrame, available_at) -> DataFrame:
     """New versions of the told bars whose day has got ticks since: the day's bar from all its ticks,
     available at a later time, where it differs from every version told. One batch over the days at hand."""
-    now = daily_bars(ticks)
+    days = told.select(F.col("security_id").alias("__id"), F.col("effective_date").alias("__day")).distinct()
+    now = daily_bars(ticks.join(days, (F.col("security_id") == F.col("__id")) & (F.to_date("ts") == F.col("__day")), "left_semi"))
     keys, values = ["security_id", "effective_date"], ["open", "high", "low", "close", "volume"]
     had = told.select(*[F.col(c).alias(f"__{c}") for c in keys + values])
     on = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"__{c}")) for c in keys + values])
-    return now.join(told.select(*keys).distinct(), keys, "left_semi").join(had, on, "left_anti").withColumn("available_at", F.lit(available_at).cast("timestamp"))
+    return now.join(had, on, "left_anti").withColumn("available_at", F.lit(available_at).cast("timestamp"))
+
+
+_BAR = ("open", "high", "low", "close", "volume")
+_TICK_BAR = "open double, high double, low double, close double, volume long"
+
+
+class _Day:
+    """One day's bar while its ticks come in: the bar, the places of its first and last tick, and how many
+    versions of it have been told."""
+
+    def __init__(self, state: tuple | None):
+        self.first, self.last, self.bar, self.version = (tuple(state[0:2]), tuple(state[2:4]), tuple(state[4:9]), state[9]) if state else (None, None, None, 0)
+
+    def state(self) -> tuple:
+        return (*self.first, *self.last, *self.bar, self.version)
+
+    def add(self, ticks: pd.DataFrame) -> bool:
+        """Take in ticks, sorted by (at, tick_id); whether the bar changes."""
+        head, tail = ticks.iloc[0], ticks.iloc[-1]
+        first, last = (int(head["at"]), int(head["tick_id"])), (int(tail["at"]), int(tail["tick_id"]))
+        was = self.bar
+        open_, high, low, close, volume = was or (None, float("-inf"), float("inf"), None, 0)
+        if self.first is None or first < self.first:
+            self.first, open_ = first, float(head["price"])
+        if self.last is None or last > self.last:
+            self.last, close = last, float(tail["price"])
+        self.bar = (open_, max(high, float(ticks["price"].max())), min(low, float(ticks["price"].min())), close, int(volume + ticks["size"].sum()))
+        return self.bar != was
+
+    def told(self, available: int) -> tuple:
+        self.version += 1
+        return (available, self.version, *self.bar)
+
+
+def bar_versions(ticks: DataFrame, lateness: str = "2 days", disorder: str = "0 seconds", keep: str = "400 days") -> DataFrame:
+    """Daily bars and their later versions, from a stream alone: (security_id, effective_date, available_at,
+    version, open, high, low, close, volume) of ticks (security_id, ts, tick_id, price, size, available_at).
+
+    The stream's watermark is that of ``available_at``, when a tick got known, and not of ``ts``, so that no
+    late tick is dropped. A day's version 1 holds what was known ``lateness`` after its end and is available
+    then; a timer tells it when the watermark has passed. Each later time at which ticks of that day get known
+    makes a version, available at that time, if they change the bar; so does the first time, where none was
+    known before. Times count in microseconds, and what is known at one time counts as one. Which rows come
+    in which batch changes nothing, as long as times come in order within ``disorder``.
+
+    The state is a bar for each id and day. It is let go ``keep`` after the day's end; ticks that get known
+    later than that are left out. Ticks without id, ts, tick_id, price or available_at are left out, a size
+    that is null counts 0."""
+    end = F.date_add(F.col("effective_date"), 1).cast("timestamp")
+    known = ticks.dropna(subset=["security_id", "ts", "tick_id", "price", "available_at"]).withColumn("effective_date", F.to_date("ts"))
+    known = known.withColumns({"deadline": F.unix_micros(end + F.expr(f"INTERVAL '{lateness}'")), "expiry": F.unix_micros(end + F.expr(f"INTERVAL '{keep}'"))})
+    known = known.withWatermark("available_at", disorder)
+    rows = known.select("security_id", "effective_date", "deadline", "expiry", F.unix_micros("ts").alias("at"), F.col("tick_id").cast("long").alias("tick_id"), F.col("price").cast("double").alias("price"), F.coalesce(F.col("size").cast("long"), F.lit(0)).alias("size"), "available_at", F.unix_micros("available_at").alias("known"))
+
+    def update(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        security, date, deadline, expiry = key
+        day, out = _Day(state.get if state.exists else None), []
+        if state.hasTimedOut:
+            if day.version:
+                state.remove()
+                return
+            out.append(day.told(int(deadline)))
+        else:
+            new = pd.concat(list(batches))
+            for known_at, some in new[new["known"] <= expiry].sort_values(["known", "at", "tick_id"]).groupby("known"):
+                if known_at > deadline and day.bar and not day.version:
+                    out.append(day.told(int(deadline)))
+                if day.add(some) and known_at > deadline:
+                    out.append(day.told(int(known_at)))
+        if day.bar:
+            state.update(day.state())
+            state.setTimeoutTimestamp(max(int(expiry if day.version else deadline) // 1000 + 1, state.getCurrentWatermarkMs() + 1))
+        if out:
+            yield pd.DataFrame([(security, date, *row) for row in out], columns=["security_id", "effective_date", "known", "version", *_BAR])
+
+    told = rows.groupBy("security_id", "effective_date", "deadline", "expiry").applyInPandasWithState(
+        update,
+        f"security_id string, effective_date date, known long, version int, {_TICK_BAR}",
+        f"first_at long, first_id long, last_at long, last_id long, {_TICK_BAR}, version int",
+        "append",
+        GroupStateTimeout.EventTimeTimeout,
+    )
+    return told.select("security_id", "effective_date", F.timestamp_micros("known").alias("available_at"), "version", *_BAR)
