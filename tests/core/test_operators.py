@@ -237,3 +237,18 @@ def test_threshold_states(spark):
     assert got == ["low", "unavailable", "high", "unavailable", "unavailable"]
     with pytest.raises(ValueError):
         readouts.load_profiles('[profile.x]\ndefinition_id = "no.such"\nmethod = "discrete"\n')
+
+
+def test_places_among_peers(spark):
+    from vintage.operators import fundamentals
+
+    rows = [(f"s{i}", "m", float(v), "big") for i, v in enumerate([5, 1, 3, 3, 2, 9, None and 0 or 7])] + [("n", "m", None, "big"), ("a", "m", 1.0, "few"), ("b", "m", 2.0, "few"), ("c", "m", 3.0, None)]
+    metrics = spark.createDataFrame([(s, m, v, 1) for s, m, v, _ in rows], "security_id string, metric_id string, value double, n int").drop("n")
+    groups = spark.createDataFrame([(s, g) for s, _, _, g in rows] + [("a", "few")], "security_id string, peer_group string")
+    got = {r.security_id: (r.peer_count, r.peer_percentile, r.peer_state) for r in fundamentals.with_peers(metrics, groups).collect()}
+    values = {s: v for s, _, v, g in rows if g == "big" and v is not None}
+    for s, v in values.items():
+        share = sum(w < v for w in values.values()) / (len(values) - 1)
+        assert got[s] == (6, share, "top_quartile" if share >= 0.75 else "mid_range" if share >= 0.25 else "bottom_quartile")
+    assert got["n"] == (0, None, "unavailable") and got["a"] == (1, None, "raw_value") and got["c"] == (0, None, "raw_value")
+    assert len(got) == len(rows)

@@ -12,7 +12,7 @@ from vintage.operators import pit
 
 FOLDER = "/root/testdata/sf0.001"
 #: One of each kind; the driver compares all of them.
-NAMES = ("facts_fundamentals", "facts_top_movers", "facts_wide_fundamentals", "facts_social_posts", "asof_join", "market_breadth", "bars_adjusted", "bars_asof_range", "version_hashes", "replayed_hash", "fetch_manifests", "archived_payloads", "streamed_daily_bars", "streamed_bar_versions", "deduplicated_stream", "latest_lists", "fundamental_states", "valuation_category", "open_days")
+NAMES = ("facts_fundamentals", "facts_top_movers", "facts_wide_fundamentals", "facts_social_posts", "asof_join", "market_breadth", "bars_adjusted", "bars_asof_range", "version_hashes", "replayed_hash", "fetch_manifests", "archived_payloads", "streamed_daily_bars", "streamed_bar_versions", "deduplicated_stream", "latest_lists", "bulk_text_bars", "dataset_versions", "peer_states", "fundamental_states", "valuation_category", "open_days")
 
 
 @pytest.fixture(scope="module")

@@ -185,6 +185,32 @@ def glossary(spark: SparkSession, text: str) -> DataFrame:
     return spark.createDataFrame(rows, "metric_id string, unit string, profile_id string, method string, bands array<struct<state:string,tone:string,label:string,lo:double,hi:double>>")
 
 
+#: States, tones and labels of a metric's place among its peers.
+PEER_BANDS = ((0.75, "top_quartile", "green", "top quartile of peers"), (0.25, "mid_range", "neutral", "middle of peers"), (0.0, "bottom_quartile", "red", "bottom quartile of peers"))
+
+
+def with_peers(metrics: DataFrame, groups: DataFrame, least: int = 5) -> DataFrame:
+    """Each metric's place among the values that its peer group has of it: peer_count (others with a value),
+    peer_percentile (the share of them that are lower; null without a value or with fewer than ``least`` of
+    them) and the state, tone and label of its quartile. groups: security_id, peer_group; a security without
+    a group, or with a null one, has no peers. Equal values share the lowest place. Values are counted
+    before they are ranked, so a task ranks the distinct values of a metric in a group, not its rows."""
+    given = metrics.join(groups.filter("peer_group IS NOT NULL").dropDuplicates(["security_id"]), "security_id", "left")
+    keys = ["metric_id", "peer_group"]
+    counts = given.filter("value IS NOT NULL AND peer_group IS NOT NULL").groupBy(*keys, "value").agg(F.count("*").alias("n"))
+    own = Window.partitionBy(*keys)
+    below = F.coalesce(F.sum("n").over(own.orderBy("value").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    placed = counts.select(*keys, "value", below.alias("below"), (F.sum("n").over(own) - 1).alias("others"))
+    d = given.join(placed, [*keys, "value"], "left")
+    enough = F.col("others") >= least
+    share = F.when(enough, F.try_divide("below", "others"))
+    band = F.when(F.col("value").isNull(), F.struct(F.lit("unavailable").alias("state"), F.lit("gray").alias("tone"), F.lit("unavailable").alias("label")))
+    band = band.when(~F.coalesce(enough, F.lit(False)), F.struct(F.lit("raw_value").alias("state"), F.lit("gray").alias("tone"), F.lit("raw value (peer data insufficient)").alias("label")))
+    for low, state, tone, label in PEER_BANDS:
+        band = band.when(share >= low, F.struct(F.lit(state).alias("state"), F.lit(tone).alias("tone"), F.lit(label).alias("label")))
+    return d.select(*metrics.columns, "peer_group", F.coalesce("others", F.lit(0).cast("long")).alias("peer_count"), share.alias("peer_percentile"), band.state.alias("peer_state"), band.tone.alias("peer_tone"), band.label.alias("peer_label"))
+
+
 def with_display(metrics: DataFrame, dimension: DataFrame | None = None) -> DataFrame:
     """A state and a printed value, and, given the ``glossary``, the threshold's state, tone and label: the
     first band with lo <= value < hi; a metric whose profile only gives context is contextual, one that is

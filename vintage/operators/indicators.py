@@ -279,6 +279,33 @@ def compute_all(bars: DataFrame, as_of, benchmark: DataFrame | None = None, carr
     return out.select(*keys, F.lit(as_of).cast("timestamp").alias("available_at"), F.lit("derived").alias("source_id"), *values)
 
 
+#: Units of the indicators, by the start of their names; the others are ratios or indices of their own.
+UNITS = {
+    "price": ("sma_", "ema_", "macd", "bb_", "atr_14", "rolling_std_", "vwap", "donchian_", "wma_", "linreg_", "keltner_", "kama_", "pivot_", "true_range", "ma_slope_"),
+    "percent": ("atr_pct", "roc_", "ppo", "trix_", "percentile_"),
+    "ratio": ("return_", "dist_to_ma_", "pct_off_", "gap_pct", "bandwidth", "percent_b", "rs_spy_", "log_return", "alpha", "beta_", "corr_", "realized_vol_", "rvol", "range_expansion"),
+    "oscillator_100": ("rsi_", "stoch_k", "stoch_d", "williams_", "aroon_", "mfi_", "ultimate_", "chop_", "di_", "adx_", "cmo_", "tsi_"),
+    "flag": ("above_ma_", "is_new_", "inside_bar", "outside_bar", "gap_fill", "volume_spike", "bb_squeeze", "ma_stack", "rsi_divergence"),
+    "volume": ("obv", "ad_line", "vpt", "chaikin_", "force_index_", "eom_"),
+    "currency": ("dollar_volume", "avg_dollar_"),
+}
+
+
+def unit(name: str) -> str:
+    """The unit of an indicator."""
+    return next((u for u, starts in UNITS.items() if name.startswith(starts)), "index")
+
+
+def coverage(computed: DataFrame) -> DataFrame:
+    """The dimension of indicators with what there is of each: indicator, unit, n_values and n_securities.
+    computed: as of ``compute_all``. One pass, a row for each security and one for all."""
+    names = [c for c in computed.columns if c not in ("security_id", "effective_date", "available_at", "source_id", *PRICES)]
+    per = computed.groupBy("security_id").agg(*[F.count(c).alias(c) for c in names])
+    told = per.agg(*[F.struct(F.sum(c).alias("n"), F.count_if(F.col(c) > 0).alias("s")).alias(c) for c in names])
+    rows = F.explode(F.array(*[F.struct(F.lit(c).alias("indicator"), F.lit(unit(c)).alias("unit"), F.col(c).n.alias("n_values"), F.col(c).s.alias("n_securities")) for c in names])).alias("r")
+    return told.select(rows).select("r.indicator", "r.unit", F.coalesce("r.n_values", F.lit(0)).cast("long").alias("n_values"), F.col("r.n_securities").cast("long").alias("n_securities"))
+
+
 #: Named indicators with their default arguments, for requests by name over columns of ``compute_all``.
 NAMED = {"sma": ("sma_20", "sma_50", "sma_200"), "ema": ("ema_12", "ema_26"), "rsi": ("rsi_14",), "macd": ("macd", "macd_ema", "macd_histogram"), "bollinger": ("bb_upper", "bb_middle", "bb_lower"), "atr": ("atr_14",)}
 

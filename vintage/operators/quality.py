@@ -56,6 +56,16 @@ def health(tables: dict[str, DataFrame]) -> DataFrame:
     return out
 
 
+def datasets(tables: dict[str, DataFrame]) -> DataFrame:
+    """The list of datasets: name, its newest schema version (0 without one) and rows."""
+    out = None
+    for name, df in tables.items():
+        version = F.max("schema_version") if "schema_version" in df.columns else F.lit(None)
+        one = df.agg(version.cast("long").alias("v"), F.count("*").alias("n_rows")).select(F.lit(name).alias("dataset"), F.coalesce("v", F.lit(0).cast("long")).alias("schema_version"), "n_rows")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
 def last_ingestion(tables: dict[str, DataFrame], at: str = "ingested_at") -> DataFrame:
     out = None
     for name, df in tables.items():

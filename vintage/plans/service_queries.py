@@ -252,13 +252,21 @@ def stored_readouts(spark, sf_dir):
     return got.withColumn("value", F.round(F.col("value") + OFF, 2))
 
 
-_lists = {"insider": (views.INSIDER_SQL, "transaction_code || '/' || event_id"), "attention": (views.ATTENTION_SQL, "cohort || '/' || mentions")}
+_lists = {
+    "insider": (views.INSIDER_SQL, "transaction_code || '/' || event_id", "events"),
+    "attention": (views.ATTENTION_SQL, "cohort || '/' || mentions", "events"),
+    "analyst": (views.ANALYST_SQL, "rating || '/' || buys", "orders"),
+    "news": (views.NEWS_SQL, "source_name || '/' || article_id", "documents"),
+    "earnings": (views.EARNINGS_SQL, "session || '/' || order_id", "orders"),
+    "macro": (views.MACRO_LIST_SQL, "series_id || '/' || n_orders", "orders"),
+}
 
 
-@query(" UNION ALL ".join(f"SELECT * FROM (SELECT '{n}' AS list, security_id, CAST(row_number() OVER (PARTITION BY security_id ORDER BY effective_date DESC, available_at DESC, value DESC) AS INT) AS rank, effective_date, value FROM (SELECT * EXCLUDE ({'value' if n == 'insider' else 'mentions'}), {v} AS value FROM ({sql}) a)) WHERE rank <= 20" for n, (sql, v) in _lists.items()))
+@query(" UNION ALL ".join(f"SELECT * FROM (SELECT '{n}' AS list, security_id, CAST(row_number() OVER (PARTITION BY security_id ORDER BY effective_date DESC, available_at DESC, value DESC) AS INT) AS rank, effective_date, value FROM (SELECT security_id, effective_date, available_at, {v} AS value FROM ({sql}) a)) WHERE rank <= 20" for n, (sql, v, _) in _lists.items()))
 def latest_lists(spark, sf_dir):
-    """The newest insider transactions and mentions of each security."""
-    tables = {n: (views.view(spark, sf_dir, sql, "events").withColumn("shown", F.expr(v)).drop("value"), "shown") for n, (sql, v) in _lists.items()}
+    """The newest insider transactions, mentions, estimates, articles and earnings dates of each security and
+    values of each macro series."""
+    tables = {n: (views.view(spark, sf_dir, sql, t).withColumn("shown", F.expr(v)).drop("value"), "shown") for n, (sql, v, t) in _lists.items()}
     return panels.latest_lists(tables, _now, 20)
 
 

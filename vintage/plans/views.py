@@ -47,6 +47,30 @@ ATTENTION_SQL = """
            count(*) AS mentions, CAST(count(CASE WHEN value > 10 THEN 1 END) AS BIGINT) AS upvotes
     FROM events GROUP BY 1, 2, 3, 4
 """
+ANALYST_SQL = """
+    SELECT concat('sec_', CAST(o_custkey % 50 AS STRING)) AS security_id, CAST(o_orderdate AS DATE) AS effective_date,
+           CAST(CAST(o_orderdate AS DATE) AS TIMESTAMP) + INTERVAL 1 DAY AS available_at, 'src_o' AS source_id,
+           substr(o_orderpriority, 1, 1) AS rating, count(*) AS buys
+    FROM orders GROUP BY 1, 2, 3, 4, 5
+"""
+NEWS_SQL = """
+    SELECT concat('sec_', CAST(doc_id % 50 AS STRING)) AS security_id, CAST(DATE '1997-01-01' + CAST(doc_id % 500 AS INT) AS DATE) AS effective_date,
+           CAST(CAST(DATE '1997-01-02' + CAST(doc_id % 500 AS INT) AS DATE) AS TIMESTAMP) AS available_at, 'src_d' AS source_id,
+           coalesce(source, 'unknown') AS source_name, doc_id AS article_id
+    FROM documents
+"""
+EARNINGS_SQL = """
+    SELECT concat('sec_', CAST(o_custkey % 50 AS STRING)) AS security_id, CAST(CAST(o_orderdate AS DATE) + 30 AS DATE) AS effective_date,
+           CAST(CAST(o_orderdate AS DATE) AS TIMESTAMP) + INTERVAL 2 DAY AS available_at, 'src_o' AS source_id,
+           CASE WHEN o_orderstatus = 'F' THEN 'bmo' ELSE 'amc' END AS session, o_orderkey AS order_id
+    FROM orders
+"""
+#: A series counts as what a list is about.
+MACRO_LIST_SQL = """
+    SELECT concat('macro_', substr(o_orderpriority, 1, 1)) AS security_id, concat('macro_', substr(o_orderpriority, 1, 1)) AS series_id, CAST(date_trunc('month', o_orderdate) AS DATE) AS effective_date,
+           CAST(CAST(date_trunc('month', o_orderdate) AS DATE) AS TIMESTAMP) + INTERVAL 40 DAY AS available_at, 'src_o' AS source_id, count(*) AS n_orders
+    FROM orders GROUP BY 1, 2, 3, 4
+"""
 SENTIMENT_SQL = """
     SELECT concat('sec_', CAST(doc_id % 50 AS STRING)) AS security_id, CAST(DATE '1998-01-01' + CAST(doc_id % 90 AS INT) AS DATE) AS effective_date,
            CAST(CAST(DATE '1998-01-02' + CAST(doc_id % 90 AS INT) AS DATE) AS TIMESTAMP) AS available_at,

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from urllib.parse import unquote
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -58,6 +60,28 @@ def read_bulk_bars(spark: SparkSession, path: str, kinds: tuple[str, ...] = ("st
     return rows.filter(F.col("kind").isin(*kinds) & F.col("effective_date").isNotNull() & F.col("close").isNotNull())
 
 
+def write_bulk_text(bars: DataFrame, path: str, geo: str = "us") -> None:
+    """The tree of text files that ``read_bulk_bars`` reads: <geo>/<exchange> <kind>/<symbol>.us.txt. bars: symbol,
+    exchange, kind, effective_date, prices and volume. The executors write one file a symbol; the driver only
+    renames them, as many as there are symbols."""
+    spark = bars.sparkSession
+    staged, out = f"{path.rstrip('/')}-staged", path.rstrip("/")
+    rows = bars.select(F.concat_ws(" ", "exchange", "kind").alias("folder"), F.lower("symbol").alias("file"), F.date_format("effective_date", "yyyyMMdd").alias("<DATE>"), *[F.col(c).alias(f"<{c.upper()}>") for c in ("open", "high", "low", "close")], F.col("volume").alias("<VOL>"))
+    dealt = rows.repartition("folder", "file").sortWithinPartitions("folder", "file", "<DATE>")
+    dealt.write.partitionBy("folder", "file").option("header", True).csv(staged)
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    top = hadoop.Path(staged)
+    fs = top.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    plain = lambda p: unquote(p.getName().split("=", 1)[1])
+    for folder in (f.getPath() for f in fs.listStatus(top) if f.isDirectory()):
+        target = hadoop.Path(f"{out}/{geo}/{plain(folder)}")
+        fs.mkdirs(target)
+        for one in (f.getPath() for f in fs.listStatus(folder)):
+            for part in (f.getPath() for f in fs.listStatus(one) if f.getPath().getName().startswith("part-")):
+                fs.rename(part, hadoop.Path(target, f"{plain(one)}.us.txt"))
+    fs.delete(top, True)
+
+
 def write_bulk_bars(bars: DataFrame, path: str) -> None:
     """Sorted by symbol and date, one folder a kind."""
     bars.repartition("symbol").sortWithinPartitions("symbol", "effective_date").write.mode("overwrite").partitionBy("kind").parquet(path)

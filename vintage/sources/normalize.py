@@ -215,6 +215,13 @@ _EARNINGS = {"reportedEPS": "reported_eps", "estimatedEPS": "estimated_eps", "su
 _ESTIMATES = {"estimatedEPS": "estimated_eps", "estimatedRevenue": "estimated_revenue", "numberOfAnalysts": "analyst_count"}
 
 
+def spread(payloads: DataFrame) -> DataFrame:
+    """Payloads over as many tasks as there are cores, if their files make fewer: parsing large bodies takes
+    longer than moving them. A table of many files stays as it is."""
+    cores = payloads.sparkSession.sparkContext.defaultParallelism
+    return payloads.repartition(cores) if payloads.rdd.getNumPartitions() < cores else payloads
+
+
 def wide_fundamentals(p: DataFrame) -> DataFrame:
     """Wide reports to long form: three statements by quarter and year, overview, shares, earnings, estimates.
     A report is a map; a body is parsed and exploded once, and its fields meet the fixed list of line items."""
@@ -225,6 +232,7 @@ def wide_fundamentals(p: DataFrame) -> DataFrame:
 
     fields = [(section, field, item, statement, measure) for section, (statement, measure, names) in kinds.items() for field, item in names.items()]
     fields += [("overview", field, item, "overview", "overview") for field, item in OVERVIEW_ITEMS.items()]
+    p = spread(p)
     known_fields = p.sparkSession.createDataFrame(fields, "section string, field string, item string, statement string, measure string")
 
     def named(section: str, kind: str):
