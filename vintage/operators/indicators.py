@@ -83,6 +83,8 @@ def _first(d: DataFrame) -> DataFrame:
         "atr_14": rolling(F.avg, "true_range", 14),
         "atr_10": rolling(F.avg, "true_range", 10),
         "obv": running(F.sum, "signed_v"),
+        "flow_sum": running(F.sum, flow),
+        "v_sum": running(F.sum, "v"),
         "vwap": ieee_div(running(F.sum, flow), running(F.sum, "v")),
         "realized_vol_21": rolling(F.stddev_samp, "log_return", 21) * math.sqrt(252),
         "realized_vol_63": rolling(F.stddev_samp, "log_return", 63) * math.sqrt(252),
@@ -195,8 +197,12 @@ def _against(d: DataFrame, benchmark: DataFrame) -> DataFrame:
 RECURSIVE = ("ema_12", "ema_26", "macd", "macd_ema", "macd_histogram", "ppo", "ppo_signal", "ppo_histogram", "trix_15", "tsi_25_13", "adx_14", "chaikin_osc", "force_index_13", "eom_14", "keltner_upper", "keltner_middle", "keltner_lower", "kama_10")
 
 
-def _ema(x: pd.Series, n: int) -> pd.Series:
-    """From the first value on; a value that isn't a number there spoils all that follow."""
+def _ema(x: pd.Series, n: int, held: float | None = None) -> pd.Series:
+    """From the first value on, or on from the value that an earlier run ended with; a value that isn't a
+    number after that spoils all that follow."""
+    if held is not None:
+        z = pd.concat([pd.Series([held]), x], ignore_index=True)
+        return _ema(z, n).iloc[1:].set_axis(x.index) if held == held else pd.Series(np.nan, index=x.index)
     out = x.ewm(alpha=2 / (n + 1), adjust=False).mean()
     start = x.first_valid_index()
     if start is not None and x.loc[start:].isna().any():
@@ -204,13 +210,14 @@ def _ema(x: pd.Series, n: int) -> pd.Series:
     return out
 
 
-def _kama(s: np.ndarray, n: int = 10, fast: float = 2 / 3, slow: float = 2 / 31) -> np.ndarray:
+def _kama(s: np.ndarray, held: float | None = None, n: int = 10, fast: float = 2 / 3, slow: float = 2 / 31) -> np.ndarray:
+    """From the row n on; ``held`` is the value of the row before that, if an earlier run made one."""
     out = np.full(len(s), np.nan)
     if len(s) <= n:
         return out
     change, path = np.abs(s[n:] - s[:-n]), np.lib.stride_tricks.sliding_window_view(np.abs(np.diff(s)), n).sum(1)
     ratio = np.divide(change, path, out=np.zeros_like(path), where=(path != 0) & (change != 0))
-    prev, values = s[0], []
+    prev, values = s[0] if held is None else held, []
     for sc, old, now in zip(((ratio * (fast - slow) + slow) ** 2).tolist(), s[:-n].tolist(), s[n:].tolist(), strict=True):
         prev = old if prev != prev else prev
         prev += sc * (now - prev)
@@ -219,31 +226,48 @@ def _kama(s: np.ndarray, n: int = 10, fast: float = 2 / 3, slow: float = 2 / 31)
     return out
 
 
-def recursive_columns(p: pd.DataFrame) -> pd.DataFrame:
-    """The columns of RECURSIVE for one security's history in date order."""
+def recursive_columns(p: pd.DataFrame, held: dict[str, float] | None = None, before: np.ndarray | None = None) -> pd.DataFrame:
+    """The columns of RECURSIVE for one security's history in date order, or for what follows a history of which
+    ``before`` are the last ten closes and ``held`` is what it left. ``held`` then has what this one leaves."""
+    held = {} if held is None else held
+    before = np.zeros(0) if before is None else before
     c = p["close"]
-    e12, e26 = _ema(c, 12), _ema(c, 26)
+
+    def ema(name: str, x: pd.Series, n: int) -> pd.Series:
+        out = _ema(x, n, held.get(name))
+        if len(x) and (name in held or x.notna().any()):
+            held[name] = float(out.iloc[-1])
+        return out
+
+    e12, e26 = ema("e12", c, 12), ema("e26", c, 26)
     macd = e12 - e26
-    signal = _ema(macd, 9)
+    signal = ema("signal", macd, 9)
     ppo = macd / e26 * 100
-    ppo_signal = _ema(ppo, 9)
-    triple = _ema(_ema(_ema(c, 15), 15), 15)
-    diff = c.diff()
-    smooth, size = _ema(_ema(diff, 25), 13), _ema(_ema(diff.abs(), 25), 13)
-    mid = _ema(c, 20)
+    ppo_signal = ema("ppo_signal", ppo, 9)
+    last_triple = held.get("t3", np.nan)
+    triple = ema("t3", ema("t2", ema("t1", c, 15), 15), 15)
+    diff, earlier = c.diff(), triple.shift(1)
+    if len(before):
+        diff.iloc[:1] = c.iloc[:1] - before[-1]
+        earlier.iloc[:1] = last_triple
+    smooth, size = ema("d13", ema("d25", diff, 25), 13), ema("a13", ema("a25", diff.abs(), 25), 13)
+    mid = ema("mid", c, 20)
+    kama = _kama(np.concatenate([before, c.to_numpy(float)]), held.get("kama"))
+    if len(kama) > 10:
+        held["kama"] = float(kama[-1])
     out = {
         "ema_12": e12, "ema_26": e26, "macd": macd, "macd_ema": signal, "macd_histogram": macd - signal,
         "ppo": ppo, "ppo_signal": ppo_signal, "ppo_histogram": ppo - ppo_signal,
-        "trix_15": (triple / triple.shift(1) - 1) * 100, "tsi_25_13": 100 * smooth / size,
-        "adx_14": _ema(p["dx"], 14), "chaikin_osc": _ema(p["ad_line"], 3) - _ema(p["ad_line"], 10),
-        "force_index_13": _ema(p["raw_force"], 13), "eom_14": _ema(p["raw_eom"], 14),
+        "trix_15": (triple / earlier - 1) * 100, "tsi_25_13": 100 * smooth / size,
+        "adx_14": ema("adx", p["dx"], 14), "chaikin_osc": ema("ad3", p["ad_line"], 3) - ema("ad10", p["ad_line"], 10),
+        "force_index_13": ema("force", p["raw_force"], 13), "eom_14": ema("eom", p["raw_eom"], 14),
         "keltner_upper": mid + 2 * p["atr_10"], "keltner_middle": mid, "keltner_lower": mid - 2 * p["atr_10"],
-        "kama_10": pd.Series(_kama(c.to_numpy(float)), index=p.index),
+        "kama_10": pd.Series(kama[len(before) :], index=p.index),
     }
     return pd.DataFrame(out, index=p.index)
 
 
-_SCRATCH = ("pc", "rn", "ph", "pl", "v", "change", "gain", "loss", "ret", "tp", "mid", "pos_dm", "neg_dm", "mfv", "bp", "signed_v", "atr_10", "v_mean", "v_std", "tp_mean", "pos_flow", "neg_flow", "raw_force", "raw_eom", "linreg_se", "abs_dev", "dx", "bench")
+_SCRATCH = ("pc", "rn", "ph", "pl", "v", "change", "gain", "loss", "ret", "tp", "mid", "pos_dm", "neg_dm", "mfv", "bp", "signed_v", "atr_10", "v_mean", "v_std", "tp_mean", "pos_flow", "neg_flow", "raw_force", "raw_eom", "linreg_se", "abs_dev", "dx", "bench", "flow_sum", "v_sum")
 
 
 def finite_indicators(bars: DataFrame, benchmark: DataFrame | None = None) -> DataFrame:
@@ -262,7 +286,6 @@ def compute_all(bars: DataFrame, as_of, benchmark: DataFrame | None = None, carr
     history is one group there, at most some ten thousand rows."""
     b = known(bars, as_of).select("security_id", "effective_date", *PRICES)
     d = finite_indicators(b, benchmark)
-    keep = [f for f in d.schema.fields if f.name in ("security_id", "effective_date", *carry) or f.name not in (*_SCRATCH, *PRICES)]
     keys = ["security_id", "effective_date"]
     schema = T.StructType([*[d.schema[c] for c in keys], *[T.StructField(c, T.DoubleType()) for c in RECURSIVE]])
 
@@ -272,10 +295,15 @@ def compute_all(bars: DataFrame, as_of, benchmark: DataFrame | None = None, carr
 
     # all prices are named, so that both branches read one shuffle of the bars
     inputs = finite_indicators(b).select(*keys, "open", "close", "dx", "ad_line", "raw_force", "raw_eom", "atr_10")
-    recursive = inputs.groupBy("security_id").applyInPandas(run, schema)
+    return as_facts(d, inputs.groupBy("security_id").applyInPandas(run, schema), as_of, carry)
+
+
+def as_facts(d: DataFrame, recursive: DataFrame, as_of, carry: tuple[str, ...] = ()) -> DataFrame:
+    """Derived facts of finite and recursive columns; a missing number is null, never NaN."""
+    keys = ["security_id", "effective_date"]
+    keep = [f for f in d.schema.fields if f.name in (*keys, *carry) or f.name not in (*_SCRATCH, *PRICES)]
     out = d.select(*[f.name for f in keep]).join(recursive, keys)
-    # a missing number is null, never NaN
-    values = [finite(f.name).alias(f.name) if isinstance(f.dataType, T.DoubleType) else F.col(f.name) for f in [*keep, *schema.fields[2:]] if f.name not in keys]
+    values = [finite(f.name).alias(f.name) if isinstance(f.dataType, T.DoubleType) else F.col(f.name) for f in [*keep, *recursive.schema.fields[2:]] if f.name not in keys]
     return out.select(*keys, F.lit(as_of).cast("timestamp").alias("available_at"), F.lit("derived").alias("source_id"), *values)
 
 
