@@ -59,10 +59,19 @@ def in_range(df: DataFrame, start=None, end=None, col: str = "effective_date") -
 
 
 def in_ranges(df: DataFrame, requests: DataFrame, id_col: str = "security_id", col: str = "effective_date") -> DataFrame:
-    """Rows in the range (id, start, end; null is open) of any request of their id, each once."""
-    r = requests.select(F.col(id_col).alias("__id"), F.col("start").cast("date").alias("__start"), F.col("end").cast("date").alias("__end"))
-    within = (F.col(id_col) == F.col("__id")) & (F.col("__start").isNull() | (F.col(col) >= F.col("__start"))) & (F.col("__end").isNull() | (F.col(col) <= F.col("__end")))
-    return df.join(r, within, "left_semi")
+    """Rows in the range (id, start, end; null is open) of any request of their id, each once. Rows and starts
+    of an id are swept in order with the latest end so far, so that many requests of one id cost a sort and
+    not their product with its rows."""
+    kind = df.schema[col].dataType
+    start = F.coalesce(F.col("start").cast("date"), F.lit("0001-01-01").cast("date")).cast(kind)
+    end = F.coalesce(F.col("end").cast("date"), F.lit("9999-12-31").cast("date")).cast(kind)
+    payload = F.struct(*[F.col(f"`{c}`") for c in df.columns])
+    r = requests.filter(F.col(id_col).isNotNull()).select(F.col(id_col).alias("__id"), start.alias("__day"), end.alias("__until")).filter("__day <= __until")
+    rows = df.join(r.select("__id").distinct(), F.col(id_col) == F.col("__id"), "left_semi").select(F.col(id_col).alias("__id"), F.col(col).alias("__day"), payload.alias("__row"))
+    swept = rows.withColumn("__until", F.lit(None).cast(kind)).unionByName(r.withColumn("__row", F.lit(None).cast(rows.schema["__row"].dataType)))
+    # a range that starts on a row's day comes before it
+    so_far = Window.partitionBy("__id").orderBy("__day", F.col("__row").isNotNull()).rowsBetween(Window.unboundedPreceding, 0)
+    return swept.withColumn("__until", F.max("__until").over(so_far)).filter("__row IS NOT NULL AND __day <= __until").select("__row.*")
 
 
 def known(df: DataFrame, as_of) -> DataFrame:
@@ -135,15 +144,35 @@ def read_panel(bars: DataFrame, spine: DataFrame, as_of, priorities: DataFrame |
     return rows.filter((F.col("asked") == 1) & F.col("bar").isNotNull()).select("security_id", "effective_date", "bar.*")
 
 
+def _dominated(asked: DataFrame, late: DataFrame) -> DataFrame:
+    """For each (security_id, effective_date, as_of) the best b of the bars (security_id, __date, __known, b)
+    of no later date and no later known time, if there is one.
+
+    Times of a security are numbered. The times up to one are a disjoint union of dyadic ranges, one for each
+    bit of its number, and a bar belongs to one range of every size; in each range a running best by date
+    answers. So n rows cost n log n however many bars came late, and no two of them are paired."""
+    none = F.lit(None).cast(late.schema["b"].dataType)
+    rows = late.select("security_id", F.col("__date").alias("day"), F.col("__known").alias("at"), "b", F.lit(None).cast("date").alias("effective_date"), F.lit(None).cast("timestamp").alias("as_of"), F.lit(0).alias("asks"))
+    rows = rows.unionByName(asked.join(late.select("security_id").distinct(), "security_id", "left_semi").select("security_id", F.col("effective_date").alias("day"), F.col("as_of").alias("at"), none.alias("b"), "effective_date", "as_of", F.lit(1).alias("asks")))
+    rows = rows.filter("day IS NOT NULL AND at IS NOT NULL")
+    own = Window.partitionBy("security_id")
+    rows = rows.withColumn("number", F.dense_rank().over(own.orderBy("at")).cast("long") - 1).withColumn("most", F.max("number").over(own))
+    size = F.explode(F.expr("filter(sequence(0, cast(ceil(log2(most + 2)) as int)), l -> asks = 0 OR shiftright(number + 1, l) & 1 = 1)")).alias("size")
+    spread = rows.select("*", size).withColumn("range", F.expr("CASE WHEN asks = 0 THEN shiftright(number, size) ELSE shiftright(number + 1, size) - 1 END"))
+    so_far = Window.partitionBy("security_id", "size", "range").orderBy("day", "asks").rowsBetween(Window.unboundedPreceding, 0)
+    best = spread.withColumn("b", F.max("b").over(so_far)).filter("asks = 1 AND b IS NOT NULL")
+    return best.select("security_id", "effective_date", "as_of", "b")
+
+
 def read_asof_join(bars: DataFrame, spine: DataFrame, priorities: DataFrame | None = None, lag_days: int = 30) -> DataFrame:
     """Each spine row has its own ``as_of``: of all bars up to its date that were known then, the one of
     the best source, then the newest version, then the newest date. Spine rows without one are kept.
 
     Spine rows and bars of a security aren't paired. Of bars that were known within ``lag_days`` of their
     date, all those up to ``as_of`` less the lag (or the spine's date, if earlier) were known: a running
-    best answers for them. Those after that meet the spine in buckets of ``lag_days``. Only bars that
-    came later than the lag, restatements of old dates, are compared with every spine row of their security;
-    the lag steers the work and not the result, so choose it to cover most rows."""
+    best answers for them. Those after that meet the spine in buckets of ``lag_days``. Bars that came later
+    than the lag, restatements of old dates, are swept by ``_dominated``. The lag steers the work and not the
+    result."""
     keys = ["security_id", "effective_date", "as_of"]
     asked = spine.select("security_id", F.col("effective_date").cast("date").alias("effective_date"), F.col("as_of").cast("timestamp").alias("as_of")).distinct()
     b = _with_priority(bars, priorities, "bars_daily")
@@ -154,16 +183,17 @@ def read_asof_join(bars: DataFrame, spine: DataFrame, priorities: DataFrame | No
     in_time = F.col("__known") <= F.date_add("__date", lag_days).cast("timestamp")
     prompt, late = b.filter(in_time), b.filter(~in_time)
     fits = (F.col("__date") <= F.col("effective_date")) & (F.col("__known") <= F.col("as_of"))
-    asked = asked.withColumn("__cut", F.least("effective_date", F.date_sub(F.to_date("as_of"), lag_days)))
+    given = F.col("effective_date").isNotNull() & F.col("as_of").isNotNull()  # else no bar
+    asked = asked.withColumn("__cut", F.when(given, F.least("effective_date", F.date_sub(F.to_date("as_of"), lag_days))))
     none = F.lit(None).cast(b.schema["b"].dataType)
-    rows = prompt.select("security_id", F.col("__date").alias("__day"), "b", F.lit(None).cast("date").alias("effective_date"), F.lit(None).cast("timestamp").alias("as_of")).unionByName(asked.select("security_id", F.col("__cut").alias("__day"), none.alias("b"), "effective_date", "as_of"))
-    # a bar of the cut's own day counts: nulls, which bars have for as_of, come first
-    so_far = F.max("b").over(Window.partitionBy("security_id").orderBy("__day", "as_of").rowsBetween(Window.unboundedPreceding, 0))
-    old = rows.withColumn("b", so_far).filter("as_of IS NOT NULL").select(*keys, "b")
+    rows = prompt.select("security_id", F.col("__date").alias("__day"), "b", F.lit(None).cast("date").alias("effective_date"), F.lit(None).cast("timestamp").alias("as_of"), F.lit(0).alias("__asks")).unionByName(asked.select("security_id", F.col("__cut").alias("__day"), none.alias("b"), "effective_date", "as_of", F.lit(1).alias("__asks")))
+    # a bar of the cut's own day counts and comes first
+    so_far = F.max("b").over(Window.partitionBy("security_id").orderBy("__day", "__asks").rowsBetween(Window.unboundedPreceding, 0))
+    old = rows.withColumn("b", F.when(F.col("__day").isNotNull(), so_far)).filter("__asks = 1").select(*keys, "b")
     bucket = lambda c: F.floor(F.unix_date(c) / lag_days)
     near = asked.filter("effective_date > __cut").withColumn("__bucket", F.explode(F.sequence(bucket(F.date_add("__cut", 1)), bucket("effective_date"))))
     recent = near.join(prompt.withColumn("__bucket", bucket("__date")), ["security_id", "__bucket"]).filter(fits & (F.col("__date") > F.col("__cut"))).select(*keys, "b")
-    restated = asked.join(late, "security_id").filter(fits).select(*keys, "b")
+    restated = _dominated(asked.select(*keys), late)
     return old.unionByName(recent).unionByName(restated).groupBy(*keys).agg(F.max("b").alias("b")).select(*keys, "b.bar.*")
 
 

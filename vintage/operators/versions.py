@@ -101,11 +101,17 @@ def missing_sessions(bars: DataFrame, sessions: DataFrame, key: str = "security_
 
 def covered(requests: DataFrame, table: DataFrame) -> DataFrame:
     """Requests (security_id, source_id, start, end) with ``covered``: any row of that id and source in
-    the range. Rows are reduced to one per id, source and date first."""
-    have = table.select(F.col("security_id").alias("__id"), F.col("source_id").alias("__source"), F.col("effective_date").alias("__date")).distinct()
-    on = (requests.security_id == have["__id"]) & (requests.source_id == have["__source"]) & have["__date"].between(requests.start, requests.end)
-    hit = requests.join(have, on, "left_semi").withColumn("covered", F.lit(True))
-    return hit.unionByName(requests.join(have, on, "left_anti").withColumn("covered", F.lit(False)))
+    the range. Rows are reduced to one per id, source and date; dates and starts are then swept from the
+    newest on, with the earliest date so far, so that many requests of one id cost a sort."""
+    keys = ["__id", "__source"]
+    have = table.select(F.col("security_id").alias("__id"), F.col("source_id").alias("__source"), F.col("effective_date").alias("__day")).dropna().distinct()
+    asked = requests.select(F.col("security_id").alias("__id"), F.col("source_id").alias("__source"), F.col("start").cast("date").alias("__day"), F.struct(*[F.col(f"`{c}`") for c in requests.columns]).alias("__request"))
+    swept = have.withColumn("__date", F.col("__day")).withColumn("__request", F.lit(None).cast(asked.schema["__request"].dataType)).unionByName(asked.withColumn("__date", F.lit(None).cast(have.schema["__day"].dataType)))
+    # a date on a request's start comes before it
+    next_date = F.min("__date").over(Window.partitionBy(*keys).orderBy(F.desc_nulls_last("__day"), F.col("__request").isNotNull()).rowsBetween(Window.unboundedPreceding, 0))
+    told = swept.withColumn("__next", next_date).filter("__request IS NOT NULL")
+    hit = F.coalesce(F.col("__day").isNotNull() & (F.col("__next") <= F.col("__request")["end"]), F.lit(False))
+    return told.select("__request.*", hit.alias("covered"))
 
 
 def first_chunk_wins(rows: DataFrame, keys: list[str], chunk: str = "chunk_start") -> DataFrame:
