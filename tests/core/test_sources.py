@@ -74,6 +74,8 @@ def test_archive(spark, tmp_path):
     stored = spark.read.parquet(str(tmp_path / "raw"))
     assert stored.count() == 2 and archive.new_payloads(p, stored).count() == 0
     assert archive.read_raw(stored, stored.filter("body = 'a'").select("content_hash")).first().body == "a"
+    one = archive.new_payloads(p.filter("body = 'a'"), stored)._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(prefix" in one or "PartitionFilters: [(prefix" in one, one  # one folder of the archive
 
 
 def test_bulk_files(spark, tmp_path):

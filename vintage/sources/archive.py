@@ -17,10 +17,14 @@ def content_hash(body: Column) -> Column:
 def new_payloads(payloads: DataFrame, archive: DataFrame | None = None) -> DataFrame:
     """Payloads (body and any other columns) whose content isn't archived yet, each content once, with
     content_hash and the folder prefix of the archive. What is archived leaves first, so only new bodies
-    are shuffled to find repeats among them; archived hashes are read from their own column."""
+    are shuffled to find repeats among them. Of the archive only hashes are read, and those only in the
+    folders that the payloads would go to: a small batch reads few of them."""
     hashed = payloads.withColumn("content_hash", content_hash(F.col("body"))).withColumn("prefix", F.substring("content_hash", 1, 2))
-    new = hashed if archive is None else hashed.join(archive.select("content_hash"), "content_hash", "left_anti")
-    return new.dropDuplicates(["content_hash"])
+    if archive is None:
+        return hashed.dropDuplicates(["content_hash"])
+    folders = [r.prefix for r in hashed.select("prefix").distinct().collect()]  # 256 at most
+    known = archive.filter(F.col("prefix").isin(folders)).select("prefix", "content_hash")
+    return hashed.join(known, ["prefix", "content_hash"], "left_anti").dropDuplicates(["content_hash"])
 
 
 def write_archive(payloads: DataFrame, path: str) -> None:
