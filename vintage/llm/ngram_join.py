@@ -10,7 +10,8 @@ node. A node of at most ``LEAF`` sets is compared by brute force. A larger one i
 dense: when its sets are about as similar as the threshold asks, on average, most of its pairs are links or
 nearly so, and splitting would only copy it. A dense node, and what is still large after ``DEPTH`` levels,
 is dealt into blocks of about ``WIDE`` sets, and each two blocks meet. A crowd of texts that share a long
-passage, but not enough of it to link, is no dense node: it is split until it is small.
+passage, but not enough of it to link, is no dense node: it is split until it is small, several levels at
+once where its size and similarity tell that it would be large at all of them.
 
 In a leaf, tokens estimate the similarity. An estimate within five standard deviations of the threshold
 is promising; sets that promising pairs connect are candidates of one another. Of a component of more than
@@ -36,7 +37,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .components import components, forest
@@ -51,11 +52,12 @@ AUDIT = 300  # sets of the audit ...
 AUDIT_SHINGLES = 1 << 22  # ... and of shingles in them, if more than one set
 AGAIN = 8  # times as many sets where those have no partner
 RECALL = 0.995
-LEAF = 64
+LEAF = 256
 WIDE = 1024  # sets in a block of a node that stays large, on average
 SETS = 256  # sets in a block of the exact check, on average
 BYTES = 4 << 20  # shingles in such a block
-DEPTH = 24
+DEPTH = 4  # times that nodes are split after the first ...
+LEVELS = 8  # ... by so many levels at most
 DENSE = 0.9 * THRESHOLD  # mean similarity of a node that is compared rather than split
 GLANCE = 24  # sets of a node by which it is estimated
 SECOND = 0.25  # share of nodes that choose two coordinates: 1 / threshold choices on average
@@ -131,17 +133,22 @@ def _children(path: np.ndarray, sig: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 
 def _split(nodes: DataFrame) -> DataFrame:
-    """path, fp, sig -> the same for the children."""
+    """path, fp, sig, levels -> path and fp of the descendants at that many levels."""
 
     def run(batches):
         for batch in batches:
             if batch.num_rows:
-                path = batch.column(0).to_numpy().view(np.uint64)
-                row, child = _children(path, _matrix(batch.column(2), np.uint32))
-                take = pa.array(row)
-                yield pa.RecordBatch.from_arrays([as_long(child), batch.column(1).take(take)], ["path", "fp"])
+                path, levels, sig = batch.column(0).to_numpy().view(np.uint64), batch.column(3).to_numpy(), _matrix(batch.column(2), np.uint32)
+                of, level = np.arange(len(path)), 0
+                while len(of):
+                    done = levels[of] <= level
+                    if done.any():
+                        yield pa.RecordBatch.from_arrays([as_long(path[done]), batch.column(1).take(pa.array(of[done]))], ["path", "fp"])
+                    of, path, level = of[~done], path[~done], level + 1
+                    row, path = _children(path, sig[of])
+                    of = of[row]
 
-    return nodes.select("path", "fp", "sig").mapInArrow(run, "path long, fp binary")
+    return nodes.select("path", "fp", "sig", "levels").mapInArrow(run, "path long, fp binary")
 
 
 def _in_leaf(rows: DataFrame) -> DataFrame:
@@ -173,28 +180,30 @@ def _in_leaf(rows: DataFrame) -> DataFrame:
     return dealt.select("leaf", "block", "fp", "sig").mapInArrow(run, "a binary, b binary")
 
 
-def _dense(big: DataFrame, sets: DataFrame) -> DataFrame:
-    """(path, dense) of large nodes, by the mean similarity of some of their sets. big: path, fp, n."""
+def _likeness(big: DataFrame, sets: DataFrame) -> DataFrame:
+    """(path, likeness) of large nodes: the mean similarity of some of their sets, by the coordinates in which
+    they don't all agree, since they do in those that led to the node. big: path, fp, n."""
     some = big.filter(F.pmod(F.xxhash64("path", "fp"), F.col("n")) < GLANCE).select("path", "fp").join(sets, "fp")
 
     def run(batches):
         for batch, bounds in whole_groups(batches):
             sig = _matrix(batch.column(1), np.uint32)
-            dense = []
+            mean = []
             for lo, hi in zip(bounds[:-1], bounds[1:], strict=True):
                 own, m = sig[lo:hi], hi - lo
-                same = sum(int((column[:, None] == column).sum()) - m for column in own.T)
-                dense.append(m > 1 and same >= DENSE * TOKENS * m * (m - 1))
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(bounds[:-1])), pa.array(dense)], ["path", "dense"])
+                open_ = own.T[(own != own[0]).any(0)]
+                same = sum(int((column[:, None] == column).sum()) - m for column in open_)
+                mean.append(same / (len(open_) * m * (m - 1)) if len(open_) else float(m > 1))
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(bounds[:-1])), pa.array(mean, pa.float64())], ["path", "likeness"])
 
-    return some.select("path", "sig").repartition("path").sortWithinPartitions("path").mapInArrow(run, "path long, dense boolean")
+    return some.select("path", "sig").repartition("path").sortWithinPartitions("path").mapInArrow(run, "path long, likeness double")
 
 
 def leaves(sets: DataFrame, runs: int = RUNS, done: int = 0) -> DataFrame:
     """(leaf, block, fp), settled: the groups in which the sets of ``runs`` runs, those after the first
     ``done``, are compared; sets: fp, sig, one row per set."""
     roots = F.explode(F.array(*[F.lit(int(x)) for x in random_u64(31, done + runs)[done:].view(np.int64)])).alias("path")
-    nodes = settle(_split(sets.select(roots, "fp", "sig")), "path-0")
+    nodes = settle(_split(sets.select(roots, "fp", "sig", F.lit(1).alias("levels"))), "path-0")
     found = None
     for depth in range(1, DEPTH + 1):
         many = settle(nodes.groupBy("path").agg(F.count("*").alias("n")).filter("n > 1"), f"path-many{depth}")
@@ -205,18 +214,19 @@ def leaves(sets: DataFrame, runs: int = RUNS, done: int = 0) -> DataFrame:
         if many.filter(F.col("n") > LEAF).isEmpty():
             break
         big = settle(shared.filter(F.col("n") > LEAF), f"path-big{depth}")
-        if depth < DEPTH:
-            told = small(settle(_dense(big, sets), f"path-dense{depth}"))
-            big = big.join(told, "path", "left")
-        else:
-            big = big.withColumn("dense", F.lit(True))
+        big = big.join(small(settle(_likeness(big, sets), f"path-like{depth}")), "path", "left")
+        like = F.coalesce("likeness", F.lit(0.0))
+        dense = F.lit(True) if depth == DEPTH else like >= DENSE
         # every block with every other and with itself
-        wide = meetings(big.filter("dense"), "fp", path, F.ceil(F.col("n") / WIDE))
+        wide = meetings(big.filter(dense), "fp", path, F.ceil(F.col("n") / WIDE))
         found = found.unionByName(wide.select(F.col("meeting").alias("leaf"), "block", "fp"))
-        rest = big.filter("dense IS NULL OR NOT dense")
+        rest = big.filter(~dense)
         if rest.isEmpty():
             break
-        nodes = settle(_split(rest.select("path", "fp").join(sets, "fp")), f"path-{depth}")
+        # of sets that share a part, each with others of its own, this share has one token at a coordinate
+        most = F.least(F.greatest(2 * like / (1 + like), F.lit(0.3)), F.lit(0.9))
+        levels = F.least(F.greatest(F.floor(F.ln(F.col("n") / LEAF) / -F.ln(most)), F.lit(1)), F.lit(LEVELS)).cast("int")
+        nodes = settle(_split(rest.select("path", "fp", levels.alias("levels")).join(sets, "fp")), f"path-{depth}")
     return settle(found, "path-leaves")
 
 
@@ -240,12 +250,11 @@ def exact_partners(docs: DataFrame, sets: DataFrame, sample: int, id_col: str, t
     picked = {bytes(r.fp): (r.doc_id, bytes(r.sig)) for r in audit_sample(sets, sample).collect()}
     spark = docs.sparkSession
     ids = spark.createDataFrame([(i,) for i, _ in picked.values()], f"__id {sets.schema['doc_id'].dataType.simpleString()}")
-    own = {bytes(r.fp): np.frombuffer(bytes(r.shingles), np.uint64) for r in _shingled(docs, F.broadcast(ids), id_col, text_col).dropDuplicates(["fp"]).collect() if bytes(r.fp) in picked}
-    fps, total = [], 0
-    for fp in picked:
-        if fp in own and (not fps or total + len(own[fp]) <= AUDIT_SHINGLES):
-            fps.append(fp)
-            total += len(own[fp])
+    some = settle(_shingled(docs, F.broadcast(ids), id_col, text_col).dropDuplicates(["fp"]), "path-picked")  # at most some thousand
+    before = F.sum(F.length("shingles") / 8).over(Window.orderBy(F.xxhash64("fp"), "fp").rowsBetween(Window.unboundedPreceding, -1))
+    sized = some.select("fp", "shingles", F.coalesce(before, F.lit(0)).alias("before"))
+    own = {bytes(r.fp): np.frombuffer(bytes(r.shingles), np.uint64) for r in sized.filter(F.col("before") + F.when(F.col("before") > 0, F.length("shingles") / 8).otherwise(0) <= AUDIT_SHINGLES).collect()}
+    fps = [fp for fp in own if fp in picked]
     sigs = np.array([np.frombuffer(picked[f][1], np.uint32) for f in fps], np.uint32).reshape(len(fps), TOKENS)
     flat = np.concatenate([own[f] for f in fps]) if fps else np.zeros(0, np.uint64)
     of = np.repeat(np.arange(len(fps)), [len(own[f]) for f in fps])
