@@ -30,13 +30,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import pieces, settle
+from .shared import pieces, released, settle
 
 MARK = "▁"
 TABLE = 100_000  # entries of the broadcast part of the table
 LONGEST = 64  # characters of a chunk in it
 CHUNKS = 50_000  # entries of a task's own table
-COUNTED = 1_000_000  # rows of counts that a task holds
+COUNTED = 500_000  # rows of counts that a task holds
 PIECE = 1 << 20  # bytes of text whose chunks are looked up at once
 HELD = 32 << 20  # characters of its chunks
 
@@ -201,6 +201,8 @@ def chunk_table(docs: DataFrame, model, text_col: str = "text") -> DataFrame:
                         seen, rows = [], 0
         if seen:
             yield from told([summed(seen)])
+        del table, seen
+        released()
 
     def summed(seen):
         return pa.concat_tables(seen).group_by("chunk", use_threads=False).aggregate([("n", "sum")]).rename_columns(["chunk", "n"])
@@ -259,6 +261,8 @@ def encoded(docs: DataFrame, model_file: str, text_col: str = "text", outputs: t
                 got = table.outputs(part.column(part.schema.get_field_index(text_col)), outputs)
                 cols = [part.column(part.schema.get_field_index(c)) for c in carry]
                 yield pa.RecordBatch.from_arrays([*cols, *[got[k].cast(kinds[k][1]) for k in outputs]], [*carry, *outputs])
+        del table
+        released()
 
     return source.mapInArrow(run, T.StructType([*[source.schema[c] for c in carry], *[T.StructField(k, kinds[k][0]) for k in outputs]]))
 
