@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable, Iterator
 from functools import reduce
+from itertools import groupby
+from operator import itemgetter
 
 import pandas as pd
 from pyspark.errors import AnalysisException
@@ -86,17 +89,16 @@ class _Day:
     def state(self) -> tuple:
         return (*self.first, *self.last, *self.bar, self.version)
 
-    def add(self, ticks: pd.DataFrame) -> bool:
-        """Take in ticks, sorted by (at, tick_id); whether the bar changes."""
-        head, tail = ticks.iloc[0], ticks.iloc[-1]
-        first, last = (int(head["at"]), int(head["tick_id"])), (int(tail["at"]), int(tail["tick_id"]))
+    def add(self, ticks: list[tuple]) -> bool:
+        """Take in ticks (at, tick_id, price, size), sorted; whether the bar changes."""
+        first, last, prices = ticks[0][:2], ticks[-1][:2], [t[2] for t in ticks]
         was = self.bar
         open_, high, low, close, volume = was or (None, float("-inf"), float("inf"), None, 0)
         if self.first is None or first < self.first:
-            self.first, open_ = first, float(head["price"])
+            self.first, open_ = first, prices[0]
         if self.last is None or last > self.last:
-            self.last, close = last, float(tail["price"])
-        self.bar = (open_, max(high, float(ticks["price"].max())), min(low, float(ticks["price"].min())), close, int(volume + ticks["size"].sum()))
+            self.last, close = last, prices[-1]
+        self.bar = (open_, max(high, *prices), min(low, *prices), close, volume + sum(t[3] for t in ticks))
         return self.bar != was
 
     def told(self, available: int) -> tuple:
@@ -115,41 +117,39 @@ def bar_versions(ticks: DataFrame, lateness: str = "2 days", disorder: str = "0
     known before. Times count in microseconds, and what is known at one time counts as one. Which rows come
     in which batch changes nothing, as long as times come in order within ``disorder``.
 
-    The state is a bar for each id and day. It is let go ``keep`` after the day's end; ticks that get known
-    later than that are left out. Ticks without id, ts, tick_id, price or available_at are left out, a size
-    that is null counts 0."""
+    The state is a bar for each id and day, the days of an id together, since a call for each of them costs more
+    than its ticks. A day is let go ``keep`` after its end; ticks that get known later than that are left out.
+    Ticks without id, ts, tick_id, price or available_at are left out, a size that is null counts 0."""
     end = F.date_add(F.col("effective_date"), 1).cast("timestamp")
     known = ticks.dropna(subset=["security_id", "ts", "tick_id", "price", "available_at"]).withColumn("effective_date", F.to_date("ts"))
     known = known.withColumns({"deadline": F.unix_micros(end + F.expr(f"INTERVAL '{lateness}'")), "expiry": F.unix_micros(end + F.expr(f"INTERVAL '{keep}'"))})
     known = known.withWatermark("available_at", disorder)
-    rows = known.select("security_id", "effective_date", "deadline", "expiry", F.unix_micros("ts").alias("at"), F.col("tick_id").cast("long").alias("tick_id"), F.col("price").cast("double").alias("price"), F.coalesce(F.col("size").cast("long"), F.lit(0)).alias("size"), "available_at", F.unix_micros("available_at").alias("known"))
+    rows = known.select("security_id", F.unix_date("effective_date").alias("day"), "deadline", "expiry", F.unix_micros("available_at").alias("known"), F.unix_micros("ts").alias("at"), F.col("tick_id").cast("long").alias("tick_id"), F.col("price").cast("double").alias("price"), F.coalesce(F.col("size").cast("long"), F.lit(0)).alias("size"), "available_at")
+    columns = ["day", "deadline", "expiry", "known", "at", "tick_id", "price", "size"]
 
     def update(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        security, date, deadline, expiry = key
-        day, out = _Day(state.get if state.exists else None), []
-        if state.hasTimedOut:
-            if day.version:
-                state.remove()
-                return
-            out.append(day.told(int(deadline)))
-        else:
-            new = pd.concat(list(batches))
-            for known_at, some in new[new["known"] <= expiry].sort_values(["known", "at", "tick_id"]).groupby("known"):
+        out, watermark = [], state.getCurrentWatermarkMs()
+        days = {day: (deadline, expiry, _Day(tuple(had))) for day, deadline, expiry, had in json.loads(state.get[0])} if state.exists else {}
+        if not state.hasTimedOut:
+            new = sorted(row for some in batches for row in zip(*[some[c].tolist() for c in columns], strict=True) if row[3] <= row[2])
+            for (date, deadline, expiry, known_at), ticks in groupby(new, key=itemgetter(0, 1, 2, 3)):
+                day = days.setdefault(date, (deadline, expiry, _Day(None)))[2]
                 if known_at > deadline and day.bar and not day.version:
-                    out.append(day.told(int(deadline)))
-                if day.add(some) and known_at > deadline:
-                    out.append(day.told(int(known_at)))
-        if day.bar:
-            state.update(day.state())
-            state.setTimeoutTimestamp(max(int(expiry if day.version else deadline) // 1000 + 1, state.getCurrentWatermarkMs() + 1))
+                    out.append((date, *day.told(deadline)))
+                if day.add([t[4:] for t in ticks]) and known_at > deadline:
+                    out.append((date, *day.told(known_at)))
+        for date, (deadline, expiry, day) in list(days.items()):
+            if not day.version and deadline // 1000 + 1 < watermark:
+                out.append((date, *day.told(deadline)))
+            if day.version and expiry // 1000 + 1 < watermark:
+                del days[date]
+        if days:
+            state.update((json.dumps([(date, deadline, expiry, day.state()) for date, (deadline, expiry, day) in days.items()]),))
+            state.setTimeoutTimestamp(max(min(expiry if day.version else deadline for deadline, expiry, day in days.values()) // 1000 + 1, watermark + 1))
+        elif state.exists:
+            state.remove()
         if out:
-            yield pd.DataFrame([(security, date, *row) for row in out], columns=["security_id", "effective_date", "known", "version", *_BAR])
-
-    told = rows.groupBy("security_id", "effective_date", "deadline", "expiry").applyInPandasWithState(
-        update,
-        f"security_id string, effective_date date, known long, version int, {_TICK_BAR}",
-        f"first_at long, first_id long, last_at long, last_id long, {_TICK_BAR}, version int",
-        "append",
-        GroupStateTimeout.EventTimeTimeout,
-    )
-    return told.select("security_id", "effective_date", F.timestamp_micros("known").alias("available_at"), "version", *_BAR)
+            yield pd.DataFrame([(*key, *row) for row in out], columns=["security_id", "day", "known", "version", *_BAR])
+
+    told = rows.groupBy("security_id").applyInPandasWithState(update, f"security_id string, day int, known long, version int, {_TICK_BAR}", "days string", "append", GroupStateTimeout.EventTimeTimeout)
+    return told.select("security_id", F.date_from_unix_date("day").alias("effective_date"), F.timestamp_micros("known").alias("available_at"), "version", *_BAR)
