@@ -98,7 +98,9 @@ def synthetic_bars(symbols: DataFrame, end, days: int = 252) -> DataFrame:
     drawn = lambda *what: F.conv(F.substring(F.md5(F.concat_ws(":", *what).cast("binary")), 1, 7), 16, 10).cast("long")
     unit = lambda k: drawn("security_id", i, F.lit(k)) % 10_000 / 10_000.0
     base = 50 + drawn("security_id") % 200
-    rows = symbols.select("security_id", F.explode(F.sequence(F.lit(0), F.lit(days - 1))).alias("i"))
+    # a list of symbols is one small file, so its rows are dealt before each makes many
+    dealt = symbols.repartition(symbols.sparkSession.sparkContext.defaultParallelism * 4, "security_id")
+    rows = dealt.select("security_id", F.explode(F.sequence(F.lit(0), F.lit(days - 1))).alias("i"))
     rows = rows.withColumn("effective_date", F.date_sub(F.lit(end).cast("date"), F.lit(days - 1) - i))
     close = base * (1 + 0.1 * F.sin(i / 20.0)) * (1 + 0.02 * (unit(0) - 0.5))
     rows = rows.withColumn("close", F.round(close, 4)).withColumn("open", F.round(F.col("close") * (1 + 0.01 * (unit(1) - 0.5)), 4))
