@@ -11,7 +11,7 @@ from ..streaming import ingest
 from . import indicator_sql, normalizer_queries, views
 from .indicator_sql import OFF
 from .more_queries import payloads, profiles, shared_folder
-from .panel_queries import READOUT_STEPS, readout_sql
+from .panel_queries import READOUT_STEPS, readout_sql, stored
 from .queries import BARS, BEST, CAL, MASTER, PRICES, RECURSIVE_BEST, SPLIT_CTE, _calendar, best, query
 from .views import AS_OF
 
@@ -139,7 +139,8 @@ def compacted_bars(spark, sf_dir):
 @query("SELECT concat('sec_', CAST(user_id AS STRING)) AS security_id, CAST(ts AS DATE) AS effective_date, value AS close, event_id AS volume, TIMESTAMP '1999-01-01 00:00:00' AS available_at FROM events")
 def reparsed_bars(spark, sf_dir):
     """Archived bodies behind known facts, normalized again under a new knowledge time."""
-    p = payloads(spark, sf_dir)
+    # stored: a body lists events in the order in which a shuffle brings them, so its hash holds for one run only
+    p = stored(spark, payloads(spark, sf_dir), "payloads")
     got = versions.reparse(normalize.bars(p).select("content_hash"), p, normalize.bars, F.lit("1999-01-01").cast("timestamp"))
     return got.select("security_id", "effective_date", "close", "volume", "available_at")
 
