@@ -109,6 +109,8 @@ READOUTS = {
     "market_regime.breakout_state": Readout(21, 4, "breaking_out", ("reversing",), orientation="breakout", attention=("breaking_out", "reversing"), needs="indicators"),
     "market_regime.keltner_touch": Readout(21, 4, "inside", ("break",), ("touch",), orientation="sign", attention=("touch", "break"), risk=("break",), needs="indicators"),
 }
+#: The indicators that readouts read.
+INPUTS = ("adx_14", "di_plus_14", "di_minus_14", "rsi_14", "macd", "macd_ema", "atr_pct", "bandwidth", "rvol", "realized_vol_21", "realized_vol_63", "keltner_upper", "keltner_middle", "keltner_lower")
 GRAY = ("unavailable", "normal", "neutral", "mixed", "flat", "no_gap", "no_cross", "range", "inside", "in_line", "stable")
 
 
@@ -130,7 +132,7 @@ def compute(bars: DataFrame, as_of, profiles: dict[str, Profile], benchmark: Dat
     One pass: what a row needs comes from windows over its security, and the newest row and the shares of
     the history under its values from one aggregation a security."""
     d = computed if computed is not None else compute_all(bars, as_of, benchmark, carry=PRICES)
-    names = ["adx_14", "di_plus_14", "di_minus_14", "rsi_14", "macd", "macd_ema", "atr_pct", "bandwidth", "rvol", "realized_vol_21", "realized_vol_63", "keltner_upper", "keltner_middle", "keltner_lower"]
+    names = INPUTS
     d = d.select("security_id", "effective_date", *PRICES, *names)
     d = d.withColumns({"n": F.row_number().over(history()), "pc": lag("close"), "v": F.col("volume").cast("double")})
     if benchmark is not None:

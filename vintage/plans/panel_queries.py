@@ -237,15 +237,18 @@ def stored(spark, df, name: str):
     FROM ps {' '.join(f'LEFT JOIN p_{n} USING (security_id)' for n in (*_PARTS, 'readouts'))}""")
 def decision_panel(spark, sf_dir):
     """Nested facts of each security, all from one table of indicators."""
-    b = best(spark, sf_dir)
+    b = stored(spark, best(spark, sf_dir), "panel-bars")
     insider = views.view(spark, sf_dir, views.INSIDER_SQL, "events")
     attention = views.view(spark, sf_dir, views.ATTENTION_SQL, "events")
     views.load(spark, sf_dir, "orders")
     earnings = spark.sql(REPORTS).withColumn("session", F.lit("regular"))
     bench = b.filter(F.col("security_id") == BENCHMARK)
-    ind = stored(spark, indicators.compute_all(b, AS_OF, bench, carry=indicators.PRICES), "panel-indicators")
+    shown = ("sma_20", "ema_12", "rsi_14")
+    # only what is read below is computed and stored
+    wide = indicators.compute_all(b, AS_OF, bench, carry=indicators.PRICES).select("security_id", "effective_date", "available_at", *indicators.PRICES, *dict.fromkeys((*readouts.INPUTS, *shown)))
+    ind = stored(spark, wide, "panel-indicators")
     read = readouts.compute(b, AS_OF, profiles(), bench, computed=ind)
-    got = panels.decision_panel(b.select("security_id"), b, AS_OF, indicators=ind.select("security_id", "effective_date", "available_at", "sma_20", "ema_12", "rsi_14"), insider=insider, earnings=earnings, attention=attention, readouts=read)
+    got = panels.decision_panel(b.select("security_id"), b, AS_OF, indicators=ind.select("security_id", "effective_date", "available_at", *shown), insider=insider, earnings=earnings, attention=attention, readouts=read)
     text = {"indicators": told("indicators", "effective_date", "~sma_20", "~ema_12", "~rsi_14"), "insider": told("insider", "effective_date", "transaction_code", "~value"), "earnings": told("earnings", "report_date", "session"), "attention": told("attention", "effective_date", "mentions"), "readouts": told("readouts", "definition_id", "state"), "missing": F.array_join("missing", ","), "experimental": F.array_join("experimental", ",")}
     return got.withColumns(text).select("security_id", "last_date", "last_close", "n_bars", *text, "days_since_bar")
 
