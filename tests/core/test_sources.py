@@ -1,5 +1,6 @@
 """Normalizers, archive, bulk files and streams."""
 
+import datetime as dt
 import json
 
 from pyspark.sql import functions as F
@@ -89,6 +90,19 @@ def test_bulk_files(spark, tmp_path):
     assert [(r.symbol, r.exchange, r.kind, str(r.effective_date), r.close, r.volume) for r in got] == [("AAPL", "nasdaq", "stocks", "2026-01-05", 1.5, 100)]
 
 
+def test_bulk_text_comes_back_under_any_name(spark, tmp_path):
+    """Also below a folder that is called like a kind, from a task that runs again, and with values missing."""
+    path = str(tmp_path / "old stocks" / "daily")
+    rows = [(s, x, k, d, 1.5, None, 0.5, float(i), i) for i, (s, x, k) in enumerate([("AAPL", "nasdaq", "stocks"), ("^SPX", "nyse", "etfs"), ("BRK B", "nyse", "stocks"), ("A+B%2B", "nyse", "stocks"), ("Q", "nyse", "bonds")]) for d in (dt.date(2026, 1, 6), dt.date(2026, 1, 5), None)]
+    bars = spark.createDataFrame(rows, "symbol string, exchange string, kind string, effective_date date, open double, high double, low double, close double, volume long")
+    for _ in range(2):
+        archive.write_bulk_text(bars, path)
+    got = archive.read_bulk_bars(spark, path).select(*bars.columns).collect()
+    assert sorted(map(tuple, got), key=repr) == sorted((r for r in rows if r[3] and r[2] != "bonds"), key=repr)
+    lines = (tmp_path / "old stocks" / "daily" / "us" / "nasdaq stocks" / "aapl.us.txt").read_text().splitlines()
+    assert lines[0] == "<DATE>,<OPEN>,<HIGH>,<LOW>,<CLOSE>,<VOL>" and lines[2:] == ["20260105,1.5,,0.5,0.0,0", "20260106,1.5,,0.5,0.0,0"]
+
+
 def test_stream_ingest_is_exactly_once(spark, tmp_path):
     source, table = tmp_path / "in", str(tmp_path / "bars")
     source.mkdir()

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
-from urllib.parse import unquote
+import uuid
+from itertools import groupby
 
+import pyarrow as pa
+import pyarrow.fs as pa_fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -50,12 +53,14 @@ def read_bulk_bars(spark: SparkSession, path: str, kinds: tuple[str, ...] = ("st
     don't parse, and other kinds, are left out."""
     schema = "`<DATE>` string, `<OPEN>` double, `<HIGH>` double, `<LOW>` double, `<CLOSE>` double, `<VOL>` double"
     raw = spark.read.schema(schema).option("header", True).option("mode", "DROPMALFORMED").option("pathGlobFilter", "*.us.txt").option("recursiveFileLookup", True).csv(path)
-    file = F.col("_metadata.file_path")
-    folder = F.regexp_replace(F.regexp_extract(file, r"([^/]+(?:stocks|etfs|indices|bonds|currencies|funds)[^/]*)/", 1), "%20", " ")
-    rows = raw.select(
-        F.upper(F.regexp_extract(file, r"([^/]+)\.us\.txt$", 1)).alias("symbol"),
-        F.regexp_extract(folder, r"^(\S+)", 1).alias("exchange"),
-        F.regexp_extract(folder, r"(\S+)$", 1).alias("kind"),
+    # every row carries its file's path, so what is taken from it is short: a search that begins anew at each
+    # character of the path cost more than reading the row
+    file = F.url_decode(F.replace("_metadata.file_path", F.lit("+"), F.lit("%2B")))
+    at = raw.select("*", file.alias("file")).select("*", F.regexp_extract("file", r"^.*/([^/]+(?:stocks|etfs|indices|bonds|currencies|funds)[^/]*)/", 1).alias("folder"))
+    rows = at.select(
+        F.upper(F.regexp_replace(F.substring_index("file", "/", -1), r"\.us\.txt$", "")).alias("symbol"),
+        F.substring_index("folder", " ", 1).alias("exchange"),
+        F.substring_index("folder", " ", -1).alias("kind"),
         F.lit("us").alias("geo"),
         F.try_to_date("`<DATE>`", "yyyyMMdd").alias("effective_date"),
         *[F.col(f"`<{c.upper()}>`").alias(c) for c in ("open", "high", "low", "close")],
@@ -66,24 +71,42 @@ def read_bulk_bars(spark: SparkSession, path: str, kinds: tuple[str, ...] = ("st
 
 def write_bulk_text(bars: DataFrame, path: str, geo: str = "us") -> None:
     """The tree of text files that ``read_bulk_bars`` reads: <geo>/<exchange> <kind>/<symbol>.us.txt. bars: symbol,
-    exchange, kind, effective_date, prices and volume. The executors write one file a symbol; the driver only
-    renames them, as many as there are symbols."""
-    spark = bars.sparkSession
-    staged, out = f"{path.rstrip('/')}-staged", path.rstrip("/")
-    rows = bars.select(F.concat_ws(" ", "exchange", "kind").alias("folder"), F.lower("symbol").alias("file"), F.date_format("effective_date", "yyyyMMdd").alias("<DATE>"), *[F.col(c).alias(f"<{c.upper()}>") for c in ("open", "high", "low", "close")], F.col("volume").alias("<VOL>"))
-    dealt = rows.repartition("folder", "file").sortWithinPartitions("folder", "file", "<DATE>")
-    dealt.write.partitionBy("folder", "file").option("header", True).csv(staged)
-    hadoop = spark._jvm.org.apache.hadoop.fs
-    top = hadoop.Path(staged)
-    fs = top.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    plain = lambda p: unquote(p.getName().split("=", 1)[1])
-    for folder in (f.getPath() for f in fs.listStatus(top) if f.isDirectory()):
-        target = hadoop.Path(f"{out}/{geo}/{plain(folder)}")
-        fs.mkdirs(target)
-        for one in (f.getPath() for f in fs.listStatus(folder)):
-            for part in (f.getPath() for f in fs.listStatus(one) if f.getPath().getName().startswith("part-")):
-                fs.rename(part, hadoop.Path(target, f"{plain(one)}.us.txt"))
-    fs.delete(top, True)
+    exchange, kind, effective_date, prices and volume; bars without a symbol have no file. Tasks write one file a
+    symbol, row batch by row batch, and rename it when it is whole, so a task that runs again does no harm and the
+    driver touches none of them. path: one that pyarrow can open (local, hdfs, s3, gs, abfs)."""
+    fields = [F.date_format("effective_date", "yyyyMMdd"), *[F.col(c).cast("string") for c in ("open", "high", "low", "close", "volume")]]
+    lines = F.concat_ws(",", *[F.coalesce(c, F.lit("")) for c in fields])
+    rows = bars.filter("symbol IS NOT NULL").select(F.concat_ws(" ", "exchange", "kind").alias("folder"), F.lower("symbol").alias("file"), lines.alias("line"))
+    dealt = rows.repartition("folder", "file").sortWithinPartitions("folder", "file", "line")
+    top = f"{path.rstrip('/')}/{geo}"
+
+    def write(batches):
+        fs, root = pa_fs.FileSystem.from_uri(top)
+        at, out, part, made = None, None, f".{uuid.uuid4().hex}", set()
+
+        def close():
+            if out:
+                out.close()
+                target = f"{root}/{at[0]}/{at[1]}.us.txt"
+                if fs.get_file_info(target).type != pa_fs.FileType.NotFound:  # not every store renames over a file
+                    fs.delete_file(target)
+                fs.move(f"{root}/{at[0]}/{part}", target)
+
+        for batch in batches:
+            folders, files, text = (batch.column(c).to_pylist() for c in ("folder", "file", "line"))
+            for key, run in groupby(range(len(text)), lambda i: (folders[i], files[i])):
+                if key != at:
+                    close()
+                    if key[0] not in made:
+                        fs.create_dir(f"{root}/{key[0]}", recursive=True)
+                        made.add(key[0])
+                    at, out = key, fs.open_output_stream(f"{root}/{key[0]}/{part}")
+                    out.write(b"<DATE>,<OPEN>,<HIGH>,<LOW>,<CLOSE>,<VOL>\n")
+                out.write(("\n".join([text[i] for i in run]) + "\n").encode())
+        close()
+        yield pa.RecordBatch.from_pydict({"n": pa.array([], pa.int64())})
+
+    dealt.mapInArrow(write, "n long").count()
 
 
 def write_bulk_bars(bars: DataFrame, path: str) -> None:
