@@ -49,3 +49,8 @@ def test_long_lists_of_ids(spark):
         want = {i for i in ids[:100]} if some is not ids and isinstance(some, list) else set(ids)
         assert {r.security_id for r in pit.among(rows, "security_id", some).collect()} == want
     assert pit.among(rows, "security_id", None).count() == 500 and pit.among(rows, "security_id", []).count() == 0
+
+
+def test_asof_join_carries_only_what_is_asked(spark):
+    plan = __spark_entry__.queries()["asof_join"](spark, FOLDER)._jdf.queryExecution().optimizedPlan().toString()
+    assert "close" in plan and "volume" not in plan and plan.count("named_struct(bar_date") == 0  # bar_date is part of the rank

@@ -172,14 +172,16 @@ def read_asof_join(bars: DataFrame, spine: DataFrame, priorities: DataFrame | No
     date, all those up to ``as_of`` less the lag (or the spine's date, if earlier) were known: a running
     best answers for them. Those after that meet the spine in buckets of ``lag_days``. Bars that came later
     than the lag, restatements of old dates, are swept by ``_dominated``. The lag steers the work and not the
-    result."""
+    result. All columns of bars travel with them through every step, so a caller selects what it needs."""
     keys = ["security_id", "effective_date", "as_of"]
     asked = spine.select("security_id", F.col("effective_date").cast("date").alias("effective_date"), F.col("as_of").cast("timestamp").alias("as_of")).distinct()
     b = _with_priority(bars, priorities, "bars_daily")
-    payload = [c for c in bars.columns if c not in ("security_id", "effective_date")]
-    ties = [F.col(c) for c in ("source_id", "version_hash") if c in bars.columns]
-    order = F.struct((-F.col("__priority")).alias("p"), F.col("available_at").alias("a"), F.col("effective_date").alias("d"), *[t.alias(f"t{i}") for i, t in enumerate(ties)])
-    b = b.select("security_id", F.col("effective_date").alias("__date"), F.col("available_at").alias("__known"), F.struct(order.alias("rank"), F.struct(F.col("effective_date").alias("bar_date"), *payload).alias("bar")).alias("b"))
+    # columns that rank a bar are part of it and are carried once
+    ranks = ["available_at", "bar_date", *[c for c in ("source_id", "version_hash") if c in bars.columns]]
+    payload = [c for c in bars.columns if c not in ("security_id", "effective_date", *ranks)]
+    shown = ["bar_date", *[c for c in bars.columns if c not in ("security_id", "effective_date")]]
+    carried = F.struct((-F.col("__priority")).alias("__rank"), *[F.col("effective_date").alias(c) if c == "bar_date" else F.col(c) for c in ranks], *payload)
+    b = b.select("security_id", F.col("effective_date").alias("__date"), F.col("available_at").alias("__known"), carried.alias("b"))
     in_time = F.col("__known") <= F.date_add("__date", lag_days).cast("timestamp")
     prompt, late = b.filter(in_time), b.filter(~in_time)
     fits = (F.col("__date") <= F.col("effective_date")) & (F.col("__known") <= F.col("as_of"))
@@ -194,7 +196,7 @@ def read_asof_join(bars: DataFrame, spine: DataFrame, priorities: DataFrame | No
     near = asked.filter("effective_date > __cut").withColumn("__bucket", F.explode(F.sequence(bucket(F.date_add("__cut", 1)), bucket("effective_date"))))
     recent = near.join(prompt.withColumn("__bucket", bucket("__date")), ["security_id", "__bucket"]).filter(fits & (F.col("__date") > F.col("__cut"))).select(*keys, "b")
     restated = _dominated(asked.select(*keys), late)
-    return old.unionByName(recent).unionByName(restated).groupBy(*keys).agg(F.max("b").alias("b")).select(*keys, "b.bar.*")
+    return old.unionByName(recent).unionByName(restated).groupBy(*keys).agg(F.max("b").alias("b")).select(*keys, *[F.col("b")[c].alias(c) for c in shown])
 
 
 def read_spine_join(table: DataFrame, spine: DataFrame, id_col: str = "security_id") -> DataFrame:

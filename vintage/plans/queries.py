@@ -97,7 +97,8 @@ def panel(spark, sf_dir):
     FROM spine s LEFT JOIN bars b ON s.security_id = b.security_id AND b.effective_date <= s.effective_date AND b.available_at <= s.as_of)
     SELECT security_id, effective_date, as_of, bar_date, source_id, close FROM j WHERE n = 1""")
 def asof_join(spark, sf_dir):
-    got = pit.read_asof_join(views.bars(spark, sf_dir), views.spine(spark, sf_dir), views.priorities(spark))
+    bars = views.bars(spark, sf_dir).select("security_id", "effective_date", "available_at", "source_id", "close")
+    got = pit.read_asof_join(bars, views.spine(spark, sf_dir), views.priorities(spark))
     return rounded(got.select("security_id", "effective_date", "as_of", "bar_date", "source_id", "close"))
 
 
