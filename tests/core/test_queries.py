@@ -54,3 +54,9 @@ def test_long_lists_of_ids(spark):
 def test_asof_join_carries_only_what_is_asked(spark):
     plan = __spark_entry__.queries()["asof_join"](spark, FOLDER)._jdf.queryExecution().optimizedPlan().toString()
     assert "close" in plan and "volume" not in plan and plan.count("named_struct(bar_date") == 0  # bar_date is part of the rank
+
+
+def test_orders_are_dealt_before_they_become_long_bodies(spark):
+    plan = __spark_entry__.queries()["facts_wide_fundamentals"](spark, FOLDER)._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    dealt, bodies = (max(i for i, line in enumerate(plan) if word in line) for word in ("Repartition", "fiscalDateEnding"))
+    assert dealt > bodies  # below them

@@ -48,9 +48,14 @@ def _text(c: Column) -> Column:
     return F.coalesce(c, F.lit(""))
 
 
+#: How sources write that there is no number.
+NO_NUMBER = ("None", "none", "null", "N/A", "n/a", "NA", "-", ".", "")
+
+
 def _num(c: Column) -> Column:
-    """A number; null for 'None', empty and malformed text."""
-    return c.try_cast("double")
+    """A number; null for 'None', empty and malformed text. Each failed cast costs an exception, so common words
+    for nothing are not tried."""
+    return F.when(c.isin(*NO_NUMBER), F.lit(None)).otherwise(c).try_cast("double")
 
 
 def _count(c: Column) -> Column:
@@ -243,8 +248,9 @@ def wide_fundamentals(p: DataFrame) -> DataFrame:
     found.append(F.transform(F.filter(F.array("m.overview"), lambda m: m.isNotNull()), named("overview", "snapshot")))
     d = whole(p, schema).select("*", F.explode(F.concat(*found)).alias("x")).drop("body", "m").select("*", "x.*").drop("x")
     d = d.withColumn("end", F.when(F.col("kind") == "snapshot", _known_day()).otherwise(_day(F.col("report")["fiscalDateEnding"]))).filter("end IS NOT NULL")
-    # the dimension of fields is a fixed list
-    d = d.select("*", F.explode("report").alias("field", "raw")).drop("report").join(F.broadcast(known_fields), ["section", "field"]).withColumn("number", _num(F.col("raw"))).filter("number IS NOT NULL")
+    # the dimension of fields is a fixed list; only its fields are tried as numbers, as the filter goes below the join
+    listed = F.col("field").isin(*sorted({field for _, field, *_ in fields}))
+    d = d.select("*", F.explode("report").alias("field", "raw")).drop("report").withColumn("number", _num(F.when(listed, F.col("raw")))).filter("number IS NOT NULL").drop("raw").join(F.broadcast(known_fields), ["section", "field"])
     quarter = F.when(F.col("kind") == "quarter", F.quarter("end")).otherwise(4)
     fiscal = F.when(F.col("kind") == "snapshot", "OVERVIEW").otherwise(F.concat(F.lit("FY"), F.year("end").cast("string"), F.lit("Q"), quarter.cast("string")))
     return _statement(d, F.col("end"), fiscal, F.col("kind"), F.col("measure"), F.col("statement"), F.col("item"), F.col("number"))
