@@ -5,7 +5,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from vintage.operators import flow, indicators
+from vintage.operators import flow, indicators, readouts
 
 AS_OF = "2030-01-01"
 SCHEMA = "security_id string, effective_date date, available_at timestamp, open double, high double, low double, close double, volume long"
@@ -37,6 +37,14 @@ def test_a_security_goes_on_in_the_next_batch(spark):
     assert len(got) == 82 and got == want
 
 
+def test_readouts_leave_the_history_in_place(spark):
+    """Rows are shuffled and sorted once a branch, and what is joined is a row a security."""
+    b = bars(spark, a=3)
+    got = plan(readouts.compute(b, AS_OF, {}))
+    assert "Exchange hashpartitioning(security_id" in got and not [x for x in got.split("\n") if "Exchange" in x and "effective_date" in x]
+    assert len([x for x in got.split("\n") if "Sort [" in x and "effective_date" in x]) == 2
+
+
 def test_runs_store_no_wide_row_and_give_each_row_once(spark, tmp_path):
     b, stored = bars(spark, a=40, b=25, c=12), []
 

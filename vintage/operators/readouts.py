@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.exprs import finite, history, ieee_div, lag, rolling
-from .indicators import PRICES, compute_all
+from .indicators import PRICES, RECURSIVE, finite_indicators, with_recursive
 from .pit import known
 
 
@@ -122,6 +122,16 @@ def _color(r: Readout, state: Column) -> Column:
     return F.when(state == r.good, "green").when(state.isin(*GRAY), "gray").when(state.isin(*r.bad), "red").when(state.isin(*r.amber), "amber").otherwise("gray")
 
 
+def _inputs(bars: DataFrame, as_of) -> tuple[DataFrame, DataFrame]:
+    """(bars with the finite indicators of INPUTS, the newest recursive ones of each security)."""
+    late = [c for c in INPUTS if c in RECURSIVE]
+    d = finite_indicators(known(bars, as_of).select("security_id", "effective_date", *PRICES))
+    # all prices are named, so that both branches read one shuffle of the bars
+    newest = with_recursive(d).groupBy("security_id").agg(F.max_by(F.struct(*late, *PRICES), "effective_date").alias("r"))
+    wide = d.select("security_id", "effective_date", *PRICES, *[finite(c).alias(c) for c in INPUTS if c not in late])
+    return wide, newest.select("security_id", *[finite(F.col("r")[c]).alias(c) for c in late])
+
+
 def compute(bars: DataFrame, as_of, profiles: dict[str, Profile], benchmark: DataFrame | None = None, stored: DataFrame | None = None, computed: DataFrame | None = None, places: int | None = None) -> DataFrame:
     """All readouts of all securities in long form: security_id, definition_id, value, state, orientation,
     attention, risk, color. bars: one per cell. stored: indicator rows that are preferred to recomputed
@@ -130,10 +140,11 @@ def compute(bars: DataFrame, as_of, profiles: dict[str, Profile], benchmark: Dat
     readout's own.
 
     One pass: what a row needs comes from windows over its security, and the newest row and the shares of
-    the history under its values from one aggregation a security."""
-    d = computed if computed is not None else compute_all(bars, as_of, benchmark, carry=PRICES)
+    the history under its values from one aggregation a security. Of the recursive indicators only the newest
+    values are read, so those are made beside it and joined as one row a security: rows of the history stay where
+    their windows have them."""
     names = INPUTS
-    d = d.select("security_id", "effective_date", *PRICES, *names)
+    d, newest = _inputs(bars, as_of) if computed is None else (computed.select("security_id", "effective_date", *PRICES, *names), None)
     d = d.withColumns({"n": F.row_number().over(history()), "pc": lag("close"), "v": F.col("volume").cast("double")})
     if benchmark is not None:
         m = known(benchmark, as_of).select(F.lit("b").alias("security_id"), "effective_date", "close")
@@ -149,6 +160,8 @@ def compute(bars: DataFrame, as_of, profiles: dict[str, Profile], benchmark: Dat
     hi, lo = rolling(F.max, "close", 20), rolling(F.min, "close", 20)
     roc10, roc21 = finite(ieee_div("close", lag("close", 10)) - 1), finite(ieee_div("close", lag("close", 21)) - 1)
     d = d.withColumns({"roc10": roc10, "roc21": roc21, "v_slope": slope("v"), "v_mean5": F.avg("v").over(five), "hi": hi, "lo": lo, "rs_slope": slope("rs21") if benchmark is not None else F.lit(None).cast("double")})
+    if newest is not None:
+        d = d.join(newest, "security_id")
     if stored is not None:  # only the newest row's values are read below
         s = known(stored, as_of).groupBy("security_id").agg(F.max_by(F.struct(*names), F.struct("effective_date", "available_at")).alias("s"))
         d = d.join(s, "security_id", "left").withColumns({c: F.coalesce(F.col("s")[c], F.col(c)) for c in names}).drop("s")
@@ -177,12 +190,13 @@ def compute(bars: DataFrame, as_of, profiles: dict[str, Profile], benchmark: Dat
     ranked = {r: READOUTS[r].ranked for r in values if READOUTS[r].ranked}
     wide = d.select("security_id", "effective_date", F.col("n").alias("rows"), "roc10", "roc21", *dict.fromkeys(ranked.values()), *[c.cast("double").alias(_name(r)) for r, c in values.items()])
     wide = wide.withColumns({_name(r): finite(_name(r)) for r in values})
-    # the newest value beside each row of the history, to count those strictly under it
-    whole = history().rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    wide = wide.withColumns({f"newest_{_name(r)}": F.last(_name(r)).over(whole) for r in ranked})
+    # the newest value beside each row of the history, to count those strictly under it; the rows' order is not
+    # asked for, so that nothing is sorted again
+    whole = Window.partitionBy("security_id")
+    wide = wide.withColumns({f"newest_{_name(r)}": F.max_by(_name(r), "effective_date").over(whole) for r in ranked})
     shares = [F.avg((F.col(h) < F.col(f"newest_{_name(r)}")).cast("double")).alias(f"below_{_name(r)}") for r, h in ranked.items()]
-    newest = F.max_by(F.struct("rows", "roc10", "roc21", *[_name(r) for r in values]), "effective_date").alias("newest")
-    wide = wide.groupBy("security_id").agg(newest, *shares).select("security_id", "newest.*", *[f"below_{_name(r)}" for r in ranked])
+    told = F.max_by(F.struct("rows", "roc10", "roc21", *[_name(r) for r in values]), "effective_date").alias("newest")
+    wide = wide.groupBy("security_id").agg(told, *shares).select("security_id", "newest.*", *[f"below_{_name(r)}" for r in ranked])
     # values and states first, so that what follows from a state doesn't repeat its expression
     wide = wide.withColumns({_name(r): F.when(F.col("rows") >= READOUTS[r].lookback, F.col(_name(r))) for r in values})
     wide = wide.withColumns({f"state_{_name(r)}": _state(r, profiles.get(r)) for r in values})
