@@ -5,6 +5,7 @@ import random
 
 from pyspark.sql import functions as F
 
+from vintage.functions.exprs import half_up
 from vintage.operators import flow, indicators, readouts
 
 AS_OF = "2030-01-01"
@@ -26,6 +27,11 @@ def plan(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
 
+def test_all_indicators_take_one_shuffle_and_no_join(spark):
+    got = plan(indicators.compute_all(bars(spark, a=3), AS_OF))
+    assert got.count("Exchange hashpartitioning") == 1 and "Join" not in got and "FlatMapGroupsInPandas" not in got
+
+
 def test_a_security_goes_on_in_the_next_batch(spark):
     b, shown = bars(spark, a=37, b=1, c=9, d=23, e=12), lambda: indicators.compute_all(b, AS_OF).orderBy("security_id", "effective_date").select(*indicators.RECURSIVE).collect()
     want = shown()
@@ -60,3 +66,11 @@ def test_runs_store_no_wide_row_and_give_each_row_once(spark, tmp_path):
     assert all("sma_20" not in names for names in stored)
     want = [(r.security_id, r.effective_date, r.gap_fill) for r in indicators.compute_all(b, AS_OF).select("security_id", "effective_date", "gap_fill").collect()]
     assert sorted(found, key=str) == sorted(want, key=str)
+
+
+def test_half_up_rounds_as_round_does(spark):
+    values = [0.0, 0.5, 1.5, 2.5, -0.5, -2.5, -0.3, 0.12345, -0.12345, 0.00004, 123456789.98765, 3e17, -3e17, float("inf"), None]
+    rows = spark.createDataFrame([(v,) for v in values], "x double")
+    for places in (0, 4):
+        got = rows.select(half_up("x", places).alias("a"), F.round("x", places).alias("b")).collect()
+        assert [str(r.a) for r in got] == [str(r.b) for r in got]
