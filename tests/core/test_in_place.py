@@ -32,6 +32,11 @@ def test_all_indicators_take_one_shuffle_and_no_join(spark):
     assert got.count("Exchange hashpartitioning") == 1 and "Join" not in got and "FlatMapGroupsInPandas" not in got
 
 
+def test_coverage_shuffles_bars_and_counts_only(spark):
+    got = plan(indicators.coverage(indicators.compute_all(bars(spark, a=3), AS_OF)))
+    assert got.count("Exchange hashpartitioning") == 2 and "Join" not in got
+
+
 def test_a_security_goes_on_in_the_next_batch(spark):
     b, shown = bars(spark, a=37, b=1, c=9, d=23, e=12), lambda: indicators.compute_all(b, AS_OF).orderBy("security_id", "effective_date").select(*indicators.RECURSIVE).collect()
     want = shown()
